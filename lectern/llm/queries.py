@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, dac, mixing, quality, secrets
+from lectern.llm import bpe, dac, mixing, near_dup, quality, secrets
 from lectern.llm.common import table
 
 
@@ -24,8 +24,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("host")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_binary, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op4_token_binary, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix)}
