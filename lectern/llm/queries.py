@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, dac, mixing, near_dup, quality, secrets
+from lectern.llm import bpe, dac, fingerprint, mixing, near_dup, quality, secrets
 from lectern.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digests(dac.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,4 +36,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_binary, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix)}
