@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, dac, fingerprint, mixing, near_dup, quality, repeats, secrets
+from lectern.llm import bpe, dac, fingerprint, langid, licenses, mixing, near_dup, quality, repeats, secrets
 from lectern.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.fit(docs), reject=False)
+
+
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digests(dac.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -40,4 +49,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_repeats, op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_repeats, op3_license_scan, op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix)}
