@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lectern.plans import cards, status, texts
+
+_PLANS = (cards, status, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
