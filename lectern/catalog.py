@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import cards, status, texts
+from lectern.plans import cards, context, status, structure, texts
 
-_PLANS = (cards, status, texts)
+_PLANS = (cards, context, status, structure, texts)
 
 
 def queries() -> dict:

@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from lectern.functions import text as T
 from lectern.operators import structure as S
@@ -34,7 +35,7 @@ def decode_bytes(data: bytes) -> str:
     return data.decode("utf-8", errors="replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of encoded bytes; Spark's own decoder knows neither GB18030 nor Big5."""
     return content.map(lambda b: None if b is None else decode_bytes(bytes(b)))
@@ -106,7 +107,7 @@ def markdown_blocks(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-@F.pandas_udf("array<struct<text:string,is_code:boolean>>")
+@F.pandas_udf(ty.ArrayType(ty.StructType([ty.StructField("text", ty.StringType()), ty.StructField("is_code", ty.BooleanType())])))
 def raw_blocks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"text": b, "is_code": c} for b, c in markdown_blocks(t or "")])
 

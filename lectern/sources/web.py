@@ -14,6 +14,7 @@ from urllib.parse import unquote, urljoin, urlparse, urlunparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from lectern.functions.text import strip
 
@@ -150,7 +151,7 @@ def page_markdown(html: str) -> str:
     return node_to_markdown(_without(body, _DROPPED | _NOISE))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def to_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda h: page_markdown(h or ""))
 
@@ -184,7 +185,7 @@ def canonical(base: str, href: str) -> str:
     return urlunparse((p.scheme, p.netloc, p.path, "", "", "")).rstrip("/")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     """Absolute URL without parameters, query, fragment and final slash."""
     return pd.Series([None if h is None else canonical(b or "", h) for b, h in zip(base, href, strict=True)], dtype=object)
