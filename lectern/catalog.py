@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import cards, context, status, structure, texts
+from lectern.plans import cards, context, library, status, streams, structure, texts
 
-_PLANS = (cards, context, status, structure, texts)
+_PLANS = (cards, context, library, status, streams, structure, texts)
 
 
 def queries() -> dict:

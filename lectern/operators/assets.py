@@ -20,6 +20,11 @@ def can_inspect(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("file_type").isin("web", "folder", "zip") & ~F.coalesce("is_scanned", F.lit(False)))
 
 
+def _numbered(found: Column, field: int, pattern: int, kind: str) -> Column:
+    """Found references with their place among fields, patterns and matches."""
+    return F.transform(found, lambda x, i: F.struct(F.lit(field).alias("f"), F.lit(pattern).alias("p"), i.alias("i"), F.lit(kind).alias("kind"), F.split(strip(x), r"\s+")[0].alias("raw")))
+
+
 def references(paragraphs: DataFrame, doc: str = "doc_id", chapter: str = "chapter_id", order: str = "ord") -> DataFrame:
     """doc, raw, kind, chapter: distinct references of each document; the first occurrence gives kind and chapter."""
     fields = [c for c in FIELDS if c in paragraphs.columns]
@@ -27,7 +32,7 @@ def references(paragraphs: DataFrame, doc: str = "doc_id", chapter: str = "chapt
     for f, name in enumerate(fields):
         for p, (kind, pattern, group) in enumerate(PATTERNS):
             found = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(pattern), F.lit(group))
-            parts.append(F.transform(found, lambda x, i, f=f, p=p, kind=kind: F.struct(F.lit(f).alias("f"), F.lit(p).alias("p"), i.alias("i"), F.lit(kind).alias("kind"), F.split(strip(x), r"\s+")[0].alias("raw"))))
+            parts.append(_numbered(found, f, p, kind))
     rows = paragraphs.select(doc, chapter, order, F.explode(F.concat(*parts)).alias("r")).where(F.col("r.raw") != "")
     first = rows.groupBy(doc, F.col("r.raw").alias("raw")).agg(F.min(F.struct(F.col(chapter).alias("c"), F.col(order).alias("o"), F.col("r.f").alias("f"), F.col("r.p").alias("p"), F.col("r.i").alias("i"), F.col("r.kind").alias("kind"))).alias("m"))
     return first.select(doc, "raw", F.col("m.kind").alias("kind"), F.col("m.c").alias(chapter))
