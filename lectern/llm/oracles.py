@@ -1,3 +1,44 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express over whole tables."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+
+OP2 = """
+with d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+ p as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as m from (select doc_id, h, unnest(range(0, greatest(0, strlen(text) - 399))) as i from d) a),
+ r as (select doc_id, i as s, i + 400 as e from (select doc_id, i, count(*) over (partition by m) as n from p) b where n > 1),
+ g as (select doc_id, s, e, sum(case when s <= prev then 0 else 1 end) over (partition by doc_id order by s) as k from (select *, coalesce(lag(e) over (partition by doc_id order by s), -1) as prev from r) c),
+ u as (select doc_id, min(s) as s, max(e) as e from g group by doc_id, k),
+ t as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as prev, lead(s) over (partition by doc_id order by s) as following from u),
+ c as (select t.doc_id, sum(e - s) as removed, count(*) as spans, string_agg(concat(substr(h, 2 * prev + 1, 2 * (s - prev)), case when following is null then substr(h, 2 * e + 1) else '' end), '' order by s) as kept from t join d on t.doc_id = d.doc_id group by t.doc_id)
+select d.doc_id, cast(strlen(text) as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(case when removed is null then encode(text) else unhex(kept) end) as kept_sha256
+from d left join c on d.doc_id = c.doc_id"""
+
+OP8 = rf"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+ w as (select row, doc_id, source, text, {_WORDS.format(x="text")} as w from d),
+ g as (select row, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) as g from (select row, w, unnest(range(1, len(w) - 1)) as i from w) a),
+ r as (select distinct row, i + k as i from (select row, i, count(*) over (partition by row, g) as n from g) b, (select unnest([0, 1, 2]) as k) z where n > 1),
+ c as (select row, count(*) as n from r group by row),
+ l as (select row, count(*) - count(distinct line) as n from (select row, unnest(string_split(text, chr(10))) as line from d) e where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
+ f as (select w.doc_id, w.source, len(w) as n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+   from w left join c on w.row = c.row left join l on w.row = l.row),
+ j as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
+ h as (select source, count(*) as n, count(*) filter (base_failed) as k from j group by source),
+ m as (select avg(k / n) as m, var_pop(k / n) - avg(k / n * (1 - k / n) / n) as v from h),
+ q as (select m, case when m = 0 or m >= 1 or v <= 0 then 10000.0::double else least(10000.0::double, greatest(1.0::double, m * (1 - m) / v - 1)) end as s from m),
+ b as (select source, (k + s * m) / (n + s) > 0.5::double as host_failed from h, q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, not base_failed and not host_failed as kept from j join b on j.source is not distinct from b.source"""
+
+OP9 = rf"""
+with recursive d as (select doc_id, {_WORDS.format(x="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+ s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] end) as s from d),
+ n as (select doc_id, len(s) as n from s),
+ x as (select doc_id, md5(unnest(s)) as g from s),
+ c as (select a.doc_id as a, b.doc_id as b, count(*) as c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ e as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+ y as (select a, b from e union all select b, a from e),
+ r as (select doc_id as root, doc_id as node from n union select root, b from r join y on y.a = node),
+ k as (select node, min(root) as root from r group by node)
+select n.doc_id, n.n as n_shingles, k.root as component_id, n.doc_id = k.root as kept from n join k on k.node = n.doc_id"""
+
+ORACLES: dict[str, str] = {"op2_suffix_repeats": OP2, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9}
