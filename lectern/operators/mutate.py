@@ -160,3 +160,43 @@ def latest_log(log: DataFrame, key: str, order: str, n: int = 20) -> DataFrame:
     """The newest n entries of each key, newest first."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return log.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+
+
+def latest_paragraphs(snapshot: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rows of a snapshot with what has changed since (by doc_id and id); rows that are gone since stay as they were."""
+    new = latest.select("doc_id", "id", *(F.col(c).alias(f"_{c}") for c in ("english", "chinese", "status")))
+    out = snapshot.join(new, ["doc_id", "id"], "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("english", "chinese", "status")}).select(snapshot.columns)
+
+
+def chapter_counts(chapters: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Chapters with their paragraphs counted; one without a body keeps the count it had."""
+    n = paragraphs.groupBy("doc_id", "chapter_id").agg(F.count("*").alias("_n"))
+    return chapters.join(n, ["doc_id", "chapter_id"], "left").withColumn("paragraph_count", F.coalesce("_n", "paragraph_count").cast("int")).drop("_n")
+
+
+def append_messages(history: DataFrame, new: DataFrame, chat: str, order: str) -> DataFrame:
+    """A chat log with new messages numbered on after those it has."""
+    last = history.groupBy(chat).agg(F.max(order).alias("_last"))
+    w = Window.partitionBy(chat).orderBy(order)
+    rows = new.join(last, chat, "left").withColumn(order, (F.coalesce("_last", F.lit(-1)) + F.row_number().over(w)).cast(history.schema[order].dataType))
+    return history.unionByName(rows.select(history.columns))
+
+
+def pause_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents with those in work and listed set to paused; nothing else of them changes."""
+    hit = documents.join(keys.select("doc_id", F.lit(True).alias("_hit")).distinct(), "doc_id", "left")
+    return hit.withColumn("status", F.when(F.col("_hit") & F.col("status").isin("processing", "extracting"), "paused").otherwise(F.col("status"))).select(documents.columns)
+
+
+def normalized_messages(messages: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """messages (chat, seq, role, parts: array of type, text, image_url) with `parts` without empty ones, and local images (path, content)
+    as data URIs."""
+    kept = F.filter("parts", lambda p: ((p["type"] == "text") & (F.coalesce(p["text"], F.lit("")) != "")) | ((p["type"] == "image_url") & (F.coalesce(p["image_url"], F.lit("")) != "")))
+    out = messages.withColumn("parts", kept).where(F.size("parts") > 0)
+    if images is None:
+        return out
+    uris = images.select("path", T.data_uri(F.col("path"), F.col("content")).alias("uri"))
+    each = out.select("chat", "seq", "role", F.posexplode("parts").alias("n", "p")).join(uris, F.col("p.image_url") == F.col("path"), "left")
+    part = F.col("p").withField("image_url", F.coalesce("uri", "p.image_url"))
+    return each.groupBy("chat", "seq", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x["p"]).alias("parts"))
