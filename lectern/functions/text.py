@@ -16,8 +16,8 @@ HEADING_STRICT = (
     rf"^(chapter|section|part|unit)\s+[\dIVX{ZH_NUM}]+",
     r"^[I|V|X]+\.\s+[A-Z]",
     rf"^(第[{ZH_NUM}\d]+[章节回篇部])",
-    r"^(abstract|introduction|background|related\s+work|methodology|methods|experiments?|results|discussion|conclusion|references|appendix)\b",
-    r"^(摘要|前言|引言|背景|相关工作|研究方法|实验结果|讨论|总结|结论|参考文献|附录)\b",
+    r"^(abstract|introduction|background|related\s+work|methodology|methods|experiments?|results|discussion|conclusion|references|appendix)(?![\p{L}\p{N}_])",
+    r"^(摘要|前言|引言|背景|相关工作|研究方法|实验结果|讨论|总结|结论|参考文献|附录)(?![\p{L}\p{N}_])",
 )
 HEADING_OUTLINE = (*HEADING_STRICT, r"^\d+(\.\d+)*\s+[A-Za-z一-龥]", rf"^[{ZH_NUM}]+[、.]\s*")
 BULLET = rf"^(?:[•●○▪▫\-*]|\(?\d+[.)]|\(?[a-zA-Z][.)]|[ivxIVX]+[.)]|（?[{ZH_NUM}\d]+[）)]|[{ZH_NUM}]+[、.])\s*"
@@ -30,7 +30,7 @@ CODE_PREFIXES = (
     "def ", "class ", "import ", "from ", "return ", "async def ", "function ", "const ", "let ", "var ",
     "public static void", "#include ", "int main(", "SELECT ", "INSERT INTO ",
 )
-ABBREVIATION = r"\b(e\.g|i\.e|etc|vs|al|fig|ref|approx|dept|no|vol|sec|ch|dr|mr|mrs|ms|prof|inc|ltd|co|corp)\.$"
+ABBREVIATION = r"(?:^|[^\p{L}\p{N}_])(e\.g|i\.e|etc|vs|al|fig|ref|approx|dept|no|vol|sec|ch|dr|mr|mrs|ms|prof|inc|ltd|co|corp)\.$"
 ERROR_MARK = "[翻译调用异常"
 
 

@@ -198,7 +198,7 @@ _LAYOUT = "(select *, y0 - lag(y1) over w as gap, y0 - lag(y0) over w as dy from
 _MARGINS = "(select doc_id, cast(floor(ord / 5) as int) as page, ord, case ord % 5 when 0 then 'top' when 4 then 'bottom' end as band, case when ord % 5 = 0 and doc_id % 2 = 0 then 'Running title' when ord % 10 = 4 then concat('Page ', cast(ord as string)) else raw end as t from {lines} l)"
 _RUNNING = f"(select doc_id, band, t from {_MARGINS} m where page <= 80 and length(t) <= 120 and band is not null group by all having count(*) >= 2)"
 _DENSE = "(select * exclude (ord), ord as gord, cast(row_number() over (partition by doc_id, chapter_id order by ord) - 1 as int) as ord from {paragraphs} p)"
-_TERMINAL = "case when regexp_matches(lower(x), '\\b(e\\.g|i\\.e|etc|vs|al|fig|ref|approx|dept|no|vol|sec|ch|dr|mr|mrs|ms|prof|inc|ltd|co|corp)\\.$') then false when regexp_matches(x, '([:：—–]|--)$') then true else regexp_matches(x, '[.!?。！？][\"''\\)\\]}”’]*$') end"
+_TERMINAL = "case when regexp_matches(lower(x), '(^|[^\\p{L}\\p{N}_])(e\\.g|i\\.e|etc|vs|al|fig|ref|approx|dept|no|vol|sec|ch|dr|mr|mrs|ms|prof|inc|ltd|co|corp)\\.$') then false when regexp_matches(x, '([:：—–]|--)$') then true else regexp_matches(x, '[.!?。！？][\"''\\)\\]}”’]*$') end"
 _TERM = "(rtrim(s, '\"''”’»›」』)）]】}｝〉》>') <> '' and contains('.。!！?？…｡﹗﹖', right(rtrim(s, '\"''”’»›」』)）]】}｝〉》>'), 1)))"
 _JOIN = f"case when s = '' then t when t = '' then s when {_TERM} then concat(s, chr(10), t) when not regexp_matches(s, '[\\p{{P}}\\p{{S}}]$') then concat(s, ' ', t) else concat(s, t) end"
 _KIND = "case when not (line like '#%') then case when regexp_matches(line, '^- ') then 'bullet' when regexp_matches(line, '^\\d\\d?\\. ') then 'decimal' when regexp_matches(line, '^2\\.\\d+ ') then 'decimal' when regexp_matches(line, '^\\(a\\) ') then 'alpha_paren' when regexp_matches(line, '^第') then 'other' else '' end else '' end"

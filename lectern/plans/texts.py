@@ -120,7 +120,7 @@ QUERIES = {f.__name__: f for f in (
 # Java's white-space classes as RE2 sees them, for the texts at hand
 _BARE = "regexp_replace(regexp_replace({x}, '^[\\s*_#`-]+', ''), '[\\s*_#`-]+$', '')"
 _NUM = "一二三四五六七八九十"
-_STRICT = rf"(?i)^(chapter|section|part|unit)\s+[\dIVX{_NUM}]+|^[I|V|X]+\.\s+[A-Z]|^第[{_NUM}\d]+[章节回篇部]|^(abstract|introduction|background|related\s+work|methodology|methods|experiments?|results|discussion|conclusion|references|appendix)\b"
+_STRICT = rf"(?i)^(chapter|section|part|unit)\s+[\dIVX{_NUM}]+|^[I|V|X]+\.\s+[A-Z]|^第[{_NUM}\d]+[章节回篇部]|^(abstract|introduction|background|related\s+work|methodology|methods|experiments?|results|discussion|conclusion|references|appendix)([^\p{{L}}\p{{N}}_]|$)"
 _OUTLINED = rf"{_STRICT}|^\d+(\.\d+)*\s+[A-Za-z一-龥]|^[{_NUM}]+[、.]\s*"
 _BULLET = rf"^([•●○▪▫*-]|\(?\d+[.)]|\(?[a-zA-Z][.)]|[ivxIVX]+[.)]|（?[{_NUM}\d]+[）)]|[{_NUM}]+[、.])"
 _CAPTION = r"(?i)^(Figure|Fig\.|Table|Listing|Chart|Plate|图|表)\s*\d+"
@@ -163,7 +163,7 @@ ORACLES = {k: D.duck(v) for k, v in {
         case when m = '' then '' when regexp_matches(m, '^[A-Za-z][.)]') then 'alpha' when regexp_matches(m, '^\\(?[A-Za-z][.)]') then 'alpha_paren' when regexp_matches(m, '^\\d+(\\.\\d+)+') then 'outline_decimal'
           when regexp_matches(m, '^\\(?\\d+[.)]') then 'decimal' when regexp_matches(m, '^[•●○▪▫*-]') then 'bullet' when regexp_matches(m, '^[{_NUM}]+[、.]|^（?[{_NUM}]+[）)]') then 'zh_num' when regexp_matches(m, '^[ivxIVX]+[.)]') then 'roman' else 'other' end as list_type
         from (select *, trim(regexp_extract(s, '{_OUTLINE}')) as m from (select *, {_STRIP} as s from {{decorated}} d) e) t""",
-    "sentence_ends": f"""select doc_id, ord, case when t = '' then true when regexp_matches(lower(t), '\\b(e\\.g|i\\.e|etc|vs|al|fig|ref|approx|dept|no|vol|sec|ch|dr|mr|mrs|ms|prof|inc|ltd|co|corp)\\.$') then false
+    "sentence_ends": f"""select doc_id, ord, case when t = '' then true when regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])(e\\.g|i\\.e|etc|vs|al|fig|ref|approx|dept|no|vol|sec|ch|dr|mr|mrs|ms|prof|inc|ltd|co|corp)\\.$') then false
           when regexp_matches(t, '([:：—–]|--)$') then true else regexp_matches(t, '[.!?。！？]["''\\)\\]}}”’]*$') end as terminal,
         {_TERM("core")} as terminated, regexp_matches(r, '[\\p{{P}}\\p{{S}}]$') as punctuated,
         length(x) - length(replace(x, '(', '')) > length(x) - length(replace(x, ')', '')) or length(x) - length(replace(x, '[', '')) > length(x) - length(replace(x, ']', '')) as open
