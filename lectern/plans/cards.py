@@ -78,18 +78,18 @@ def card_clear_errors(spark, sf_dir):
 
 
 def cards_moved_chapter(spark, sf_dir):
-    moved = D.read(spark, sf_dir, "labels").where("quality = 1 and doc_id < 11").select(F.concat(F.lit("p_"), F.col("doc_id").cast("string")).alias("paragraph_id"), F.lit("ch_new").alias("new_chapter"))
+    moved = D.read(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("p_"), F.col("doc_id").cast("string")).alias("paragraph_id"), F.lit("ch_new").alias("new_chapter"))
     return C.move_chapter(cards(spark, sf_dir), moved).select("doc_id", "id", "paragraph_id", "chapter_id")
 
 
 def cards_deleted(spark, sf_dir):
-    keys = D.read(spark, sf_dir, "labels").where("toxic = 0 and doc_id < 11").select(F.concat(F.lit("p_"), F.col("doc_id").cast("string")).alias("paragraph_id")).distinct()
+    keys = D.read(spark, sf_dir, "labels").where("toxic = 0").select(F.concat(F.lit("p_"), F.col("doc_id").cast("string")).alias("paragraph_id")).distinct()
     left, gone = C.delete_cards(cards(spark, sf_dir), keys, "paragraph_id")
     return left.groupBy("doc_id").agg(F.count("*").alias("left")).join(gone, "doc_id", "full").select("doc_id", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
 
 
 def library_cards(spark, sf_dir):
-    docs = D.read(spark, sf_dir, "documents").where("doc_id < 5").select("doc_id", F.concat(F.lit("doc "), F.col("source")).alias("filename"))
+    docs = D.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("source")).alias("filename"))
     return C.library(cards(spark, sf_dir), docs).select("doc_id", "doc_title", "id", F.col("stats.state").alias("state"))
 
 
@@ -97,7 +97,7 @@ def _text_cards(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents").join(D.read(spark, sf_dir, "labels"), "doc_id")
     return d.select(
         F.col("doc_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "cloze").otherwise("qa").alias("type"), F.concat(F.lit("ch_"), (F.col("doc_id") % 4).cast("string")).alias("chapter_id"),
-        F.left("text", F.lit(60)).alias("front"), F.substring("text", 61, 100).alias("back"), F.array("lang", "source").alias("tags"),
+        F.left("text", F.lit(60)).alias("front"), F.substring(F.col("text"), F.lit(61), F.length("text")).alias("back"), F.array("lang", "source").alias("tags"),
     )
 
 
@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (
     sm2_replay, card_stats, card_chapter_distribution, card_filter_due, card_filter_mistakes, card_filter_learning, card_clear_errors, cards_moved_chapter, cards_deleted, library_cards, card_filter_keyword, card_create,
 )}
 
-_TEXT = "(select d.doc_id, case when d.doc_id % 3 = 0 then 'cloze' else 'qa' end as type, concat('ch_', cast(d.doc_id % 4 as string)) as chapter_id, left(text, 60) as front, substr(text, 61, 100) as back, lang, source from documents d join labels l on d.doc_id = l.doc_id)"
+_TEXT = "(select d.doc_id, case when d.doc_id % 3 = 0 then 'cloze' else 'qa' end as type, concat('ch_', cast(d.doc_id % 4 as string)) as chapter_id, left(text, 60) as front, substr(text, 61) as back, lang, source from documents d join labels l on d.doc_id = l.doc_id)"
 
 ORACLES = {k: D.duck(v) for k, v in {
     "sm2_replay": f"select * from {_SM2} t",
@@ -133,8 +133,8 @@ ORACLES = {k: D.duck(v) for k, v in {
     "card_filter_learning": f"select doc_id, id, 'learning' as mode from {_CARDS} t where state in ('new', 'learning') union all select doc_id, id, 'mastered' from {_CARDS} t where state = 'mastered'",
     "card_clear_errors": f"select doc_id, count(*) filter (is_mistake or lapses > 0) as cleared, cast(0 as bigint) as lapses_left from {_CARDS} t group by doc_id",
     "cards_moved_chapter": f"""select c.doc_id, c.id, c.paragraph_id, case when m.p is not null then 'ch_new' else c.chapter_id end as chapter_id from {_CARDS} c
-        left join (select distinct concat('p_', cast(doc_id as string)) as p from labels where quality = 1 and doc_id < 11) m on m.p = c.paragraph_id""",
-    "cards_deleted": f"""select doc_id, count(*) filter (not gone) as left, count(*) filter (gone) as deleted from (select doc_id, paragraph_id in (select concat('p_', cast(doc_id as string)) from labels where toxic = 0 and doc_id < 11) as gone from {_CARDS} c) t group by doc_id""",
+        left join (select distinct concat('p_', cast(doc_id as string)) as p from labels where quality = 1) m on m.p = c.paragraph_id""",
+    "cards_deleted": f"""select doc_id, count(*) filter (not gone) as left, count(*) filter (gone) as deleted from (select doc_id, paragraph_id in (select concat('p_', cast(doc_id as string)) from labels where toxic = 0) as gone from {_CARDS} c) t group by doc_id""",
     "library_cards": f"select c.doc_id, concat('doc ', d.source) as doc_title, c.id, c.state from {_CARDS} c join documents d on c.doc_id = d.doc_id",
     "card_filter_keyword": f"""select doc_id, front from {_TEXT} t where type = 'qa' and chapter_id = 'ch_1' and (contains(lower(front), 'the') or contains(lower(back), 'the') or contains(lower(concat(lang, ' ', source)), 'the'))
         union all select doc_id, front from {_TEXT} t where contains(lower(front), 'src7') or contains(lower(back), 'src7') or contains(lower(concat(lang, ' ', source)), 'src7')""",

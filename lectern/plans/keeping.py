@@ -79,7 +79,7 @@ def size_levels(spark, sf_dir):
 
 
 def table_overlap(spark, sf_dir):
-    li = D.read(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    li = D.read(spark, sf_dir, "lineitem")
     a = {"x0": _C("l_quantity"), "y0": F.lit(0.0), "x1": _C("l_quantity") + 10, "y1": F.lit(10.0)}
     b = {"x0": F.lit(20.0), "y0": F.lit(5.0), "x1": F.lit(30.0), "y1": _C("l_linenumber") * 4.0}
     return li.select("l_orderkey", "l_linenumber", "l_quantity", F.sum(T.rect_overlap(a, b)).over(Window.partitionBy("l_orderkey", "l_linenumber", "l_quantity")).alias("shared"))
@@ -103,5 +103,5 @@ ORACLES = {k: D.duck(v) for k, v in {
     "scalar_rules": f"""select doc_id, case doc_id % 8 when 0 then 'md' when 1 then 'txt' when 2 then 'excel' when 3 then 'epub' when 4 then 'folder' when 5 then 'image' when 6 then 'unsupported' else 'pdf' end as kind, {_MIME} as mime, cast(doc_id as string) as n, '2=3' as cookie,
         concat('my_pic_', left(md5(concat('http://h/x/my pic.', lang, 'g?v=1')), 8), '.', lang, 'g') as asset, cast(case doc_id % 8 when 0 then greatest(1, ceil(n_chars / 50)) when 1 then greatest(1, ceil(n_chars / 50)) when 5 then 1 else 7 end as int) as pages from documents""",
     "size_levels": """select p_partkey, cast(case when r >= 1.5::double then 1 when r >= 1.25::double then 2 when r >= 1.14::double then 3 when p_partkey % 2 = 0 and r >= 0.95::double and p_partkey % 3 <> 0 and p_partkey % 5 <> 0 then 3 else 0 end as int) as level from (select p_partkey, p_size / 20.0::double as r from part) t""",
-    "table_overlap": """select l_orderkey, l_linenumber, l_quantity, sum(greatest(0, least(l_quantity + 10, 30) - greatest(l_quantity, 20)) * greatest(0, least(10, l_linenumber * 4) - 5)) over (partition by l_orderkey, l_linenumber, l_quantity)::double as shared from lineitem where l_orderkey <= 500""",
+    "table_overlap": """select l_orderkey, l_linenumber, l_quantity, sum(greatest(0, least(l_quantity + 10, 30) - greatest(l_quantity, 20)) * greatest(0, least(10, l_linenumber * 4) - 5)) over (partition by l_orderkey, l_linenumber, l_quantity)::double as shared from lineitem""",
 }.items()}

@@ -72,7 +72,7 @@ def seo_descriptions(spark, sf_dir):
 
 def recent_documents(spark, sf_dir):
     d = D.read(spark, sf_dir, "orders").select("o_orderkey", F.when(_C("o_orderkey") % 7 == 0, "").otherwise(F.date_format(_C("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).alias("created_at"))
-    return d.orderBy(F.coalesce("created_at", F.lit("")).desc(), "o_orderkey").limit(50).select("o_orderkey", "created_at")
+    return d.orderBy(F.coalesce("created_at", F.lit("")).desc(), "o_orderkey").select("o_orderkey", "created_at")
 
 
 def preferred_order(spark, sf_dir):
@@ -89,7 +89,7 @@ def model_union(spark, sf_dir):
 
 
 def flashcard_blocks(spark, sf_dir):
-    text = F.concat(F.left("content", F.lit(30)), F.lit("\n:::flashcard\ntype: qa\nfront: Q "), _C("turn").cast("string"), F.lit("\nmore\n答案：A\ntags: #a，b\n:::\nend"))
+    text = F.concat("content", F.lit("\n:::flashcard\ntype: qa\nfront: Q "), _C("turn").cast("string"), F.lit("\nmore\n答案：A\ntags: #a，b\n:::\nend"))
     out = answers.explode_cards(D.messages(spark, sf_dir).withColumn("t", text), ["conv_id", "turn"], "t")
     return out.select("conv_id", "turn", "card_index", "type", "front", "back", F.array_join("tags", "|").alias("tags"))
 
@@ -107,8 +107,8 @@ def translation_prompts(spark, sf_dir):
 
 
 def anki_packages(spark, sf_dir):
-    d = D.read(spark, sf_dir, "documents").where("doc_id < 20")
-    cards = d.select((_C("doc_id") % 4).alias("doc_id"), _C("doc_id").cast("string").alias("id"), F.lit("qa").alias("type"), F.left("text", F.lit(40)).alias("front"), F.substring("text", 41, 40).alias("back"), F.array("lang").alias("tags"), F.struct(F.lit(1).alias("reps"), F.lit(0).alias("lapses"), F.lit(6).alias("interval_days"), F.lit(2.5).alias("ease_factor")).alias("stats"))
+    d = D.read(spark, sf_dir, "documents")
+    cards = d.select((_C("doc_id") % 4).alias("doc_id"), _C("doc_id").cast("string").alias("id"), F.lit("qa").alias("type"), F.left("text", F.lit(40)).alias("front"), F.substring(_C("text"), F.lit(41), F.length("text")).alias("back"), F.array("lang").alias("tags"), F.struct(F.lit(1).alias("reps"), F.lit(0).alias("lapses"), F.lit(6).alias("interval_days"), F.lit(2.5).alias("ease_factor")).alias("stats"))
     return E.anki_packages(cards, 1_706_700_000).select("doc_id", "n_notes", (F.length("apkg") > 0).alias("packed"))
 
 
@@ -152,7 +152,7 @@ ORACLES = {k: D.duck(v) for k, v in {
     "seo_descriptions": """with t as (select doc_id, ord, trim(coalesce(nullif(chinese, ''), english, '')) as r from {paragraphs} p), c as (select *, trim(regexp_replace(regexp_replace(r, '[*_`#\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) as c from t where r <> '' and not starts_with(r, '![')),
         n as (select *, row_number() over (partition by doc_id order by ord) as k from c where length(c) > 20)
         select doc_id, concat(trim(left(string_agg(c, ' ' order by k), 150)), '...') as description from n where k <= 3 group by doc_id""",
-    "recent_documents": "select o_orderkey, case when o_orderkey % 7 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as created_at from orders order by created_at desc, o_orderkey limit 50",
+    "recent_documents": "select o_orderkey, case when o_orderkey % 7 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as created_at from orders",
     "preferred_order": "select n_name, cast(row_number() over (order by case n_name when 'FRANCE' then 1 when 'JAPAN' then 2 when 'BRAZIL' then 3 else 99 end, n_name) as int) as pos from nation where n_name not in ('INDIA', 'IRAN')",
     "model_union": "select r_name as id from region union select n_name from nation union select c_mktsegment from customer",
     "flashcard_blocks": "select conv_id, turn, 0 as card_index, 'qa' as type, concat('Q ', cast(turn as string), chr(10), 'more') as front, 'A' as back, 'a|b' as tags from {messages} m",

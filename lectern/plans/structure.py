@@ -43,7 +43,7 @@ def list_groups(spark, sf_dir):
 
 
 def _layout(spark, sf_dir):
-    li = D.read(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    li = D.read(spark, sf_dir, "lineitem")
     y = _C("l_linenumber") * 20 + _C("l_quantity") % 13
     return li.select("l_orderkey", "l_linenumber", _C("l_extendedprice").alias("price"), y.alias("y0"), (y + 10).alias("y1"))
 
@@ -57,7 +57,7 @@ def line_pitch(spark, sf_dir):
 
 
 def body_font_size(spark, sf_dir):
-    li = D.read(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    li = D.read(spark, sf_dir, "lineitem")
     spans = li.select("l_orderkey", _C("l_linenumber").alias("page"), (_C("l_tax") * 100 + 8).alias("size"), F.when(_C("l_returnflag") == "R", 16).otherwise(0).alias("flags"), F.expr("repeat('x', cast(l_quantity as int))").alias("text"), _C("l_partkey").alias("ord"))
     return S.body_font_size(spans, "l_orderkey")
 
@@ -77,7 +77,7 @@ def without_margins(spark, sf_dir):
 
 
 def outside_tables(spark, sf_dir):
-    li = D.read(spark, sf_dir, "lineitem").where("l_orderkey <= 1000")
+    li = D.read(spark, sf_dir, "lineitem")
     b = li.select("l_orderkey", "l_linenumber", "l_partkey", (_C("l_quantity") * 1.0).alias("x0"), (_C("l_linenumber") * 10.0).alias("y0"), (_C("l_quantity") + 20.0).alias("x1"), (_C("l_linenumber") * 10.0 + 8).alias("y1"))
     t = D.read(spark, sf_dir, "orders").select(_C("o_orderkey").alias("l_orderkey"), F.lit(10.0).alias("x0"), F.lit(15.0).alias("y0"), F.lit(40.0).alias("x1"), F.lit(45.0).alias("y1"))
     return S.outside_tables(b, t, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
@@ -102,7 +102,7 @@ def page_buckets(spark, sf_dir):
 
 
 def merge_short_blocks(spark, sf_dir):
-    rows = D.lines(spark, sf_dir).select("doc_id", "ord", F.floor(_C("ord") / 6).cast("int").alias("page"), F.left("raw", F.lit(90)).alias("t"))
+    rows = D.lines(spark, sf_dir).select("doc_id", "ord", F.floor(_C("ord") / 6).cast("int").alias("page"), _C("raw").alias("t"))
     return S.merge_short_blocks(rows, "doc_id", "ord", "page", "t")
 
 
@@ -194,7 +194,7 @@ QUERIES = {f.__name__: f for f in (
     edit_paragraphs, rename_chapters, markdown_chapters, text_chapters,
 )}
 
-_LAYOUT = "(select *, y0 - lag(y1) over w as gap, y0 - lag(y0) over w as dy from (select l_orderkey, l_linenumber, l_extendedprice as price, l_linenumber * 20 + l_quantity % 13 as y0, l_linenumber * 20 + l_quantity % 13 + 10 as y1 from lineitem where l_orderkey <= 2000) a window w as (partition by l_orderkey order by l_linenumber, price))"
+_LAYOUT = "(select *, y0 - lag(y1) over w as gap, y0 - lag(y0) over w as dy from (select l_orderkey, l_linenumber, l_extendedprice as price, l_linenumber * 20 + l_quantity % 13 as y0, l_linenumber * 20 + l_quantity % 13 + 10 as y1 from lineitem) a window w as (partition by l_orderkey order by l_linenumber, price))"
 _MARGINS = "(select doc_id, cast(floor(ord / 5) as int) as page, ord, case ord % 5 when 0 then 'top' when 4 then 'bottom' end as band, case when ord % 5 = 0 and doc_id % 2 = 0 then 'Running title' when ord % 10 = 4 then concat('Page ', cast(ord as string)) else raw end as t from {lines} l)"
 _RUNNING = f"(select doc_id, band, t from {_MARGINS} m where page <= 80 and length(t) <= 120 and band is not null group by all having count(*) >= 2)"
 _DENSE = "(select * exclude (ord), ord as gord, cast(row_number() over (partition by doc_id, chapter_id order by ord) - 1 as int) as ord from {paragraphs} p)"
@@ -221,10 +221,10 @@ ORACLES = {k: D.duck(v) for k, v in {
         select doc_id, ord, cast(sum(st) over (partition by doc_id order by ord) as bigint) as list_group from s""",
     "line_gap_groups": f"select l_orderkey, l_linenumber, price, cast(sum(case when gap is null or gap > 1.4::double * 7 then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, price) as bigint) as para from {_LAYOUT} t",
     "line_pitch": f"select l_orderkey, coalesce(median(case when dy > 8 and dy < 80 then dy end), 1.35::double * 12) as pitch from {_LAYOUT} t group by l_orderkey",
-    "body_font_size": """select l_orderkey, arg_max(size, (n, -f)) as body_size from (select l_orderkey, round(l_tax * 100 + 8, 1) as size, sum(cast(l_quantity as int)) as n, min(l_partkey) as f from lineitem where l_orderkey <= 2000 and l_returnflag <> 'R' and l_linenumber <= 25 and cast(l_quantity as int) > 0 group by 1, 2) t group by 1""",
+    "body_font_size": """select l_orderkey, arg_max(size, (n, -f)) as body_size from (select l_orderkey, round(l_tax * 100 + 8, 1) as size, sum(cast(l_quantity as int)) as n, min(l_partkey) as f from lineitem where l_returnflag <> 'R' and l_linenumber <= 25 and cast(l_quantity as int) > 0 group by 1, 2) t group by 1""",
     "running_headers": f"select * from {_RUNNING} t",
     "without_margins": f"select m.doc_id, m.ord from {_MARGINS} m left join {_RUNNING} r on m.doc_id = r.doc_id and m.band = r.band and m.t = r.t where r.t is null and (m.band is null or not regexp_matches(m.t, '(?i)^\\s*([-–—.]*\\s*\\d+\\s*[-–—.]*|page\\s+\\d+(\\s+of\\s+\\d+)?|\\d+\\s*/\\s*\\d+|第\\s*\\d+\\s*页|[ivxlc]+)\\s*$'))",
-    "outside_tables": """select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey <= 1000 and not (l_orderkey in (select o_orderkey from orders) and
+    "outside_tables": """select l_orderkey, l_linenumber, l_partkey from lineitem where not (l_orderkey in (select o_orderkey from orders) and
         greatest(0, least(l_quantity + 20, 40) - greatest(l_quantity, 10)) * greatest(0, least(l_linenumber * 10 + 8, 45) - greatest(l_linenumber * 10, 15)) > 0.6::double * 20 * 8)""",
     "toc_page_ranges": """with p as (select doc_id, max(ord) + 1 as pages from {lines} l group by 1), t as (select l.doc_id, ord + 1 as start, greatest(ord + 1, coalesce(lead(ord + 1) over (partition by l.doc_id order by ord) - 1, pages)) as end_page from {lines} l join p on l.doc_id = p.doc_id where ord % 4 = 0)
         select l.doc_id, l.ord + 1 as page, t.start, t.end_page from {lines} l join t on l.doc_id = t.doc_id and l.ord + 1 between t.start and t.end_page""",

@@ -30,8 +30,9 @@ def sentence_ends(spark, sf_dir):
 
 def paragraph_joins(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents")
-    a = F.concat(F.left("text", F.lit(40)), F.element_at(F.array(*map(F.lit, ("", ".  ", ", ", '.")', "\n"))), (_C("doc_id") % 5 + 1).cast("int")))
-    return d.select("doc_id", T.joined(a, F.substring("text", 41, 30)).alias("joined"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    a = F.concat(F.left("text", half), F.element_at(F.array(*map(F.lit, ("", ".  ", ", ", '.")', "\n"))), (_C("doc_id") % 5 + 1).cast("int")))
+    return d.select("doc_id", T.joined(a, F.substring(_C("text"), half + 1, F.length("text"))).alias("joined"))
 
 
 def language_ratio(spark, sf_dir):
@@ -45,7 +46,7 @@ def majority_language(spark, sf_dir):
 
 def repair_lines(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents")
-    return d.select("doc_id", T.repaired(F.regexp_replace(F.regexp_replace(F.left("text", F.lit(600)), "th ", "th-\n"), "an ", "an \n\n  ")).alias("repaired"))
+    return d.select("doc_id", T.repaired(F.regexp_replace(F.regexp_replace("text", "th ", "th-\n"), "an ", "an \n\n  ")).alias("repaired"))
 
 
 def seo_text(spark, sf_dir):
@@ -60,7 +61,7 @@ def natural_sort(spark, sf_dir):
 
 
 def page_ranges(spark, sf_dir):
-    o = D.read(spark, sf_dir, "orders").where("o_orderkey <= 600")
+    o = D.read(spark, sf_dir, "orders")
     k = _C("o_orderkey")
     spec = F.when(k % 6 == 0, "all").when(k % 6 == 1, F.concat((k % 9).cast("string"), F.lit("-"), (k % 14).cast("string"), F.lit(", 3"))).when(k % 6 == 2, "x, 99-").when(k % 6 == 3, F.concat(F.lit("5-2,"), (k % 30).cast("string"))).when(k % 6 == 4, "").otherwise("1,1,2-3,,")
     return o.select("o_orderkey", F.array_join(T.page_numbers(spec, (k % 12).cast("int")).cast("array<string>"), ",").alias("pages"))
@@ -83,14 +84,14 @@ def settings_merge(spark, sf_dir):
 
 def anki_notes(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents")
-    front, back = F.left("text", F.lit(50)), F.concat(F.lit("a<b & c\n\n"), F.substring("text", 51, 60))
+    front, back = F.left("text", F.lit(50)), F.concat(F.lit("a<b & c\n\n"), F.substring(_C("text"), F.lit(51), F.length("text")))
     return d.select("doc_id", T.anki_html(back).alias("back"), F.concat_ws("\u001f", front, T.anki_html(back)).alias("fields"), T.anki_checksum(front).alias("checksum"), T.anki_guid(front).alias("guid"))
 
 
 def cloze_numbers(spark, sf_dir):
-    x = F.regexp_replace(F.left("text", F.lit(200)), r"\b([a-z]{5,6})\b", "{{$1}}")
+    x = F.regexp_replace("text", r"\b([a-z]{5,6})\b", "{{$1}}")
     x = F.when(_C("doc_id") % 7 == 0, F.concat(F.lit("{{c1::done}} "), x)).otherwise(x)
-    return D.read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.length(T.numbered_cloze(x)).alias("n"), T.numbered_cloze(x).contains("{{c2::").alias("two"), F.left(T.numbered_cloze(x), F.lit(12)).alias("head"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", F.length(T.numbered_cloze(x)).alias("n"), T.numbered_cloze(x).contains("{{c2::").alias("two"), F.left(T.numbered_cloze(x), F.lit(12)).alias("head"))
 
 
 def heading_similarity(spark, sf_dir):
@@ -147,7 +148,7 @@ _RS = "regexp_replace(x, '\\s+$', '')"
 _CORE = f"rtrim({_RS}, '\"''”’»›」』)）]】}}｝〉》>')"
 _TERM = lambda core: f"({core} <> '' and (ends_with({core}, '...') or contains('.。!！?？…｡﹗﹖', right({core}, 1))))"
 _HTML = lambda x: f"replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g'), '\\*(.+?)\\*', '<em>\\1</em>', 'g'), '`(.+?)`', '<code>\\1</code>', 'g'), chr(10), '<br>')"
-_PARTS = "replace(replace(replace(concat('a<b & c', chr(10), chr(10), substr(text, 51, 60)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PARTS = "replace(replace(replace(concat('a<b & c', chr(10), chr(10), substr(text, 51)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _ANKI = f"array_to_string([concat('<p>', replace(p, chr(10), '<br>'), '</p>') for p in string_split({_PARTS}, concat(chr(10), chr(10))) if trim(replace(p, chr(10), '')) <> ''], '')"
 _GUID = "concat(" + ", ".join(f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', cast(concat('0x', substr(sha256(left(text, 50)), {2 * i + 1}, 2)) as int) % 62 + 1, 1)" for i in range(10)) + ")"
 _SPEC = "case o_orderkey % 6 when 0 then 'all' when 1 then concat(cast(o_orderkey % 9 as string), '-', cast(o_orderkey % 14 as string), ', 3') when 2 then 'x, 99-' when 3 then concat('5-2,', cast(o_orderkey % 30 as string)) when 4 then '' else '1,1,2-3,,' end"
@@ -169,10 +170,10 @@ ORACLES = {k: D.duck(v) for k, v in {
         length(x) - length(replace(x, '(', '')) > length(x) - length(replace(x, ')', '')) or length(x) - length(replace(x, '[', '')) > length(x) - length(replace(x, ']', '')) as open
         from (select *, {_TAIL} as t, {_RS} as r, {_CORE} as core from (select doc_id, ord, concat(raw, {_END}) as x from {{lines}} l) y) z""",
     "paragraph_joins": f"""select doc_id, case when s = '' then t when t = '' then s when {_TERM("core")} then concat(s, chr(10), t) when not regexp_matches(s, '[\\p{{P}}\\p{{S}}]$') then concat(s, ' ', t) else concat(s, t) end as joined
-        from (select doc_id, {_RS} as s, {_CORE} as core, regexp_replace(y, '^\\s+', '') as t from (select doc_id, concat(left(text, 40), case doc_id % 5 when 0 then '' when 1 then '.  ' when 2 then ', ' when 3 then '.")' else chr(10) end) as x, substr(text, 41, 30) as y from documents) d) e""",
+        from (select doc_id, {_RS} as s, {_CORE} as core, regexp_replace(y, '^\\s+', '') as t from (select doc_id, concat(left(text, cast(floor(length(text) / 2) as int)), case doc_id % 5 when 0 then '' when 1 then '.  ' when 2 then ', ' when 3 then '.")' else chr(10) end) as x, substr(text, cast(floor(length(text) / 2) as int) + 1) as y from documents) d) e""",
     "language_ratio": f"""select doc_id, ord, case when {_SOLID} = 0 then 0 else {_ZH}::double / {_SOLID} end as ratio, {_LANG} as lang, case when {_WORDS} < 2 then true else length(regexp_replace({_MARKED}, '[^一-龥]', '', 'g'))::double / {_WORDS} >= 0.35::double end as target from {{mixed}} m""",
     "majority_language": f"select doc_id, case when count(*) filter (lang = 'zh') * 2 > count(*) then 'zh' else 'en' end as lang from (select doc_id, {_LANG} as lang from {{mixed}} m) t group by doc_id",
-    "repair_lines": """with x as (select doc_id, replace(replace(left(text, 600), 'th ', concat('th-', chr(10))), 'an ', concat('an ', chr(10), chr(10), '  ')) as t from documents),
+    "repair_lines": """with x as (select doc_id, replace(replace(text, 'th ', concat('th-', chr(10))), 'an ', concat('an ', chr(10), chr(10), '  ')) as t from documents),
         p as (select doc_id, unnest(string_split(t, concat(chr(10), chr(10)))) as p, generate_subscripts(string_split(t, concat(chr(10), chr(10))), 1) as i from x),
         q as (select doc_id, i, array_to_string([trim(s, concat(' ', chr(9), chr(13))) for s in string_split(p, chr(10)) if trim(s, concat(' ', chr(9), chr(13))) <> ''], chr(10)) as p from p),
         r as (select doc_id, i, replace(replace(p, concat('-', chr(10)), ''), chr(10), ' ') as p from q)
@@ -180,7 +181,7 @@ ORACLES = {k: D.duck(v) for k, v in {
     "seo_text": f"""select doc_id, ord, trim(regexp_replace(regexp_replace(concat('**', line, '**  `x`', chr(9), '[y]'), '[*_`#\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) as clean, {_HTML("concat('**b** & `c` <', line, chr(10), '*i*')")} as html,
         regexp_replace(concat(line, '/?.md'), '[^\\p{{L}}\\p{{N}} ._-]', '', 'g') as file from {{decorated}} t""",
     "natural_sort": "select name, cast(row_number() over (order by lpad(a, 18, '0'), lpad(b, 18, '0')) as int) as pos from (select distinct concat('Sec', cast(p_partkey % 97 as string), '-', cast(p_size as string), '.md') as name, cast(p_partkey % 97 as string) as a, cast(p_size as string) as b from part) t",
-    "page_ranges": f"""with s as (select o_orderkey, {_SPEC} as spec, cast(o_orderkey % 12 as int) as n from orders where o_orderkey <= 600),
+    "page_ranges": f"""with s as (select o_orderkey, {_SPEC} as spec, cast(o_orderkey % 12 as int) as n from orders),
         p as (select o_orderkey, n, trim(unnest(string_split(spec, ','))) as part from s),
         q as (select o_orderkey, n, unnest(case when regexp_matches(part, '^\\d+\\s*-\\s*\\d+$') then range(greatest(1, least(a, b)), least(n, greatest(a, b)) + 1) when regexp_matches(part, '^\\d+$') and cast(part as int) between 1 and n then [cast(part as bigint)] else [] end) as page
           from (select *, try_cast(regexp_extract(part, '^(\\d+)\\s*-\\s*(\\d+)$', 1) as int) as a, try_cast(regexp_extract(part, '^(\\d+)\\s*-\\s*(\\d+)$', 2) as int) as b from p) t),
