@@ -77,3 +77,9 @@ def rewrite(paragraphs: DataFrame, mapping: DataFrame, doc: str = "doc_id") -> D
         new = F.aggregate(F.coalesce("_map", F.array().cast("array<struct<n:int,raw:string,path:string>>")), F.col(name), lambda a, m: F.replace(a, m["raw"], m["path"]))
         out = out.withColumn(name, new)
     return out.select(paragraphs.columns)
+
+
+def single_flight(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """The first request for each key: later ones for the same key share its work."""
+    w = Window.partitionBy(key).orderBy(order)
+    return requests.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

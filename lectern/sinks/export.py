@@ -224,8 +224,26 @@ def html_book(rendered: DataFrame, documents: DataFrame) -> DataFrame:
     return pages.join(documents.select("doc_id", "filename"), "doc_id").select("doc_id", F.concat(F.lit("<!doctype html><title>"), title, F.lit("</title><ol>"), F.col("_toc"), F.lit("</ol>"), F.col("_body")).alias("html"))
 
 
+def site_archives(books: DataFrame, payloads: DataFrame) -> DataFrame:
+    """doc_id and archive (binary) of static sites: the book as index.html, and its cards as flashcards.json."""
+    rows = books.select("doc_id", "html").join(payloads.select("doc_id", "payload"), "doc_id", "left")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            packed = [_archive([("index.html", h.encode()), ("flashcards.json", (c or "[]").encode())]) for h, c in zip(pdf["html"], pdf["payload"], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "archive": packed})
+
+    return rows.mapInPandas(run, f"doc_id {kind}, archive binary")
+
+
+def patched_manifest(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Library entries with those of new or changed documents in place of their old ones."""
+    return entries.join(new.select("doc_id"), "doc_id", "left_anti").select(entries.columns).unionByName(new.select(entries.columns))
+
+
 #: Formats of export(): what each gives for every document.
-FORMATS = ("markdown", "raw_markdown", "markdown_zip", "anki", "html", "flashcards_json")
+FORMATS = ("markdown", "raw_markdown", "markdown_zip", "anki", "html", "flashcards_json", "site_zip")
 
 
 def export(fmt: str, paragraphs: DataFrame, chapters: DataFrame, documents: DataFrame, cards: DataFrame, now: int = 0) -> DataFrame:
@@ -239,6 +257,8 @@ def export(fmt: str, paragraphs: DataFrame, chapters: DataFrame, documents: Data
     rendered = render_chapters(paragraphs, chapters)
     if fmt == "html":
         return html_book(rendered, documents)
+    if fmt == "site_zip":
+        return site_archives(html_book(rendered, documents), card_payload(cards))
     whole = full_markdown(rendered)
     if fmt == "markdown_zip":
         return markdown_archives(whole)

@@ -301,6 +301,37 @@ def read_folders(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, chapter_no int, title string, entry string, markdown string")
 
 
+def archive_entries(files: DataFrame) -> DataFrame:
+    """path and entry: the files in archives, whatever they are; with assets.local_files, where a name stood in the source."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
+                    out += [(p, n) for n in z.namelist() if not n.endswith("/")]
+            yield pd.DataFrame(out, columns=["path", "entry"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, entry string")
+
+
+def scanned_paragraphs(documents: DataFrame, toc: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """One paragraph for each page of scanned documents (doc, total_pages), in the chapter of the top TOC entry (doc, level, title, page)
+    whose range holds it; pages before the first entry, and documents without any, are in chapter 0."""
+    from pyspark.sql import Window
+
+    top = toc.join(toc.groupBy(doc).agg(F.min("level").alias("_top")), doc).where(F.col("level") == F.col("_top"))
+    marked = top.join(documents.select(doc, "total_pages"), doc).select(doc, "title", F.col("page").alias("start"), "total_pages")
+    ranges = S.toc_ranges(marked, doc, "start", "total_pages").withColumn("chapter_no", F.row_number().over(Window.partitionBy(doc).orderBy("start")))
+    r = ranges.select(F.col(doc).alias("_d"), "title", "start", "end_page", "chapter_no")
+    pages = documents.select(doc, F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page"))
+    out = pages.join(r, (F.col(doc) == F.col("_d")) & F.col("page").between(F.col("start"), F.col("end_page")), "left")
+    return out.select(
+        doc, F.coalesce("chapter_no", F.lit(0)).alias("chapter_no"), F.coalesce("title", F.lit("Introduction")).alias("title"), "page", F.lit("scanned_page").alias("type"),
+        F.format_string("p_%03d_%04d", F.coalesce("chapter_no", F.lit(0)), "page").alias("id"), F.concat(F.lit("page_"), F.lpad(F.col("page").cast("string"), 4, "0"), F.lit(".jpg")).alias("image_url"),
+    )
+
+
 # --- workbooks ---
 
 MOST_ROWS, MOST_COLUMNS = 2000, 100

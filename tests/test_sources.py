@@ -96,6 +96,19 @@ def test_workbook(spark):
     assert [documents.cell_text(v) for v in (1234567.5, 3.0, None, False, " x ")] == ["1.23457e+06", "3", "", "FALSE", "x"]
 
 
+def test_archive_entries_and_scanned_pages(spark):
+    files = spark.createDataFrame([("z", bytearray(zipped({"a/": "", "a/X.png": "1", "b/x.png": "2"})))], "path string, content binary")
+    entries = documents.archive_entries(files)
+    assert sorted(r.entry for r in entries.collect()) == ["a/X.png", "b/x.png"]
+    assert assets.local_files(entries.select(F.col("entry").alias("path"))).first()[:] == ("x.png", "b/x.png")
+    docs = spark.createDataFrame([("d", 5), ("e", 1)], "doc_id string, total_pages int")
+    toc = spark.createDataFrame([("d", 1, "A", 2), ("d", 2, "sub", 3), ("d", 1, "B", 4)], "doc_id string, level int, title string, page int")
+    got = documents.scanned_paragraphs(docs, toc).orderBy("doc_id", "page").collect()
+    assert [(r.doc_id, r.chapter_no, r.title, r.id) for r in got] == [("d", 0, "Introduction", "p_000_0001"), ("d", 1, "A", "p_001_0002"), ("d", 1, "A", "p_001_0003"), ("d", 2, "B", "p_002_0004"), ("d", 2, "B", "p_002_0005"), ("e", 0, "Introduction", "p_000_0001")]
+    asks = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)], "k string, t int")
+    assert sorted((r.k, r.t) for r in assets.single_flight(asks, "k", "t").collect()) == [("a", 1), ("b", 5)]
+
+
 def test_web(spark):
     html = "<html><head><title>T - Site</title><script>if (a</p>) {}</script></head><body><nav><a href='/a/'>A</a><a href='b?x=1'> B  b </a><a href='#t'>no</a><a href='http://other/x'>O</a><a href='/a#z'>A again</a></nav><article><h1>Head¶</h1><p>one<p>two<ul><li>x<li>y</ul><table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td>2</td></tr></table><pre>code</pre><blockquote>q</blockquote></article></body></html>"
     pages = spark.createDataFrame([(1, "http://h.org/s/b", html)], "page_id int, url string, html string")
@@ -166,6 +179,10 @@ def test_exports(spark):
         assert z.read("document.md").decode() == md
     assert "F &amp; G" in export.export("html", paras, chapters, docs, cards).first().html
     assert json.loads(export.export("flashcards_json", paras, chapters, docs, cards).first().payload) == [{"id": "1", "front": "q"}]
+    with zipfile.ZipFile(io.BytesIO(export.export("site_zip", paras, chapters, docs, cards).first().archive)) as z:
+        assert z.namelist() == ["index.html", "flashcards.json"]
+    old = spark.createDataFrame([("d", 1), ("e", 2)], "doc_id string, n int")
+    assert sorted(r[:] for r in export.patched_manifest(old, spark.createDataFrame([("d", 9)], "doc_id string, n int")).collect()) == [("d", 9), ("e", 2)]
     images = spark.createDataFrame([("d", "a.png", bytearray(b"\1"))], "doc_id string, name string, content binary")
     assert "](data:image/png;base64,AQ==)" in export.inline_images(export.full_markdown(export.render_chapters(paras, chapters)), images).first().markdown
     with pytest.raises(ValueError):
