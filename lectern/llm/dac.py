@@ -12,7 +12,7 @@ Shards are rows (shard, documents, ids, payload) of a Parquet table in the share
 serves, tasks can be repeated and commits are whole. Shard numbers ascend with doc_id.
 
 Encoding uses the tokenizers library. White space parts words, and the word pieces of a word don't depend on its
-neighbours, so each worker keeps the ids of the words it has met (at most MEMO; then it forgets the older half).
+neighbours, so each worker keeps the ids of the words and pieces it has met (at most MEMO; then it forgets the older half).
 
 Defined cases: a null text counts as empty (the end id alone); null doc_ids come first; rows that repeat a doc_id are
 separate documents in the order of their texts' hashes; an empty table gives no shard; other columns are ignored.
@@ -21,7 +21,6 @@ separate documents in the order of their texts' hashes; an empty table gives no
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,13 +38,13 @@ BLOCK = 512
 END_ID = 1
 MEMO = 600_000
 #: Ids to a shard: the writer starts another within its partition beyond it.
-SHARD_IDS = 16_000_000
+SHARD_IDS = 4_000_000
 #: Documents to a partition of the writer.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 8_000
 _NULL = -(2**63)
 
-# Blanks that both Python and the tokenizer's pattern take as white space.
-_BLANK = re.compile(r"[ \t\n\r\f\v]+")
+# ASCII punctuation that may part a word from what surrounds it; an apostrophe may open a contraction.
+_PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 @lru_cache(maxsize=2)
@@ -57,32 +56,84 @@ def tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of whole texts as bytes (u16 pairs would do for most vocabularies; u32 serves all)."""
+    """Ids of whole texts as little-endian bytes, 16 bits each where the vocabulary fits.
+
+    A text falls into words at ASCII blanks, and a word into its core and the ASCII punctuation before and after it; no token spans
+    either kind of boundary, nor does normalisation. A memo holds the ids of words and pieces. New pieces of letters alone are encoded many at a
+    time, parted by spaces: each ends with its only word-end token; if the counts disagree, one by one.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
         self.coder, self.most = tokenizer(path), memo
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.dtype = "<u2" if max(vocabulary.values()) < 65_536 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if p.isalpha()]
+        rest = [p for p in pieces if not p.isalpha()]
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            ids = np.array(self.coder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw, begin = ids.tobytes(), 0
+                for p, end in zip(some, (cuts * ids.itemsize).tolist(), strict=True):
+                    out[p] = raw[begin:end]
+                    begin = end
+            else:
+                rest += some
+        for at in range(0, len(rest), 512):
+            some = rest[at : at + 512]
+            for p, e in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                out[p] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > self.most:
-            for w in list(self.memo)[: len(self.memo) // 2]:
-                del self.memo[w]
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            for w, e in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+    @staticmethod
+    def split(word: str) -> tuple[str, ...]:
+        """Pieces of a word."""
+        core = word if "<|" in word else word.strip(_PUNCTUATION)  # the vocabulary's own marks stay whole
+        if 0 < len(core) < len(word) and core[0].isalnum() and core[-1].isalnum():
+            at = word.index(core)
+            return word[:at], core, word[at + len(core) :]
+        return (word,)
 
     def __call__(self, text: str) -> bytes:
-        words = _BLANK.split(text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            own = dict.fromkeys(words)
-            self.learn([w for w in own if w not in memo])
-            if not all(w in memo for w in own):  # more distinct words than the memo holds
-                return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            return b"".join(map(memo.__getitem__, words))
+        for blank in "\n\t\r\f\v":
+            text = text.replace(blank, " ")
+        words, memo = text.split(" "), self.memo
+        found = list(map(memo.get, words))
+        if None not in found:
+            return b"".join(found)
+        parts = {w: self.split(w) for w, f in zip(words, found, strict=True) if f is None}
+        have, new = {}, {}
+        for own in parts.values():
+            for p in own:
+                if p in memo:
+                    have[p] = memo[p]
+                elif p.isascii() and (low := p.lower()) in memo:  # case doesn't count
+                    have[p] = memo[low]
+                else:
+                    new[p] = None
+        have |= self._encode(list(new))
+        whole = {w: b"".join(map(have.__getitem__, own)) for w, own in parts.items()}
+        if len(memo) + len(have) + len(whole) > self.most:
+            for p in list(memo)[: len(memo) // 2]:
+                del memo[p]
+            memo[""] = b""
+        if len(memo) + len(have) + len(whole) <= self.most:
+            memo.update(have)
+            memo.update(whole)
+        return b"".join([whole[w] if f is None else f for w, f in zip(words, found, strict=True)])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The worker's own encoder; its memo serves all tasks that the worker runs."""
+    return WordEncoder(path)
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -160,37 +211,42 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def width_of(path: str) -> str:
+    """How encoded() writes an id."""
+    return encoder(path).dtype
+
+
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit, with the end id)."""
+    """doc_id and ids (binary, little-endian, of width_of(path), with the end id)."""
     path = path or default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = WordEncoder(path)
+        coder = encoder(path)
+        end = np.array([end_id], coder.dtype).tobytes()
         for texts in batches:
             yield pd.Series([(coder(t) if t else b"") + end for t in texts], dtype=object)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col(text)).alias("ids"))
 
 
-def _shards(limit: int):
+def _shards(limit: int, dtype: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, width = TaskContext.get().partitionId(), 0, np.dtype(dtype).itemsize
         held: list[tuple[int, bytes]] = []
         size = 0
 
         def close() -> pd.DataFrame:
-            ids = [np.frombuffer(b, "<u4") for _, b in held]
+            ids = [np.frombuffer(b, dtype) for _, b in held]
             data = pack(np.array([d for d, _ in held], "<i8"), np.array([len(x) for x in ids]), np.concatenate(ids))
             return pd.DataFrame({"shard": [(part << 32) + number], "documents": [len(held)], "n_ids": [size], "payload": [data]})
 
         for pdf in batches:
             for doc_id, ids in zip(pdf["doc_id"], pdf["ids"], strict=True):
                 held.append((_NULL if pd.isna(doc_id) else int(doc_id), ids))
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= limit:
                     yield close()
                     held, size, number = [], 0, number + 1
@@ -202,11 +258,12 @@ def _shards(limit: int):
 
 def write_shards(docs: DataFrame, path: str | None = None, text: str = "text", end_id: int = END_ID, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes docs, writes the shards, and returns their table (shard, documents, n_ids, payload)."""
+    path = path or default_path()
     ids = written(encoded(docs, path, text, end_id), "dac-ids")
     n = max(1, -(-ids.count() // shard_docs))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
     dealt = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return written(dealt.mapInPandas(_shards(shard_ids), "shard long, documents long, n_ids long, payload binary"), "dac")
+    return written(dealt.mapInPandas(_shards(shard_ids, width_of(path)), "shard long, documents long, n_ids long, payload binary"), "dac")
 
 
 def read_digests(shards: DataFrame) -> DataFrame:

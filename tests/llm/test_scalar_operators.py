@@ -126,11 +126,17 @@ def test_dac_against_library(spark):
     assert [r.start for r in seen] == [0, *np.cumsum([r.n_tokens for r in seen])[:-1]]
 
 
-def test_word_encoder_with_small_memo():
-    coder = dac.WordEncoder(dac.default_path(), memo=8)
-    for _, text, *_ in rows():
-        if text:
-            assert np.frombuffer(coder(text), "<u4").tolist() == dac.tokenizer(dac.default_path()).encode(text, add_special_tokens=False).ids
+def test_word_encoder():
+    import duckdb
+
+    texts = [t for _, t, *_ in rows() if t]
+    texts += ["e\u0301. x\u0301", "a_b c'd. 'tis (don't) \"It's\"", "<|startoftext|>x.<|endoftext|>. <|x|>", "ΑΣ. Σ İx ½x² 3a.b4", "\xa0a\u2003b\x1cc\x85d", "...'' ,., -", "ﬁ. Å Å 한글. \u1112\u1161\u11ab"]
+    texts += [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    real = dac.tokenizer(dac.default_path())
+    for memo in (8, 300, dac.MEMO):
+        coder = dac.WordEncoder(dac.default_path(), memo=memo)
+        for text in texts if memo > 8 else texts[:60]:
+            assert np.frombuffer(coder(text), coder.dtype).tolist() == real.encode(text, add_special_tokens=False).ids, text
 
 
 def test_mixing_targets():
