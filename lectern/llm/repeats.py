@@ -41,8 +41,8 @@ from lectern.llm.common import join_few, written
 
 LENGTH = 400
 GRAM = 48
-#: Different contexts of one gram that a task compares.
-GROUP = 20_000
+#: Different contexts of one gram that a task compares (about 150 MB of text).
+GROUP = 200_000
 
 _RANDOM = np.random.default_rng(19_730_401)
 _TABLES = _RANDOM.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -231,14 +231,16 @@ def _compare(length: int):
 
 def _contexts(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = _Powers()
         for pdf in batches:
             out = []
             for text, want in zip(pdf["text"], pdf["want"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                for w in want:
-                    p = w["pos"]
-                    out.append((w["g"], w["c"], w["hot"], data[max(0, p - length + gram) : p][::-1], data[p : p + length]))
-            yield pd.DataFrame(out, columns=["g", "c", "hot", "left", "right"])
+                at, g, c = anchors(data, powers, length, gram)
+                for k in np.searchsorted(at, np.sort(want)):
+                    p = at[k]
+                    out.append((g[k], c[k], data[max(0, p - length + gram) : p][::-1], data[p : p + length]))
+            yield pd.DataFrame(out, columns=["g", "c", "left", "right"])
 
     return run
 
@@ -268,11 +270,16 @@ def _merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"cn": pdf["cn"], "spans": [[{"s": a, "e": b} for a, b in _merged(x)] for x in pdf["spans"]]})
+
+
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-            data, runs, at, kept = text.encode("utf-8", "surrogatepass"), _merged(spans), 0, []
+            data, runs, at, kept = text.encode("utf-8", "surrogatepass"), [(x["s"], x["e"]) for x in spans], 0, []
             for a, b in runs:
                 kept.append(data[at:a])
                 at = b
@@ -297,36 +304,52 @@ def _candidates(own: DataFrame, length: int, gram: int) -> tuple[DataFrame, Data
     return classes.drop("pos", "g", "c"), written(single.join(again, "g").select("cn", "n_bytes", "pos", "g", "c"), "repeat-candidates")
 
 
-def _wanted(own: DataFrame, classes: DataFrame, contexts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """g, c, hot, left and right of the contexts in grams that have several."""
-    several = contexts.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g", (F.col("_n") > group).alias("hot"))
-    want = contexts.join(several, "g").select("rep.cn", F.struct("rep.pos", "g", "c", "hot").alias("w")).groupBy("cn").agg(F.collect_list("w").alias("want"))
+def _wanted(own: DataFrame, classes: DataFrame, contexts: DataFrame, several: DataFrame, length: int, gram: int) -> DataFrame:
+    """g, c, left and right of the contexts in grams that have several."""
+    want = contexts.join(several, "g").select("rep.*").groupBy("cn").agg(F.collect_list("pos").alias("want"))
     want = written(want.join(classes, "cn").select("th", F.col("first_id").alias("_first"), "want"), "repeat-wanted")
     mine = join_few(own, want, "th", "inner").where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    return written(mine.select("text", "want").mapInPandas(_contexts(length, gram), "g long, c long, hot boolean, left binary, right binary"), "repeat-contexts")
+    return written(mine.select("text", "want").mapInPandas(_contexts(length, gram), "g long, c long, left binary, right binary"), "repeat-contexts")
+
+
+def _grouped(contexts: DataFrame, group: int) -> tuple[DataFrame, DataFrame | None]:
+    """Grams of several contexts, and those of more than `group` (None without any)."""
+    several = contexts.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1")
+    hot = written(several.where(F.col("_n") > group).select("g"), "repeat-hot")
+    return several.select("g"), None if hot.isEmpty() else hot
+
+
+def _by_strings(rows: DataFrame, length: int) -> DataFrame:
+    """g, c, l and r by counting all strings of the contexts, whatever their number."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.dropDuplicates(["g", "c"]).repartition(n, "g", "c")
+    strings = spread.mapInPandas(_strings(length), "g long, c long, w1 long, w2 long, o int")
+    twice = strings.groupBy("g", "w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").select("g", "w1", "w2")
+    return strings.join(twice, ["g", "w1", "w2"]).groupBy("g", "c").agg(F.max("o").alias("l"), (F.lit(length) - F.min("o")).alias("r"))
 
 
 def removal_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """th (16 bytes of a text's SHA-256), whole, spans: what is removed of each text that loses anything.
 
-    whole: all of it; else spans has the start and end (bytes) of pieces that may overlap.
+    whole: all of it; else spans has the start and end (bytes) of the maximal removed runs, ascending.
     """
     own = _own(docs, text)
     classes, candidates = _candidates(own, length, gram)
     contexts = written(candidates.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("cn", "pos")).alias("rep")), "repeat-distinct")
-    bytes_ = _wanted(own, classes, contexts, length, gram, group)
+    several, hot = _grouped(contexts, group)
+    bytes_ = _wanted(own, classes, contexts, several, length, gram)
 
-    usual = bytes_.where("not hot").select("g", "c", "left", "right").repartition("g").sortWithinPartitions("g")
-    found = usual.mapInPandas(_compare(length), "g long, c long, l int, r int")
-    strings = bytes_.where("hot").select("g", "c", "left", "right").dropDuplicates(["g", "c"]).mapInPandas(_strings(length), "g long, c long, w1 long, w2 long, o int")
-    twice = strings.groupBy("g", "w1", "w2").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("_n")).where("_n > 1").select("g", "w1", "w2")
-    hot = strings.join(twice, ["g", "w1", "w2"]).groupBy("g", "c").agg(F.max("o").alias("l"), (F.lit(length) - F.min("o")).alias("r"))
-    found = written(found.unionByName(hot), "repeat-found")
+    usual = bytes_ if hot is None else bytes_.join(hot, "g", "left_anti")
+    found = usual.repartition("g").sortWithinPartitions("g").mapInPandas(_compare(length), "g long, c long, l int, r int")
+    if hot is not None:
+        found = found.unionByName(_by_strings(bytes_.join(hot, "g", "left_semi"), length))
+    found = written(found, "repeat-found")
 
     settled = contexts.where("n > 1").select("g", "c", F.lit(length - gram).alias("l"), F.lit(length).alias("r"))
     reach = settled.unionByName(found.join(settled, ["g", "c"], "left_anti"))
     span = F.struct(F.greatest(F.col("pos") - F.col("l"), F.lit(0)).alias("s"), F.least((F.col("pos") + F.col("r")).cast("long"), "n_bytes").cast("int").alias("e"))
     parts = candidates.join(reach, ["g", "c"]).groupBy("cn").agg(F.collect_list(span).alias("spans"))
+    parts = parts.mapInPandas(_runs, "cn long, spans array<struct<s:int,e:int>>")
     cut = classes.join(parts, "cn", "left").where("copies > 1 or spans is not null")
     return written(cut.select("th", (F.col("copies") > 1).alias("whole"), F.when(F.col("copies") == 1, F.col("spans")).alias("spans")), "repeat-spans")
 
@@ -354,7 +377,9 @@ def groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     own = _own(docs, text)
     classes, candidates = _candidates(own, length, gram)
     contexts = written(candidates.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("cn", "pos")).alias("rep")), "repeat-distinct")
-    bytes_ = _wanted(own, classes, contexts, length, gram, group)
+    several, hot = _grouped(contexts, group)
+    bytes_ = _wanted(own, classes, contexts, several, length, gram)
+    usual = bytes_ if hot is None else bytes_.join(hot, "g", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _by_gram(batches):
@@ -368,7 +393,7 @@ def groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
             scan_intervals([k[1] for k in keys], [k[2] for k in keys], lambda *_: None, close)
             yield pd.DataFrame(out, columns=["g", "rep", "n_bytes", "before", "cs"])
 
-    several = bytes_.where("not hot").select("g", "c", "left", "right").repartition("g").sortWithinPartitions("g").mapInPandas(run, "g long, rep long, n_bytes int, before int, cs array<long>")
+    several = usual.repartition("g").sortWithinPartitions("g").mapInPandas(run, "g long, rep long, n_bytes int, before int, cs array<long>")
     left, right = F.least("rep.pos", F.lit(length - gram)), F.lit(length)
     equal = contexts.where("n > 1").select("g", F.col("c").alias("rep"), (left + right).cast("int").alias("n_bytes"), left.cast("int").alias("before"), F.array("c").alias("cs"))
     each = several.unionByName(equal).select("g", "rep", "n_bytes", "before", F.explode("cs").alias("c"))
