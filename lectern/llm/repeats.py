@@ -37,10 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import join_few, written
+from lectern.llm.common import arrow_batches, join_few, written
 
 LENGTH = 400
 GRAM = 48
+#: Rows to a batch in Python.
+BATCH = 1000
 #: Different contexts of one gram that a task compares (about 150 MB of text).
 GROUP = 200_000
 
@@ -356,7 +358,8 @@ def removal_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    cut = removal_spans(docs, text, length, gram, group)
+    with arrow_batches(docs.sparkSession, BATCH):  # all its steps are written
+        cut = removal_spans(docs, text, length, gram, group)
     own = join_few(_own(docs, text), cut.select("th", "whole", F.when(~F.col("whole"), F.col("spans")).alias("spans")), "th", "left")
     size = F.octet_length("text").cast("long")
     whole = F.coalesce("whole", F.lit(False))
