@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, gives later plans real sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

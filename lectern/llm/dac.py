@@ -259,11 +259,11 @@ def _shards(limit: int, dtype: str):
 def write_shards(docs: DataFrame, path: str | None = None, text: str = "text", end_id: int = END_ID, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes docs, writes the shards, and returns their table (shard, documents, n_ids, payload)."""
     path = path or default_path()
-    ids = written(encoded(docs, path, text, end_id), "dac-ids")
+    ids = written(encoded(docs, path, text, end_id), "dac-ids", "zstd")
     n = max(1, -(-ids.count() // shard_docs))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
     dealt = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return written(dealt.mapInPandas(_shards(shard_ids, width_of(path)), "shard long, documents long, n_ids long, payload binary"), "dac")
+    return written(dealt.mapInPandas(_shards(shard_ids, width_of(path)), "shard long, documents long, n_ids long, payload binary"), "dac", "zstd")
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
