@@ -7,7 +7,9 @@ Base spans, leftmost and non-overlapping for each kind:
 The lexer adds spans of kind "literal". It parses name-literal pairs (name = "text", "name": "text", name: text at the start of
 a line, NAME=text, <name>text</name>, --name text), follows constants (a literal bound to a plain name that is later
 assigned to a sensitive name), and scores each literal by the target's name and by its own form; only literals of score
-MIN_SCORE or more become spans. A base span is never dropped or changed.
+MIN_SCORE or more become spans. A literal reaches to its closing quote, tag or blank, whatever its length, in linear time. What a
+quoted or tagged literal holds is lexed too, with names of its own, and so are the parameters (?name=text&name=text) of others.
+A base span is never dropped or changed.
 
 Offsets are code points, ends exclusive. Defined cases: null counts as the empty text (no spans); equal rows give equal
 results; an empty table gives an empty result; other columns are ignored (scan) or kept (redact).
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,13 +45,19 @@ NAME_PARTS = {
 # Literals that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "redacted", "password", "secret", "token", "none", "null", "true", "false", "undefined", "xxxxxx", "your_password", "your_token", "your_api_key"}
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,79}"
-_PAIR = re.compile(
-    rf"""(?P<q>["'])(?P<qname>{_NAME})(?P=q)\s{{0,8}}:\s{{0,8}}(?P<v1>"[^"\n]{{1,400}}"|'[^'\n]{{1,400}}')"""
-    rf"""|(?<![\w.-])(?P<name>{_NAME})[ \t]{{0,8}}(?::=|=>|=|:)[ \t]{{0,8}}(?P<v2>"[^"\n]{{1,400}}"|'[^'\n]{{1,400}}'|[^\s"'`,;(){{}}\[\]<>]{{1,400}})"""
-    rf"""|<(?P<tag>{_NAME})>(?P<v3>[^<>\n]{{1,400}})</(?P=tag)>"""
-    rf"""|(?<!\S)--(?P<flag>{_NAME})[ \t]{{1,4}}(?P<v4>[^\s"'`,;]{{1,400}})"""
+# Possessive, so each is read once; names and literals have any length.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+_HEAD = re.compile(
+    rf"""(?P<q>["'])(?P<qname>{_NAME})(?P=q)\s*+:\s*+(?=["'])"""
+    rf"""|(?<![\w.-])(?P<name>{_NAME})[ \t]*+(?::=|=>|=|:)[ \t]*+"""
+    rf"""|<(?P<tag>{_NAME})>"""
+    rf"""|(?<!\S)--(?P<flag>{_NAME})[ \t]++"""
 )
+_QUOTED = {'"': re.compile(r'"([^"\n]++)"'), "'": re.compile(r"'([^'\n]++)'")}
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+_TAGGED = re.compile(r"([^<>\n]++)</")
+_FLAGGED = re.compile(r"""[^\s"'`,;]++""")
+_PARAMETER = re.compile(rf"(?<=[?&])({_NAME})=([^?&]++)")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLAIN = re.compile(r"[A-Za-z_]\w*\Z")
 
@@ -74,33 +83,63 @@ def literal_score(value: str) -> float:
     if len(value) < 6 or value.lower() in PLACEHOLDERS or " " in value or value.startswith(("$", "{", "<", "%", "http://", "https://", "/")):
         return -1.0
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    counts = [value.count(c) for c in set(value)]
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts)
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     return 0.2 * (classes - 1) + (0.3 if entropy >= 3 else 0.0) + (0.2 if len(value) >= 16 else 0.0)
 
 
+def _literal(text: str, m: re.Match, stop: int) -> tuple[int, int, int, bool] | None:
+    """Start and end of the literal after a name, where to read on, and whether quotes or tags delimit it."""
+    at = m.end()
+    if m["tag"] is not None:
+        v = _TAGGED.match(text, at, stop)
+        close = m["tag"] + ">"
+        if not v or not text.startswith(close, v.end()) or v.end() + len(close) > stop:
+            return None
+        start, end = v.span(1)
+        if end - start >= 2 and text[start] in "\"'" and text[end - 1] == text[start]:
+            start, end = start + 1, end - 1
+        return start, end, v.end() + len(close), True
+    if m["flag"] is None and text[at : at + 1] in _QUOTED:
+        v = _QUOTED[text[at]].match(text, at, stop)
+        return (*v.span(1), v.end(), True) if v else None
+    v = (_BARE if m["flag"] is None else _FLAGGED).match(text, at, stop)
+    return (*v.span(), v.end(), False) if v else None
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through names bound to them before, in order of start."""
     if not ("=" in text or ":" in text or "<" in text or "--" in text):
         return []
-    bound: dict[str, tuple[int, int, str]] = {}
     out = set()
-    for m in _PAIR.finditer(text):
-        name = m["qname"] or m["name"] or m["tag"] or m["flag"]
-        group = next(g for g in ("v1", "v2", "v3", "v4") if m[g] is not None)
-        start, end = m.span(group)
-        quoted = text[start] in "\"'" and end - start >= 2 and text[end - 1] == text[start]
-        if quoted:
-            start, end = start + 1, end - 1
-        value = text[start:end]
-        if not quoted and _PLAIN.match(value) and value in bound:
-            start, end, value = bound[value]
-        elif not (quoted or m["v3"] or m["v4"] or m["v2"]):
-            continue
-        bound[name] = start, end, value
+
+    def judge(name: str, start: int, end: int, value: str, least: float) -> None:
         sensitive = name_score(name)
-        if sensitive and sensitive + literal_score(value) >= MIN_SCORE + (0.0 if quoted or m["v3"] else 0.4):
+        if sensitive and sensitive + literal_score(value) >= least:
             out.add((start, end, KINDS[3]))
+
+    def lex(at: int, stop: int, scopes: tuple[dict, ...]) -> None:
+        # Delimiters don't nest in themselves, so a place is read a few times at most, however deep the literals lie.
+        bound = scopes[0]
+        while m := _HEAD.search(text, at, stop):
+            found = _literal(text, m, stop)
+            if not found:
+                at = m.end()
+                continue
+            start, end, at, delimited = found
+            name = m["qname"] or m["name"] or m["tag"] or m["flag"]
+            value = text[start:end]
+            if delimited:
+                lex(start, end, ({}, *scopes))
+            else:
+                for p in _PARAMETER.finditer(text, start, end):
+                    judge(p[1], *p.span(2), p[2], MIN_SCORE + 0.4)
+            quoted = delimited and text[start - 1] in "\"'"
+            if not quoted and _PLAIN.match(value):
+                start, end, value = next((s[value] for s in scopes if value in s), (start, end, value))
+            bound[name] = start, end, value
+            judge(name, start, end, value, MIN_SCORE + (0.0 if delimited else 0.4))
+
+    lex(0, len(text), ({},))
     return sorted(out)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -101,6 +102,31 @@ def test_secret_lexer():
     assert secrets.masked("a token=abcdef123 b", secrets.all_spans("a token=abcdef123 b")[1]) == f"a {secrets.MASK} b"
 
 
+def test_secret_literals_of_any_length(spark):
+    lit = lambda t: [t[a:b] for a, b, _ in secrets.literal_spans(t)]
+    texts, wanted = [], []
+    for n in (400, 401, 5000):
+        value = ("Zq91hunterX2-" * n)[:n]
+        for form in ("PRIVATE_KEY={}", 'private_key: "{}"', "{{'private_key': '{}'}}", "<passphrase>{}</passphrase>", "--db-pwd {}", "x = '{}'\nconn.pwd = x", '"doc": "' + "w " * 300 + "db_pwd = '{}'\""):
+            texts.append("a b\n" + form.format(value) + "\nc d")
+            wanted.append(value)
+            assert lit(texts[-1]) == [value], (form, n)
+    for blanks in (8, 9, 500):
+        assert lit(f"db_pwd{' ' * blanks}={' ' * blanks}'hunter2-Zq91'") == lit(f'"db_pwd"{" " * blanks}:{" " * blanks}"hunter2-Zq91"') == ["hunter2-Zq91"]
+    assert lit("n" * 200 + "_pwd = 'hunter2-Zq91'") == ["hunter2-Zq91"]
+    assert lit(f"u=https://h/{'x' * 500}?a=1&db_pwd=hunter2-Zq91xy4821&b=2") == ["hunter2-Zq91xy4821"]
+    data = frame(spark, [(i, t, *["a"] * 2, 0, *"wdky", 1) for i, t in enumerate(texts)])
+    spans = {r.doc_id: r.spans.split(",") for r in secrets.scan(data).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(data).collect()}
+    for i, (t, v) in enumerate(zip(texts, wanted, strict=True)):
+        assert f"literal:{t.index(v)}:{t.index(v) + len(v)}" in spans[i]
+        assert masked[i] == t.replace(v, secrets.MASK)
+    for hard in ("pwd=" * 250_000, "a: " * 300_000, "a='" * 300_000, "<a>" * 300_000, "--a " * 250_000, "x" * 10**6, '"a"' + " " * 10**6, "pwd=?" * 200_000):
+        start = time.process_time()
+        secrets.literal_spans(hard)
+        assert time.process_time() - start < 20
+
+
 def test_dac_file_format():
     rnd = np.random.default_rng(1)
     counts = np.array([0, 3, 5000, 1, 0, 700])
