@@ -1,17 +1,25 @@
 """Licence scans: Dice coefficient over word bigrams against templates, pruned by size bounds.
 
-A text is compared as a whole, by paragraphs (parted by blank lines), and by lines. A unit is normalised (lower case, copyright
+A text is compared as a whole, by paragraphs (parted by blank lines), by lines, and by runs of words. A unit is normalised (lower case, copyright
 lines and markup marks dropped, words of letters and digits kept) and turned into its set of word bigrams A. For a template B
 the Dice coefficient is 2|A and B| / (|A| + |B|); it can reach THRESHOLD only if |A| lies between |B| * t / (2 - t) and
 |B| * (2 - t) / t, so most units are dropped on their number of words alone, and most templates on the unit's size; the rest
 are counted through an index from bigrams to templates. Both prunings are exact.
 
+Runs of words find what stands across paragraphs or within a sentence. All runs of any length count, but as neighbours overlap,
+the best is taken first (ties: first licence by name, earlier, longer), and then others that overlap none taken, no unit of the
+same licence, and no unit of another licence with as high a score. A template is looked for only if the words outside units of
+its licence hold t / (2 - t) of its bigrams, which any match must; a run is worth trying only between two bigrams of the
+template, the first of which doesn't occur in it again. A template of n bigrams thus takes at most n steps a word.
+
 Defined cases: null counts as the empty text (no licence); ties go to the first licence by name, then to the earlier and
 the longer unit; equal rows give equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -96,13 +104,15 @@ class Index:
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.names = [name for name, _ in templates]
-        sets = [bigrams(t) for _, t in templates]
+        self.sets = sets = [bigrams(t) for _, t in templates]
         self.sizes = [len(s) for s in sets]
         self.by: dict[tuple[str, str], list[int]] = {}
         for k, s in enumerate(sets):
             for b in s:
                 self.by.setdefault(b, []).append(k)
-        self.bounds = [(n * threshold / (2 - threshold), n * (2 - threshold) / threshold) for n in self.sizes]
+        # A little wider than exact, as the quotients are rounded.
+        self.bounds = [(n * threshold / (2 - threshold) - 1e-9, n * (2 - threshold) / threshold + 1e-9) for n in self.sizes]
+        self.misses = [high - n for n, (_, high) in zip(self.sizes, self.bounds, strict=True)]  # bigrams of no use that a match can have
         self.least = min(a for a, _ in self.bounds)
 
     def best(self, text: str) -> tuple[float, str] | None:
@@ -135,8 +145,91 @@ def units(text: str) -> list[tuple[int, int]]:
     return list(out)
 
 
+def _best_run(grams: list[tuple[str, str]], at: int, stop: int, template: frozenset, misses: float) -> tuple[float, int]:
+    """Highest coefficient of the runs of bigrams that start at `at` and end before `stop`, negative, and the longest such run's end, negative."""
+    first, seen, common, best = grams[at], set(), 0, (0.0, 0)
+    for i in range(at, stop):
+        g = grams[i]
+        if g in seen:
+            if g == first:  # the run without its first bigram has the same set
+                break
+            if g in template and common and -2 * common / (len(seen) + len(template)) == best[0]:
+                best = best[0], -i - 1
+            continue
+        seen.add(g)
+        if len(seen) - common > misses + (g in template):
+            break
+        if g in template:
+            common += 1
+            best = min(best, (-2 * common / (len(seen) + len(template)), -i - 1))
+    return best
+
+
+def runs(text: str, index: Index, found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+    """(score, licence, start, end) of the best runs of words, apart from each other and from what units have found."""
+    plain = _COPYRIGHT.sub(lambda m: " " * len(m[0]), text)
+    words = _WORD.findall(plain.lower())
+    held = index.by.keys() & set(zip(words, words[1:], strict=False))
+    counts: dict[int, int] = {}
+    for g in held:
+        for k in index.by[g]:
+            counts[k] = counts.get(k, 0) + 1
+    likely = [k for k, n in counts.items() if n >= index.bounds[k][0]]
+    if not likely:
+        return []
+    places = [m.span() for m in _WORD.finditer(plain)]
+    words = [plain[a:b].lower() for a, b in places]
+    grams = list(zip(words, words[1:], strict=False))
+    starts = [a for a, _ in places]
+    spans = [(score, name, bisect.bisect_left(starts, a), bisect.bisect_left(starts, b) - 1) for score, name, a, b in found]  # in bigrams, ends exclusive
+    heap: list[tuple[float, str, int, int, int]] = []
+    taken: list[tuple[int, int]] = []  # ascending, apart
+
+    def stop_at(k: int, at: int, score: float) -> int:
+        """Where a run of template k and this score, from `at` on, meets what is taken; `at` if it may not start."""
+        # A run of bigrams [a, b) has words [a, b]; two runs are apart if they have no word in common.
+        j = bisect.bisect_right(taken, (at, len(grams)))
+        if j and at <= taken[j - 1][1]:
+            return at
+        stop = taken[j][0] - 1 if j < len(taken) else len(grams)
+        for s, name, a, b in spans:
+            if b >= at and (name == index.names[k] or s >= score):
+                stop = min(stop, a - 1)
+        return max(stop, at)
+
+    def offer(k: int, at: int, stop: int) -> None:
+        score, end = _best_run(grams, at, stop, index.sets[k], index.misses[k])
+        if -score >= index.threshold:
+            heapq.heappush(heap, (score, index.names[k], at, end, k))
+
+    for k in likely:
+        free = bytearray(b"\1") * len(grams)
+        for _, name, a, b in spans:
+            if name == index.names[k]:
+                a = max(a - 1, 0)
+                free[a : b + 1] = bytes(len(free[a : b + 1]))
+        hits = [i for i, g in enumerate(grams) if free[i] and g in index.sets[k]]
+        if len({grams[i] for i in hits}) >= index.bounds[k][0]:
+            for i in hits:
+                stop = free.find(0, i)
+                offer(k, i, stop if stop >= 0 else len(grams))
+    out = []
+    while heap:
+        score, name, at, end, k = heapq.heappop(heap)
+        stop = stop_at(k, at, -score)
+        if stop >= -end:
+            same = index.sets[k] & set(grams[at:-end])
+            while at and grams[at - 1] in same and stop_at(k, at - 1, -score) >= -end:
+                at -= 1
+            bisect.insort(taken, (at, -end))
+            out.append((-score, name, places[at][0], places[-end][1]))
+        elif stop > at:
+            offer(k, at, stop)
+    return sorted(out, key=lambda x: (x[2], x[3]))
+
+
 def find(text: str, index: Index) -> list[tuple[float, str, int, int]]:
-    """(score, licence, start, end) of every unit that matches."""
+    """(score, licence, start, end) of every unit that matches, then of the runs of words."""
     out = []
     for a, b in units(text):
         if b - a < 2 * index.least:  # n bigrams take n + 1 words, so 2n + 1 characters at least
@@ -144,7 +237,7 @@ def find(text: str, index: Index) -> list[tuple[float, str, int, int]]:
         got = index.best(text[a:b])
         if got:
             out.append((*got, a, b))
-    return out
+    return out + runs(text, index, out)
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,5 +1,7 @@
 """Licence scans against all units and all templates."""
 
+import random
+
 from cases import frame, rows
 
 from lectern.llm import licenses
@@ -37,3 +39,51 @@ def test_scan(spark):
     assert (got[1].license, got[1].score, got[1].n_matches, got[1].spans) == ("MIT", 1.0, 1, "MIT:4:35")
     assert (got[2].license, got[2].score, got[2].n_matches, got[2].spans) == (None, 0.0, 0, "")
     assert licenses.scan(frame(spark, [])).count() == 0 and licenses.scan(frame(spark)).count() == len(rows())
+
+
+def standard_forms():
+    t = dict(licenses.TEMPLATES[::-1])
+    cut = lambda x, *marks: "\n\n".join(x[a:b] for a, b in zip([0, *map(x.index, marks)], [*map(x.index, marks), len(x)], strict=True))
+    full = {name: max((x for n, x in licenses.TEMPLATES if n == name), key=len) for name in t}
+    return {
+        "MIT": cut(full["MIT"], "The above copyright", "THE SOFTWARE IS"),
+        "BSD-2-Clause": cut(full["BSD-2-Clause"], "1. Redis", "2. Redis", "THIS SOFTWARE"),
+        "BSD-3-Clause": cut(full["BSD-3-Clause"], "1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE"),
+        "ISC": cut(full["ISC"], "THE SOFTWARE IS"),
+        "Apache-2.0": cut(full["Apache-2.0"], "http", "Unless"),
+        "GPL-3.0": cut(full["GPL-3.0"], "This program is\ndistributed", "You should"),
+    }
+
+
+def test_licences_in_several_paragraphs_and_in_sentences():
+    index = licenses.Index()
+    other = "\n\n".join(" ".join(f"word{i * j % 97} of the" for j in range(30)) for i in range(1, 30))
+    for name, t in standard_forms().items():
+        for text in (f"{other}\n\nCopyright (c) 2020 A. N. Other\n\n{t}\n\n{other}", f"{other} {t} {other}"):
+            at = text.index(t)
+            assert licenses.find(text, index) == [(1.0, name, at, at + len(t.rstrip(".>/")))], name
+    every = other.join(f"\n\n{t}\n\n" for t in standard_forms().values())
+    assert [x[1] for x in licenses.find(every * 2, index)] == [*standard_forms()] * 2
+    line = "This file is released under the MIT License, see LICENSE for details."
+    assert licenses.find(line, index) == [(1.0, "MIT", line.index("released"), line.index(", see"))]
+    assert licenses.find(f"{line} Data: licensed under CC BY-SA 4.0. Code is not.", index)[1][:2] == (1.0, "CC-BY-SA-4.0")
+
+
+def test_best_run_against_all_runs():
+    rnd = random.Random(5)
+    index = licenses.Index([("A", "a b c d e f a c"), ("B", "b c a e"), ("B", "f e d c b a b")], 0.6)
+    for _ in range(300):
+        text = " ".join(rnd.choice("abcdefx") for _ in range(rnd.randint(2, 40)))
+        words, all_runs = text.split(), []
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                got = index.best(" ".join(words[a:b]))
+                if got:
+                    all_runs.append((*got, 2 * a, 2 * b - 1))
+        got = licenses.runs(text, index, [])
+        if all_runs:
+            assert max(x[0] for x in got) == max(x[0] for x in all_runs)
+        for x in all_runs:  # each other one overlaps one as good
+            assert any(y[0] >= x[0] and y[2] < x[3] and x[2] < y[3] for y in got)
+        assert all(x[3] < y[2] for x, y in zip(got, got[1:], strict=False))
+        assert all(index.best(text[a:b])[0] >= s for s, _, a, b in got)
