@@ -371,34 +371,81 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     return plain.unionByName(partly.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
+def _tiles(length: int, gram: int):
+    """The contexts of grams with many, for each range of r (from lo, below hi) beside those they share lo bytes to the right and what is needed to the left with."""
+    step = max(1, length // 8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for g, c, left, right in zip(pdf["g"], pdf["c"], pdf["left"], pdf["right"], strict=True):
+                for lo in range(gram, length + 1, step):
+                    least = max(0, length - lo - step + 1)
+                    if len(right) >= lo and len(left) >= least:
+                        key = hashlib.blake2b(b"%d %d %s" % (g, lo, left[:least][::-1] + right[:lo]), digest_size=8).digest()
+                        out.append((int.from_bytes(key, "big", signed=True), g, lo, lo + step, c, left, right))
+            yield pd.DataFrame(out, columns=["g", "gram", "lo", "hi", "c", "left", "right"])
+
+    return run
+
+
+def maximal(lefts: list[bytes], rights: list[bytes], length: int, gram: int, lo: int, hi: int, powers: _Powers) -> list[tuple[int, int, list[int]]]:
+    """(l, r, members) of each maximal repeat of `length` bytes or more around the anchor with lo <= r < hi.
+
+    For each interval of left contexts, the intervals of right contexts within it. A repeat is given where the anchor is chosen by
+    the repeat's own bytes, so it is an anchor wherever the repeat occurs; each repeat has such an anchor.
+    """
+    out = []
+
+    def outer(_: int, left: int, inside: list[int]) -> None:
+        def close(l: int, r: int, members: list[int]) -> None:  # noqa: E741
+            if l == left and l + r >= length and lo <= r < hi:
+                k = inside[members[0]]
+                if l in anchors(lefts[k][:l][::-1] + rights[k][:r], powers, length, gram)[0]:
+                    out.append((l, r, [inside[m] for m in members]))
+
+        scan_intervals([lefts[k] for k in inside], [rights[k] for k in inside], lambda *_: None, close)
+
+    scan_intervals(rights, lefts, lambda *_: None, outer)
+    return out
+
+
 def groups(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Maximal repeats at an anchor, as far as its context goes: g, rep (of the contexts' hashes, ascending), n_bytes, before
-    (bytes before the anchor), and occurrences: the contexts' doc texts (th), and where the repeat starts.
+    (bytes before the anchor), and all occurrences: the document's text (th) and doc_id, and where the repeat starts.
 
-    Grams of more than `group` contexts are told by their settled contexts alone (all occurrences of equal contexts).
+    Equal texts are one more group, the whole text (g null, rep a hash of it, before 0). The contexts of a gram of more than
+    `group` are dealt out by the bytes that repeats within a range of r share on both sides. Repeats that reach beyond a context,
+    LENGTH - GRAM bytes to the left and LENGTH to the right of the anchor, are cut there and go on at the next anchor.
     """
     own = _own(docs, text)
     classes, candidates = _candidates(own, length, gram)
-    contexts = written(candidates.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("cn", "pos")).alias("rep")), "repeat-distinct")
+    contexts = written(candidates.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("cn", "pos", "n_bytes")).alias("rep")), "repeat-distinct")
     several, hot = _grouped(contexts, group)
     bytes_ = _wanted(own, classes, contexts, several, length, gram)
     usual = bytes_ if hot is None else bytes_.join(hot, "g", "left_anti")
+    dealt = usual.select("g", F.col("g").alias("gram"), F.lit(0).alias("lo"), F.lit(length + 1).alias("hi"), "c", "left", "right")
+    if hot is not None:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = bytes_.join(hot, "g", "left_semi").repartition(n, "g", "c")
+        dealt = dealt.unionByName(spread.mapInPandas(_tiles(length, gram), "g long, gram long, lo int, hi int, c long, left binary, right binary"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = _Powers()
         for pdf in _by_gram(batches):
-            own = {(c, a, b): None for c, a, b in zip(pdf["c"], pdf["left"], pdf["right"], strict=True)}
-            keys, out, g = list(own), [], pdf["g"].iloc[0]
-
-            def close(l: int, r: int, members: list[int], keys=keys, out=out, g=g) -> None:  # noqa: E741
-                if l + r >= length:
-                    out.append((g, min(keys[k][0] for k in members), l + r, l, [keys[k][0] for k in members]))
-
-            scan_intervals([k[1] for k in keys], [k[2] for k in keys], lambda *_: None, close)
+            keys = list({(c, a, b): None for c, a, b in zip(pdf["c"], pdf["left"], pdf["right"], strict=True)})
+            first = pdf.iloc[0]
+            found = maximal([k[1] for k in keys], [k[2] for k in keys], length, gram, first["lo"], first["hi"], powers)
+            out = [(first["gram"], min(keys[k][0] for k in m), l + r, l, [keys[k][0] for k in m]) for l, r, m in found]  # noqa: E741
             yield pd.DataFrame(out, columns=["g", "rep", "n_bytes", "before", "cs"])
 
-    several = usual.repartition("g").sortWithinPartitions("g").mapInPandas(run, "g long, rep long, n_bytes int, before int, cs array<long>")
-    left, right = F.least("rep.pos", F.lit(length - gram)), F.lit(length)
-    equal = contexts.where("n > 1").select("g", F.col("c").alias("rep"), (left + right).cast("int").alias("n_bytes"), left.cast("int").alias("before"), F.array("c").alias("cs"))
-    each = several.unionByName(equal).select("g", "rep", "n_bytes", "before", F.explode("cs").alias("c"))
+    found = written(dealt.repartition("g").sortWithinPartitions("g").mapInPandas(run, "g long, rep long, n_bytes int, before int, cs array<long>"), "repeat-groups")
+    each = found.select("g", "rep", "n_bytes", "before", F.explode("cs").alias("c"))
+    left, right = F.least("rep.pos", F.lit(length - gram)), F.least(F.col("rep.n_bytes") - F.col("rep.pos"), F.lit(length))
+    equal = contexts.where("n > 1").select("g", F.col("c").alias("rep"), (left + right).cast("int").alias("n_bytes"), left.cast("int").alias("before"), "c")
+    each = each.unionByName(equal.join(each.drop("rep"), ["g", "c", "n_bytes", "before"], "left_anti"))
     placed = each.join(candidates.select("g", "c", "cn", "pos"), ["g", "c"]).join(classes.select("cn", "th"), "cn")
-    return placed.select("g", "rep", "n_bytes", "before", "th", (F.col("pos") - F.col("before")).alias("start"))
+    placed = placed.select("g", "rep", "n_bytes", "before", "th", (F.col("pos") - F.col("before")).alias("start"))
+    whole = classes.where("copies > 1").select(F.lit(None).cast("long").alias("g"), F.xxhash64("th").alias("rep"), F.col("n_bytes").cast("int").alias("n_bytes"), F.lit(0).alias("before"), "th", F.lit(0).alias("start"))
+    ids = own.where(F.octet_length("text") >= length).select("th", "doc_id")
+    return placed.unionByName(whole).join(ids, "th").select("g", "rep", "n_bytes", "before", "th", "start", "doc_id")

@@ -103,3 +103,44 @@ def test_groups_name_all_occurrences(spark):
     for r in got:
         by.setdefault((r.g, r.rep, r.n_bytes, r.before), set()).add((bytes(r.th), hashes[bytes(r.th)][r.start : r.start + r.n_bytes]))
     assert by and all(len({s for _, s in v}) == 1 for v in by.values()) and max(len(v) for v in by.values()) == 6
+
+
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_groups_against_all_pairs(spark, group):
+    length, gram = 60, 12
+    texts = [*passages(1, 30), "only as copies " * 10, "only as copies " * 10, "x" * 70, "x" * 70, "x" * 70]
+    data = [t.encode() if t else b"" for t in texts]
+    docs = frame(spark, [(i, t, "en", "a", 0, *"wdky", 1) for i, t in enumerate(texts)])
+    by = {}
+    for r in repeats.groups(docs, length=length, gram=gram, group=group).collect():
+        by.setdefault((r.g, r.rep, r.n_bytes, r.before), []).append((r.doc_id, r.start))
+    places = lambda w: [(i, k) for i, d in enumerate(data) for k in range(len(d) - len(w) + 1) if d.startswith(w, k)]
+    given = set()
+    for (g, _, n, before), at in by.items():
+        i, k = at[0]
+        w = data[i][k : k + n]
+        assert len(w) == n and len(at) == len(set(at)) > 1
+        given.add((w, before) if g is not None else w)
+        assert sorted(at) == (places(w) if g is not None else [(j, 0) for j, d in enumerate(data) if d == w])
+    assert {d for d in data if len(d) >= length and data.count(d) > 1} == {w for w in given if isinstance(w, bytes)}
+    distinct, windows, powers = list(dict.fromkeys(data)), {}, repeats._Powers()
+    for i, d in enumerate(distinct):
+        for k in range(len(d) - length + 1):
+            windows.setdefault(d[k : k + length], []).append((i, k))
+    pairs = set()
+    for at in windows.values():
+        for x, (i, k) in enumerate(at):
+            for j, m in at[:x]:
+                a, b = distinct[i], distinct[j]
+                if not k or not m or a[k - 1] != b[m - 1]:
+                    n = length
+                    while max(k + n - len(a), m + n - len(b)) < 0 and a[k + n] == b[m + n]:
+                        n += 1
+                    pairs.add(a[k : k + n])
+    n = 0
+    for w in pairs:
+        for l in map(int, repeats.anchors(w, powers, length, gram)[0]):  # noqa: E741
+            if l < length - gram and len(w) - l < length:
+                n += 1
+                assert (w, l) in given
+    assert n > 20
