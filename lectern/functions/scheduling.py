@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 STATE = "struct<reps:int,lapses:int,state:string,ease_factor:double,interval_days:bigint,is_mistake:boolean,mistake_streak:int,graduated:boolean,next_review:bigint>"
 EASE, LEAST_EASE, RETRY_SECONDS = 2.5, 1.3, 600
+#: Intervals stop here (2.7 billion years): long runs of top ratings multiply them beyond what a 64-bit number of seconds holds.
+MOST_DAYS = 10**12
 
 
 def quality(rating: Column) -> Column:
@@ -27,7 +29,7 @@ def review(s: Column, rating: Column, at: Column) -> Column:
     miss = F.lit(5) - q
     ease = F.greatest(F.lit(LEAST_EASE), F.when(s["ease_factor"] >= LEAST_EASE, s["ease_factor"]).otherwise(EASE) + (F.lit(0.1) - miss * (F.lit(0.08) + miss * F.lit(0.02))))
     failed = q < 3
-    step = F.when(s["reps"] == 0, 1).when(s["reps"] == 1, 6).otherwise(F.greatest(F.lit(1), F.bround(s["interval_days"] * ease).cast("long"))).cast("long")
+    step = F.when(s["reps"] == 0, 1).when(s["reps"] == 1, 6).otherwise(F.greatest(F.lit(1), F.least(F.lit(float(MOST_DAYS)), F.bround(s["interval_days"] * ease)).cast("long"))).cast("long")
     interval = F.when(failed, 0).otherwise(step).cast("long")
     streak = s["mistake_streak"] + 1
     freed = ~failed & s["is_mistake"] & ((streak >= 2) | (q == 5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.scheduling import replay
+from lectern.functions.scheduling import MOST_DAYS, replay
 from lectern.operators import cards as C
 from lectern.sources import derive as D
 
@@ -23,12 +23,12 @@ _SM2 = """(with recursive r as (
     case when q < 3 then true when freed then false else mis end, case when q < 3 or freed then 0 when mis then streak + 1 else streak end, freed,
     sec + case when q < 3 then 600 else iv2 * 86400 end
   from (select *, q >= 3 and mis and (streak + 1 >= 2 or q = 5) as freed,
-      cast(case when q < 3 then 0 when reps = 0 then 1 when reps = 1 then 6 else greatest(1, cast(round_even(iv * e, 0) as bigint)) end as bigint) as iv2
+      cast(case when q < 3 then 0 when reps = 0 then 1 when reps = 1 then 6 else greatest(1, cast(least({most}::double, round_even(iv * e, 0)) as bigint)) end as bigint) as iv2
     from (select s.user_id, r.n, s.reps, s.lapses, s.iv, s.mis, s.streak, r.q, r.sec,
         greatest(1.3::double, case when s.ef >= 1.3::double then s.ef else 2.5::double end + (0.1::double - (5 - r.q) * (0.08::double + (5 - r.q) * 0.02::double))) as e
       from s join r on s.user_id = r.user_id and r.n = s.n + 1) x) y)
  select user_id, reps, lapses, state, ef as ease_factor, iv as interval_days, mis as is_mistake, streak as mistake_streak, grad as graduated, nxt as next_review
- from (select *, row_number() over (partition by user_id order by n desc) as k from s) z where k = 1)"""
+ from (select *, row_number() over (partition by user_id order by n desc) as k from s) z where k = 1)""".replace("{most}", str(MOST_DAYS))
 
 _CARDS = f"(select user_id % 5 as doc_id, concat('fc_', cast(user_id as string)) as id, case when user_id % 7 = 0 then '' else concat('ch_', cast(user_id % 6 as string)) end as chapter_id, concat('p_', cast(user_id % 11 as string)) as paragraph_id, * from {_SM2} c)"
 

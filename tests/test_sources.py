@@ -246,3 +246,13 @@ def test_schemas(spark):
     row = schemas.normalize(spark.createDataFrame([(None, None, "src")], "english string, status string, source_text string"), "paragraphs").first()
     assert (row.english, row.status) == ("src", "pending")
     assert [r.type for r in schemas.normalize(spark.createDataFrame([("x",), ("cloze",)], "type string"), "cards").collect()] == ["qa", "cloze"]
+
+
+def test_intervals_of_long_runs_of_top_ratings(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.scheduling import MOST_DAYS, replay
+
+    log = spark.range(200).select(F.lit(1).alias("card"), F.col("id").alias("n"), F.lit(4).alias("rating"), F.lit(1_700_000_000).alias("at"))
+    s = replay(log, "card", ["n"], "rating", "at").collect()[0].stats
+    assert (s.reps, s.state, s.interval_days, s.next_review) == (200, "mastered", MOST_DAYS, 1_700_000_000 + MOST_DAYS * 86400)
