@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
-#: Rows of a side that may be broadcast after counting them; wider sides join by shuffle.
-BROADCAST_ROWS = 200_000
-SALTS = 32
+#: Bytes of a side that may be broadcast after measuring it; larger sides join by shuffle. A row's fixed columns count as ROW bytes.
+BROADCAST_BYTES, ROW = 16 << 20, 48
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,10 +62,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_few(big: DataFrame, few: DataFrame, key: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_few(big: DataFrame, few: DataFrame, key: str, how: str, extra: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """big joined with a table that is usually small.
 
-    few is counted first: up to `limit` rows it is broadcast; beyond that it is a shuffle join, with AQE splitting skewed keys.
+    few is measured first, at ROW bytes a row and what `extra` gives besides: up to `limit` bytes it is broadcast; beyond that
+    it is a shuffle join, with AQE splitting skewed keys.
     """
-    small = few.limit(limit + 1).count() <= limit
-    return big.join(F.broadcast(few) if small else few, key, how)
+    size = few.agg(F.sum(F.lit(ROW) if extra is None else F.lit(ROW) + extra)).first()[0] or 0
+    return big.join(F.broadcast(few) if size <= limit else few, key, how)
+
+
+def join_spread(big: DataFrame, few: DataFrame, keys: list[str], rows: str, spread: list[str]) -> DataFrame:
+    """big joined (inner) with few, which has one row a key and, in `rows`, how many rows of big have that key.
+
+    Keys with more than a share of 1 / HOT_SHARE of the rows are at most HOT_SHARE, so they are broadcast, and their rows are dealt
+    out by the columns `spread` rather than by the key. All others join by shuffle.
+    """
+    values = [c for c in few.columns if c not in keys]
+    total = few.agg(F.sum(rows)).first()[0] or 0
+    row = F.struct(*values)
+    hot = few.where(F.col(rows) * HOT_SHARE > total).select(*keys, row.alias("_hot"))
+    known = big.join(F.broadcast(hot), keys, "left")
+    dealt = known.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).cast("long"))
+    cold = few.where(F.col(rows) * HOT_SHARE <= total).select(*keys, F.lit(0).cast("long").alias("_salt"), row.alias("_cold"))
+    out = dealt.join(cold, [*keys, "_salt"], "left").withColumn("_row", F.coalesce("_hot", "_cold")).where("_row is not null")
+    return out.select(*big.columns, *(F.col("_row")[c].alias(c) for c in values))

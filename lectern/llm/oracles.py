@@ -4,14 +4,23 @@ _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 
 OP2 = """
 with d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+ y as (select doc_id, h, i, substr(h, 2 * i + 1, 2) not in ('09', '0A', '0B', '0C', '0D', '20') as inside from (select doc_id, h, unnest(range(0, strlen(text))) as i from d where strlen(text) >= 250) a),
+ f as (select *, inside and not coalesce(lag(inside) over (partition by doc_id order by i), false) as first from y),
+ n as (select *, sum(first::int) over (partition by doc_id order by i rows unbounded preceding) as k from f),
+ o as (select doc_id, k, min(i) as at, max(i) as last from n where inside group by doc_id, k),
+ q as (select n.doc_id, n.i, greatest(n.i + 250, o.at + 1) as e, n.h from n join o on o.doc_id = n.doc_id and o.k = n.k + case when n.inside then 50 else 51 end
+   union all select n.doc_id, least(n.i - 249, o.last), n.i + 1, n.h from n join o on o.doc_id = n.doc_id and o.k = n.k - 50),
+ z as (select doc_id, i, e, md5(substr(h, 2 * i + 1, 2 * (e - i))) as m from (select distinct * from q) a where i >= 0 and e - i <= 400 and 2 * e <= strlen(h)),
  p as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as m from (select doc_id, h, unnest(range(0, greatest(0, strlen(text) - 399))) as i from d) a),
  r as (select doc_id, i as s, i + 400 as e from (select doc_id, i, count(*) over (partition by m) as n from p) b where n > 1),
  g as (select doc_id, s, e, sum(case when s <= prev then 0 else 1 end) over (partition by doc_id order by s) as k from (select *, coalesce(lag(e) over (partition by doc_id order by s), -1) as prev from r) c),
  u as (select doc_id, min(s) as s, max(e) as e from g group by doc_id, k),
  t as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as prev, lead(s) over (partition by doc_id order by s) as following from u),
- c as (select t.doc_id, sum(e - s) as removed, count(*) as spans, string_agg(concat(substr(h, 2 * prev + 1, 2 * (s - prev)), case when following is null then substr(h, 2 * e + 1) else '' end), '' order by s) as kept from t join d on t.doc_id = d.doc_id group by t.doc_id)
-select d.doc_id, cast(strlen(text) as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(case when removed is null then encode(text) else unhex(kept) end) as kept_sha256
-from d left join c on d.doc_id = c.doc_id"""
+ c as (select t.doc_id, sum(e - s) as removed, count(*) as spans, string_agg(concat(substr(h, 2 * prev + 1, 2 * (s - prev)), case when following is null then substr(h, 2 * e + 1) else '' end), '' order by s) as kept from t join d on t.doc_id = d.doc_id group by t.doc_id),
+ w as (select doc_id, i as s, e from (select doc_id, i, e, count(*) over (partition by m) as n from z) b where n > 1 union all select doc_id, s, e from r),
+ x as (select doc_id, sum(greatest(0, e - greatest(s, prev))) as told from (select *, coalesce(max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding), 0) as prev from w) b group by doc_id)
+select d.doc_id, cast(strlen(text) as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(case when removed is null then encode(text) else unhex(kept) end) as kept_sha256, cast(coalesce(told, 0) as bigint) as n_passage
+from d left join c on d.doc_id = c.doc_id left join x on d.doc_id = x.doc_id"""
 
 OP8 = rf"""
 with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),

@@ -1,7 +1,9 @@
 """Repeated passages against a count of all strings."""
 
+import bisect
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -10,25 +12,47 @@ from cases import frame, rows
 from lectern.llm import repeats
 
 
-def plain(texts, length):
+def plain(texts, length, passage, words):
     data = [(t or "").encode() for t in texts]
-    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    strings = lambda d: [(i, d[i : i + length]) for i in range(len(d) - length + 1)]
+
+    def told(d):
+        marks = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        if length < 100:
+            every = ((i, e) for i in range(len(d)) for e in range(i + passage, min(i + length, len(d)) + 1))
+            return [(i, d[i:e]) for i, e in every if sum(a < e and b > i for a, b in marks) > words]
+        out = []  # the shortest from each place, and up to each place
+        starts, ends = [a for a, _ in marks], [b for _, b in marks]
+        for i in range(len(d)):
+            ahead, back = bisect.bisect_right(ends, i) + words, bisect.bisect_right(starts, i) - 1 - words
+            if ahead < len(marks):
+                out.append((i, max(i + passage, marks[ahead][0] + 1)))
+            if back >= 0:
+                out.append((min(i + 1 - passage, marks[back][1] - 1), i + 1))
+        return [(i, d[i:e]) for i, e in set(out) if i >= 0 and e <= len(d) and e - i <= length]
+
+    def covers(of):
+        seen = Counter(w for d in data for _, w in of(d))
+        for d in data:
+            cover = bytearray(len(d))
+            for i, w in of(d):
+                if seen[w] > 1:
+                    cover[i : i + len(w)] = b"\1" * len(w)
+            yield cover
+
     out = []
-    for d in data:
-        cover = bytearray(len(d))
-        for i in range(len(d) - length + 1):
-            if seen[d[i : i + length]] > 1:
-                cover[i : i + length] = b"\1" * length
+    for d, cover, more in zip(data, covers(strings), covers(told), strict=True):
         kept = bytes(b for b, c in zip(d, cover, strict=True) if not c)
         runs = sum(1 for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1]))
-        out.append((len(d), sum(cover), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((len(d), sum(cover), runs, hashlib.sha256(kept).hexdigest(), sum(a | b for a, b in zip(cover, more, strict=True))))
     return out
 
 
-def check(spark, texts, **options):
+def check(spark, texts, length=400, passage=250, words=50, **options):
     data = [(i, t, "en", "a", 0, *"wdky", 1) for i, t in enumerate(texts)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(frame(spark, data), **options).collect()}
-    assert [got[i] for i in range(len(texts))] == plain(texts, options.get("length", 400))
+    found = repeats.remove_repeats(frame(spark, data), length=length, passage=passage, words=words, **options).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in found}
+    assert [got[i] for i in range(len(texts))] == plain(texts, length, passage, words)
 
 
 def passages(seed, n=60):
@@ -48,7 +72,7 @@ def passages(seed, n=60):
 
 @pytest.mark.parametrize("group", [20_000, 2])
 def test_short_length(spark, group):
-    check(spark, passages(1), length=60, gram=12, group=group)
+    check(spark, passages(1), length=60, gram=12, group=group, passage=40, words=8)
 
 
 def test_production_length(spark):
@@ -59,13 +83,24 @@ def test_production_length(spark):
     texts = [words(rnd.randint(10, 300)) for _ in range(25)]
     texts += [words(80) + core[i * 7 : i * 7 + rnd.choice([399, 400, 401, 600])] + words(50) for i in range(25)]
     texts += [core, core, core[:399], b[:450].decode(), core + core[:500], "é" * 900]
+    texts += [words(40) + " " + " ".join(core.split()[i : i + n]) + " " + words(30) for i, n in enumerate([50, 51, 52, 60, 70, 75, 80])]
     check(spark, texts)
 
 
+def test_passages_of_over_50_words_are_told(spark):
+    rnd = random.Random(7)
+    words = lambda k: " ".join("".join(rnd.choice("aeinorst") for _ in range(rnd.randint(3, 7))) for _ in range(k))
+    core = [words(rnd.randint(51, 75)) for _ in range(12)]
+    data = [(i, f"{words(200)}\n{core[i % 12]} {words(150)}", "en", "a", 0, *"wdky", 1) for i in range(36)] + [(100 + i, words(300), "en", "a", 0, *"wdky", 1) for i in range(20)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, data)).collect()}
+    assert all((r.n_passage > 0) == (d < 100) for d, r in got.items())
+    assert all(r.n_removed == (r.n_passage if r.n_passage >= 400 else 0) for r in got.values())
+
+
 def test_null_ids_and_repeated_rows(spark):
     docs = frame(spark)
-    want = Counter(zip([r[0] for r in rows()], plain([r[1] for r in rows()], 400), strict=True))
-    got = Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in repeats.remove_repeats(docs).collect())
+    want = Counter(zip([r[0] for r in rows()], plain([r[1] for r in rows()], 400, 250, 50), strict=True))
+    got = Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage)) for r in repeats.remove_repeats(docs).collect())
     assert got == want
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
@@ -79,11 +114,12 @@ def test_extents_and_groups_against_pairs():
         keys = list(dict.fromkeys(zip(lefts, rights, strict=True)))
         lefts, rights = [k[0] for k in keys], [k[1] for k in keys]
         common = lambda a, b: next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
-        far_l, far_r = repeats.extents(lefts, rights, 5)
+        far = repeats.extents(lefts, rights, 5, 4, 0)
         for x in range(len(keys)):
             pairs = [(common(lefts[x], lefts[y]), common(rights[x], rights[y])) for y in range(len(keys)) if y != x]
-            good = [p for p in pairs if sum(p) >= 5]
-            assert (far_l[x], far_r[x]) == (max([0, *(p[0] for p in good)]), max([0, *(p[1] for p in good)]))
+            for at, least in ((0, 5), (2, 4)):
+                good = [p for p in pairs if sum(p) >= least]
+                assert far[x][at : at + 2] == (max([0, *(p[0] for p in good)]), max([0, *(p[1] for p in good)]))
         closed = []
         repeats.scan_intervals(lefts, rights, lambda *_: None, lambda l, r, m: closed.append((l, r, m)))  # noqa: E741
         for l, r, m in closed:  # noqa: E741
