@@ -416,6 +416,7 @@ def removal_spans(
     reach = contexts.join(found, ["g", "c"], "left").where("n > 1 or l is not null")
     settled = F.col("n") > 1
     reach = reach.select("g", "c", "n", settled.alias("settled"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("l", "r", "pl", "pr")))
+    reach = written(reach, "repeat-reach")  # cut off from the partitioning by g and c
     far_l, far_r = F.least(F.col("pos"), F.lit(passage - gram)), F.least(F.col("n_bytes") - F.col("pos"), F.lit(length)).cast("int")
     cut = F.col("settled") & (far_l + far_r >= length)
     told = F.col("settled") & (F.col("c").bitwiseAND(F.lit(1)) == 1)
