@@ -9,18 +9,23 @@ A shard is one byte string (all numbers little-endian):
   i64 doc_id of each document (null: -2^63), u64 place of its first id in the shard, and the number of ids once more,
   and for each level: u64 codes, the codes (1 byte each), the bitmap, u32 set bits before each block of 512.
 Shards are rows (shard, documents, ids, payload) of a Parquet table in the shared folder, so any store that Spark writes to
-serves, tasks can be repeated and commits are whole. Shard numbers ascend with doc_id.
+serves, tasks can be repeated and commits are whole. They are not compressed, so a token is read without unpacking anything.
+Shard numbers ascend with doc_id.
 
-Encoding uses the tokenizers library. White space parts words, and the word pieces of a word don't depend on its
-neighbours, so each worker keeps the ids of the words and pieces it has met (at most MEMO; then it forgets the older half).
+Texts are dealt out by ranges of doc_id and each task encodes, packs and writes its range, once. Encoding uses the tokenizers
+library. White space parts words, and the word pieces of a word don't depend on its neighbours, so Arrow finds the distinct words
+of a few megabytes of text, those are encoded, and their ids are gathered for all places. Each worker keeps the ids of the words and
+pieces it has met (at most MEMO; then it forgets the older half).
 
 Defined cases: a null text counts as empty (the end id alone); null doc_ids come first; rows that repeat a doc_id are
-separate documents in the order of their texts' hashes; an empty table gives no shard; other columns are ignored.
+separate documents in the order of their texts' hashes, so neither kind has to go to one task; a text of any length is read in
+pieces; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,10 +33,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import join_few, written
 
 CHUNK = 8
 BLOCK = 512
@@ -41,6 +48,10 @@ MEMO = 600_000
 SHARD_IDS = 4_000_000
 #: Documents to a partition of the writer.
 SHARD_DOCS = 8_000
+#: Characters of text that are encoded at a time.
+PIECE = 4_000_000
+#: Documents of a shard whose first and last ids the reader looks up directly as well.
+LOOKUPS = 16
 _NULL = -(2**63)
 
 # ASCII punctuation that may part a word from what surrounds it; an apostrophe may open a contraction.
@@ -55,8 +66,23 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_BREAK = re.compile(r"[ \t-\r]")
+
+
+def _pieces(text: str, size: int):
+    """The text, cut before blanks where it is longer than `size`."""
+    at = 0
+    while len(text) - at > size:
+        m = _BREAK.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, 16 bits each where the vocabulary fits.
+    """Ids of whole texts, 16 bits each where the vocabulary fits.
 
     A text falls into words at ASCII blanks, and a word into its core and the ASCII punctuation before and after it; no token spans
     either kind of boundary, nor does normalisation. A memo holds the ids of words and pieces. New pieces of letters alone are encoded many at a
@@ -101,13 +127,12 @@ class WordEncoder:
             return word[:at], core, word[at + len(core) :]
         return (word,)
 
-    def __call__(self, text: str) -> bytes:
-        for blank in "\n\t\r\f\v":
-            text = text.replace(blank, " ")
-        words, memo = text.split(" "), self.memo
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        memo = self.memo
         found = list(map(memo.get, words))
         if None not in found:
-            return b"".join(found)
+            return found
         parts = {w: self.split(w) for w, f in zip(words, found, strict=True) if f is None}
         have, new = {}, {}
         for own in parts.values():
@@ -127,7 +152,41 @@ class WordEncoder:
         if len(memo) + len(have) + len(whole) <= self.most:
             memo.update(have)
             memo.update(whole)
-        return b"".join([whole[w] if f is None else f for w, f in zip(words, found, strict=True)])
+        return [whole[w] if f is None else f for w, f in zip(words, found, strict=True)]
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        each = split.flatten().dictionary_encode()
+        at, words = each.indices.to_numpy(), self.words(each.dictionary.to_pylist())
+        width = np.dtype(self.dtype).itemsize
+        size = np.fromiter(map(len, words), np.int64, len(words)) // width
+        pool, first = np.frombuffer(b"".join(words), self.dtype), np.cumsum(size) - size
+        n = size[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])] if len(pool) else np.empty(0, self.dtype)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return ids, np.diff(upto[bounds])
+
+    def __call__(self, texts: list[str | None], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and how many each has."""
+        counts, out, held, owner, size = np.zeros(len(texts), np.int64), [], [], [], 0
+
+        def flush() -> None:
+            ids, n = self._some(held)
+            np.add.at(counts, owner, n)
+            out.append(ids)
+
+        for k, text in enumerate(texts):
+            for part in _pieces(text or "", piece):
+                held.append(part)
+                owner.append(k)
+                size += len(part)
+                if size >= piece:
+                    flush()
+                    held, owner, size = [], [], 0
+        if held:
+            flush()
+        return np.concatenate(out) if out else np.empty(0, self.dtype), counts
 
 
 @lru_cache(maxsize=1)
@@ -211,46 +270,41 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def width_of(path: str) -> str:
-    """How encoded() writes an id."""
-    return encoder(path).dtype
-
-
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (binary, little-endian, of width_of(path), with the end id)."""
-    path = path or default_path()
-
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoder(path)
-        end = np.array([end_id], coder.dtype).tobytes()
-        for texts in batches:
-            yield pd.Series([(coder(t) if t else b"") + end for t in texts], dtype=object)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col(text)).alias("ids"))
-
-
-def _shards(limit: int, dtype: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shards(path: str, end_id: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, width = TaskContext.get().partitionId(), 0, np.dtype(dtype).itemsize
-        held: list[tuple[int, bytes]] = []
+        part, number, coder = TaskContext.get().partitionId(), 0, encoder(path)
+        doc_ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         size = 0
 
-        def close() -> pd.DataFrame:
-            ids = [np.frombuffer(b, dtype) for _, b in held]
-            data = pack(np.array([d for d, _ in held], "<i8"), np.array([len(x) for x in ids]), np.concatenate(ids))
-            return pd.DataFrame({"shard": [(part << 32) + number], "documents": [len(held)], "n_ids": [size], "payload": [data]})
-
-        for pdf in batches:
-            for doc_id, ids in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                held.append((_NULL if pd.isna(doc_id) else int(doc_id), ids))
-                size += len(ids) // width
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            data = pack(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids))
+            out = [[(part << 32) + number], [sum(map(len, doc_ids))], [size], [data]]
+            number, size = number + 1, 0
+            doc_ids.clear(), counts.clear(), ids.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["shard", "documents", "n_ids", "payload"])
+
+        for batch in batches:
+            keys = batch.column("doc_id").fill_null(_NULL).to_numpy()
+            texts = batch.column("text")
+            length = np.cumsum(np.concatenate([[0], pc.binary_length(texts.fill_null("")).to_numpy()]))
+            at = 0
+            while at < len(keys):  # a few megabytes of text at a time
+                stop = max(at + 1, int(np.searchsorted(length, length[at] + PIECE, "right")) - 1)
+                found, n = coder(texts.slice(at, stop - at).to_pylist())
+                # the end id goes after each document's own
+                counts.append(n + 1)
+                ids.append(np.insert(found, np.cumsum(n), end_id))
+                doc_ids.append(keys[at:stop])
+                size += len(ids[-1])
                 if size >= limit:
                     yield close()
-                    held, size, number = [], 0, number + 1
-        if held:
+                at = stop
+        if doc_ids:
             yield close()
 
     return run
@@ -259,34 +313,44 @@ def _shards(limit: int, dtype: str):
 def write_shards(docs: DataFrame, path: str | None = None, text: str = "text", end_id: int = END_ID, shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes docs, writes the shards, and returns their table (shard, documents, n_ids, payload)."""
     path = path or default_path()
-    ids = written(encoded(docs, path, text, end_id), "dac-ids", "zstd")
-    n = max(1, -(-ids.count() // shard_docs))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
-    dealt = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return written(dealt.mapInPandas(_shards(shard_ids, width_of(path)), "shard long, documents long, n_ids long, payload binary"), "dac", "zstd")
+    n = max(1, -(-docs.count() // shard_docs))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = own.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(_shards(path, end_id, shard_ids), "shard long, documents long, n_ids long, payload binary"), "dac", "none")
+
+
+def _starts(shards: DataFrame, part: int = 1000) -> DataFrame:
+    """shard and before, the number of ids in all shards before it: sums within groups of `part` partitions, then over the groups."""
+    own = written(shards.select("shard", "n_ids", F.floor(F.shiftright("shard", 32) / part).alias("grp")), "dac-sizes")
+    groups = own.groupBy("grp").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("grp", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))  # a row for each group
+    within = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.select("grp", "shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner"))
+    return written(own.join(groups, "grp").select("shard", (F.col("base") + F.col("inner")).alias("before")), "dac-starts")
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shards' bytes.
 
-    What goes before each shard is a prefix sum over one row for each shard, made on the driver.
+    The first and last ids of some documents of each shard are looked up by random access too, and must be those read in sequence.
     """
-    sums, before = [], 0
-    for shard, n in shards.select("shard", "n_ids").orderBy("shard").collect():
-        sums.append((shard, before))
-        before += n
-    starts = shards.sparkSession.createDataFrame(sums, "shard long, before long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data, first in zip(pdf["payload"], pdf["before"], strict=True):
                 shard = Shard(data)
-                ids = shard.ids()
-                ends = shard.starts
+                ids, ends = shard.ids(), shard.starts
+                for k in range(0, shard.n_docs, max(1, shard.n_docs // LOOKUPS)):
+                    for i in (int(ends[k]), int(ends[k + 1]) - 1):
+                        if shard[i] != ids[i]:
+                            raise ValueError(f"id {i} of a shard is {shard[i]} by its place and {ids[i]} in sequence")
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pd.DataFrame({
                     "doc_id": pd.array([None if d == _NULL else d for d in shard.doc_ids.tolist()], dtype="Int64"),
                     "start": ends[:-1] + int(first), "n_tokens": np.diff(ends), "ids_crc32": crc,
                 })
 
-    return shards.join(F.broadcast(starts), "shard").select("payload", "before").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = join_few(shards, _starts(shards), "shard", "inner")
+    return placed.select("payload", "before").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
