@@ -1,22 +1,23 @@
 """Document fingerprints by winnowing (DataFrame functions only).
 
-Tokens are words (runs of characters other than space and \\t..\\r); the hash of a K-gram is that of the hashes of K
-consecutive words. In every window of WINDOW consecutive K-grams the least hash is chosen, the rightmost of equals; its hash
-and position (of its first word) go into the fingerprint. So any K + WINDOW - 1 consecutive words that two texts share leave a
-common hash, with its position in both. (Hashes are compared by their upper 34 bits, which decide the same way wherever
-the window stands; the fingerprint has all 64.)
+Tokens are words (runs of characters other than space and \\t..\\r). The hash of a K-gram is a rolling one: with word hashes h,
+H(i) = h(i) << K-1 ^ h(i+1) << K-2 ^ ... ^ h(i+K-1), so H(i+1) = (H(i) ^ h(i) << K-1) << 1 ^ h(i+K). Columns have no running
+state, so each is evaluated from its own K words, at the same cost. In every window of WINDOW consecutive K-grams the least hash
+(of all 64 bits) is chosen, the rightmost of equals; its hash and position (of its first word) go into the fingerprint. So any
+K + WINDOW - 1 consecutive words that two texts share leave a common hash, with its position in both. The least of a window is
+found by doubling: from the leasts of windows of 1, 2, 4, 8 that of 16.
 
 A text with fewer than K words has one gram of all its words; with fewer than WINDOW grams, one window of them all.
 The fingerprint string lists hash:position (hash in hexadecimal, position in decimal) by position, comma-joined. Likeness is
 the share of distinct hashes that two fingerprints have in common, |A and B| / |A or B|; two empty ones are alike (1.0).
 
 The edited text of a document has its last floor(n/2) code points replaced by the first as many of the next document, in
-ascending doc_id (after the last comes the first). To reach the next document, ids are cut into cells of equal width of about
-CELL documents, each cell is one window sorted by id, and the last of a cell gets the first of the next cell that has rows: one
-shuffle of the texts, and no task needs to hold more than a cell (a denser cell spills).
+ascending doc_id (after the last comes the first). Which document is next is found on ids, hashes and lengths alone: they are dealt
+out by rank, into ranges of about CELL rows whatever gaps the ids have, and each range is ordered by itself. Texts are shuffled once,
+and each sends the one before it no more than the first characters that it takes, and its hashes.
 
-Defined cases: null counts as the empty text (no words, fingerprint ""); null doc_ids come first, in a cell of their own;
-rows that repeat a doc_id follow each other in the order of their texts' hashes; a single document is its own next; an empty
+Defined cases: null counts as the empty text (no words, fingerprint ""); null doc_ids come first; rows that repeat a doc_id
+follow each other in the order of their texts' hashes; equal rows follow each other; a single document is its own next; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -28,35 +29,43 @@ from pyspark.sql import functions as F
 from lectern.llm.common import let, words_of, written
 
 K = 5
-WINDOW = 16  # a multiple of 4
-CELL = 500
-#: Cells to a group whose order is found in one window.
-GROUP = 10_000
-
-_POSITION = (1 << 30) - 1
+WINDOW = 16  # a power of 2
+#: Rows (of ids, not of texts) to a range.
+CELL = 100_000
 
 
 def _grams(words: Column, k: int) -> Column:
     """Hashes of the k-grams of a word array."""
-    each = let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*(F.get(h, i + d) for d in range(k)))),
-    )
+
+    def rolled(h: Column, i: Column) -> Column:
+        out = F.get(h, i + (k - 1))
+        for d in range(k - 1):
+            out = out.bitwiseXOR(F.shiftleft(F.get(h, i + d), k - 1 - d))
+        return out
+
+    each = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: rolled(h, i)))
     whole = F.array(F.xxhash64(F.array_join(words, " ")))
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(F.size(words) < k, whole).otherwise(each)
 
 
 def _chosen(grams: Column, window: int) -> Column:
-    """Positions of the windows' rightmost least hashes, ascending and distinct.
-
-    Keys hold a hash's upper bits and, below, the position counted down, so that the least key is the rightmost of equals.
-    """
-    keys = F.transform(grams, lambda h, j: h.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.lit(_POSITION) - j))
-    fours = lambda x: F.transform(x, lambda _, i: F.least(*(F.get(x, i + d) for d in range(4))))
-    last = F.greatest(F.size(grams) - window, F.lit(0))
-    least = lambda q: F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*(F.get(q, i + d) for d in range(0, window, 4))))
-    found = let(keys, lambda x: let(fours(x), least))
-    at = F.transform(F.array_distinct(found), lambda x: (F.lit(_POSITION) - x.bitwiseAND(F.lit(_POSITION))).cast("int"))
+    """Positions of the windows' rightmost least hashes, ascending and distinct."""
+
+    def doubled(x: Column, best: Column, step: int) -> Column:
+        """From the places of the least of each `step` hashes, those of each 2 * step; what lies beyond the end is null and never less."""
+
+        def less(a: Column, i: Column) -> Column:
+            b = F.get(best, i + step)
+            return F.when(F.get(x, b) <= F.get(x, a), b).otherwise(a)
+
+        return F.transform(best, less)
+
+    def of(x: Column, best: Column, step: int) -> Column:
+        if step == window:
+            return F.array_distinct(F.slice(best, F.lit(1), F.greatest(F.size(x) - window, F.lit(0)) + 1))
+        return let(doubled(x, best, step), lambda q: of(x, q, 2 * step))
+
+    at = let(grams, lambda x: let(F.sequence(F.lit(0), F.size(x) - 1), lambda q: of(x, q, 1)))
     return F.when(F.size(grams) == 0, F.array().cast("array<int>")).otherwise(at)
 
 
@@ -80,37 +89,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def _heads(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """For each cell the first row of the next cell that has rows: cell, head (struct of text and marks)."""
-    grouped = firsts.withColumn("grp", F.floor(F.col("cell") / GROUP))
-    groups = grouped.groupBy("grp").agg(F.min("cell").alias("start"))
-    ring = Window.orderBy("grp")  # one row for each GROUP cells
-    groups = groups.select("grp", F.coalesce(F.lead("start").over(ring), F.first("start").over(ring)).alias("then"))
-    follow = grouped.withColumn("after", F.lead("cell").over(Window.partitionBy("grp").orderBy("cell"))).join(groups, "grp")
-    follow = follow.select(F.col("cell").alias("of"), F.coalesce("after", "then").alias("cell"))
-    own = rows.join(firsts, (rows["cell"] == firsts["cell"]) & rows["doc_id"].eqNullSafe(firsts["first_id"])).select(rows["cell"], "text")
-    own = own.groupBy("cell").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("head", F.struct("text", winnowed(F.col("text")).alias("a")))
-    return follow.join(own, "cell").select(F.col("of").alias("cell"), "head")
+_KEY = ["_own", "_id", "_tie"]
+
+
+def _order(rows: DataFrame, cell: int) -> DataFrame:
+    """For each key (of equal rows) how many rows it has (_m), and key and length of the one before it (_p_own, _p_id, _p_tie, _p_n)."""
+    keys = written(rows.groupBy(*_KEY).agg(F.count("*").alias("_m"), F.first("_n").alias("_n")), "next-keys")
+    dealt = keys.repartitionByRange(max(1, -(-keys.count() // cell)), *_KEY)
+    dealt = written(dealt.withColumn("_cell", F.spark_partition_id()), "next-ranges")
+    here = F.struct(*_KEY, "_n")
+    ends = dealt.groupBy("_cell").agg(F.max(here).alias("_last"))
+    ring = Window.orderBy("_cell")  # one row for each range
+    ends = ends.select("_cell", F.coalesce(F.lag("_last").over(ring), F.max("_last").over(Window.partitionBy())).alias("_end"))
+    before = F.lag(here).over(Window.partitionBy("_cell").orderBy(*_KEY))
+    led = dealt.withColumn("_before", before).join(ends, "_cell").withColumn("_before", F.coalesce("_before", "_end"))
+    return led.select(*_KEY, "_m", *(F.col("_before")[c].alias("_p" + c) for c in (*_KEY, "_n")))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", cell: int = CELL) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, (high - low + 1) * cell // max(n, 1))
-    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"(doc_id - {low or 0}L) div {width}L")).cast("long").alias("cell")
-    firsts = written(ids.select("doc_id", at).groupBy("cell").agg(F.min("doc_id").alias("first_id")), "next-firsts")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", "text", at)
-
-    order = Window.partitionBy("cell").orderBy(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
-    own = rows.select("cell", "doc_id", F.xxhash64("text").alias("_tie"), F.struct("text", winnowed(F.col("text")).alias("a")).alias("own"))
-    led = own.select("cell", "doc_id", "own", F.lead("own").over(order).alias("next"))
-    led = led.join(_heads(rows, firsts), "cell", "left").select("doc_id", "own", F.coalesce("next", "head").alias("next"))
-    size = F.length("own.text")
-    edited = F.concat(
-        F.substring(F.col("own.text"), F.lit(1), size - F.floor(size / 2).cast("int")), F.substring(F.col("next.text"), F.lit(1), F.floor(size / 2).cast("int"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.isNotNull().alias("_own"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(body).alias("_tie"), F.length(body).alias("_n"), body.alias("text"))
+    own = rows.join(written(_order(rows.drop("text"), cell), "next-order"), _KEY).withColumn("_k", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(1))))
+    head = own.where("_k = 1").select(
+        *(F.col("_p" + c).alias(c) for c in _KEY), F.substring(F.col("text"), F.lit(1), F.floor(F.col("_p_n") / 2).cast("int")).alias("_head"), hashes(winnowed(F.col("text"))).alias("_c")
     )
-    cut = led.select("doc_id", size.cast("long").alias("n_chars"), F.col("own.a").alias("a"), hashes(F.col("next.a")).alias("c"), edited.alias("edited"))
+    led = own.join(head, _KEY).withColumn("a", winnowed(F.col("text")))
+    again = F.col("_k") < F.col("_m")  # an equal row comes next
+    half = F.floor(F.col("_n") / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("_n") - half), F.when(again, F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("_head")))
+    cut = led.select(F.when(F.col("_own"), F.col("_id")).alias("doc_id"), F.col("_n").cast("long").alias("n_chars"), "a", F.when(again, hashes(F.col("a"))).otherwise(F.col("_c")).alias("c"), edited.alias("edited"))
     marked = cut.select("doc_id", "n_chars", "a", "c", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnowed(F.col("edited")).alias("b"))
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"),

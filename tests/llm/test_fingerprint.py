@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import xxhash
 from cases import frame, rows
 
 from lectern.llm import fingerprint
@@ -15,33 +16,62 @@ def parsed(s):
     return [(h, int(p)) for h, p in (x.split(":") for x in s.split(",") if x)]
 
 
-def test_against_definition(spark):
-    data = [r for r in rows() if rows().index(r) < len(rows()) and r[0] is not None]
-    seen, unique = set(), []
-    for r in data:
-        if r[0] not in seen:
-            seen.add(r[0])
-            unique.append(r)
-    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, unique), cell=7).collect()}
-    order = sorted(unique)
-    sets = {}
-    for (doc_id, text, *_), (_, after, *_) in zip(order, order[1:] + order[:1], strict=True):
-        text, after, r = text or "", after or "", got[doc_id]
+def fingerprint_of(text):
+    """Hashes and positions, by definition: every gram rolled from the one before, every window looked through."""
+    k, size, full = fingerprint.K, fingerprint.WINDOW, 2**64 - 1
+    spark_hash = lambda x: xxhash.xxh64_intdigest(x.encode(), seed=42)
+    words = WORD.findall(text)
+    if not words:
+        return []
+    if len(words) < k:
+        grams = [spark_hash(" ".join(words))]
+    else:
+        h = [spark_hash(w) for w in words]
+        grams, now = [], 0
+        for i, x in enumerate(h):
+            if i >= k:
+                now ^= h[i - k] << (k - 1) & full
+            now = (now << 1 & full) ^ x
+            if i >= k - 1:
+                grams.append(now)
+    signed = [g - 2**64 if g >> 63 else g for g in grams]
+    windows = [range(i, i + size) for i in range(len(grams) - size + 1)] or [range(len(grams))]
+    at = sorted({max(i for i in w if signed[i] == min(signed[j] for j in w)) for w in windows})
+    return [(f"{grams[i]:x}", i) for i in at]
+
+
+def check(spark, data, **options):
+    got = {}
+    for r in fingerprint.fingerprints(frame(spark, data), **options).collect():
+        got.setdefault((r.doc_id, r.n_chars, r.fingerprint), []).append(r)
+    assert sum(map(len, got.values())) == len(data)
+    tie = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), seed=42)) - (2**64 if x >> 63 else 0)
+    order = sorted(((d, t or "") for d, t, *_ in data), key=lambda x: (x[0] is not None, x[0] or 0, tie(x[1])))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    text_of = lambda marks: ",".join(f"{h}:{p}" for h, p in marks)
+    for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        for t, f in ((text, r.fingerprint), (edited, r.edited_fingerprint)):
-            n = len(WORD.findall(t))
-            grams = 0 if n == 0 else max(1, n - fingerprint.K + 1)
-            at = [p for _, p in parsed(f)]
-            assert at == sorted(set(at)) and all(p < grams for p in at)
-            assert all(any(i <= p < i + fingerprint.WINDOW for p in at) for i in range(max(1, grams - fingerprint.WINDOW + 1)) if grams)
-        sets[doc_id] = {h for h, _ in parsed(r.fingerprint)}
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for (doc_id, *_), (other, *_) in zip(order, order[1:] + order[:1], strict=True):
-        r = got[doc_id]
-        assert abs(r.near_next - like(sets[doc_id], sets[other])) < 1e-12
-        assert abs(r.near_edited - like(sets[doc_id], {h for h, _ in parsed(r.edited_fingerprint)})) < 1e-12
+        marks, other = fingerprint_of(text), fingerprint_of(edited)
+        want = hashlib.sha256(edited.encode()).hexdigest(), text_of(other)
+        alike = like(*({h for h, _ in m} for m in (marks, other))), like(*({h for h, _ in m} for m in (marks, fingerprint_of(after))))
+        mine = got[doc_id, len(text), text_of(marks)]
+        found = [r for r in mine if (r.edited_sha256, r.edited_fingerprint) == want and abs(r.near_edited - alike[0]) + abs(r.near_next - alike[1]) < 1e-12]
+        assert found
+        mine.remove(found[0])
+
+
+def test_against_definition(spark):
+    check(spark, rows(), cell=7)
+
+
+def test_ids_of_all_kinds(spark):
+    made = lambda ids: [(d, f"text number {i} of them " * (i % 9), "en", "a", 0, *"wdky", 1) for i, d in enumerate(ids)]
+    check(spark, made([1, 2**62, 9 * 10**18, -(2**63), -5, 2**63 - 1]), cell=2)
+    check(spark, made([None] * 20), cell=3)
+    check(spark, made([4] * 20), cell=3)
+    check(spark, made([*range(30), 10**17, *range(10**17 + 5, 10**17 + 40)]), cell=10)
+    check(spark, [(4, "same text", "en", "a", 0, *"wdky", 1)] * 5 + [(9, "another one", "en", "a", 0, *"wdky", 1)] * 2, cell=1)
 
 
 def test_rightmost_and_match_guarantee(spark):
