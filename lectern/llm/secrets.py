@@ -4,12 +4,17 @@ Base spans, leftmost and non-overlapping for each kind:
   assign  a sensitive word, an optional quote, = or :, and a value of 6 or more characters,
   access  an AKIA key of 20 or more characters,
   hex     a run of 24 or more lower-case hexadecimal digits.
-The lexer adds spans of kind "literal". It parses name-literal pairs (name = "text", "name": "text", name: text at the start of
-a line, NAME=text, <name>text</name>, --name text), follows constants (a literal bound to a plain name that is later
-assigned to a sensitive name), and scores each literal by the target's name and by its own form; only literals of score
-MIN_SCORE or more become spans. A literal reaches to its closing quote, tag or blank, whatever its length, in linear time. What a
-quoted or tagged literal holds is lexed too, with names of its own, and so are the parameters (?name=text&name=text) of others.
-A base span is never dropped or changed.
+The lexer adds spans of kind "literal". It reads source and configuration text as tokens (names, plain or dotted; quoted strings with
+escapes, also triple ones; comments; brackets; tags with attributes; YAML blocks) and forms pairs of a name and a value:
+  name = value, name: value, name: type = value, name == value, "name": value, x["name"] = value, NAME=value, --name value,
+  <name>value</name>, <tag name="value">, <tag key="name" value="value">, name: | and an indented block,
+  and, within the brackets of a value, its items and arguments (name = f("literal"), "names": {"x": "literal"}).
+A value is a chain of terms joined by + or by standing side by side. Strings and bare words are literals; names, plain or dotted, stand
+for the literals that were bound to them before (constant propagation); calls and subscripts stand for nothing. The literals of
+a chain are scored together, by the target's name (with those of the brackets around it) and by their own form, and if the score
+reaches MIN_SCORE each becomes a span. Literals have any length and are read in linear time. What strings hold is lexed too,
+with names of its own. A comment is lexed by itself: what it assigns is told, but bound for nothing outside. Lines without
+a separator are passed over unless a sensitive bracket is open. A base span is never dropped or changed.
 
 Offsets are code points, ends exclusive. Defined cases: null counts as the empty text (no spans); equal rows give equal
 results; an empty table gives an empty result; other columns are ignored (scan) or kept (redact).
@@ -21,6 +26,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,20 +52,37 @@ NAME_PARTS = {
 PLACEHOLDERS = {"changeme", "example", "placeholder", "redacted", "password", "secret", "token", "none", "null", "true", "false", "undefined", "xxxxxx", "your_password", "your_token", "your_api_key"}
 
 # Possessive, so each is read once; names and literals have any length.
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
-_HEAD = re.compile(
-    rf"""(?P<q>["'])(?P<qname>{_NAME})(?P=q)\s*+:\s*+(?=["'])"""
-    rf"""|(?<![\w.-])(?P<name>{_NAME})[ \t]*+(?::=|=>|=|:)[ \t]*+"""
-    rf"""|<(?P<tag>{_NAME})>"""
-    rf"""|(?<!\S)--(?P<flag>{_NAME})[ \t]++"""
+_WORD = r"[A-Za-z_$@][\w$]*+(?:(?:\.|->|::|-)[\w$]++)*+"
+_COMMENT = r"(?P<comment>(?:(?<!\S)\#|(?<![:\w/])//|(?<!\S)--(?=[ \t]))[^\n]*+)|(?P<block>/\*|<!--)|"
+_CODE = (
+    r"""(?P<line>\n)"""
+    r"""|(?P<string>(?<![\w\\])[bfruBFRU]{0,2}(?:\"{3}|'{3}|["'`]))"""
+    r"""|<(?P<tag>[A-Za-z_][\w.:-]*+)"""
+    r"""|(?<!\S)--(?P<flag>[A-Za-z][\w-]*+)(?P<after>=|[ \t]++)"""
+    rf"""|(?P<name>{_WORD})"""
+    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])"""
 )
-_QUOTED = {'"': re.compile(r'"([^"\n]++)"'), "'": re.compile(r"'([^'\n]++)'")}
+_TOKEN, _COMMENTED = re.compile(_COMMENT + _CODE), re.compile(_CODE)  # a comment holds no other
+_QUOTED = {'"': re.compile(r'"((?:[^"\\\n]++|\\.)*+)"'), "'": re.compile(r"'((?:[^'\\\n]++|\\.)*+)'"), "`": re.compile(r"`((?:[^`\\\n]++|\\.)*+)`")}
+_PREFIX = re.compile(r"[bfruBFRU]{0,2}(?=[\"'`])")
+_NAME = re.compile(_WORD)
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
-_TAGGED = re.compile(r"([^<>\n]++)</")
 _FLAGGED = re.compile(r"""[^\s"'`,;]++""")
-_PARAMETER = re.compile(rf"(?<=[?&])({_NAME})=([^?&]++)")
+_SEPARATOR = re.compile(r"[ \t]*+(?::=|=>|={1,3}|:(?!:))[ \t]*+")
+_TYPED = re.compile(r"[A-Za-z_][\w.]*+(?:\[[^\]\n]*+\])?[ \t]*+=(?!=)[ \t]*+")
+_KEYED = re.compile(r"\s*+(?::|=>)\s*+")
+_SUBSCRIPT = re.compile(r"\][ \t]*+={1,3}[ \t]*+")
+_JOINED = re.compile(r"\s*+\+\s*+|[ \t]*+\\\n[ \t]*+|[ \t]*+(?=[\"'])")
+_JOINED_INSIDE = re.compile(r"\s*+\+\s*+|[ \t]*+\\\n[ \t]*+|\s*+(?=[\"'])")
+_BLOCK = re.compile(r"[|>][+-]?\d?[+-]?[ \t]*+\n")
+_INDENT = re.compile(r"[ \t]*+")
+_ATTRIBUTE = re.compile(r"""\s*+/?(?P<name>[A-Za-z_][\w.:-]*+)\s*+=\s*+""")
+_TAGGED = re.compile(r"\s*+>([^<>]++)</")
+_MARK = re.compile(r"[=:<]|--|/\*|\"{3}|'{3}")
+_PARAMETER = re.compile(r"(?<=[?&])([A-Za-z_][A-Za-z0-9_.-]*+)=([^?&]++)")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_PLAIN = re.compile(r"[A-Za-z_]\w*\Z")
+_CLOSES = {"(": ")", "[": "]", "{": "}"}
+_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,11 +98,13 @@ def name_score(name: str) -> float:
     """How sensitive the target of an assignment is, from the parts of its name."""
     parts = [p.lower() for p in _SPLIT.findall(name)]
     joined = [a + b for a, b in zip(parts, parts[1:], strict=False)]
-    return max([0.0, *(NAME_PARTS.get(p, 0.0) for p in parts + joined)])
+    return max([0.0, *(NAME_PARTS.get(p, NAME_PARTS.get(p.removesuffix("s"), 0.0)) for p in parts + joined)])
 
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: mixed classes and entropy raise, words and references lower."""
+    if "PRIVATE KEY-----" in value:
+        return 1.0
     if len(value) < 6 or value.lower() in PLACEHOLDERS or " " in value or value.startswith(("$", "{", "<", "%", "http://", "https://", "/")):
         return -1.0
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -87,60 +112,241 @@ def literal_score(value: str) -> float:
     return 0.2 * (classes - 1) + (0.3 if entropy >= 3 else 0.0) + (0.2 if len(value) >= 16 else 0.0)
 
 
-def _literal(text: str, m: re.Match, stop: int) -> tuple[int, int, int, bool] | None:
-    """Start and end of the literal after a name, where to read on, and whether quotes or tags delimit it."""
-    at = m.end()
-    if m["tag"] is not None:
-        v = _TAGGED.match(text, at, stop)
-        close = m["tag"] + ">"
-        if not v or not text.startswith(close, v.end()) or v.end() + len(close) > stop:
+#: What undelimited literals need above MIN_SCORE.
+_BARE_MORE = 0.4
+
+Part = tuple[int, int, str]  # start, end and value of a literal
+
+
+class _Frame(NamedTuple):
+    """An open bracket: what closes it, the name whose value it is in, how sensitive that is, and whether any open one is sensitive."""
+
+    close: str
+    target: str
+    score: float
+    armed: bool
+
+    @classmethod
+    def within(cls, frames: list, bracket: str, target: str) -> _Frame:
+        last = frames[-1] if frames else cls("", "", 0.0, False)
+        score = max(name_score(target), last.score if bracket != "(" or target == last.target else 0.0)
+        return cls(_CLOSES[bracket], target, score, last.armed or score > 0)
+
+
+class _Lexer:
+    """Reads a text once and gathers the spans of literals that reach sensitive names."""
+
+    def __init__(self, text: str):
+        self.text, self.out = text, set()
+        self.absent: set[str] = set()  # closing marks that don't come any more
+        self.block_end = 0
+
+    def judge(self, name: str, parts: list[Part], least: float = MIN_SCORE, around: float = 0.0) -> None:
+        """around: how sensitive the brackets around the pair are."""
+        sensitive = max(around, name_score(name)) if parts else 0.0
+        if sensitive and sensitive + literal_score("".join(p[2] for p in parts)) >= least:
+            self.out.update((a, b, KINDS[3]) for a, b, _ in parts if a < b)
+
+    def string(self, at: int, stop: int) -> tuple[int, int, int] | None:
+        """Start, end and what follows of the string whose quotes open at `at`."""
+        quote = self.text[at : at + 3]
+        if len(quote) == 3 and quote in ("'" * 3, '"' * 3):
+            end = self.find(quote, at + 3, stop)
+            return (at + 3, end, end + 3) if end >= 0 else None
+        m = _QUOTED[quote[0]].match(self.text, at, stop)
+        return (*m.span(1), m.end()) if m else None
+
+    def find(self, mark: str, at: int, stop: int) -> int:
+        if mark in self.absent:
+            return -1
+        end = self.text.find(mark, at)
+        if end < 0:
+            self.absent.add(mark)
+        return end if 0 <= end <= stop - len(mark) else -1
+
+    def inside(self, start: int, end: int, scopes: tuple[dict, ...], comments: bool) -> None:
+        """Lexes what a string holds."""
+        if end - start > 6 and _MARK.search(self.text, start, end):
+            self.lex(start, end, ({}, *scopes), comments)
+
+    @staticmethod
+    def resolve(name: str, scopes: tuple[dict, ...]) -> list[Part] | None:
+        for key in (name, name.rpartition(".")[2]):
+            for scope in scopes:
+                if key in scope:
+                    return scope[key]
+        return None
+
+    def value(self, target: str, at: int, stop: int, scopes: tuple[dict, ...], frames: list, comments: bool, bare: re.Pattern = _BARE) -> int:
+        """Reads the value of target from `at`, judges and binds it, and returns where to read on."""
+        text, parts, delimited, known = self.text, [], False, True
+        around = frames[-1].score if frames and frames[-1].close != ")" else 0.0
+        joined = _JOINED_INSIDE if frames else _JOINED
+        while True:
+            quote = _PREFIX.match(text, at, stop).end() if _PREFIX.match(text, at, stop) else at
+            if text[quote : quote + 1] in _QUOTED and quote < stop and (found := self.string(quote, stop)):
+                start, end, at = found
+                parts.append((start, end, _ESCAPED.sub(r"\1", text[start:end])))
+                delimited = True
+                self.inside(start, end, scopes, comments)
+            else:
+                m = bare.match(text, at, stop)
+                word = m[0] if m else ""
+                names = [w for w in word.rstrip(":").split("+") if w]
+                opens = text[at + len(word) : at + len(word) + 1] in _CLOSES and at + len(word) < stop
+                if names and all(_NAME.fullmatch(w) for w in names):
+                    found = [None if opens else self.resolve(w, scopes) for w in names]
+                    parts += [p for f in found if f for p in f]
+                    delimited |= any(found)
+                    known &= all(found)
+                    if opens:  # a call or a subscript
+                        frames.append(_Frame.within(frames, text[m.end()], target))
+                        at = m.end() + 1
+                        break
+                    if not any(found) and not parts and re.search(r"\d", word):  # no name that is known: a literal
+                        parts, known = [(at, m.end(), word)], True
+                        at = m.end()
+                        break
+                    at = m.end()
+                    if word.endswith("+"):
+                        continue
+                elif word:
+                    for p in _PARAMETER.finditer(text, *m.span()):
+                        self.judge(p[1], [(*p.span(2), p[2])], MIN_SCORE + _BARE_MORE)
+                    if not parts:
+                        parts.append((*m.span(), word))
+                    at = m.end()
+                    break
+                elif opens and not parts:
+                    frames.append(_Frame.within(frames, text[at], target))
+                    return at + 1
+                else:
+                    break
+            m = joined.match(text, at, stop)
+            if not m or (m.end() == m.start() and text[at : at + 1] not in _QUOTED):
+                break
+            at = m.end()
+        self.judge(target, parts, MIN_SCORE if delimited else MIN_SCORE + _BARE_MORE, around)
+        if parts and known:
+            scopes[0][target] = parts
+        return at
+
+    def yaml(self, target: str, head: int, at: int, stop: int) -> int | None:
+        """The block of indented lines after `target: |`; None where there is none."""
+        text = self.text
+        m = _BLOCK.match(text, at, stop)
+        if not m:
             return None
-        start, end = v.span(1)
-        if end - start >= 2 and text[start] in "\"'" and text[end - 1] == text[start]:
-            start, end = start + 1, end - 1
-        return start, end, v.end() + len(close), True
-    if m["flag"] is None and text[at : at + 1] in _QUOTED:
-        v = _QUOTED[text[at]].match(text, at, stop)
-        return (*v.span(1), v.end(), True) if v else None
-    v = (_BARE if m["flag"] is None else _FLAGGED).match(text, at, stop)
-    return (*v.span(), v.end(), False) if v else None
+        line = text.rfind("\n", 0, head) + 1
+        indent = _INDENT.match(text, line).end() - line
+        begin = end = at = m.end()
+        lines = []
+        while at < stop and at >= self.block_end:
+            to = text.find("\n", at, stop)
+            to = stop if to < 0 else to
+            own = _INDENT.match(text, at, to).end()
+            if own < to and own - at <= indent:
+                break
+            if own < to:
+                begin = begin if lines else own
+                end = to
+                lines.append(text[own:to].rstrip())
+            at = to + 1
+        if lines:
+            self.block_end = at
+            self.judge(target, [(begin, end, "".join(lines))])
+        return m.end()
+
+    def tag(self, name: str, at: int, stop: int, scopes: tuple[dict, ...], comments: bool) -> int:
+        """Attributes of an element, and its text if it has nothing else."""
+        text, found = self.text, {}
+        while m := _ATTRIBUTE.match(text, at, stop):
+            s = self.string(m.end(), stop) if text[m.end() : m.end() + 1] in _QUOTED else None
+            if not s:
+                break
+            self.judge(m["name"], [(s[0], s[1], text[s[0] : s[1]])])
+            found[m["name"].lower()] = s[0], s[1], text[s[0] : s[1]]
+            self.inside(s[0], s[1], scopes, comments)
+            at = s[2]
+        said = [found[k][2] for k in ("key", "name", "id") if k in found]
+        for k in said if "value" in found else []:
+            self.judge(k, [found["value"]])
+        m = _TAGGED.match(text, at, stop)
+        if m and text.startswith(name + ">", m.end()):
+            start, end = m.span(1)
+            while start < end and text[start] in " \t\n\"'":
+                start += 1
+            while end > start and text[end - 1] in " \t\n\"'":
+                end -= 1
+            for k in [name, *said]:
+                self.judge(k, [(start, end, text[start:end])])
+            scopes[0][name] = [(start, end, text[start:end])]
+            self.inside(start, end, scopes, comments)
+            at = m.end()
+        return at
+
+    def lex(self, at: int, stop: int, scopes: tuple[dict, ...], comments: bool = True) -> None:
+        text, frames, token = self.text, [], _TOKEN if comments else _COMMENTED
+        while True:
+            m = token.search(text, at, stop)
+            if not m:
+                return
+            kind, begin, at = m.lastgroup, m.start(), m.end()
+            if kind == "line":
+                if not (frames and frames[-1].armed):  # to the next line that may assign something
+                    frames.clear()
+                    mark = _MARK.search(text, at, stop)
+                    if not mark:
+                        return
+                    at = max(at, text.rfind("\n", at, mark.start()) + 1)
+            elif kind == "comment":
+                self.lex(begin + 1, at, ({},), False)
+            elif kind == "block":
+                mark = "*/" if m[0] == "/*" else "-->"
+                end = self.find(mark, at, stop)
+                if end >= 0:
+                    self.lex(at, end, ({},), False)
+                    at = end + len(mark)
+            elif kind == "string":
+                quote = _PREFIX.match(text, begin, stop).end()
+                found = self.string(quote, stop)
+                if not found:
+                    at = quote + 1
+                    continue
+                start, end, after = found
+                key, sub = _KEYED.match(text, after, stop), _SUBSCRIPT.match(text, after, stop)
+                if (key or sub) and _NAME.fullmatch(text, start, end):
+                    if sub and frames:
+                        frames.pop()
+                    at = self.value(text[start:end], (key or sub).end(), stop, scopes, frames, comments)
+                elif frames and frames[-1].score:
+                    at = self.value(frames[-1].target, begin, stop, scopes, frames, comments)
+                else:
+                    self.inside(start, end, scopes, comments)
+                    at = after
+            elif kind == "tag":
+                at = self.tag(m["tag"], at, stop, scopes, comments)
+            elif kind == "after":
+                at = self.value(m["flag"], at, stop, scopes, frames, comments, _FLAGGED)
+            elif kind == "name":
+                sep = _SEPARATOR.match(text, at, stop)
+                if sep:
+                    block = self.yaml(m["name"], begin, sep.end(), stop) if ":" in sep[0] else None
+                    typed = _TYPED.match(text, sep.end(), stop) if ":" in sep[0] else None
+                    at = block or self.value(m["name"], (typed or sep).end(), stop, scopes, frames, comments)
+            elif kind == "open":
+                frames.append(_Frame.within(frames, m[0], frames[-1].target if frames else ""))
+            elif frames and frames[-1].close == m[0]:
+                frames.pop()
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through names bound to them before, in order of start."""
-    if not ("=" in text or ":" in text or "<" in text or "--" in text):
+    if not _MARK.search(text):
         return []
-    out = set()
-
-    def judge(name: str, start: int, end: int, value: str, least: float) -> None:
-        sensitive = name_score(name)
-        if sensitive and sensitive + literal_score(value) >= least:
-            out.add((start, end, KINDS[3]))
-
-    def lex(at: int, stop: int, scopes: tuple[dict, ...]) -> None:
-        # Delimiters don't nest in themselves, so a place is read a few times at most, however deep the literals lie.
-        bound = scopes[0]
-        while m := _HEAD.search(text, at, stop):
-            found = _literal(text, m, stop)
-            if not found:
-                at = m.end()
-                continue
-            start, end, at, delimited = found
-            name = m["qname"] or m["name"] or m["tag"] or m["flag"]
-            value = text[start:end]
-            if delimited:
-                lex(start, end, ({}, *scopes))
-            else:
-                for p in _PARAMETER.finditer(text, start, end):
-                    judge(p[1], *p.span(2), p[2], MIN_SCORE + 0.4)
-            quoted = delimited and text[start - 1] in "\"'"
-            if not quoted and _PLAIN.match(value):
-                start, end, value = next((s[value] for s in scopes if value in s), (start, end, value))
-            bound[name] = start, end, value
-            judge(name, start, end, value, MIN_SCORE + (0.0 if delimited else 0.4))
-
-    lex(0, len(text), ({},))
-    return sorted(out)
+    lexer = _Lexer(text)
+    lexer.lex(0, len(text), ({},))
+    return sorted(lexer.out)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

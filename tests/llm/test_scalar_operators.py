@@ -1,12 +1,14 @@
 """Operators that work row by row, against plain readings of their definitions."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from cases import frame, rows
 
 from lectern.llm import bpe, dac, mixing, quality, secrets
@@ -102,6 +104,62 @@ def test_secret_lexer():
     assert secrets.masked("a token=abcdef123 b", secrets.all_spans("a token=abcdef123 b")[1]) == f"a {secrets.MASK} b"
 
 
+LEXED = [
+    ('pwd = "abc\\"Def9128-xyzQ"', ['abc\\"Def9128-xyzQ']),
+    ('pwd = "Zq91-hun" + "ter2-8812"', ["Zq91-hun", "ter2-8812"]),
+    ("pwd: |\n  Zq91-hun\n  ter2-8812\nx: y", ["Zq91-hun\n  ter2-8812"]),
+    ("pwd: >-\n    Zq91hunter2-8812\n", ["Zq91hunter2-8812"]),
+    ('<add key="pwd" value="Zq91hunter2-8812"/>', ["Zq91hunter2-8812"]),
+    ('<string name="db_pwd">Zq91hunter2-8812</string>', ["Zq91hunter2-8812"]),
+    ('pwd=os.environ.get("X", "Zq91hunter2-8812")', ["Zq91hunter2-8812"]),
+    ('# pwd = "Zq91hunter2-8812"\n', ["Zq91hunter2-8812"]),
+    ("# x = 'Zq91hunter2-8812'\npwd = x", []),
+    ("x = 'Zq91hunter2-8812' # x = 'other'\npwd = x", ["Zq91hunter2-8812"]),
+    ("x = 1 // db_pwd: Zq91hunter2-8812", ["Zq91hunter2-8812"]),
+    ('cfg["pwd"] = "Zq91hunter2-8812"', ["Zq91hunter2-8812"]),
+    ('pwd: str = "Zq91hunter2-8812"', ["Zq91hunter2-8812"]),
+    ("if pwd == 'Zq91hunter2-8812': pass", ["Zq91hunter2-8812"]),
+    ('credentials = {"user": "bob", "x": "Zq91hunter2-8812"}', ["Zq91hunter2-8812"]),
+    ('passwords = [\n "Zq91hunter2-8812",\n\n "Xy91hunter2-8812"]', ["Zq91hunter2-8812", "Xy91hunter2-8812"]),
+    ('a = "Zq91-hun"\nb = a + "ter2-8812"\nself.passphrase = b', ["Zq91-hun", "ter2-8812"]),
+    ('class A:\n  X = "Zq91hunter2-8812"\nx.db_pwd = A.X', ["Zq91hunter2-8812"]),
+    ('PWD = """Zq91hunter2\n-8812"""', ["Zq91hunter2\n-8812"]),
+    ('pwd = (\n  "Zq91hunter2-"\n  "8812xy")', ["Zq91hunter2-", "8812xy"]),
+    ("dbPwd := `Zq91hunter2-8812`", ["Zq91hunter2-8812"]),
+    ('f(db_pwd="Zq91hunter2-8812", n=3)', ["Zq91hunter2-8812"]),
+    ('curl -H "db_pwd: Zq91hunter2-8812" http://x', ["Zq91hunter2-8812"]),
+    ("export DB_PWD=Zq91hunter2-8812", ["Zq91hunter2-8812"]),
+    ("db_pwd = userInput", []), ("pwd = get_value(1)", []), ("pwd = cfg['x']", []), ("pwd == other", []), ("", []), ("<pwd/>", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LEXED)
+def test_lexer_reads_syntax(text, want):
+    for before, after in (("", ""), ("Some prose, it's here.\n\n", "\nand there"), ('x = {"a": [1, 2]}\n', "\n}\n")):
+        whole = before + text + after
+        assert [whole[a:b] for a, b, _ in secrets.literal_spans(whole)] == want
+
+
+def test_literals_against_a_plain_generator():
+    """Texts made of known pairs of a name and a literal, in every form: the spans are exactly the literals of sensitive names."""
+    rnd = random.Random(12)
+    forms = [
+        "{n} = '{v}'", '{n}: "{v}"', '"{n}": "{v}",', "{n}={v}", "<{n}>{v}</{n}>", '<e key="{n}" value="{v}"/>', "--{n} {v}", 'c["{n}"] = "{v}"', "{n}: |\n    {v}", "tmp_x = '{v}'\no.{n} = tmp_x",
+        "{n} = f('', '{v}')", "// {n} = '{v}'", "let {n}: string = `{v}`;", "{n} = [\n  '{v}'\n]",
+    ]
+    letters = "abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ"
+    for _ in range(300):
+        lines, want = [], []
+        for _ in range(rnd.randint(1, 12)):
+            value = "".join(rnd.choice(letters) for _ in range(12)) + str(rnd.randrange(1000, 9999)) + "-" + "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 400)))
+            name = rnd.choice(["db_pwd", "passphrase", "privateKey", "colour", "title", "count_x"])
+            lines.append(rnd.choice(forms).format(n=name, v=value))
+            want += [value] if name in ("db_pwd", "passphrase", "privateKey") else []
+            lines.append(rnd.choice(["plain prose, no more", "", "it's 5 < 6", "x = 1"]))
+        text = "\n".join(lines)
+        assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == want, text
+
+
 def test_secret_literals_of_any_length(spark):
     lit = lambda t: [t[a:b] for a, b, _ in secrets.literal_spans(t)]
     texts, wanted = [], []
@@ -121,7 +179,7 @@ def test_secret_literals_of_any_length(spark):
     for i, (t, v) in enumerate(zip(texts, wanted, strict=True)):
         assert f"literal:{t.index(v)}:{t.index(v) + len(v)}" in spans[i]
         assert masked[i] == t.replace(v, secrets.MASK)
-    for hard in ("pwd=" * 250_000, "a: " * 300_000, "a='" * 300_000, "<a>" * 300_000, "--a " * 250_000, "x" * 10**6, '"a"' + " " * 10**6, "pwd=?" * 200_000):
+    for hard in ("pwd=" * 250_000, "a: " * 300_000, "a='" * 300_000, "<a>" * 300_000, "--a " * 250_000, "x" * 10**6, '"a"' + " " * 10**6, "pwd=?" * 200_000, "/*" * 300_000, "pwd=f(" * 150_000, "'''" * 300_000, "pwd:|\n" * 150_000, 'pwd="a"+' * 150_000, '{"pwd":' * 100_000):
         start = time.process_time()
         secrets.literal_spans(hard)
         assert time.process_time() - start < 20
@@ -161,8 +219,24 @@ def test_word_encoder():
     real = dac.tokenizer(dac.default_path())
     for memo in (8, 300, dac.MEMO):
         coder = dac.WordEncoder(dac.default_path(), memo=memo)
-        for text in texts if memo > 8 else texts[:60]:
-            assert np.frombuffer(coder(text), coder.dtype).tolist() == real.encode(text, add_special_tokens=False).ids, text
+        some = texts if memo > 8 else texts[:60]
+        want = [real.encode(text, add_special_tokens=False).ids for text in some]
+        for piece in (dac.PIECE, 50):  # whole, and texts in pieces
+            ids, counts = coder([*some, None], piece)
+            assert ids.tolist() == sum(want, []) and counts.tolist() == [*map(len, want), 0]
+
+
+def test_dac_of_null_and_repeated_ids_and_long_texts(spark):
+    long = "lorem ipsum dolor " * 300_000
+    data = [(None, f"text {i}", "en", "a", 0, *"wdky", 1) for i in range(60)] + [(7, f"text {i % 50}", "en", "a", 0, *"wdky", 1) for i in range(90)] + [(9, long, "en", "a", 0, *"wdky", 1)]
+    shards = dac.write_shards(frame(spark, data), shard_docs=10, shard_ids=1000)
+    sizes = [r.documents for r in shards.collect()]
+    assert len(sizes) > 8 and sum(sizes) == 151
+    got = dac.read_digests(shards).collect()
+    n = len(dac.tokenizer(dac.default_path()).encode("lorem ipsum dolor", add_special_tokens=False).ids)
+    assert [r.n_tokens for r in got if r.doc_id == 9] == [300_000 * n + 1]
+    assert sorted(r.start for r in got)[-1] == sum(r.n_tokens for r in got) - 300_000 * n - 1
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 60 + [7] * 90 + [9]
 
 
 def test_mixing_targets():
