@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import cards, context, keeping, library, status, streams, structure, texts
+from lectern.plans import cards, context, keeping, library, records, status, streams, structure, texts
 
-_PLANS = (cards, context, keeping, library, status, streams, structure, texts)
+_PLANS = (cards, context, keeping, library, records, status, streams, structure, texts)
 
 
 def queries() -> dict:

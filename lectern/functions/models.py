@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Provider = Callable[[str], str]
@@ -35,6 +35,26 @@ def stub(prompt: str) -> str:
 register_provider(FALLBACK, stub)
 
 
+# Parts of the names of models that read images.
+VISION = ("vision", "-vl", "vl-", "vlm", "llava", "gpt-4o", "gemini", "claude-3")
+
+
+def is_vision(model: Column) -> Column:
+    """Whether a model reads images, from its name."""
+    return F.coalesce(F.lower(model).rlike("|".join(VISION)), F.lit(False))
+
+
+def env_overrides(configured: DataFrame, names: DataFrame, env: DataFrame) -> DataFrame:
+    """Providers (id, api_key) with keys from the environment (name, value) in place of saved ones, and from_env.
+
+    names (id, n, name) lists the variables of each provider in order of preference; PROVIDER_<ID>_API_KEY comes last.
+    """
+    known = env.select("name", F.trim("value").alias("value")).where("value <> ''")
+    general = configured.select("id", F.lit(2**31 - 1).alias("n"), F.concat(F.lit("PROVIDER_"), F.upper("id"), F.lit("_API_KEY")).alias("name"))
+    best = names.select("id", "n", "name").unionByName(general).join(known, "name").groupBy("id").agg(F.min_by("value", "n").alias("_key"))
+    return configured.join(best, "id", "left").select("id", F.coalesce("_key", "api_key").alias("api_key"), F.col("_key").isNotNull().alias("from_env"))
+
+
 def resolve_setting(*choices: Column) -> Column:
     """First choice that isn't blank: the task's, the document's, the general one, the fallback."""
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in choices))

@@ -370,6 +370,20 @@ def safe_filename(x: Column) -> Column:
     return F.regexp_replace(x, r"[^\p{L}\p{N} ._\-]", "")
 
 
+# Forms of document ids and image names.
+DOC_ID, IMAGE_NAME = r"^[A-Za-z0-9_-]+$", r"(?is)^.+\.(png|jpg|jpeg|webp|gif|bmp|svg)$"
+
+
+def is_valid_doc_id(x: Column) -> Column:
+    return F.coalesce(x.rlike(DOC_ID) & ~x.contains("\n"), F.lit(False))
+
+
+def is_valid_image_name(x: Column) -> Column:
+    """Names without folders or dots that lead out of one, with an image's extension."""
+    s = strip(x)
+    return F.coalesce(~s.rlike(r"[/\\]|\.\.") & s.rlike(IMAGE_NAME), F.lit(False))
+
+
 def mask_secret(x: Column) -> Column:
     s = strip(x)
     return F.when(F.coalesce(s, F.lit("")) == "", "").when(F.length(s) <= 4, "****").otherwise(F.concat(F.lit("****"), F.right(s, F.lit(4))))

@@ -79,6 +79,13 @@ def rewrite(paragraphs: DataFrame, mapping: DataFrame, doc: str = "doc_id") -> D
     return out.select(paragraphs.columns)
 
 
+def apply_plan(paragraphs: DataFrame, plans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Paragraphs rewritten by the rules of a model's plan (doc, plan: JSON with rules of from and to), longest `from` first; what isn't JSON does nothing."""
+    rules = F.from_json("plan", "rules array<struct<`from`:string,`to`:string>>")["rules"]
+    each = plans.select(doc, F.explode(rules).alias("r")).where(F.coalesce(F.col("r")["from"], F.lit("")) != "")
+    return rewrite(paragraphs, each.select(doc, F.col("r")["from"].alias("raw"), F.coalesce(F.col("r")["to"], F.lit("")).alias("path")).distinct(), doc)
+
+
 def single_flight(requests: DataFrame, key: str, order: str) -> DataFrame:
     """The first request for each key: later ones for the same key share its work."""
     w = Window.partitionBy(key).orderBy(order)

@@ -100,12 +100,17 @@ def create_cards(cards: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_cards(cards: DataFrame, changes: DataFrame) -> DataFrame:
-    """Cards with changed front, back, type or chapter where given; a blank front is ignored."""
-    c = changes.select("id", *(F.col(k).alias(f"_{k}") for k in ("front", "back", "type", "chapter_id")))
+    """Cards with changed front, back, type, chapter or tags (text) where given; a blank front and an unknown type are ignored."""
+    from lectern.functions.text import split_tags
+
+    c = changes.select("id", *(F.col(k).alias(f"_{k}") for k in ("front", "back", "type", "chapter_id", "tags")))
+    given = {
+        "front": F.nullif(strip(F.col("_front")), F.lit("")), "back": strip(F.col("_back")), "type": F.when(F.col("_type").isin("qa", "cloze"), F.col("_type")),
+        "chapter_id": F.col("_chapter_id"), "tags": F.when(F.col("_tags").isNotNull(), split_tags(F.col("_tags"))),
+    }
     out = cards.join(c, "id", "left")
-    out = out.withColumn("front", F.coalesce(F.nullif(strip(F.col("_front")), F.lit("")), "front"))
-    for k in ("back", "type", "chapter_id"):
-        out = out.withColumn(k, F.coalesce(f"_{k}", k))
+    for k, v in given.items():
+        out = out.withColumn(k, F.coalesce(v, k))
     return out.select(cards.columns)
 
 

@@ -43,6 +43,16 @@ def last_readable(rows: DataFrame, keys: list[str], order: str, value: str, extr
     return rows.withColumn("previous", F.last(F.when(ok, F.struct(value, *extra)), ignorenulls=True).over(w))
 
 
+def is_image() -> Column:
+    """Whether a paragraph is, or holds, an image."""
+    return F.coalesce(F.col("type").isin("scanned_page", "image"), F.lit(False)) | (F.coalesce("image_url", F.lit("")) != "") | F.coalesce(F.col("english").contains("!["), F.lit(False))
+
+
+def needs_extraction(force: bool = False) -> Column:
+    """Images whose text hasn't been read yet, or all of them."""
+    return is_image() & (F.lit(force) | (F.coalesce("extracted_text", F.lit("")) == ""))
+
+
 def ordered_text(order: str, text: Column, separator: str = "\n\n") -> Column:
     """Aggregate: texts in order, joined."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), separator)

@@ -184,9 +184,9 @@ def append_messages(history: DataFrame, new: DataFrame, chat: str, order: str) -
 
 
 def pause_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents with those in work and listed set to paused; nothing else of them changes."""
+    """Documents with those that are listed and being translated set to paused; nothing else of them changes."""
     hit = documents.join(keys.select("doc_id", F.lit(True).alias("_hit")).distinct(), "doc_id", "left")
-    return hit.withColumn("status", F.when(F.col("_hit") & F.col("status").isin("processing", "extracting"), "paused").otherwise(F.col("status"))).select(documents.columns)
+    return hit.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "translating"), "paused").otherwise(F.col("status"))).select(documents.columns)
 
 
 def normalized_messages(messages: DataFrame, images: DataFrame | None = None) -> DataFrame:

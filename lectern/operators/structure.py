@@ -115,6 +115,35 @@ def without_running_lines(lines: DataFrame, doc: str, page: str, band: str, text
     return body.join(running_lines(lines, doc, page, band, text), [doc, band, text], "left_anti").select(lines.columns)
 
 
+# Blocks that are numbers of sections or pages.
+SECTION_NUMBER, PAGE_ARTIFACT = r"^\d+(\.\d+)*\.?$", r"(?i)^(\d+|page\s+\d+(\s+of\s+\d+)?)$"
+
+
+def without_page_artifacts(blocks: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
+    """Blocks without page numbers, and a lone section number joined with the short title that comes right after it."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    own = T.strip(F.coalesce(text, F.lit("")))
+    after = F.lead(own).over(w)
+    title = (after != "") & (F.length(after) < 120) & ~after.rlike(r"^[\d!|]")
+    rows = blocks.withColumn("_own", own).withColumn("_after", after).withColumn("_joins", F.coalesce(own.rlike(SECTION_NUMBER) & title, F.lit(False)))
+    rows = rows.withColumn("_taken", F.lag("_joins", 1, False).over(w))
+    rows = rows.where((F.col("_own") != "") & ~F.col("_taken") & (F.col("_joins") | ~F.col("_own").rlike(PAGE_ARTIFACT)))
+    return rows.withColumn(text, F.when(F.col("_joins"), F.concat_ws(" ", "_own", "_after")).otherwise(F.col("_own"))).select(blocks.columns)
+
+
+#: Share of bold characters from which a line is bold.
+BOLD = 0.85
+
+
+def bold_ratio(spans: Column) -> Column:
+    """Share of a line's characters, blanks apart, in bold spans (array of text, flags, font); 0 for a blank line."""
+    size = lambda x: F.length(F.regexp_replace(x["text"], r"\s", ""))
+    is_bold = lambda x: (x["flags"].bitwiseAND(16) > 0) | F.lower(x["font"]).contains("bold")
+    total = F.aggregate(spans, F.lit(0), lambda n, x: n + size(x))
+    bold = F.aggregate(spans, F.lit(0), lambda n, x: n + F.when(is_bold(x), size(x)).otherwise(0))
+    return F.when(total > 0, bold / total).otherwise(0.0)
+
+
 def body_font_size(spans: DataFrame, doc: str) -> DataFrame:
     """Most frequent font size by characters, over spans that aren't bold on the first 25 pages; the first seen of equals."""
     kept = spans.where((F.col("page") <= 25) & (F.col("flags").bitwiseAND(16) == 0) & (T.strip(F.col("text")) != ""))
@@ -163,57 +192,100 @@ def paged(paragraphs: DataFrame, keys: list[str], order: list[str], per_page: in
     return paragraphs.withColumn("page", (F.floor((n - 1) / per_page) + 1).cast("int"))
 
 
-# --- folds whose decisions rest on accumulated state: one pass in Python over a document's rows ---
+# --- folds whose decisions rest on accumulated text: over the rows of one page, as an array ---
+
 
+def _folded(items: Column, joins, joined) -> Column:
+    """Items of an array, each joined to the last one kept where joins(last, item) holds; joined(last, item) is both as one."""
 
-def _is_plain(kind: str) -> bool:
-    return kind == "text"
+    def step(kept: Column, x: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        both = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(joined(last, x)))
+        return F.when(F.coalesce(joins(last, x), F.lit(False)), both).otherwise(F.concat(kept, F.array(x)))
 
+    return F.aggregate(items, F.slice(items, F.lit(1), F.lit(0)), step)
 
-def fold_short_blocks(rows: list[tuple[int, str, str, bool, bool]]) -> list[tuple[int, str, str]]:
-    """Merges broken blocks of one page: (page, type, content, structural, terminal) to (page, type, content).
+
+def _glued(a: Column, b: Column) -> Column:
+    return F.when(a.endswith("-"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).otherwise(F.concat(a, F.lit(" "), b))
+
+
+def merge_short_blocks(blocks: DataFrame, doc: str, order: str, page: str, text: str) -> DataFrame:
+    """doc, n, page, type, content: broken blocks of one page merged.
 
     First pass: a plain block that doesn't end a sentence takes the next plain one; second pass: so does one of under 140 characters
     or 22 words. Structural blocks are never merged, nor are blocks of two pages.
     """
-    import re
+    block = F.struct(
+        order, T.block_type(F.col(text)).alias("type"), F.col(text).alias("content"), T.is_structural(F.col(text)).alias("structural"), T.is_sentence_terminal(F.col(text)).alias("terminal")
+    )
+    pages = blocks.groupBy(doc, F.col(page).alias("page")).agg(F.array_sort(F.collect_list(block)).alias("rows"))
 
-    def glued(a: str, b: str) -> str:
-        return a[:-1] + b if a.endswith("-") else f"{a} {b}"
+    def merged(rows: Column, wants) -> Column:
+        plain = lambda x: (x["type"] == "text") & ~x["structural"]
+        return _folded(rows, lambda last, x: plain(last) & plain(x) & wants(last), lambda last, x: last.withField("content", _glued(last["content"], x["content"])).withField("terminal", x["terminal"]))
 
-    def run(items, wants):
-        out = []
-        for page, kind, content, structural, terminal in items:
-            if out:
-                p, k, c, s, t = out[-1]
-                if p == page and k == kind == "text" and not s and not structural and wants(c, t):
-                    out[-1] = (p, k, glued(c, content), s, terminal)
-                    continue
-            out.append((page, kind, content, structural, terminal))
-        return out
+    short = lambda c: (F.length(c) < 140) | (F.regexp_count(c, F.lit(r"\S+")) < 22)
+    once = pages.withColumn("rows", merged(F.col("rows"), lambda last: ~last["terminal"]))
+    twice = once.withColumn("rows", merged(F.col("rows"), lambda last: short(last["content"])))
+    each = twice.select(doc, "page", F.explode("rows").alias("b"))
+    n = F.row_number().over(Window.partitionBy(doc).orderBy(f"b.{order}")) - 1
+    return each.select(doc, n.alias("n"), "page", F.col("b.type").alias("type"), F.col("b.content").alias("content"))
 
-    first = run(rows, lambda c, t: not t)
-    second = run(first, lambda c, t: len(c) < 140 or len(re.findall(r"\S+", c)) < 22)
-    return [(p, k, c) for p, k, c, _, _ in second]
 
+def merged_tables(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, x0, y0, x1, y1: a page's table boxes by y0, x0, each joined to the one before if they overlap, or if over 65 percent of the
+    width is common and the gap is under 80."""
+    rows = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1"))).alias("rows"))
 
-def merge_short_blocks(blocks: DataFrame, doc: str, order: str, page: str, text: str) -> DataFrame:
-    """doc, n, page, type, content. Rules per block are columns; only the accumulating merge runs in Python, per document."""
-    flags = blocks.select(
-        doc, order, F.col(page).alias("page"), T.block_type(F.col(text)).alias("type"), F.col(text).alias("content"),
-        T.is_structural(F.col(text)).alias("structural"), T.is_sentence_terminal(F.col(text)).alias("terminal"),
-    )
+    def joins(a: Column, b: Column) -> Column:
+        common, width = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.greatest(a["x1"], b["x1"]) - F.least(a["x0"], b["x0"])
+        touches = (common > 0) & (F.least(a["y1"], b["y1"]) > F.greatest(a["y0"], b["y0"]))
+        return touches | ((width > 0) & (common > 0.65 * width) & (b["y0"] - a["y1"] < 80))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = fold_short_blocks(list(pdf[["page", "type", "content", "structural", "terminal"]].itertuples(index=False, name=None)))
-        out = pd.DataFrame(rows, columns=["page", "type", "content"])
-        out.insert(0, doc, pdf[doc].iloc[0])
-        out.insert(1, "n", range(len(out)))
-        return out
+    both = lambda a, b: F.struct(*(f(a[k], b[k]).alias(k) for k, f in (("y0", F.least), ("x0", F.least), ("x1", F.greatest), ("y1", F.greatest))))
+    out = rows.select(*keys, F.posexplode(_folded(F.col("rows"), joins, both)).alias("n", "b"))
+    return out.select(*keys, "n", *(F.col("b")[k].alias(k) for k in ("x0", "y0", "x1", "y1")))
 
-    kind = blocks.schema[doc].dataType.simpleString()
-    return flags.groupBy(doc).applyInPandas(run, f"{doc} {kind}, n int, page int, type string, content string")
+
+def page_paragraphs(lines: DataFrame, keys: list[str], order: str, pitch: str) -> DataFrame:
+    """keys, n, text: lines of each page (text, y0, is_heading, is_list, is_caption, terminal, and the page's line pitch) as paragraphs.
+
+    The gap to the line before, in line pitches, decides with the accumulated text: up to 2.5 inside an open bracket, up to 2.2 in an
+    unfinished sentence that no list item follows, up to 1.4 after a colon, up to 1.35 otherwise before what isn't a list item.
+    A heading opens a paragraph; a caption ends one, and under the last two rules opens one too.
+    """
+    line = F.struct(order, "text", "y0", "is_heading", "is_list", "is_caption", "terminal", F.col(pitch).alias("pitch"))
+    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    more = lambda t, a, b: F.length(F.replace(t, F.lit(b), F.lit(""))) > F.length(F.replace(t, F.lit(a), F.lit("")))
+
+    def joins(a: Column, b: Column) -> Column:
+        gap = F.when(F.coalesce(a["pitch"], F.lit(0.0)) > 0, (b["y0"] - a["y0"]) / a["pitch"]).otherwise(0.0)
+        opened = more(a["text"], "(", ")") | more(a["text"], "[", "]")
+        colon = F.rtrim(a["text"]).rlike("[:：]$")
+        free = ~b["is_heading"] & ~a["is_heading"] & ~a["is_caption"]
+        near = (opened & (gap <= 2.5)) | (~a["terminal"] & ~b["is_list"] & (gap <= 2.2)) | (colon & (gap <= 1.4) & ~b["is_caption"]) | ((gap <= 1.35) & ~b["is_list"] & ~b["is_caption"])
+        return free & near
+
+    out = rows.select(*keys, F.posexplode(_folded(F.col("rows"), joins, lambda a, b: b.withField("text", _glued(a["text"], b["text"])))).alias("n", "b"))
+    return out.select(*keys, "n", F.col("b.text").alias("text"))
+
+
+def layout_blocks(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, page, n, text: the paragraphs of a laid-out document, from its lines (doc, page, ord, text, y0, y1, band, size, body_size, bold).
+
+    Page numbers, running headers and footers go; the rules on single lines are columns; then lines are joined page by page.
+    """
+    body = without_running_lines(lines, doc, "page", "band", "text")
+    pitch = line_pitch(body.groupBy(doc, "page", "ord").agg(F.first("y0").alias("y0"), F.first("y1").alias("y1"), F.first("body_size").alias("body_size")), [doc, "page", "body_size"], ["ord"], F.col("body_size"))
+    t, plain = F.col("text"), ~F.col("bold") & (F.col("size") < 1.14 * F.col("body_size"))
+    told = body.join(pitch.select(doc, "page", "pitch"), [doc, "page"]).withColumns({
+        "is_list": T.is_list_item(t) | T.is_bullet(t), "is_caption": T.is_caption(t), "terminal": T.is_sentence_terminal(t),
+        "_follows": F.coalesce(F.lead(plain).over(Window.partitionBy(doc, "page").orderBy("ord")), F.lit(False)),
+    })
+    level = T.size_heading_level(F.col("size"), F.col("body_size"), F.col("bold"), t, F.col("is_list"), F.col("is_caption"), F.col("_follows"))
+    told = told.withColumn("is_heading", level > 0)
+    return page_paragraphs(told, [doc, "page"], "ord", "pitch")
 
 
 def choose_splits(n_blocks: int, targets: list[tuple[str, int, int | None]], pages: list[int], score) -> list[tuple[int, str]]:
@@ -278,47 +350,3 @@ def partition_chapters(blocks: DataFrame, targets: DataFrame, doc: str) -> DataF
     w = Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     led = blocks.join(starts, [doc, "ord"], "left")
     return led.withColumn("chapter_no", F.last("chapter_no", ignorenulls=True).over(w)).withColumn("title", F.last("title", ignorenulls=True).over(w))
-
-
-def merge_table_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
-    """Boxes by y0, x0, each joined to the one before if they overlap, or if over 65 percent of the width is common and the gap is under 80."""
-    out: list[tuple[float, float, float, float]] = []
-    for b in sorted(boxes, key=lambda r: (r[1], r[0])):
-        if out:
-            a = out[-1]
-            common, width = min(a[2], b[2]) - max(a[0], b[0]), max(a[2], b[2]) - min(a[0], b[0])
-            touches = common > 0 and min(a[3], b[3]) > max(a[1], b[1])
-            if touches or (width > 0 and common / width > 0.65 and b[1] - a[3] < 80):
-                out[-1] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                continue
-        out.append(b)
-    return out
-
-
-def join_lines(lines: list[dict], pitch: float) -> list[str]:
-    """Lines of a page (text, y0, is_heading, is_list, is_caption, terminal) as paragraphs.
-
-    The gap to the line before, in line pitches, decides with the accumulated text: up to 2.5 inside an open bracket, up to 2.2 in an
-    unfinished sentence that no list item follows, up to 1.4 after a colon, up to 1.35 otherwise before what isn't a list item.
-    A heading opens a paragraph; a caption ends one, and under the last two rules opens one too.
-    """
-    out: list[list] = []
-    for line in lines:
-        text = line["text"]
-        if out:
-            prev = out[-1]
-            so_far, last = prev[0], prev[1]
-            gap = (line["y0"] - last["y0"]) / pitch if pitch else 0.0
-            open_ = so_far.count("(") > so_far.count(")") or so_far.count("[") > so_far.count("]")
-            colon = so_far.rstrip().endswith((":", "："))
-            free = not line["is_heading"] and not last["is_heading"] and not last["is_caption"]
-            if free and (
-                (open_ and gap <= 2.5)
-                or (not last["terminal"] and not line["is_list"] and gap <= 2.2)
-                or (colon and gap <= 1.4 and not line["is_caption"])
-                or (gap <= 1.35 and not line["is_list"] and not line["is_caption"])
-            ):
-                out[-1] = [so_far[:-1] + text if so_far.endswith("-") else f"{so_far} {text}", line]
-                continue
-        out.append([text, line])
-    return [t for t, _ in out]

@@ -106,6 +106,28 @@ def merge_short_blocks(spark, sf_dir):
     return S.merge_short_blocks(rows, "doc_id", "ord", "page", "t")
 
 
+def _laid_out(spark, sf_dir):
+    """Lines with places, sizes and weights, as a layout reader gives them: some stand in the margins, some are bold or large."""
+    top = _C("ord") % 9
+    band = F.when((top == 0) & (_C("ord") % 2 == 0), "top").when(top == 8, "bottom")
+    y0 = (top * 20 + (_C("ord") + _C("doc_id")) % 4 * 7).cast("double")
+    text = F.when(band == "top", "Running title").when(band == "bottom", F.concat(F.lit("- "), _C("ord").cast("string"), F.lit(" -"))).otherwise(_C("line"))
+    return D.decorated(spark, sf_dir).select(
+        "doc_id", F.floor(_C("ord") / 9).cast("int").alias("page"), "ord", text.alias("text"), y0.alias("y0"), (y0 + 12).alias("y1"), band.alias("band"),
+        F.when((_C("ord") + _C("doc_id")) % 12 == 0, 16.0).otherwise(11.0).alias("size"), F.lit(11.0).alias("body_size"), (_C("ord") % 13 == 5).alias("bold"),
+    )
+
+
+def layout_paragraphs(spark, sf_dir):
+    return S.layout_blocks(_laid_out(spark, sf_dir)).select("doc_id", "page", "n", "text")
+
+
+def table_boxes(spark, sf_dir):
+    x0 = (_C("l_quantity") % 7) * 5.0
+    li = D.read(spark, sf_dir, "lineitem").select("l_orderkey", x0.alias("x0"), (_C("l_linenumber") * 60.0).alias("y0"), (x0 + _C("l_quantity")).alias("x1"), (_C("l_linenumber") * 60.0 + _C("l_partkey") % 70).alias("y1"))
+    return S.merged_tables(li, ["l_orderkey"])
+
+
 def _outline(spark, sf_dir):
     rows = D.decorated(spark, sf_dir)
     blocks = rows.select("doc_id", _C("ord"), F.floor(_C("ord") / 4).cast("int").alias("page"), _C("line").alias("content"), (T.heading_level(_C("line")) > 0).alias("is_heading"))
@@ -190,7 +212,7 @@ def text_chapters(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     paragraph_explode, chapter_islands, txt_batches_45, heading_census, stitch_continuation, list_groups, line_gap_groups, line_pitch, body_font_size, running_headers, without_margins, outside_tables,
-    toc_page_ranges, scanned_documents, page_buckets, merge_short_blocks, partition_chapters, shift_chapter, split_chapter, merge_paragraphs, insert_paragraph, delete_paragraph_cascade, delete_chapter_cascade,
+    toc_page_ranges, scanned_documents, page_buckets, merge_short_blocks, layout_paragraphs, table_boxes, partition_chapters, shift_chapter, split_chapter, merge_paragraphs, insert_paragraph, delete_paragraph_cascade, delete_chapter_cascade,
     edit_paragraphs, rename_chapters, markdown_chapters, text_chapters,
 )}
 

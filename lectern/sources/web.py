@@ -235,3 +235,17 @@ def series(pages: DataFrame, selected: DataFrame) -> DataFrame:
         "index", F.coalesce(F.nullif("title", F.lit("")), "page_title").alias("title"), "url", ok.alias("fetch_success"),
         F.when(ok, F.col("markdown")).otherwise(F.lit("> ⚠️ 抓取此章节内容时超时或遇到网络错误")).alias("markdown"),
     ).orderBy("index")
+
+
+# Fixed value: the title of web books without one.
+WEB_TITLE = "网页研学教材"
+
+
+def ingest_records(pages: DataFrame, root: str = "root", book: str = "book") -> DataFrame:
+    """A record for each web book (root: its URL, one row for each chosen page), before its pages are fetched."""
+    title = F.trim(F.coalesce(F.min(book), F.lit("")))
+    own = pages.groupBy(F.col(root).alias("source_url")).agg(title.alias("_title"), F.greatest(F.lit(1), F.count("*")).alias("total_pages"))
+    return own.select(
+        F.concat(F.lit("doc_"), F.left(F.sha2("source_url", 256), F.lit(12))).alias("doc_id"), "source_url", F.when(F.col("_title") == "", WEB_TITLE).otherwise(F.col("_title")).alias("filename"),
+        F.lit("web").alias("file_type"), F.lit("uploaded").alias("status"), "total_pages", F.lit(0).alias("percent"),
+    )

@@ -205,13 +205,6 @@ def test_models(spark):
     assert spark.sql("select parse_translation('> 好')").first()[0] == "好"
 
 
-def test_layout_folds():
-    assert structure.merge_table_boxes([(0, 0, 10, 10), (0, 50, 10, 60), (0, 200, 10, 210), (5, 205, 30, 220)]) == [(0, 0, 10, 60), (0, 200, 30, 220)]
-    line = lambda t, y, **k: {"text": t, "y0": y, "is_heading": False, "is_list": False, "is_caption": False, "terminal": t.endswith("."), **k}
-    assert structure.join_lines([line("A (open", 0), line("closed).", 25), line("Next", 60), line("goes on.", 81), line("Head", 95, is_heading=True), line("- item", 105, is_list=True)], 10) == ["A (open closed).", "Next goes on.", "Head", "- item"]
-    assert structure.fold_short_blocks([(1, "text", "a b-", False, False), (1, "text", "c.", False, True), (1, "heading", "H", True, False), (2, "text", "x.", False, True), (2, "text", "y.", False, True)]) == [(1, "text", "a bc."), (1, "heading", "H"), (2, "text", "x. y.")]
-
-
 def test_chapter_partition():
     titles = [("A", 0, None), ("B", 2, None), ("C", 4, 8), ("D", 4, None)]
     scores = {(1, 4): 0.9, (3, 9): 0.95}
