@@ -58,6 +58,12 @@ def ordered_text(order: str, text: Column, separator: str = "\n\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
 
 
+def _kept_text(order: str, text: Column) -> Column:
+    """ordered_text of the texts that aren't null."""
+    rows = F.collect_list(F.when(text.isNotNull(), F.struct(F.col(order).alias("o"), text.alias("t"))))
+    return F.array_join(F.transform(F.array_sort(rows), lambda x: x["t"]), "\n\n")
+
+
 def readable_units(rows: DataFrame, keys: list[str], order: str, english: str = "english", chinese: str = "chinese", extracted: str = "extracted_text") -> DataFrame:
     """rows that are readable, with `unit`, their numbered text; images count even without text."""
     src, trans, seen = (strip(F.coalesce(c, F.lit(""))) for c in (english, chinese, extracted))
@@ -81,9 +87,14 @@ def chapter_text(rows: DataFrame, keys: list[str], order: str, **columns: str) -
 
 
 def document_context(chapters: DataFrame, order: str, title: str, body: str, budget: int = DOCUMENT_CHARS) -> DataFrame:
-    """Per document: chapters, their characters, and their texts in order, cut to the budget."""
+    """Per document: chapters, their characters, and their texts in order, cut to the budget.
+
+    Texts that start beyond the budget are dropped before any are joined, so no string grows beyond the budget and one text.
+    """
     part = F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.col(body))
-    joined = chapters.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum(F.length(body)).alias("original_chars"), ordered_text(order, part).alias("_all"))
+    before = F.sum(F.length("_part") + 2).over(Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = chapters.withColumn("_part", part).withColumn("_part", F.when(F.coalesce(before, F.lit(0)) <= budget + 2, F.col("_part")))
+    joined = placed.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum(F.length(body)).alias("original_chars"), _kept_text(order, F.col("_part")).alias("_all"))
     return joined.select("doc_id", "chapters", "original_chars", clipped(F.col("_all"), budget, CUT_MARK).alias("context"))
 
 

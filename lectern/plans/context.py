@@ -40,7 +40,7 @@ def chapter_readable_text(spark, sf_dir):
 
 
 def document_context_budget(spark, sf_dir):
-    d = D.read(spark, sf_dir, "documents").select((_C("doc_id") % 10).alias("doc_id"), _C("doc_id").alias("n"), F.concat(F.lit("T"), _C("doc_id").cast("string")).alias("title"), "text")
+    d = D.read(spark, sf_dir, "documents").select(_C("source").alias("doc_id"), _C("doc_id").alias("n"), F.concat(F.lit("T"), _C("doc_id").cast("string")).alias("title"), "text")
     return X.document_context(d, "n", "title", "text", 24_000)
 
 
@@ -51,7 +51,7 @@ def digest_fallback(spark, sf_dir):
 
 def chapter_chat_body(spark, sf_dir):
     body = X.chapter_text(D.paragraphs(spark, sf_dir), ["doc_id", "chapter_id"], "ord")
-    return body.select("doc_id", "chapter_id", F.length(clipped(_C("body"), 1600, X.CUT_MARK)).alias("n"))
+    return body.select("doc_id", "chapter_id", F.sha2(clipped(_C("body"), X.CHAPTER_CHARS, X.CUT_MARK), 256).alias("body_sha256"), F.length("body").alias("n"))
 
 
 def latest_log(spark, sf_dir):
@@ -82,9 +82,9 @@ ORACLES = {k: D.duck(v) for k, v in {
         t as (select conv_id, p as turn from m where gone and role = 'assistant' and p is not null union select conv_id, n from m where gone and role = 'user' and n is not null)
         select m.conv_id, m.turn, m.role from m left join t on m.conv_id = t.conv_id and m.turn = t.turn where not gone and t.turn is null""",
     "chapter_readable_text": f"select doc_id, chapter_id, body, cast(length(body) as int) as char_count from (select doc_id, chapter_id, string_agg(unit, concat(chr(10), chr(10)) order by ord) as body from {_UNITS} u group by 1, 2) t",
-    "document_context_budget": """select doc_id, chapters, original_chars, case when length(a) > 24000 then concat(left(a, 24000), chr(10), chr(10), '[...]') else a end as context from (select doc_id % 10 as doc_id, count(*) as chapters, cast(sum(length(text)) as bigint) as original_chars,
+    "document_context_budget": """select doc_id, chapters, original_chars, case when length(a) > 24000 then concat(left(a, 24000), chr(10), chr(10), '[...]') else a end as context from (select source as doc_id, count(*) as chapters, cast(sum(length(text)) as bigint) as original_chars,
         string_agg(concat('## T', cast(doc_id as string), chr(10), text), concat(chr(10), chr(10)) order by doc_id) as a from documents group by 1) t""",
     "digest_fallback": """select doc_id, concat('### 《', source, '》要点摘要 (快速提取)', chr(10), chr(10), coalesce((select string_agg(concat('- ', left(s, 120)), chr(10) order by k) from (select s, row_number() over (order by i) as k from (select trim(unnest(string_split(text, chr(10)))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i) x where starts_with(s, '#') or starts_with(s, '[第') or length(s) > 40) y where k <= 8), '')) as digest from documents""",
-    "chapter_chat_body": f"select doc_id, chapter_id, cast(case when length(body) > 1600 then 1607 else length(body) end as int) as n from (select doc_id, chapter_id, string_agg(unit, concat(chr(10), chr(10)) order by ord) as body from {_UNITS} u group by 1, 2) t",
+    "chapter_chat_body": f"select doc_id, chapter_id, sha256(case when length(body) > 16000 then concat(left(body, 16000), chr(10), chr(10), '[...]') else body end) as body_sha256, cast(length(body) as int) as n from (select doc_id, chapter_id, string_agg(unit, concat(chr(10), chr(10)) order by ord) as body from {_UNITS} u group by 1, 2) t",
     "latest_log": "select event_type, event_id, cast(pos as int) as pos from (select event_type, event_id, row_number() over (partition by event_type order by event_id desc) as pos from events) t where pos <= 20",
 }.items()}

@@ -28,7 +28,7 @@ def note_changes(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents")
     note = lambda i, c: F.struct(F.lit(i).alias("id"), c.alias("content"))
     notes = F.array(note("a", F.col("lang")), note("b", F.col("source")))
-    more = M.add_note(notes, note("c", F.left("text", F.lit(5))))
+    more = M.add_note(notes, note("c", F.col("text")))
     out = M.delete_note(M.update_note(more, F.lit("b"), F.lit("new")), F.when(_C("doc_id") % 2 == 0, "a").otherwise("z"))
     return d.select("doc_id", F.array_join(F.transform(out, lambda x: F.concat(x["id"], F.lit("="), x["content"])), "|").alias("notes"))
 
@@ -90,7 +90,7 @@ QUERIES = {f.__name__: f for f in (settings_overlay, note_changes, model_changes
 _MIME = "case doc_id % 8 when 5 then 'image/jpeg' else 'image/png' end"
 ORACLES = {k: D.duck(v) for k, v in {
     "settings_overlay": """select n_nationkey, case when n_nationkey % 3 = 0 then 'base' else n_name end as model, '1.0' as delay, 'x' as own, case when n_nationkey % 4 <> 0 then 'task' when n_nationkey % 8 = 0 then 'fallback' else n_name end as resolved from nation""",
-    "note_changes": "select doc_id, concat(case when doc_id % 2 = 0 then '' else concat('a=', lang, '|') end, 'b=new|c=', left(text, 5)) as notes from documents",
+    "note_changes": "select doc_id, concat(case when doc_id % 2 = 0 then '' else concat('a=', lang, '|') end, 'b=new|c=', text) as notes from documents",
     "model_changes": """with n as (select n_name as name, case when n_name like 'A%' then 'new' else 'old' end as config from nation where n_name not in (select r_name from region) and n_name <> 'CHINA' union all select r_name, 'new' from region)
         select name, config, row_number() over (order by name) = 1 as is_default from n""",
     "refetch_targets": """with s as (select page_id % 10 as doc_id, concat('T', cast(page_id % 7 as string)) as title, arg_min(url, page_id) as u from pages group by 1, 2)

@@ -37,7 +37,7 @@ def _refs(spark, sf_dir):
     p = D.paragraphs(spark, sf_dir)
     n = F.col("ord").cast("string")
     html = F.concat(F.lit('<img alt="x" src="pics/'), n, F.lit('.PNG?v=1"> text ![alt](img/'), (_C("ord") % 5).cast("string"), F.lit('.png "t") <video src="v/'), (_C("doc_id") % 3).cast("string"), F.lit('.mp4">'))
-    return A.references(p.withColumn("english", F.when(_C("ord") % 2 == 0, html).otherwise(_C("english"))))
+    return A.references(p.withColumn("english", F.when(_C("ord") % 2 == 0, F.concat("english", html)).otherwise(_C("english"))))
 
 
 def asset_refs(spark, sf_dir):
@@ -53,7 +53,7 @@ def asset_match_report(spark, sf_dir):
 def manifest_entries(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents")
     docs = d.select("doc_id", F.concat("source", F.lit(".md")).alias("filename"), _C("lang").alias("file_type"), (_C("n_chars") % 100).cast("int").alias("total_paragraphs"))
-    chapters = d.select("doc_id", F.posexplode(F.array(F.left("text", F.lit(5)), F.left("text", F.lit(5)), F.substring("text", 6, 12), F.upper("lang"), F.substring("text", 6, 7), F.substring("text", 20, 8))).alias("ch_ord", "title"))
+    chapters = d.select("doc_id", F.posexplode(F.array("source", "source", "text", F.upper("lang"), F.concat("lang", F.lit(" "), "source"), "lang")).alias("ch_ord", "title"))
     cards = D.read(spark, sf_dir, "labels").select("doc_id")
     return E.manifest(docs, chapters, cards).select("doc_id", "title", "path", "paragraph_count", "flashcard_count", "type", F.array_join("tags", "|").alias("tags"), "description")
 
@@ -63,7 +63,7 @@ def render_markdown(spark, sf_dir):
 
 
 def full_markdown(spark, sf_dir):
-    return E.full_markdown(E.render_chapters(D.paragraphs(spark, sf_dir), D.chapters(spark, sf_dir))).select("doc_id", F.length("markdown").alias("n"))
+    return E.full_markdown(E.render_chapters(D.paragraphs(spark, sf_dir), D.chapters(spark, sf_dir))).select("doc_id", F.length("markdown").alias("n"), F.sha2("markdown", 256).alias("sha256"))
 
 
 def seo_descriptions(spark, sf_dir):
@@ -95,7 +95,7 @@ def flashcard_blocks(spark, sf_dir):
 
 
 def translations_parsed(spark, sf_dir):
-    out = F.concat(F.lit("<think>x</think>译文：> 前文参考\n> a\n---\n> 译一\n> 译二 "), _C("turn").cast("string"), F.lit("\n\n> 第三"))
+    out = F.concat(F.lit("<think>x</think>译文：> 前文参考\n> a\n---\n> 译一\n> 译二 "), _C("turn").cast("string"), F.lit("\n\n> 第三 "), F.regexp_replace("content", r"\s+", " "))
     return D.messages(spark, sf_dir).select("conv_id", "turn", answers.translation(out).alias("parsed"))
 
 
@@ -107,13 +107,13 @@ def translation_prompts(spark, sf_dir):
 
 
 def anki_packages(spark, sf_dir):
-    d = D.read(spark, sf_dir, "documents")
-    cards = d.select((_C("doc_id") % 4).alias("doc_id"), _C("doc_id").cast("string").alias("id"), F.lit("qa").alias("type"), F.left("text", F.lit(40)).alias("front"), F.substring(_C("text"), F.lit(41), F.length("text")).alias("back"), F.array("lang").alias("tags"), F.struct(F.lit(1).alias("reps"), F.lit(0).alias("lapses"), F.lit(6).alias("interval_days"), F.lit(2.5).alias("ease_factor")).alias("stats"))
+    d = D.lines(spark, sf_dir)  # a card for each line, a deck for each document
+    cards = d.select("doc_id", F.lpad(_C("ord").cast("string"), 6, "0").alias("id"), F.lit("qa").alias("type"), F.left("raw", F.lit(40)).alias("front"), F.substring(_C("raw"), F.lit(41), F.length("raw")).alias("back"), F.array(F.lit("line")).alias("tags"), F.struct(F.lit(1).alias("reps"), F.lit(0).alias("lapses"), F.lit(6).alias("interval_days"), F.lit(2.5).alias("ease_factor")).alias("stats"))
     return E.anki_packages(cards, 1_706_700_000).select("doc_id", "n_notes", (F.length("apkg") > 0).alias("packed"))
 
 
 def sse_frames(spark, sf_dir):
-    return D.messages(spark, sf_dir).select("conv_id", "turn", E.sse(F.struct(_C("role").alias("role"), _C("turn").alias("n"))).alias("frame"))
+    return D.messages(spark, sf_dir).select("conv_id", "turn", E.sse(F.struct(_C("role").alias("role"), _C("turn").alias("n"), _C("content").alias("content"))).alias("frame"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -124,7 +124,7 @@ QUERIES = {f.__name__: f for f in (
 _CLEAN = "regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
 _TAGLESS = lambda x: f"regexp_replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '¶', ''), '^\\s+|\\s+$', '', 'g')"
 _URL = "concat(url, case page_id % 5 when 0 then '' when 1 then '/' when 2 then '?a=1' when 3 then '#x' else ';p?q#r' end)"
-_REFS = """(with p as (select doc_id, ord, chapter_id, case when ord % 2 = 0 then concat('<img alt="x" src="pics/', cast(ord as string), '.PNG?v=1"> text ![alt](img/', cast(ord % 5 as string), '.png "t") <video src="v/', cast(doc_id % 3 as string), '.mp4">') else english end as english, chinese from {paragraphs} p),
+_REFS = """(with p as (select doc_id, ord, chapter_id, case when ord % 2 = 0 then concat(english, '<img alt="x" src="pics/', cast(ord as string), '.PNG?v=1"> text ![alt](img/', cast(ord % 5 as string), '.png "t") <video src="v/', cast(doc_id % 3 as string), '.mp4">') else english end as english, chinese from {paragraphs} p),
   r as (select doc_id, chapter_id, ord, 0 as k, 'html_img' as kind, unnest(regexp_extract_all(english, '(?i)<img[^>]+src=["'']([^"'']+)["'']', 1)) as raw from p
     union all select doc_id, chapter_id, ord, 1, 'md_img', string_split(unnest(regexp_extract_all(english, '!\\[(.*?)\\]\\((.*?)\\)', 2)), ' ')[1] from p
     union all select doc_id, chapter_id, ord, 2, 'media', unnest(regexp_extract_all(english, '(?i)<(?:video|audio)[^>]+src=["'']([^"'']+)["'']', 1)) from p)
@@ -141,14 +141,14 @@ ORACLES = {k: D.duck(v) for k, v in {
     "asset_match_report": f"""with m as (select doc_id, raw, lower(regexp_extract(regexp_replace(raw, '[?#].*$', ''), '([^/]*)$', 1)) in (select concat(cast(i as string), '.png') from range(0, 40, 2) r(i)) as hit from {_REFS} t),
         n as (select *, row_number() over (partition by doc_id, hit order by encode(raw)) as k from m)
         select doc_id, count(*) as total, count(*) filter (hit) as local_matched, count(*) filter (not hit) as missing, coalesce(string_agg(raw, '|' order by k) filter (not hit and k <= 20), '') as samples from n group by doc_id""",
-    "manifest_entries": """with t as (select doc_id, upper(lang) as a, [left(text, 5), left(text, 5), substr(text, 6, 12), upper(lang), substr(text, 6, 7), substr(text, 20, 8)] as c from documents),
+    "manifest_entries": """with t as (select doc_id, upper(lang) as a, [source, source, text, upper(lang), concat(lang, ' ', source), lang] as c from documents),
         u as (select doc_id, unnest(list_concat([a], [x for x in c if length(x) between 1 and 8])) as g, generate_subscripts(list_concat([a], [x for x in c if length(x) between 1 and 8]), 1) as i from t),
         v as (select doc_id, g, min(i) as i from u group by 1, 2), w as (select doc_id, g, i, row_number() over (partition by doc_id order by i) as k from v), x as (select doc_id, string_agg(g, '|' order by i) as tags from w where k <= 4 group by 1),
         l as (select doc_id, count(*) as n from labels group by 1)
         select d.doc_id, concat(source, '.md') as title, concat('docs/', cast(d.doc_id as string), '/index.html') as path, cast(n_chars % 100 as int) as paragraph_count, coalesce(n, 0) as flashcard_count, lang as type, tags,
           concat('共包含 ', cast(n_chars % 100 as string), ' 个研学段落，配套 ', cast(coalesce(n, 0) as string), ' 个考点记忆闪卡。') as description from documents d join x on d.doc_id = x.doc_id left join l on d.doc_id = l.doc_id""",
     "render_markdown": f"select doc_id, chapter_id, markdown from {_RENDERED} r",
-    "full_markdown": f"select doc_id, cast(length(string_agg(markdown, concat(chr(10), chr(10)) order by ch_ord)) as int) as n from {_RENDERED} r group by doc_id",
+    "full_markdown": f"select doc_id, cast(length(m) as int) as n, sha256(m) as sha256 from (select doc_id, string_agg(markdown, concat(chr(10), chr(10)) order by ch_ord) as m from {_RENDERED} r group by doc_id) t",
     "seo_descriptions": """with t as (select doc_id, ord, trim(coalesce(nullif(chinese, ''), english, '')) as r from {paragraphs} p), c as (select *, trim(regexp_replace(regexp_replace(r, '[*_`#\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) as c from t where r <> '' and not starts_with(r, '![')),
         n as (select *, row_number() over (partition by doc_id order by ord) as k from c where length(c) > 20)
         select doc_id, concat(trim(left(string_agg(c, ' ' order by k), 150)), '...') as description from n where k <= 3 group by doc_id""",
@@ -156,9 +156,10 @@ ORACLES = {k: D.duck(v) for k, v in {
     "preferred_order": "select n_name, cast(row_number() over (order by case n_name when 'FRANCE' then 1 when 'JAPAN' then 2 when 'BRAZIL' then 3 else 99 end, n_name) as int) as pos from nation where n_name not in ('INDIA', 'IRAN')",
     "model_union": "select r_name as id from region union select n_name from nation union select c_mktsegment from customer",
     "flashcard_blocks": "select conv_id, turn, 0 as card_index, 'qa' as type, concat('Q ', cast(turn as string), chr(10), 'more') as front, 'A' as back, 'a|b' as tags from {messages} m",
-    "translations_parsed": "select conv_id, turn, concat('译一译二 ', cast(turn as string), chr(10), chr(10), '第三') as parsed from {messages} m",
+    "translations_parsed": "select conv_id, turn, concat('译一译二 ', cast(turn as string), chr(10), chr(10), trim(concat('第三 ', regexp_replace(content, '\\s+', ' ', 'g')))) as parsed from {messages} m",
     "translation_prompts": f"""with r as (select doc_id, ord, english, chinese, case when type in ('text', 'scanned_page') and trim(english) <> '' then ord end as ok from {{paragraphs}} p),
         m as (select doc_id, ord, english, max(ok) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding) as p from r)
         select m.doc_id, m.ord, {_PROMPT} as prompt from (select m.doc_id, m.ord, m.english, r.english as pe, r.chinese as pc from m left join r on m.doc_id = r.doc_id and m.p = r.ord) m""",
-    "sse_frames": "select conv_id, turn, concat('data: {\"role\":\"', role, '\",\"n\":', cast(turn as string), '}', chr(10), chr(10)) as frame from {messages} m",
+    "anki_packages": "select doc_id, cast(count(*) as int) as n_notes, true as packed from {lines} l group by doc_id",
+    "sse_frames": "select conv_id, turn, concat('data: {\"role\":\"', role, '\",\"n\":', cast(turn as string), ',\"content\":', cast(to_json(content) as string), '}', chr(10), chr(10)) as frame from {messages} m",
 }.items()}

@@ -34,7 +34,7 @@ def heading_census(spark, sf_dir):
 
 def stitch_continuation(spark, sf_dir):
     blocks = D.lines(spark, sf_dir).select("doc_id", F.floor(_C("ord") / 3).cast("int").alias("page"), "ord", F.when(_C("ord") % 4 == 2, F.regexp_replace("raw", r"\.$", "")).otherwise(_C("raw")).alias("t"), F.lit("text").alias("type"), F.lit(False).alias("is_heading"), F.lit(False).alias("is_list"), F.lit("").alias("list_type"))
-    return S.stitch_pages(blocks, ["doc_id"], "page", "ord", "t").select("doc_id", "first_order", "n_blocks", F.length("content").alias("n"))
+    return S.stitch_pages(blocks, ["doc_id"], "page", "ord", "t").select("doc_id", "first_order", "n_blocks", "content")
 
 
 def list_groups(spark, sf_dir):
@@ -237,8 +237,8 @@ ORACLES = {k: D.duck(v) for k, v in {
     "stitch_continuation": f"""with b as (select doc_id, cast(floor(ord / 3) as int) as page, ord, case when ord % 4 = 2 then regexp_replace(raw, '\\.$', '') else raw end as t from {{lines}} l),
         c as (select *, regexp_replace(trim(t), '[*_`\\s]+$', '') as x from b), d as (select *, {_TERMINAL} as term from c),
         e as (select *, case when lag(page) over w is not null and page <> lag(page) over w and not lag(term) over w then 1 else 0 end as joins, regexp_matches(lag(x) over w, '[\\p{{L}}\\p{{N}}_]-$') as hyph from d window w as (partition by doc_id order by page, ord)),
-        f as (select *, sum(1 - joins) over (partition by doc_id order by page, ord) as g from e)
-        select doc_id, min(ord) as first_order, cast(count(*) as int) as n_blocks, cast(case when count(*) = 1 then sum(length(t)) else sum(length(trim(t))) + sum(case when joins = 0 then 0 when hyph then -1 else 1 end) end as int) as n from f group by doc_id, g""",
+        f as (select *, sum(1 - joins) over (partition by doc_id order by page, ord) as g, lead(joins) over w = 1 as more, lead(hyph) over w as cut from e window w as (partition by doc_id order by page, ord))
+        select doc_id, min(ord) as first_order, cast(count(*) as int) as n_blocks, case when count(*) = 1 then max(t) else string_agg(case when more and cut then left(trim(t), length(trim(t)) - 1) when more then concat(trim(t), ' ') else trim(t) end, '' order by ord) end as content from f group by doc_id, g""",
     "list_groups": f"""with k as (select doc_id, ord, {_KIND} as f from {{decorated}} d), s as (select *, case when f <> '' and lag(f) over (partition by doc_id order by ord) = f then 0 else 1 end as st from k)
         select doc_id, ord, cast(sum(st) over (partition by doc_id order by ord) as bigint) as list_group from s""",
     "line_gap_groups": f"select l_orderkey, l_linenumber, price, cast(sum(case when gap is null or gap > 1.4::double * 7 then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, price) as bigint) as para from {_LAYOUT} t",

@@ -89,14 +89,14 @@ def anki_notes(spark, sf_dir):
 
 
 def cloze_numbers(spark, sf_dir):
-    x = F.regexp_replace("text", r"\b([a-z]{5,6})\b", "{{$1}}")
+    x = F.regexp_replace("text", "(^| )([a-z]{5,6}) ", "$1{{$2}} ")
     x = F.when(_C("doc_id") % 7 == 0, F.concat(F.lit("{{c1::done}} "), x)).otherwise(x)
-    return D.read(spark, sf_dir, "documents").select("doc_id", F.length(T.numbered_cloze(x)).alias("n"), T.numbered_cloze(x).contains("{{c2::").alias("two"), F.left(T.numbered_cloze(x), F.lit(12)).alias("head"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", T.numbered_cloze(x).alias("numbered"))
 
 
 def heading_similarity(spark, sf_dir):
-    b = D.read(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(24)).alias("title"))
-    block = F.when(_C("item_id") % 5 == 0, F.concat(F.lit("# "), F.upper("title"))).when(_C("item_id") % 5 == 1, F.concat("title", F.lit(" more"))).when(_C("item_id") % 5 == 2, F.reverse("title")).when(_C("item_id") % 5 == 3, F.concat(F.lit("xx yy "), "title")).otherwise(F.concat(F.left("title", F.lit(8)), F.lit("\nnext line")))
+    b = D.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
+    block = F.when(_C("item_id") % 5 == 0, F.concat(F.lit("# "), F.upper("title"))).when(_C("item_id") % 5 == 1, F.concat("title", F.lit(" more"))).when(_C("item_id") % 5 == 2, F.reverse("title")).when(_C("item_id") % 5 == 3, F.concat(F.lit("xx yy "), "title")).otherwise(F.concat("title", F.lit("\nnext line")))
     sim = T.heading_similarity(_C("title"), block)
     return b.select("item_id", F.round(sim, 6).alias("similarity"), F.round(T.heading_confidence(_C("title"), block, _C("item_id") % 2 == 0, _C("item_id") % 3 == 0), 6).alias("confidence"))
 
@@ -191,12 +191,19 @@ ORACLES = {k: D.duck(v) for k, v in {
         from (select s_suppkey, case when v = '' then '' when length(v) <= 4 then '****' else concat('****', right(v, 4)) end as m from (select s_suppkey, left(s_name, cast(s_suppkey % 12 as int)) as v from supplier) a) b""",
     "settings_merge": """select n_nationkey, k as api_key, n_name as model, n_name as keep, case when length(k) <= 4 then '****' else concat('****', right(k, 4)) end as shown from (select *, case when n_nationkey % 3 = 2 then 'fresh' else concat('sk-', n_name) end as k from nation) t""",
     "anki_notes": f"select doc_id, {_ANKI} as back, concat(left(text, 50), chr(31), {_ANKI}) as fields, cast(concat('0x', substr(sha1(left(text, 50)), 1, 8)) as bigint) as checksum, {_GUID} as guid from documents",
-    "heading_similarity": """with b as (select item_id, left(text, 24) as t from benchmark),
-        c as (select item_id, t, case item_id % 5 when 0 then concat('# ', upper(t)) when 1 then concat(t, ' more') when 2 then reverse(t) when 3 then concat('xx yy ', t) else concat(left(t, 8), chr(10), 'next line') end as x from b),
+    "heading_similarity": """with b as (select item_id, text as t from benchmark),
+        c as (select item_id, t, case item_id % 5 when 0 then concat('# ', upper(t)) when 1 then concat(t, ' more') when 2 then reverse(t) when 3 then concat('xx yy ', t) else concat(t, chr(10), 'next line') end as x from b),
         d as (select *, regexp_replace(regexp_replace(t, '^[#\\s*_`]+', ''), '\\s+$', '') as tc, regexp_replace(regexp_replace(string_split(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '^[#\\s*_`]+', ''), '\\s+$', '') as bc from c),
         e as (select *, regexp_replace(lower(tc), '[^\\p{L}\\p{N}]', '', 'g') as tn, regexp_replace(lower(bc), '[^\\p{L}\\p{N}]', '', 'g') as bn, list_distinct(regexp_extract_all(lower(tc), '[\\p{L}\\p{N}_]+')) as tw, list_distinct(regexp_extract_all(lower(bc), '[\\p{L}\\p{N}_]+')) as bw from d),
         f as (select *, least(length(tn), length(bn))::double / greatest(length(tn), length(bn), 1) as r, len(list_intersect(tw, bw))::double / greatest(len(tw), len(bw), 1) as o from e),
         g as (select item_id, case when tn = '' or bn = '' then 0 when tn = bn then 1 when least(length(tn), length(bn)) >= 4 and (contains(tn, bn) or contains(bn, tn)) and r >= 0.6::double then 0.8::double + 0.2::double * r when o >= 0.65::double then 0.65::double + 0.35::double * o else 0 end::double as s from f)
         select item_id, round(s, 6) as similarity, round(case when s < 0.5 then 0 else least(s + case when item_id % 2 = 0 then 0.15::double else 0 end - case when item_id % 3 = 0 then 0 else 0.15::double end, 1) end::double, 6) as confidence from g""",
+    "cloze_numbers": """with a as (select doc_id, concat(case when doc_id % 7 = 0 then '{{c1::done}} ' else '' end, regexp_replace(text, '(^| )([a-z]{5,6}) ', '\\1{{\\2}} ', 'g')) as x from documents),
+        b as (select doc_id, x, string_split_regex(x, '\\{\\{[^{}]+?\\}\\}') as p, regexp_extract_all(x, '\\{\\{([^{}]+?)\\}\\}', 1) as f from a)
+        select doc_id, case when regexp_matches(x, '\\{\\{c[0-9]+::') then x else array_to_string([concat(p[i], case when i <= len(f) then concat('{{c', cast(i as string), '::', f[i], '}}') else '' end) for i in range(1, len(p) + 1)], '') end as numbered from b""",
+    "span_markdown": """with s as (select p_partkey, p_brand as t, p_size, p_name, p_partkey % 32 as f, case p_size % 4 when 0 then 'Times' when 1 then 'Arial-Bold' when 2 then 'Courier' else 'Sans-Oblique' end as n from part),
+        m as (select *, (f & 16) > 0 or n = 'Arial-Bold' as b, (f & 3) > 0 or n = 'Sans-Oblique' as i, (f & 8) > 0 or n = 'Courier' as c from s),
+        k as (select *, case when c and length(t) > 1 then '`' when b and i then '***' when b then '**' when i then '*' else '' end as mark from m)
+        select p_partkey, concat(' ', mark, t, mark, '  ') as md, cast(4 as int) as level from k""",
     "tags_split": """select doc_id, concat(lang, '|', source, '|b') as tags, case when length(text) > 500 then concat(left(text, 500), '[cut]') else text end as clipped, cast(floor((doc_id % 7) * 100 / greatest(doc_id % 9, 1)) as int) as percent from documents""",
 }.items()}

@@ -27,10 +27,10 @@ CHAPTERS = """(select doc_id, ch_ord, chapter_id, concat('Chapter ', cast(ch_ord
 
 #: Lines as they might come from a Markdown or text file.
 DECORATED = """(select doc_id, ord, case (ord + doc_id) % 12
-  when 0 then concat('# ', substr(raw, 1, 30)) when 1 then concat('Chapter ', cast(ord + 1 as string), ' of the book') when 2 then concat('- ', raw)
-  when 3 then concat(cast(ord as string), '. ', raw) when 4 then concat('Figure ', cast(ord as string), ': ', substr(raw, 1, 40)) when 5 then concat('def ', substr(raw, 1, 20))
-  when 6 then concat('2.', cast(ord as string), ' ', raw) when 7 then concat('## ', substr(raw, 1, 20)) when 8 then '| a | b |' when 9 then concat('(a) ', raw)
-  when 10 then concat('第', cast(ord as string), '章 ', substr(raw, 1, 10)) else raw end as line from {lines} p)"""
+  when 0 then concat('# ', raw) when 1 then concat('Chapter ', cast(ord + 1 as string), ' ', raw) when 2 then concat('- ', raw)
+  when 3 then concat(cast(ord as string), '. ', raw) when 4 then concat('Figure ', cast(ord as string), ': ', raw) when 5 then concat('def ', raw)
+  when 6 then concat('2.', cast(ord as string), ' ', raw) when 7 then concat('## ', raw) when 8 then concat('| ', raw, ' | b |') when 9 then concat('(a) ', raw)
+  when 10 then concat('第', cast(ord as string), '章 ', raw) else raw end as line from {lines} p)"""
 
 #: Latin vowels as CJK in a quarter of the documents.
 MIXED = """(select doc_id, ord, case when doc_id % 4 = 0 then translate(raw, 'aeiou', '的一是不了') else raw end as line from {lines} p)"""
