@@ -48,8 +48,8 @@ MEMO = 600_000
 SHARD_IDS = 4_000_000
 #: Documents to a partition of the writer.
 SHARD_DOCS = 8_000
-#: Characters of text that are encoded at a time.
-PIECE = 4_000_000
+#: Characters of text, about, that are encoded at a time.
+PIECE = 12_000_000
 #: Documents of a shard whose first and last ids the reader looks up directly as well.
 LOOKUPS = 16
 _NULL = -(2**63)
@@ -81,12 +81,22 @@ def _pieces(text: str, size: int):
     yield text[at:] if at else text
 
 
+def _gathered(pool: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the pool, which falls into runs of the given sizes, in the order `at`; and their sizes."""
+    first, n = np.cumsum(size) - size, size[at]
+    upto = np.cumsum(n)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+    return pool[np.repeat((first[at] - (upto - n)).astype(kind), n) + np.arange(total, dtype=kind)], n
+
+
 class WordEncoder:
     """Ids of whole texts, 16 bits each where the vocabulary fits.
 
     A text falls into words at ASCII blanks, and a word into its core and the ASCII punctuation before and after it; no token spans
-    either kind of boundary, nor does normalisation. A memo holds the ids of words and pieces. New pieces of letters alone are encoded many at a
-    time, parted by spaces: each ends with its only word-end token; if the counts disagree, one by one.
+    either kind of boundary, nor does normalisation, and case doesn't count. Arrow finds the distinct words and pieces; a memo holds the
+    ids of pieces. New pieces of letters alone are encoded many at a time, parted by spaces: each ends with its only word-end token; if
+    the counts disagree, one by one.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -118,54 +128,56 @@ class WordEncoder:
                 out[p] = np.array(e.ids, dtype=self.dtype).tobytes()
         return out
 
-    @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        """Pieces of a word."""
-        core = word if "<|" in word else word.strip(_PUNCTUATION)  # the vocabulary's own marks stay whole
-        if 0 < len(core) < len(word) and core[0].isalnum() and core[-1].isalnum():
-            at = word.index(core)
-            return word[:at], core, word[at + len(core) :]
-        return (word,)
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word."""
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of distinct pieces."""
         memo = self.memo
-        found = list(map(memo.get, words))
-        if None not in found:
+        found = list(map(memo.get, pieces))
+        new = [p for p, f in zip(pieces, found, strict=True) if f is None]
+        if not new:
             return found
-        parts = {w: self.split(w) for w, f in zip(words, found, strict=True) if f is None}
-        have, new = {}, {}
-        for own in parts.values():
-            for p in own:
-                if p in memo:
-                    have[p] = memo[p]
-                elif p.isascii() and (low := p.lower()) in memo:  # case doesn't count
-                    have[p] = memo[low]
-                else:
-                    new[p] = None
-        have |= self._encode(list(new))
-        whole = {w: b"".join(map(have.__getitem__, own)) for w, own in parts.items()}
-        if len(memo) + len(have) + len(whole) > self.most:
+        have = self._encode(new)
+        if len(memo) + len(have) > self.most:
             for p in list(memo)[: len(memo) // 2]:
                 del memo[p]
             memo[""] = b""
-        if len(memo) + len(have) + len(whole) <= self.most:
+        if len(memo) + len(have) <= self.most:
             memo.update(have)
-            memo.update(whole)
-        return [whole[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        return [have[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+
+    @staticmethod
+    def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Distinct pieces, and three of them for each word: what is before its core, the core, and what is after; "" comes first."""
+        marked = pc.match_substring(words, "<|")  # the vocabulary's own marks stay whole
+        core, rest = pc.utf8_trim(words, _PUNCTUATION), pc.utf8_ltrim(words, _PUNCTUATION)
+        ends = [pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, i, j)) for i, j in ((0, 1), (-1, None))]
+        shorter = pc.less(pc.binary_length(core), pc.binary_length(words))
+        cut = pc.and_(pc.and_(shorter, pc.and_(*ends)), pc.invert(marked)).to_numpy(zero_copy_only=False)
+        core = pc.if_else(cut, core, words)
+        core = pc.if_else(pc.and_(pc.string_is_ascii(core), pc.invert(marked)), pc.ascii_lower(core), core)
+        at = np.flatnonzero(cut)
+        some = words.take(at).to_pylist()
+        before = (pc.binary_length(words).to_numpy() - pc.binary_length(rest).to_numpy())[at].tolist()
+        size = pc.utf8_length(core).to_numpy()[at].tolist()
+        leads = pa.array([w[:n] for w, n in zip(some, before, strict=True)], words.type)
+        trails = pa.array([w[n + k :] for w, n, k in zip(some, before, size, strict=True)], words.type)
+        every = pa.chunked_array([pa.array([""], words.type), core, leads, trails]).combine_chunks().dictionary_encode()
+        index, three = every.indices.to_numpy(), np.zeros((len(words), 3), np.int64)
+        three[:, 1] = index[1 : 1 + len(words)]
+        three[at, 0] = index[1 + len(words) : 1 + len(words) + len(at)]
+        three[at, 2] = index[1 + len(words) + len(at) :]
+        return every.dictionary, three
 
     def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         each = split.flatten().dictionary_encode()
-        at, words = each.indices.to_numpy(), self.words(each.dictionary.to_pylist())
-        width = np.dtype(self.dtype).itemsize
-        size = np.fromiter(map(len, words), np.int64, len(words)) // width
-        pool, first = np.frombuffer(b"".join(words), self.dtype), np.cumsum(size) - size
-        n = size[at]
+        pieces, three = self._parts(each.dictionary)
+        ids = self._known(pieces.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        pool, n = _gathered(np.frombuffer(b"".join(ids), self.dtype), size, three.ravel())
+        out, n = _gathered(pool, n.reshape(-1, 3).sum(axis=1), each.indices.to_numpy())
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])] if len(pool) else np.empty(0, self.dtype)
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-        return ids, np.diff(upto[bounds])
+        return out, np.diff(upto[bounds])
 
     def __call__(self, texts: list[str | None], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and how many each has."""
