@@ -62,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_few(big: DataFrame, few: DataFrame, key: str, how: str, extra: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def join_few(big: DataFrame, few: DataFrame, key: str | list[str], how: str, extra: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """big joined with a table that is usually small.
 
     few is measured first, at ROW bytes a row and what `extra` gives besides: up to `limit` bytes it is broadcast; beyond that

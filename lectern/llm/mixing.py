@@ -11,11 +11,14 @@ source has one, which is rounded by its own random number. A fold holds one docu
 All random numbers are hashes of the ids and the seed, so reruns agree, whatever the partitions.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, 5, 2, 1, ... and share 150 % of all words; a target stops at
-twice its source's words and the excess is shared again by weight until none is above.
+twice its source's words and the excess is shared again by weight until none is above. That is, a source gets its weight times
+a level that all free sources share; the level rises as sources reach twice their words, and each step is one sum over the table
+of sources. Sources may be as many as documents: only sums reach the driver, and that table is broadcast only if it is small.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times (0 words either way); a null source is a source of its
-own, the last; rows that repeat a doc_id are separate documents; an empty table gives an empty result; other columns are
-ignored (mix) or kept (repeat_documents).
+own, the last; rows that repeat a doc_id, or have none, are separate documents with decisions of their own (rows equal in doc_id,
+source and text share out their copies in the order of a hash of all their columns); an empty table gives an empty result; other
+columns are ignored (mix) or kept (repeat_documents).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import WORD, join_few, written
@@ -36,25 +39,35 @@ SEED = 11
 #: Documents to a first bucket, and buckets combined into one, on average.
 BUCKET = 4096
 FAN = 256
+#: Sources to a range in which they are ranked.
+RANGE = 100_000
 
-_COLUMNS = "doc_id long, ord long, source string, size long, whole long, p double, bucket long, done boolean"
+_COLUMNS = "doc_id long, ord long, tie long, source string, size long, whole long, p double, bucket long, done boolean"
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
-    """Target words of each source."""
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, out, free = share * sum(sizes.values()), {}, list(order)
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > cap * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in free}
-        for s in over:
-            out[s] = cap * sizes[s]
-        left -= sum(out[s] for s in over)
-        free = [s for s in free if s not in out]
-    return out
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sources (source, source_size, rows) with target, each source's words to be taken."""
+    unknown = F.col("source").isNull().alias("_null")
+    n = max(1, -(-sources.count() // RANGE))
+    dealt = written(sources.withColumn("_null", unknown).repartitionByRange(n, "_null", "source").withColumn("_cell", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    cells = dealt.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_null", "source")) - 1 + F.col("_before")
+    ranked = dealt.join(cells, "_cell").withColumn("_weight", F.get(F.array(*map(F.lit, weights)), (rank % len(weights)).cast("int")))
+    ranked = written(ranked.select(*sources.columns, "_weight"), "mix-sources")
+
+    level, stopped = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.lit(level) * F.col("_weight") > cap * F.col("source_size")
+        of = ranked.select("source_size", "_weight", over.alias("_over")).agg(
+            F.sum("source_size"), F.sum(F.when(F.col("_over"), F.col("source_size"))), F.sum(F.when(~F.col("_over"), F.col("_weight"))), F.count_if("_over")
+        )
+        words, full, free, now = of.first()
+        if now == stopped or not free:
+            break
+        level, stopped = (share * words - cap * (full or 0)) / free, now
+    aim = F.least(F.lit(level or 0.0) * F.col("_weight"), cap * F.col("source_size")) if level is not None else F.lit(0.0)
+    return ranked.select(*sources.columns, aim.alias("target"))
 
 
 def _pair(p: float, a: int, q: float, b: int, u: float) -> tuple[float, float]:
@@ -78,7 +91,7 @@ def _unit(*parts: int) -> float:
 
 
 def _fold(level: int, seed: int):
-    """Folds rows sorted by (source, bucket, ord, doc_id, size); each (source, bucket) leaves one fractional row."""
+    """Folds rows sorted by (source, bucket, ord, doc_id, size, tie); each (source, bucket) leaves one fractional row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = None, None
@@ -97,7 +110,7 @@ def _fold(level: int, seed: int):
                 elif held is None:
                     held = row
                 else:
-                    u = _unit(seed, level, held.ord, row.ord, held.size, row.size)
+                    u = _unit(seed, level, held.ord, row.ord, held.tie, row.tie, held.size, row.size)
                     p, q = _pair(held.p, held.size, row.p, row.size, u)
                     one, two = held._replace(p=p), row._replace(p=q)
                     if 0 < p < 1:
@@ -117,37 +130,33 @@ def _fold(level: int, seed: int):
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source and size (words) of every row."""
+    """doc_id, source, size (words) and tie (a hash of the text) of every row."""
     n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n.alias("size"), F.xxhash64(text).alias("tie"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int = SEED, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row."""
+    """doc_id, source, size, source_size, target, copies, taken and tie (a hash of the text) of every row."""
     sizes = written(sized(docs, text, source), "mix-sizes")
-    sums = {r[0]: (r[1], r[2]) for r in sizes.groupBy("source").agg(F.sum("size"), F.count("*")).collect()}  # a row for each source
-    words = {s: int(x[0]) for s, x in sums.items()}
-    aim = targets(words)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, words[s], float(aim[s]), max(1, x[1] // bucket)) for s, x in sums.items()], "source string, source_size long, target double, buckets long")
-    key = F.coalesce("source", F.lit("")), F.col("source").isNull()
-    noted = sizes.select(*sizes.columns, key[0].alias("_s"), key[1].alias("_null")).join(
-        F.broadcast(plan.select(key[0].alias("_s"), key[1].alias("_null"), "source_size", "target", "buckets")), ["_s", "_null"]
-    )
+    plan = written(targets(written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "mix-words")), "mix-plan")
+    most = max(1, (plan.agg(F.max("rows")).first()[0] or 0) // bucket)
+    key = F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null")
+    plan = plan.select(*key, "source_size", "target", F.greatest(F.lit(1), F.floor(F.col("rows") / bucket)).cast("long").alias("buckets"))
+    noted = join_few(sizes.select(*sizes.columns, *key), plan, ["_s", "_null"], "inner", F.octet_length("_s"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate).cast("long")
     ord_ = F.xxhash64("_s", "_null", "doc_id", F.lit(seed))
     part = rate - whole
     open_ = noted.select(
-        "doc_id", ord_.alias("ord"), "source", "size", whole.alias("whole"), part.alias("p"),
-        F.pmod(F.shiftright(ord_, 8), F.col("buckets")).alias("bucket"), ((F.col("size") == 0) | (part <= 0)).alias("done"),
+        "doc_id", ord_.alias("ord"), "tie", "source", "size", whole.alias("whole"), part.alias("p"),
+        F.pmod(F.shiftright(F.xxhash64(ord_, "tie"), 8), F.col("buckets")).alias("bucket"), ((F.col("size") == 0) | (part <= 0)).alias("done"),
     )
-    settled, level, most = [], 0, max([1, *(x[1] // bucket for x in sums.values())])
+    settled, level = [], 0
     while True:
         if level:
             open_ = open_.withColumn("bucket", F.expr(f"bucket div {fan}"))
-        sorted_ = open_.repartition(F.coalesce("source", F.lit("")), F.col("source").isNull(), "bucket").sortWithinPartitions("source", "bucket", "ord", "doc_id", "size")
-        folded = written(sorted_.mapInPandas(_fold(level, seed), _COLUMNS), f"mix-{level}")
+        dealt = open_.repartition(F.coalesce("source", F.lit("")), F.col("source").isNull(), "bucket")
+        folded = written(dealt.sortWithinPartitions("source", "bucket", "ord", "doc_id", "size", "tie").mapInPandas(_fold(level, seed), _COLUMNS), f"mix-{level}")
         settled.append(folded.where("done"))
         open_ = folded.where("not done")
         if most <= 1:
@@ -159,17 +168,27 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int =
     for more in settled[1:]:
         every = every.unionByName(more)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p").cast("long")).otherwise(F.lit(0).cast("long"))
-    out = every.select("doc_id", "source", "size", copies.alias("copies"), key[0].alias("_s"), key[1].alias("_null"))
-    out = out.join(F.broadcast(plan.select(key[0].alias("_s"), key[1].alias("_null"), "source_size", "target")), ["_s", "_null"])
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = every.select("doc_id", "source", "size", copies.alias("copies"), "tie", *key)
+    out = join_few(out, plan.drop("buckets"), ["_s", "_null"], "inner", F.octet_length("_s"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "tie")
 
 
 def repeat_documents(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it; its columns stay as they are.
-
-    Rows that share a doc_id are taken as often as the one of them that is taken most; rows without doc_id or without words, never.
-    """
-    taken = mix(docs, text, source).where("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    own = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"))
-    out = join_few(own, written(taken, "mix-taken"), "_id", "inner")
-    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_doc.*")
+    """docs with each row as often as the mix takes it; its columns stay as they are."""
+    key = ["_own", "_id", "_some", "_s", "_tie"]
+    of = lambda doc_id, source, tie: (
+        doc_id.isNotNull().alias("_own"), F.coalesce(doc_id, F.lit(0)).alias("_id"), source.isNotNull().alias("_some"), F.coalesce(source, F.lit("")).alias("_s"), tie.alias("_tie")
+    )
+    taken = mix(docs, text, source).select(*of(F.col("doc_id"), F.col("source"), F.col("tie")), "copies").groupBy(*key).agg(
+        F.count("*").alias("_rows"), F.count_if(F.col("copies") >= 2).alias("_twice"), F.count_if(F.col("copies") >= 1).alias("_once")
+    )
+    taken = written(taken.where("_once > 0"), "mix-taken")
+    own = docs.select(F.struct("*").alias("_doc"), *of(F.col("doc_id").cast("long"), F.col(source).cast("string"), F.xxhash64(text)))
+    out = join_few(own, taken, key, "inner", F.octet_length("_s") + 24)
+    same = F.col("_rows") > 1  # rows that are equal but for other columns share out what they are taken
+    alone = out.where(~same).withColumn("_k", F.lit(1))
+    if not taken.where(same).isEmpty():
+        alone = alone.unionByName(out.where(same).withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_doc")))))
+    copies = F.when(F.col("_k") <= F.col("_twice"), 2).when(F.col("_k") <= F.col("_once"), 1).otherwise(0)
+    some = alone.withColumn("_copies", copies).where("_copies > 0")
+    return some.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")

@@ -239,10 +239,45 @@ def test_dac_of_null_and_repeated_ids_and_long_texts(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 60 + [7] * 90 + [9]
 
 
-def test_mixing_targets():
-    assert mixing.targets({"a": 100, "b": 100, "c": 100}) == {"a": 200.0, "b": 2 * 250 / 3, "c": 250 / 3}
-    assert mixing.targets({None: 10}) == {None: 15.0}
-    assert mixing.targets({"a": 0, "b": 10})["a"] == 0
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0):
+    """Shares the excess again until no source is above its cap."""
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, out, free = share * sum(sizes.values()), {}, list(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > cap * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        for s in over:
+            out[s] = cap * sizes[s]
+        left -= sum(out[s] for s in over)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_mixing_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 20)
+    rnd = random.Random(8)
+    many = {f"host{rnd.randrange(10**6)}é"[: rnd.randint(5, 11)]: rnd.choice([0, 1, 10, 10**6]) * rnd.randint(1, 9) for _ in range(150)}
+    for sizes in ({"a": 100, "b": 100, "c": 100}, {None: 10}, {"a": 0, "b": 10}, {"a": 0, None: 0}, {"z": 7, "a": 1, None: 1000, "b": 5}, many):
+        got = mixing.targets(spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long")).collect()
+        want = plain_targets(sizes)
+        assert len(got) == len(sizes) and all(abs(r.target - want[r.source]) <= 1e-9 * max(1, want[r.source]) for r in got)
+    assert plain_targets({"a": 100, "b": 100, "c": 100}) == {"a": 200.0, "b": 2 * 250 / 3, "c": 250 / 3}
+
+
+def test_mixing_keeps_every_row_apart(spark):
+    data = [(None, f"null id {i} and words", "en", "a", i, *"wdky", 1) for i in range(20)] + [(5, "one two three", "en", "a", 0, *"wdky", 1)]
+    data += [(7, "same text here " * (1 + i % 3), "en", None, i, *"wdky", 1) for i in range(30)] + [(8, "equal", "en", "b", 0, *"wdky", 1)] * 9
+    docs = frame(spark, data)
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id, r.source, r.size] += r.copies
+    out = mixing.repeat_documents(docs).collect()
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in out) == +copies
+    assert max(Counter(map(tuple, (r for r in out if r.doc_id != 8))).values()) <= 2
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.repeat_documents(docs.repartition(5)).collect()), key=repr)
 
 
 def test_mixing(spark):
@@ -253,7 +288,7 @@ def test_mixing(spark):
     sizes = Counter()
     for doc_id, text, _, source, *_ in rows():
         sizes[source] += len(WORD.findall(text or ""))
-    aim, taken = mixing.targets(dict(sizes)), Counter()
+    aim, taken = plain_targets(dict(sizes)), Counter()
     for r in got:
         assert r.taken <= 2 * r.size and r.taken == r.copies * r.size and r.source_size == sizes[r.source]
         assert abs(r.target - aim[r.source]) < 1e-6
