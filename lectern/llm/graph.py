@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import join_spread, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Joins every node's larger neighbours to its least neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "least")  # hubs have many neighbours
+    return join_spread(both, least, ["u"], "_n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

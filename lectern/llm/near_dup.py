@@ -12,8 +12,10 @@ a component's least doc_id names it.
 3. Within a table key, members are tied to the key's least and greatest member only, never to each other, and a tie holds if
    the minhashes agree in AGREE places or more (a pair at 0.75 agrees in fewer once in ten million). Components of the ties are
    families: all that may be linked lies within one.
-4. A family's full sets are packed in blocks of bounded size, and pairs of blocks are compared by counting common shingles.
-   Only links that join something new within a pair of blocks are returned, so rows stay linear in a block's documents.
+4. A family's full sets are packed in blocks of bounded size, and each block is compared within itself by counting common shingles.
+   Only links that join something new are returned, so rows stay linear in a block's documents. In families of several blocks one
+   document of each component is compared with the others' next; as a family of near copies is mostly one component by then, only
+   pairs of blocks that still hold different components are compared in full, each pair in a task of its own.
 5. Components of the links are the result.
 
 Shingles are 64-bit hashes of whole shingles; two different shingles of a pair of documents agree with probability 1e-13.
@@ -199,6 +201,41 @@ def agreement(a, b):
     return run(a, b)
 
 
+def _packed(sets: DataFrame) -> DataFrame:
+    """family, blocks, block and one, the block's documents; a family has as many blocks as its shingles and documents take."""
+    size = sets.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
+    large = written(size.where("blocks > 1"), "near-large")
+    placed = join_few(sets, large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    return placed.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "set")).alias("one"))
+
+
+def _inside(packed: DataFrame) -> DataFrame:
+    return packed.select("one", F.lit(None).cast(packed.schema["one"].dataType).alias("two")).mapInPandas(_links, "u long, v long")
+
+
+def _confirmed(sets: DataFrame) -> DataFrame:
+    """u, v: links, on full sets, that join all that is to be joined within each family."""
+    packed = written(_packed(sets), "near-blocks")
+    found = written(_inside(packed), "near-inside")
+    several = packed.where("blocks > 1")
+    if several.isEmpty():
+        return found
+    place = written(several.select("family", "blocks", "block", F.explode("one.doc_id").alias("doc_id")), "near-places")
+    rooted = components(join_few(found, place.select(F.col("doc_id").alias("u")), "u", "left_semi"), "near-parts")
+    heads = join_few(join_few(sets, place.select("doc_id"), "doc_id", "left_semi"), rooted.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    found = found.unionByName(written(_inside(_packed(heads)), "near-heads"))
+    rooted = components(join_few(found, place.select(F.col("doc_id").alias("u")), "u", "left_semi"), "near-parts")
+    part = join_few(place, rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id"))
+    parts = written(part.groupBy("family", "blocks", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")), "near-block-parts")
+    other = parts.select("family", F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = parts.withColumn("second", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("second > block").join(other, ["family", "second"])
+    pairs = written(pairs.where(F.greatest("hi", "hi2") > F.least("lo", "lo2")).select("family", "block", "second"), "near-pairs")
+    one, two = several.select("family", "block", "one"), several.select("family", F.col("block").alias("second"), F.col("one").alias("two"))
+    across = pairs.join(one, ["family", "block"]).join(two, ["family", "second"]).select("one", "two")
+    return found.unionByName(written(across.mapInPandas(_links, "u long, v long"), "near-across"))
+
+
 def link(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -217,13 +254,7 @@ def link(docs: DataFrame, text: str = "text") -> DataFrame:
     member = written(tied.select(F.col("node").alias("doc_id"), F.col("root").alias("family")).unionByName(tied.select(F.col("root").alias("doc_id"), F.col("root").alias("family")).distinct()), "near-members")
 
     sets = written(join_few(own, member, "doc_id", "inner").mapInPandas(_sets, "family long, doc_id long, n long, set binary"), "near-sets")
-    blocks = sets.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
-    placed = sets.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    packed = written(placed.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "set")).alias("one")), "near-blocks")
-    two = packed.where("blocks > 1").select(F.col("family").alias("_f"), F.col("block").alias("_b"), F.col("one").alias("two"))
-    inside = packed.select("one", F.lit(None).cast(two.schema["two"].dataType).alias("two"))
-    across = packed.where("blocks > 1").join(two, (F.col("family") == F.col("_f")) & (F.col("block") < F.col("_b"))).select("one", "two")
-    found = inside.unionByName(across).mapInPandas(_links, "u long, v long")
+    found = _confirmed(sets)
     rooted = components(found, "near-links")
 
     named = join_few(sketched, written(real.groupBy("cls").agg(F.min("doc_id").alias("cid"), F.count("*").alias("_n")).where("_n > 1").select("cls", "cid"), "near-copies"), "cls", "left")
@@ -242,6 +273,6 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     again = written(left.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "near-again")
     if again.isEmpty():
         return left.select("_doc.*")
-    once = join_few(left, again, "_id", "left_semi").groupBy("_id").agg(F.first("_doc").alias("_doc"))
+    once = join_few(left, again, "_id", "left_semi").groupBy("_id").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
     return join_few(left, again, "_id", "left_anti").select("_doc.*").unionByName(once.select("_doc.*"))
 
