@@ -111,15 +111,17 @@ def fingerprints(docs: DataFrame, text: str = "text", cell: int = CELL) -> DataF
     body = F.coalesce(F.col(text), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.isNotNull().alias("_own"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(body).alias("_tie"), F.length(body).alias("_n"), body.alias("text"))
-    own = rows.join(written(_order(rows.drop("text"), cell), "next-order"), _KEY).withColumn("_k", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(1))))
+    order = written(_order(rows.drop("text"), cell), "next-order")
+    own = rows.drop("_n").join(order, _KEY).withColumn("_k", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(1))))
     head = own.where("_k = 1").select(
         *(F.col("_p" + c).alias(c) for c in _KEY), F.substring(F.col("text"), F.lit(1), F.floor(F.col("_p_n") / 2).cast("int")).alias("_head"), hashes(winnowed(F.col("text"))).alias("_c")
     )
     led = own.join(head, _KEY).withColumn("a", winnowed(F.col("text")))
     again = F.col("_k") < F.col("_m")  # an equal row comes next
-    half = F.floor(F.col("_n") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("_n") - half), F.when(again, F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("_head")))
-    cut = led.select(F.when(F.col("_own"), F.col("_id")).alias("doc_id"), F.col("_n").cast("long").alias("n_chars"), "a", F.when(again, hashes(F.col("a"))).otherwise(F.col("_c")).alias("c"), edited.alias("edited"))
+    size = F.length("text")  # so both sides of the join read the same columns, of one shuffle
+    half = F.floor(size / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.when(again, F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("_head")))
+    cut = led.select(F.when(F.col("_own"), F.col("_id")).alias("doc_id"), size.cast("long").alias("n_chars"), "a", F.when(again, hashes(F.col("a"))).otherwise(F.col("_c")).alias("c"), edited.alias("edited"))
     marked = cut.select("doc_id", "n_chars", "a", "c", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnowed(F.col("edited")).alias("b"))
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"),
