@@ -19,19 +19,35 @@ BROADCAST_BYTES, ROW = 16 << 20, 48
 HOT_SHARE = 1000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's folder within the one that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = _OWN.setdefault(context.applicationId, "")
+        if not where:
+            where = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return f"{where.rstrip('/')}/lectern-{context.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the intermediate tables that this application has written. Results that are still lazy read them: write those first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, gives later plans real sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -62,6 +62,43 @@ def test_large_families(spark, monkeypatch):
     check(spark, [(1000 - i, t, "en", "a", 0, *"wdky", 1) for i, t in enumerate(texts)])
 
 
+def colliding(seed, others, pairs):
+    """Texts that share long passages, so that table keys collide by chance, and pairs of near copies among them: (texts, [(i, j, likeness)])."""
+    rnd = random.Random(seed)
+    words = lambda n: [f"w{rnd.randrange(20_000)}" for _ in range(n)]
+    shared = [words(60) for _ in range(8)]
+    made = lambda: sum(rnd.sample(shared, 2), []) + words(rnd.randint(60, 110))
+    of = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, planted = [made() for _ in range(others)], []
+    for _ in range(pairs):
+        one = made()
+        two = list(one)
+        for at in rnd.sample(range(2, len(two) - 2), rnd.randint(1, 5)):
+            two[at] = f"x{rnd.randrange(10**6)}"
+        a, b = of(one), of(two)
+        planted.append((len(texts), len(texts) + 1, len(a & b) / len(a | b)))
+        texts += [one, two]
+    return [" ".join(t) for t in texts], planted
+
+
+def recall(spark, seed, others, pairs):
+    """Share of planted pairs at 0.75 or more that end in one component, by band of likeness."""
+    texts, planted = colliding(seed, others, pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in near_dup.link(docs).collect()}
+    out = {}
+    for low, high in ((0.75, 0.8), (0.8, 0.9), (0.9, 1.01)):
+        some = [(a, b) for a, b, s in planted if low <= s < high]
+        out[low] = len(some), sum(root[a] == root[b] for a, b in some)
+    return out
+
+
+def test_recall_where_keys_collide(spark):
+    found = recall(spark, 5, 1200, 300)
+    assert all(n > 30 for n, _ in found.values())
+    assert sum(k for _, k in found.values()) >= 0.99 * sum(n for n, _ in found.values())
+
+
 def test_empty(spark):
     assert near_dup.link(frame(spark, [])).count() == near_dup.keep_one(frame(spark, [])).count() == 0
     assert near_dup.link(frame(spark, [(1, None, "en", "a", 0, *"wdky", 1)])).collect()[0].component_id == 1
