@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.85
@@ -69,7 +69,31 @@ _MPL = """This Source Code Form is subject to the terms of the Mozilla Public Li
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 # Fixed values: (licence, template), full texts and the one-line notices in use.
+_LIBRARY = _GPL.replace("General Public", "Lesser General Public").replace("program", "library")
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available
+at https://www.eclipse.org/legal/epl-2.0"""
+_CC0 = """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to
+the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain
+Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not
+be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+
+#: Licences whose own text is short, and the notices that stand for long ones; read_templates() adds whole texts from files.
 TEMPLATES = (
+    ("AGPL-3.0", _GPL.replace("General Public", "Affero General Public")),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
@@ -80,12 +104,19 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", _CC0),
+    ("EPL-2.0", _EPL),
+    ("GPL-2.0", _GPL.replace("version 3", "version 2")),
     ("GPL-3.0", _GPL),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", _ISC),
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", _MPL),
+    ("LGPL-2.1", _LIBRARY.replace("version 3", "version 2.1")),
+    ("LGPL-3.0", _LIBRARY),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -240,12 +271,21 @@ def find(text: str, index: Index) -> list[tuple[float, str, int, int]]:
     return out + runs(text, index, out)
 
 
-def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def read_templates(spark: SparkSession, path: str, most: int = 16 << 20) -> tuple[tuple[str, str], ...]:
+    """Templates from a folder of whole licence texts, each named by its file without .txt; more than `most` characters are refused."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    size = files.agg(F.sum(F.length("value"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} characters of templates at {path}; {most} are allowed")
+    return tuple(sorted((r.file.rsplit("/", 1)[-1].removesuffix(".txt"), r.value) for r in files.collect()))
+
+
+def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """doc_id, license (best, or null), score, n_matches and spans (licence:start:end, by start) of every row."""
 
     @F.pandas_udf("license string, score double, n_matches long, spans string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(threshold=threshold)
+        index = Index(templates, threshold)
         for texts in batches:
             rows = []
             for t in texts:

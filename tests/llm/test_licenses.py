@@ -87,3 +87,31 @@ def test_best_run_against_all_runs():
             assert any(y[0] >= x[0] and y[2] < x[3] and x[2] < y[3] for y in got)
         assert all(x[3] < y[2] for x, y in zip(got, got[1:], strict=False))
         assert all(index.best(text[a:b])[0] >= s for s, _, a, b in got)
+
+
+def test_templates_from_files(spark, tmp_path):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(500)}" for _ in range(6000)]
+    (tmp_path / "Long-1.0.txt").write_text("\n\n".join(" ".join(words[i : i + 60]) for i in range(0, 6000, 60)))
+    (tmp_path / "Short-2.0.txt").write_text("You may do as you like with this small work of ours.")
+    templates = licenses.read_templates(spark, f"file://{tmp_path}")
+    assert [n for n, _ in templates] == ["Long-1.0", "Short-2.0"]
+    changed = [w if i % 80 else "changed" for i, w in enumerate(words)]
+    texts = ["lead in\n\n" + "\n".join(" ".join(changed[i : i + 12]) for i in range(0, 6000, 12)) + "\n\ntail", "x. You may do as you like with this small work of ours. y", " ".join(words[:3000])]
+    data = [(i, t, "en", "a", 0, *"wdky", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, data), templates=templates).collect()}
+    assert [got[i].license for i in range(3)] == ["Long-1.0", "Short-2.0", None] and got[0].score > 0.9 and got[1].score > 0.9
+
+
+def test_notices_of_one_family_are_told_apart():
+    index = licenses.Index()
+    for name, t in licenses.TEMPLATES:
+        got = licenses.find(f"words before it\n\n{t}\n\nwords after it", index)
+        assert max(got, key=lambda x: x[0])[:2] == (1.0, name)
+
+
+def test_a_very_long_line():
+    index = licenses.Index()
+    mit = dict(licenses.TEMPLATES[::-1])["MIT"]
+    other = " ".join(f"word{i * i % 9973}" for i in range(200_000))
+    assert [x[1] for x in licenses.find(f"{other} {mit} {other}", index)] == ["MIT"]
