@@ -112,13 +112,38 @@ def anki_packages(spark, sf_dir):
     return E.anki_packages(cards, 1_706_700_000).select("doc_id", "n_notes", (F.length("apkg") > 0).alias("packed"))
 
 
+def _books(spark, sf_dir):
+    p, c = D.paragraphs(spark, sf_dir), D.chapters(spark, sf_dir)
+    documents = D.read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" & <b>")).alias("filename"))
+    return E.html_book(E.render_chapters(p, c), documents, c, E.seo(p))
+
+
+def html_books(spark, sf_dir):
+    part = lambda x: F.regexp_extract("html", x, 1)
+    words, said = part('(?s)<meta name="keywords" content="(.*?)">'), part('(?s)<meta name="description" content="(.*?)">')
+    return _books(spark, sf_dir).select("doc_id", part("(?s)<title>(.*?)</title>").alias("title"), said.alias("description"), words.alias("keywords"), part("(?s)<ol>(.*?)</ol>").alias("contents"), (F.size(F.split("html", "<section id=")) - 1).alias("sections"))
+
+
+def card_payloads(spark, sf_dir):
+    return E.card_payload(D.lines(spark, sf_dir).select("doc_id", _C("ord").alias("id"), F.lit("qa").alias("type"), _C("raw").alias("front"), F.array(F.lit("line")).alias("tags")))
+
+
+def library_bundle(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents")
+    entries = d.select("doc_id", F.concat("source", F.lit(".md")).alias("title"), F.concat(F.lit("docs/"), _C("doc_id").cast("string"), F.lit("/index.html")).alias("path"), F.lit("a & b").alias("description"))
+    files = E.library_files(entries, _books(spark, sf_dir), "https://library.example", 60).unionByName(E.portal_page(entries))
+    urls, items = F.size(F.split("content", "<loc>")) - 1, F.coalesce(F.size(F.from_json("content", "array<struct<path:string>>")), F.lit(-1))
+    kind = F.regexp_extract("path", "^(docs/|docs-|sitemap-|index)", 1)
+    return files.groupBy(kind.alias("kind")).agg(F.countDistinct("path").alias("files"), F.sum(F.when(kind == "sitemap-", urls).when(kind == "docs-", items).otherwise(F.size(F.split("content", "<li>")) - 1)).alias("entries"))
+
+
 def sse_frames(spark, sf_dir):
     return D.messages(spark, sf_dir).select("conv_id", "turn", E.sse(F.struct(_C("role").alias("role"), _C("turn").alias("n"), _C("content").alias("content"))).alias("frame"))
 
 
 QUERIES = {f.__name__: f for f in (
     web_titles, web_sidebar_links, web_url_canonical, web_markdown, asset_refs, asset_match_report, manifest_entries, render_markdown, full_markdown, seo_descriptions, recent_documents, preferred_order, model_union,
-    flashcard_blocks, translations_parsed, translation_prompts, anki_packages, sse_frames,
+    flashcard_blocks, translations_parsed, translation_prompts, anki_packages, sse_frames, html_books, card_payloads, library_bundle,
 )}
 
 _CLEAN = "regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
@@ -161,5 +186,13 @@ ORACLES = {k: D.duck(v) for k, v in {
         m as (select doc_id, ord, english, max(ok) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding) as p from r)
         select m.doc_id, m.ord, {_PROMPT} as prompt from (select m.doc_id, m.ord, m.english, r.english as pe, r.chinese as pc from m left join r on m.doc_id = r.doc_id and m.p = r.ord) m""",
     "anki_packages": "select doc_id, cast(count(*) as int) as n_notes, true as packed from {lines} l group by doc_id",
+    "html_books": """with t as (select doc_id, ord, trim(coalesce(nullif(chinese, ''), english, '')) as r from {paragraphs} p), c as (select *, trim(regexp_replace(regexp_replace(r, '[*_`#\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) as c from t where r <> '' and not starts_with(r, '![')),
+        n as (select *, row_number() over (partition by doc_id order by ord) as k from c where length(c) > 20), s as (select doc_id, concat(trim(left(string_agg(c, ' ' order by k), 150)), '...') as said from n where k <= 3 group by doc_id),
+        h as (select distinct doc_id, ch_ord, chapter_id from {paragraphs} p), g as (select doc_id, string_agg(concat('Chapter ', cast(ch_ord + 1 as string)), ', ' order by ch_ord) filter (ch_ord < 10) as keywords, count(*) as n,
+          string_agg(concat('<li><a href="#', chapter_id, '">Chapter ', cast(ch_ord + 1 as string), '</a></li>'), '' order by ch_ord) as contents from h group by doc_id)
+        select d.doc_id, concat(source, ' &amp; &lt;b&gt;') as title, replace(replace(replace(replace(coalesce(said, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as description, keywords, contents, cast(n as int) as sections from documents d join g on d.doc_id = g.doc_id left join s on s.doc_id = d.doc_id""",
+    "card_payloads": "select doc_id, cast(to_json(list({'id': ord, 'type': 'qa', 'front': raw, 'tags': ['line']} order by ord)) as string) as payload from {lines} l group by doc_id",
+    "library_bundle": """with n as (select count(*) as n, count(distinct doc_id) as books, cast(ceil(count(*) / 60.0) as bigint) as parts from documents), l as (select count(*) as li from (select distinct doc_id, ch_ord from {paragraphs} p) q)
+        select 'docs/' as kind, books as files, cast(li as bigint) as entries from n, l union all select 'docs-', parts, n from n union all select 'sitemap-', parts, n from n union all select 'index', 1, least(n, 100) from n""",
     "sse_frames": "select conv_id, turn, concat('data: {\"role\":\"', role, '\",\"n\":', cast(turn as string), ',\"content\":', cast(to_json(content) as string), '}', chr(10), chr(10)) as frame from {messages} m",
 }.items()}

@@ -106,11 +106,6 @@ def seo(paragraphs: DataFrame, order: str = "ord") -> DataFrame:
     return first.groupBy("doc_id").agg(F.concat(T.strip(F.left(ordered_text("_n", F.col("_t"), " "), F.lit(150))), F.lit("...")).alias("description"))
 
 
-def sitemap(entries: DataFrame, base: str) -> DataFrame:
-    """One url element for each entry; a text writer makes the file."""
-    return entries.select(F.concat(F.lit(f"<url><loc>{base}/"), F.col("path"), F.lit("</loc></url>")).alias("value"))
-
-
 def card_payload(cards: DataFrame) -> DataFrame:
     """doc_id and the cards as JSON, for a page that shows them."""
     one = F.struct(*[c for c in cards.columns if c != "doc_id"])
@@ -214,14 +209,56 @@ def markdown_archives(whole: DataFrame, images: DataFrame | None = None) -> Data
     return rows.mapInPandas(run, f"doc_id {kind}, archive binary")
 
 
-def html_book(rendered: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id and html: a plain page with contents, description and chapters."""
-    part = F.concat(F.lit("<section><pre>"), T.html_inline(F.col("markdown")), F.lit("</pre></section>"))
-    toc = F.concat(F.lit("<li>"), F.col("chapter_id"), F.lit("</li>"))
-    pages = rendered.groupBy("doc_id").agg(ordered_text("ch_ord", part, "").alias("_body"), ordered_text("ch_ord", toc, "").alias("_toc"))
-    esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    title = esc(F.col("filename"))
-    return pages.join(documents.select("doc_id", "filename"), "doc_id").select("doc_id", F.concat(F.lit("<!doctype html><title>"), title, F.lit("</title><ol>"), F.col("_toc"), F.lit("</ol>"), F.col("_body")).alias("html"))
+def _escaped(x: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(raw), F.lit(safe))
+    return x
+
+
+def html_book(rendered: DataFrame, documents: DataFrame, chapters: DataFrame | None = None, descriptions: DataFrame | None = None, keywords: int = 10) -> DataFrame:
+    """doc_id and html: a plain page with contents, description and keywords (titles of the first chapters) where given, and chapters."""
+    rows = rendered.select("doc_id", "chapter_id", "ch_ord", "markdown")
+    if chapters is not None:
+        rows = rows.join(chapters.select("doc_id", "chapter_id", F.col("title").alias("_title")), ["doc_id", "chapter_id"], "left")
+    title = F.coalesce("_title", "chapter_id") if chapters is not None else F.col("chapter_id")
+    part = F.concat(F.lit('<section id="'), F.col("chapter_id"), F.lit('"><pre>'), T.html_inline(F.col("markdown")), F.lit("</pre></section>"))
+    toc = F.concat(F.lit('<li><a href="#'), F.col("chapter_id"), F.lit('">'), _escaped(title), F.lit("</a></li>"))
+    titles = F.array_sort(F.collect_list(F.struct("ch_ord", title.alias("t"))))
+    named = F.array_join(F.transform(F.slice(titles, 1, keywords), lambda x: x["t"]), ", ") if chapters is not None else F.lit("")
+    pages = rows.groupBy("doc_id").agg(ordered_text("ch_ord", part, "").alias("_body"), ordered_text("ch_ord", toc, "").alias("_toc"), (named if chapters is not None else F.first(named)).alias("_words"))
+    out = pages.join(documents.select("doc_id", "filename"), "doc_id")
+    out = out.join(descriptions.select("doc_id", "description"), "doc_id", "left") if descriptions is not None else out.withColumn("description", F.lit(""))
+    meta = lambda name, x: F.when(F.coalesce(x, F.lit("")) == "", "").otherwise(F.concat(F.lit(f'<meta name="{name}" content="'), _escaped(x), F.lit('">')))
+    head = F.concat(F.lit("<!doctype html><title>"), _escaped(F.col("filename")), F.lit("</title>"), meta("description", F.col("description")), meta("keywords", F.col("_words")))
+    return out.select("doc_id", F.concat(head, F.lit("<ol>"), F.col("_toc"), F.lit("</ol>"), F.col("_body")).alias("html"))
+
+
+#: Entries to a file of the library's list or map.
+PER_FILE = 50_000
+
+
+def library_files(entries: DataFrame, books: DataFrame, base: str, per_file: int = PER_FILE) -> DataFrame:
+    """path and content of a static library's files: each book, its list (docs-N.json) and its map (sitemap-N.xml), in parts.
+
+    With the entries and books of changed documents alone, these are the files of a patch. Parts are chosen by a hash of the path, so
+    a document stays in its part as long as their number does.
+    """
+    n = max(1, -(-entries.count() // per_file))
+    part = F.pmod(F.xxhash64("path"), F.lit(n)).cast("string").alias("part")
+    row = F.struct("path", *[c for c in entries.columns if c != "path"])
+    lists = entries.select(part, row.alias("r")).groupBy("part").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("content"))
+    maps = entries.select(part, "path", F.concat(F.lit(f"<url><loc>{base}/"), _escaped(F.col("path")), F.lit("</loc></url>")).alias("u"))
+    maps = maps.groupBy("part").agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), ordered_text("path", F.col("u"), ""), F.lit("</urlset>")).alias("content"))
+    pages = books.join(entries.select("doc_id", "path"), "doc_id").select("path", F.col("html").alias("content"))
+    return pages.unionByName(lists.select(F.concat(F.lit("docs-"), "part", F.lit(".json")).alias("path"), "content")).unionByName(maps.select(F.concat(F.lit("sitemap-"), "part", F.lit(".xml")).alias("path"), "content"))
+
+
+def portal_page(entries: DataFrame, most: int = 100) -> DataFrame:
+    """path and content of the library's front page: links to the first entries by title (and path)."""
+    first = entries.select("title", "path", "description").orderBy("title", "path").limit(most)
+    link = F.concat(F.lit('<li><a href="'), _escaped(F.col("path")), F.lit('">'), _escaped(F.col("title")), F.lit("</a> "), _escaped(F.coalesce("description", F.lit(""))), F.lit("</li>"))
+    rows = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("title", "path", link.alias("l")))).alias("r"))
+    return rows.select(F.lit("index.html").alias("path"), F.concat(F.lit("<!doctype html><ul>"), F.array_join(F.transform("r", lambda x: x["l"]), ""), F.lit("</ul>")).alias("content"))
 
 
 def site_archives(books: DataFrame, payloads: DataFrame) -> DataFrame:
