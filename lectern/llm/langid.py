@@ -9,7 +9,8 @@ least cross-entropy for each character.
 
 The models are fitted on a bounded sample: documents with a language and fold, taken by a hash of the text at a rate that
 gives about SAMPLE_CHARS characters of each language (all documents, if there are fewer); so the number of keys, and what is
-broadcast, is bounded by languages * SAMPLE_CHARS. An eighth of the sample isn't counted but scored, and calibrates: a logistic
+broadcast, is bounded by languages * SAMPLE_CHARS, but for the one text that each language gets in any case. An eighth of the sample
+isn't counted but scored (where there are more than SMALL_CHARS characters), and calibrates: a logistic
 curve turns the distance to the second language into a score, and a text is rejected if its cross-entropy lies beyond what
 its language's calibration texts show, or its score is below one half.
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 SAMPLE_CHARS = 3_000_000
+#: Languages of fewer characters are counted from all their texts, those that calibrate included.
+SMALL_CHARS = 200_000
 UNKNOWN = "und"
 _BITS = 12
 _CHUNK = 1_000_000
@@ -238,13 +241,15 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, text: str = "text", l
     spark = docs.sparkSession
     labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col(lang).isNotNull() & (F.length(text) > 0))
     labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text"))).collect()  # one row for each language
+    unit = lambda seed: F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")), F.min(unit(1))).collect()  # one row for each language
     if not sizes:
         return None
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, sample_chars / n))))
-    unit = lambda seed: F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(unit(1) < F.element_at(rate, F.col("lang")))
-    counted = sample.where(unit(2) >= 0.125).mapInPandas(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    of = lambda values: F.element_at(F.create_map(*(F.lit(x) for pair in values for x in pair)), F.col("lang"))
+    rate, small = of([(lang, min(1.0, sample_chars / n)) for lang, n, _ in sizes]), of([(lang, n <= SMALL_CHARS) for lang, n, _ in sizes])
+    first = unit(1) == of([(lang, least) for lang, _, least in sizes])  # so that no language is sampled to nothing
+    sample = labelled.where((unit(1) < rate) | first)
+    counted = sample.where((unit(2) >= 0.125) | first | small).mapInPandas(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # bounded by the sample
     langs, keys, n = (table.column(c).to_numpy() for c in ("lang", "key", "n"))
     counts = {}

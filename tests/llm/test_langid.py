@@ -1,6 +1,7 @@
 """Character models: probabilities sum to one, the recursion holds, held-out accuracy, and the edges."""
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,7 +77,6 @@ def test_held_out_accuracy(spark):
     got = langid.identify(docs, fitted, reject=False).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
     assert all(0 <= r.score <= 1 for r in got)
-    import zlib
 
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got)
 
@@ -102,3 +102,18 @@ def test_edges(spark):
     unlabelled = docs.withColumn("lang", docs.lang.substr(9, 1)).replace({"": None}, subset=["lang"])
     assert {r.lang_pred for r in langid.identify(unlabelled, langid.fit(unlabelled)).collect()} == {"und"}
     assert math.isfinite(langid.Calibration(model_of(TEXTS), [], np.empty((0, 2))).a)
+
+
+def test_every_labelled_language_is_learned(spark):
+    data, n = [], 0
+    for lang in "abcdefghijklmnopqrst":  # one text each, of which an eighth would be held back
+        while zlib.crc32(str(n).encode()) % 3 == 1:
+            n += 1
+        data.append((n, f"{lang * 3} {lang}x " * 20, lang))
+        n += 1
+    for _ in range(3):  # two long texts, of which the sample rate alone might leave none
+        data.append((n, "zq zzq qz " * 3000, "z"))
+        n += 3
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    models, _ = langid.fit(docs, sample_chars=100)
+    assert {r.lang for r in docs.where(~langid.held_out(docs.doc_id)).collect()} == set(models.langs)
