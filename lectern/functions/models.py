@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,21 +61,25 @@ def resolve_setting(*choices: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in choices))
 
 
-def call_model(prompt: Column, name: str | None = None, error_mark: str = "[翻译调用异常") -> Column:
-    """A model's answer to each prompt. A failed call gives the error mark and its message, so one row doesn't fail the rest."""
+def call_model(prompt: Column, name: str | None = None, error_mark: str = "[翻译调用异常", workers: int = 1, tries: int = 1) -> Column:
+    """A model's answer to each prompt. A call that fails `tries` times gives the error mark and its message, so one row doesn't fail the rest.
+
+    Each task has at most `workers` calls in flight; the tasks that run at once (cores, or coalesce before the call) bound the rest.
+    """
     run = provider(name)
 
     @F.pandas_udf("string")
     def ask(prompts: pd.Series) -> pd.Series:
         def one(p):
-            if p is None:
-                return None
-            try:
-                return run(p)
-            except Exception as e:  # a provider may raise anything
-                return f"{error_mark}: {e}]"
-
-        return prompts.map(one)
+            for left in range(tries - 1, -1, -1) if p is not None else ():
+                try:
+                    return run(p)
+                except Exception as e:  # a provider may raise anything
+                    if not left:
+                        return f"{error_mark}: {e}]"
+
+        with ThreadPoolExecutor(workers) as pool:
+            return pd.Series(list(pool.map(one, prompts)), dtype=object)
 
     return ask(prompt)
 

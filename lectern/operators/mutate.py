@@ -183,6 +183,27 @@ def append_messages(history: DataFrame, new: DataFrame, chat: str, order: str) -
     return history.unionByName(rows.select(history.columns))
 
 
+def set_paragraphs(paragraphs: DataFrame, updates: DataFrame, append: bool = False) -> DataFrame:
+    """Paragraphs with the translation, status or extracted text that updates (doc_id, id, chinese, status, extracted_text) give; nulls change nothing.
+
+    With append, a translation goes after the one there is. Only the updated columns are touched, so newer values of others stay.
+    """
+    u = updates.select("doc_id", "id", *(F.col(c).alias(f"_{c}") for c in ("chinese", "status", "extracted_text")))
+    out = paragraphs.join(u, ["doc_id", "id"], "left")
+    more = F.when(F.coalesce("chinese", F.lit("")) == "", F.col("_chinese")).otherwise(F.concat_ws("\n", "chinese", "_chinese")) if append else F.col("_chinese")
+    out = out.withColumn("chinese", F.when(F.col("_chinese").isNotNull(), more).otherwise(F.col("chinese")))
+    for c in ("status", "extracted_text"):
+        out = out.withColumn(c, F.coalesce(f"_{c}", c))
+    return out.select(paragraphs.columns)
+
+
+def set_chapter_status(chapters: DataFrame, updates: DataFrame) -> DataFrame:
+    """Chapters with translation_status and error from updates (doc_id, chapter_id, status, error); paragraphs aren't read or written."""
+    u = updates.select("doc_id", "chapter_id", F.struct("status", "error").alias("_new"))
+    out = chapters.join(u, ["doc_id", "chapter_id"], "left")
+    return out.withColumn("translation_status", F.coalesce("_new", "translation_status") if "translation_status" in chapters.columns else F.col("_new")).drop("_new")
+
+
 def pause_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents with those that are listed and being translated set to paused; nothing else of them changes."""
     hit = documents.join(keys.select("doc_id", F.lit(True).alias("_hit")).distinct(), "doc_id", "left")

@@ -89,6 +89,20 @@ def pause_status(spark, sf_dir):
     return mutate.pause_documents(_sql(spark, sf_dir, STATUS, "documents"), keys)
 
 
+def translations_set(spark, sf_dir):
+    p = D.paragraphs(spark, sf_dir)
+    new = p.where("ord % 3 = 1").select("doc_id", "id", F.when(_C("ord") % 2 == 0, F.concat(F.lit("新 "), "english")).alias("chinese"), F.when(_C("ord") % 4 == 1, "completed").alias("status"), F.when(_C("type") == "image", "seen").alias("extracted_text"))
+    both = [mutate.set_paragraphs(p, new, append).select("doc_id", "id", "chinese", "status", "extracted_text", F.lit(append).alias("appended")) for append in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+def chapter_status_set(spark, sf_dir):
+    c = D.chapters(spark, sf_dir)
+    new = c.where("ch_ord % 2 = 0").select("doc_id", "chapter_id", F.when(_C("ch_ord") % 4 == 0, "failed").otherwise("idle").alias("status"), F.when(_C("ch_ord") % 4 == 0, "timeout").alias("error"))
+    s = _C("translation_status")
+    return mutate.set_chapter_status(c, new).select("doc_id", "chapter_id", "paragraph_count", s["status"].alias("status"), s["error"].alias("error"))
+
+
 def stream_decode(spark, sf_dir):
     m = D.messages(spark, sf_dir)
     one, two = F.to_json(F.struct(F.array(F.struct(F.struct("content").alias("delta"))).alias("choices"))), F.to_json(F.struct(F.struct("content").alias("message"), (_C("turn") % 5 == 0).alias("done")))
@@ -121,7 +135,7 @@ def web_documents(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    image_paragraphs, page_artifacts, checked_names, bold_lines, vision_models, env_keys, card_update, pause_status, stream_decode, translate_batches, remediation_plan, web_documents,
+    image_paragraphs, page_artifacts, checked_names, bold_lines, vision_models, env_keys, card_update, pause_status, translations_set, chapter_status_set, stream_decode, translate_batches, remediation_plan, web_documents,
 )}
 
 ORACLES = {k: D.duck(v) for k, v in {
@@ -142,6 +156,10 @@ ORACLES = {k: D.duck(v) for k, v in {
     "card_update": f"""select c.doc_id, c.id, coalesce(h.chapter_id, c.chapter_id) as chapter_id, case when h.type in ('qa', 'cloze') then h.type else c.type end as type, coalesce(nullif(trim(h.front), ''), c.front) as front, coalesce(trim(h.back), c.back) as back,
         case when h.tags is not null then array_to_string([trim(x) for x in string_split(replace(h.tags, '，', ','), ',') if trim(x) <> ''], '|') else c.tag end as tags from {CARDS} c left join {CHANGES} h on h.id = c.id""",
     "pause_status": f"select doc_id, filename, case when status = 'translating' and doc_id in (select doc_id from labels where quality = 1) then 'paused' else status end as status from {STATUS} s",
+    "translations_set": """with p as (select *, case when ord % 3 = 1 and ord % 2 = 0 then concat('新 ', english) end as n from {paragraphs} p), a as (select unnest([false, true]) as appended)
+        select doc_id, id, case when n is null then chinese when appended and chinese <> '' then concat(chinese, chr(10), n) else n end as chinese, case when ord % 3 = 1 and ord % 4 = 1 then 'completed' else status end as status,
+        case when ord % 3 = 1 and type = 'image' then 'seen' else extracted_text end as extracted_text, appended from p, a""",
+    "chapter_status_set": "select doc_id, chapter_id, paragraph_count, case ch_ord % 4 when 0 then 'failed' when 2 then 'idle' end as status, case when ch_ord % 4 = 0 then 'timeout' end as error from {chapters} c",
     "stream_decode": """select chat, seq, max(delta) as delta, count(*) filter (done) as ends from (select cast(conv_id as string) as chat, turn as seq, case when turn % 7 = 6 or conv_id % 4 = 3 then null else content end as delta,
         turn % 7 <> 6 and (conv_id % 4 = 3 or conv_id % 4 = 1 and turn % 5 = 0) as done from {messages} m) t where done or delta is not null group by 1, 2""",
     "translate_batches": """select doc_id, id, concat('译:', english) as chinese, 'completed' as status from {paragraphs} p where type not in ('image', 'code') and not no_translate and (status <> 'completed' or starts_with(chinese, '[翻译调用异常'))""",

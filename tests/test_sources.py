@@ -201,6 +201,9 @@ def test_models(spark):
     rows = spark.createDataFrame([("p",), (None,)], "p string")
     assert [r[0] for r in rows.select(models.call_model(F.col("p"), "fails")).collect()] == ["[翻译调用异常: busy]", None]
     assert rows.select(models.call_model(F.col("p"))).first()[0] == models.stub("p") and "stub" in models.providers()
+    tried = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    models.register_provider("second_try", lambda p, seen=[]: f"ok {p}" if p in seen else seen.append(p) or 1 / 0)  # noqa: B006
+    assert [r[0] for r in tried.select(models.call_model(F.col("p"), "second_try", workers=2, tries=2)).collect()] == ["ok a", "ok b"]
     models.register_functions(spark)
     assert spark.sql("select parse_translation('> 好')").first()[0] == "好"
 
