@@ -6,13 +6,16 @@ import json
 
 from pyspark.sql import functions as F
 
-from lectern.functions import models, text as T
+from lectern import schemas
+from lectern.functions import models
+from lectern.functions import text as T
 from lectern.operators import assets as A
 from lectern.operators import cards as C
 from lectern.operators import context, mutate, structure
 from lectern.plans.streams import _folder
+from lectern.sinks import export as E
 from lectern.sources import derive as D
-from lectern.sources import web
+from lectern.sources import documents, web
 from lectern.streaming import chat
 
 _C = F.col
@@ -103,6 +106,59 @@ def chapter_status_set(spark, sf_dir):
     return mutate.set_chapter_status(c, new).select("doc_id", "chapter_id", "paragraph_count", s["status"].alias("status"), s["error"].alias("error"))
 
 
+def decoded_files(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents")
+    mark = F.unhex(F.lit("EFBBBF"))
+    content = F.when(_C("doc_id") % 2 == 0, F.concat(mark, F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return d.select("doc_id", documents.decoded(content).alias("text"))
+
+
+def first_requests(spark, sf_dir):
+    return A.single_flight(D.read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+def assets_rewritten(spark, sf_dir):
+    p = D.paragraphs(spark, sf_dir)
+    maps = p.where("type = 'image' and ord % 2 = 0").select("doc_id", F.concat(F.lit("img/"), _C("ord").cast("string"), F.lit(".png")).alias("raw"), F.concat(F.lit("store/"), _C("id"), F.lit(".png")).alias("path"))
+    return A.rewrite(p, maps).select("doc_id", "id", "english")
+
+
+def library_patch(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents").select("doc_id", _C("source").alias("title"), F.lit("old").alias("state"))
+    new = d.join(D.read(spark, sf_dir, "labels").select("doc_id"), "doc_id").withColumn("state", F.lit("new"))
+    return E.patched_manifest(d, new)
+
+
+def images_relinked(spark, sf_dir):
+    text = F.concat("text", F.lit("![a](/api/study/documents/doc_"), _C("doc_id").cast("string"), F.lit("/images/x.png) ![b](./images/y.png) ![c](https://h/z.png)"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", E.relink_images(text, "assets").alias("packed"), E.relink_images(text, "raw").alias("raw"))
+
+
+def images_inlined(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.concat("text", F.lit(" ![a](./images/x.jpg) ![b](./images/y.png) ![c](./images/none.gif)")).alias("markdown"))
+    images = d.select("doc_id", F.explode(F.array(F.struct(F.lit("x.jpg").alias("name"), F.encode("lang", "UTF-8").alias("content")), F.struct(F.lit("y.png").alias("name"), F.encode("source", "UTF-8").alias("content")))).alias("i")).select("doc_id", "i.*")
+    return E.inline_images(rows, images).select("doc_id", "markdown")
+
+
+def normalized_cards(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.when(_C("doc_id") % 3 == 0, "cloze").when(_C("doc_id") % 3 == 1, "essay").alias("type"), F.when(_C("doc_id") % 2 == 0, _C("text")).alias("front"), F.when(_C("doc_id") % 5 > 0, _C("source")).alias("back"))
+    return schemas.normalize(rows, "cards")
+
+
+def inspectable_documents(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("web", "folder", "zip", "pdf", "txt"))), (_C("doc_id") % 5 + 1).cast("int"))
+    return A.can_inspect(D.read(spark, sf_dir, "documents").select("doc_id", kind.alias("file_type"), F.when(_C("doc_id") % 3 == 0, True).when(_C("doc_id") % 3 == 1, False).alias("is_scanned")))
+
+
+def web_series(spark, sf_dir):
+    p = D.read(spark, sf_dir, "pages")
+    selected = p.select(_C("page_id").alias("index"), F.when(_C("page_id") % 2 == 0, F.concat(F.lit("Part "), _C("page_id").cast("string"))).otherwise("").alias("title"), "url")
+    out = web.series(p.where("page_id % 5 > 0").select("url", "html"), selected)
+    return out.select("index", F.when(_C("index") % 2 == 0, _C("title")).alias("given"), "fetch_success", (F.length("markdown") > 0).alias("has_text"))
+
+
 def stream_decode(spark, sf_dir):
     m = D.messages(spark, sf_dir)
     one, two = F.to_json(F.struct(F.array(F.struct(F.struct("content").alias("delta"))).alias("choices"))), F.to_json(F.struct(F.struct("content").alias("message"), (_C("turn") % 5 == 0).alias("done")))
@@ -135,7 +191,8 @@ def web_documents(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    image_paragraphs, page_artifacts, checked_names, bold_lines, vision_models, env_keys, card_update, pause_status, translations_set, chapter_status_set, stream_decode, translate_batches, remediation_plan, web_documents,
+    image_paragraphs, page_artifacts, checked_names, bold_lines, vision_models, env_keys, card_update, pause_status, translations_set, chapter_status_set, decoded_files, first_requests, assets_rewritten, library_patch,
+    images_relinked, images_inlined, normalized_cards, inspectable_documents, web_series, stream_decode, translate_batches, remediation_plan, web_documents,
 )}
 
 ORACLES = {k: D.duck(v) for k, v in {
@@ -160,6 +217,15 @@ ORACLES = {k: D.duck(v) for k, v in {
         select doc_id, id, case when n is null then chinese when appended and chinese <> '' then concat(chinese, chr(10), n) else n end as chinese, case when ord % 3 = 1 and ord % 4 = 1 then 'completed' else status end as status,
         case when ord % 3 = 1 and type = 'image' then 'seen' else extracted_text end as extracted_text, appended from p, a""",
     "chapter_status_set": "select doc_id, chapter_id, paragraph_count, case ch_ord % 4 when 0 then 'failed' when 2 then 'idle' end as status, case when ch_ord % 4 = 0 then 'timeout' end as error from {chapters} c",
+    "decoded_files": "select doc_id, text from documents",
+    "first_requests": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id) as k from events) t where k = 1",
+    "assets_rewritten": """select doc_id, id, case when type = 'image' and ord % 2 = 0 then replace(english, concat('img/', cast(ord as string), '.png'), concat('store/', id, '.png')) else english end as english from {paragraphs} p""",
+    "library_patch": "select d.doc_id, source as title, case when l.doc_id is null then 'old' else 'new' end as state from documents d left join labels l on l.doc_id = d.doc_id",
+    "images_relinked": """select doc_id, concat(text, '![a](assets/x.png) ![b](assets/y.png) ![c](https://h/z.png)') as packed, concat(text, '![a](/api/study/documents/doc_', cast(doc_id as string), '/images/x.png) ![b](./images/y.png) ![c](https://h/z.png)') as raw from documents""",
+    "images_inlined": "select doc_id, concat(text, ' ![a](data:image/jpeg;base64,', to_base64(encode(lang)), ') ![b](data:image/png;base64,', to_base64(encode(source)), ') ![c](./images/none.gif)') as markdown from documents",
+    "normalized_cards": "select doc_id, case when doc_id % 3 = 0 then 'cloze' else 'qa' end as type, case when doc_id % 2 = 0 then text else '' end as front, case when doc_id % 5 > 0 then source else '' end as back from documents",
+    "inspectable_documents": "select doc_id, case doc_id % 5 when 0 then 'web' when 1 then 'folder' else 'zip' end as file_type, case doc_id % 3 when 0 then true when 1 then false end as is_scanned from documents where doc_id % 5 < 3 and doc_id % 3 > 0",
+    "web_series": "select page_id as index, case when page_id % 2 = 0 then concat('Part ', cast(page_id as string)) end as given, page_id % 5 > 0 as fetch_success, true as has_text from pages",
     "stream_decode": """select chat, seq, max(delta) as delta, count(*) filter (done) as ends from (select cast(conv_id as string) as chat, turn as seq, case when turn % 7 = 6 or conv_id % 4 = 3 then null else content end as delta,
         turn % 7 <> 6 and (conv_id % 4 = 3 or conv_id % 4 = 1 and turn % 5 = 0) as done from {messages} m) t where done or delta is not null group by 1, 2""",
     "translate_batches": """select doc_id, id, concat('译:', english) as chinese, 'completed' as status from {paragraphs} p where type not in ('image', 'code') and not no_translate and (status <> 'completed' or starts_with(chinese, '[翻译调用异常'))""",
