@@ -13,7 +13,7 @@ a component's least doc_id names it.
    the minhashes agree in AGREE places or more (a pair at 0.75 agrees in fewer once in ten million). Components of the ties are
    families: all that may be linked lies within one.
 4. A family's full sets are packed in blocks of bounded size, and each block is compared within itself by counting common shingles.
-   Only links that join something new are returned, so rows stay linear in a block's documents. In families of several blocks one
+   Each document is then linked with the least one of its component there, so rows stay linear in a block's documents. In families of several blocks one
    document of each component is compared with the others' next; as a family of near copies is mostly one component by then, only
    pairs of blocks that still hold different components are compared in full, each pair in a task of its own.
 5. Components of the links are the result.
@@ -150,8 +150,8 @@ def common_counts(sets: list[np.ndarray], split: int | None = None) -> np.ndarra
     return out
 
 
-def spanning(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Those pairs, in order, that join two sets of nodes for the first time."""
+def roots(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[int]:
+    """For each of n nodes the least one that the pairs connect it with."""
     up = list(range(n))
 
     def find(x: int) -> int:
@@ -160,20 +160,18 @@ def spanning(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[tuple[int
             x = up[x]
         return x
 
-    out = []
     for a, b in zip(pairs_a.tolist(), pairs_b.tolist(), strict=True):
         x, y = find(a), find(b)
         if x != y:
             up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    return [find(x) for x in range(n)]
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = []
         for one, two in zip(pdf["one"], pdf["two"], strict=True):
-            docs = [*one, *(two if two is not None else [])]
+            docs = sorted([*one], key=lambda d: d["doc_id"]) + sorted(two if two is not None else [], key=lambda d: d["doc_id"])
             ids, sets = [d["doc_id"] for d in docs], [np.frombuffer(d["set"], np.uint64) for d in docs]
             split = None if two is None else len(one)
             n = np.array([len(s) for s in sets])
@@ -184,7 +182,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a, b = a[a < b], b[a < b]
             else:
                 b = b + split
-            found += [(ids[x], ids[y]) for x, y in spanning(a, b, len(ids))]
+            found += [(ids[x], ids[y]) for x, y in enumerate(roots(a, b, len(ids))) if x != y]
         yield pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 
@@ -222,11 +220,12 @@ def _confirmed(sets: DataFrame) -> DataFrame:
     if several.isEmpty():
         return found
     place = written(several.select("family", "blocks", "block", F.explode("one.doc_id").alias("doc_id")), "near-places")
-    rooted = components(join_few(found, place.select(F.col("doc_id").alias("u")), "u", "left_semi"), "near-parts")
-    heads = join_few(join_few(sets, place.select("doc_id"), "doc_id", "left_semi"), rooted.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-    found = found.unionByName(written(_inside(_packed(heads)), "near-heads"))
-    rooted = components(join_few(found, place.select(F.col("doc_id").alias("u")), "u", "left_semi"), "near-parts")
-    part = join_few(place, rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id"))
+    root = lambda links, node: links.select(F.col("u").alias(node), F.col("v").alias(f"{node}_root"))
+    part = written(join_few(place, root(found, "doc_id"), "doc_id", "left").withColumn("head", F.coalesce("doc_id_root", "doc_id")), "near-heads")
+    heads = join_few(sets, part.where("head = doc_id").select("doc_id"), "doc_id", "left_semi")
+    more = written(_inside(_packed(heads)), "near-head-links")
+    found = found.unionByName(more)
+    part = join_few(part, root(more, "head"), "head", "left").withColumn("part", F.coalesce("head_root", "head"))
     parts = written(part.groupBy("family", "blocks", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")), "near-block-parts")
     other = parts.select("family", F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = parts.withColumn("second", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("second > block").join(other, ["family", "second"])
