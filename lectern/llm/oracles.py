@@ -4,13 +4,13 @@ _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 
 OP2 = """
 with d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
- y as (select doc_id, h, i, substr(h, 2 * i + 1, 2) not in ('09', '0A', '0B', '0C', '0D', '20') as inside from (select doc_id, h, unnest(range(0, strlen(text))) as i from d where strlen(text) >= 250) a),
+ y as (select doc_id, i, substr(h, 2 * i + 1, 2) not in ('09', '0A', '0B', '0C', '0D', '20') as inside from (select doc_id, h, unnest(range(0, strlen(text))) as i from d where strlen(text) >= 250) a),
  f as (select *, inside and not coalesce(lag(inside) over (partition by doc_id order by i), false) as first from y),
  n as (select *, sum(first::int) over (partition by doc_id order by i rows unbounded preceding) as k from f),
  o as (select doc_id, k, min(i) as at, max(i) as last from n where inside group by doc_id, k),
- q as (select n.doc_id, n.i, greatest(n.i + 250, o.at + 1) as e, n.h from n join o on o.doc_id = n.doc_id and o.k = n.k + case when n.inside then 50 else 51 end
-   union all select n.doc_id, least(n.i - 249, o.last), n.i + 1, n.h from n join o on o.doc_id = n.doc_id and o.k = n.k - 50),
- z as (select doc_id, i, e, md5(substr(h, 2 * i + 1, 2 * (e - i))) as m from (select distinct * from q) a where i >= 0 and e - i <= 400 and 2 * e <= strlen(h)),
+ q as (select n.doc_id, n.i, greatest(n.i + 250, o.at + 1) as e from n join o on o.doc_id = n.doc_id and o.k = n.k + case when n.inside then 50 else 51 end
+   union select n.doc_id, least(n.i - 249, o.last), n.i + 1 from n join o on o.doc_id = n.doc_id and o.k = n.k - 50),
+ z as (select q.doc_id, i, e, md5(substr(h, 2 * i + 1, 2 * (e - i))) as m from q join d on d.doc_id = q.doc_id where i >= 0 and e - i <= 400 and e <= strlen(text)),
  p as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as m from (select doc_id, h, unnest(range(0, greatest(0, strlen(text) - 399))) as i from d) a),
  r as (select doc_id, i as s, i + 400 as e from (select doc_id, i, count(*) over (partition by m) as n from p) b where n > 1),
  g as (select doc_id, s, e, sum(case when s <= prev then 0 else 1 end) over (partition by doc_id order by s) as k from (select *, coalesce(lag(e) over (partition by doc_id order by s), -1) as prev from r) c),
