@@ -50,4 +50,37 @@ with recursive d as (select doc_id, {_WORDS.format(x="translate(coalesce(text, '
  k as (select node, min(root) as root from r group by node)
 select n.doc_id, n.n as n_shingles, k.root as component_id, n.doc_id = k.root as kept from n join k on k.node = n.doc_id"""
 
-ORACLES: dict[str, str] = {"op2_suffix_repeats": OP2, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9}
+def _more(key: str, cost: str, letter: str) -> str:
+    """A key of a path (its cost in 12 digits, then its audit) with one more edit."""
+    return f"lpad(((left({key}, 12))::bigint + {cost})::varchar, 12, '0') || substr({key}, 13) || '{letter}'"
+
+
+_GOES = "coalesce(fault in ('blank', 'duplicate'), false)"
+_EXTRA = "case when fault = 'truncated' then 3 else 0 end"
+# Paths after the rows that may be inserted: q2, then q3.
+_CLOSED = f"select *, least(s3, {_more('q2', '3', 'I')}) as q3 from (select *, least(s2, {_more('least(s0, s1, s3)', '3', 'I')}) as q2 from {{0}}) y"
+
+OP11 = rf"""
+with recursive ids as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+ raw as (select c, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, concat(coalesce(r.conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) as k from conversations r join ids on r.conv_id is not distinct from ids.conv_id),
+ e as (select *, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten([[((ascii(substr(k, i::int, 1)) >> j) & 1)::bigint for j in range(0, 8)] for i in range(1, length(k) + 1)])), lambda a, b: xor(a >> 1, case when xor(a & 1, b) = 1 then 3988292384 else 0 end))) % 20 as kind from raw),
+ m as (select c, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when kind = 0 then [] when kind = 3 then [0, 1] else [0] end) as copy from e),
+ o as (select *, row_number() over (partition by c order by turn nulls first, role, text, copy) as pos, left(role, 1) as head, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as core from m),
+ p as (select *, row_number() over (partition by c, role, text order by pos) > 1 as again, lag(head) over (partition by c order by pos) as prev from o),
+ f as (select *, case when core = '' then 'blank' when again then 'duplicate' when right(core, 1) not in ('.', '!', '?') then 'truncated' end as fault from p),
+ s as (select c, 0::bigint as pos, '000000000000' as s0, null::varchar as s1, null::varchar as s2, null::varchar as s3 from ids
+   union all select c, n as pos,
+     {_more("s0", "4", "D")},
+     least({_more("s1", "4", "D")}, case when not {_GOES} and head = 's' then {_more("s0", _EXTRA, "K")} end),
+     least({_more("q2", "4", "D")}, case when not {_GOES} and head = 'u' then {_more("before", _EXTRA, "K")} end, case when not {_GOES} then {_more("before", "3 + " + _EXTRA, "R")} end),
+     least({_more("q3", "4", "D")}, case when not {_GOES} and head = 'a' then {_more("q2", _EXTRA, "K")} end, case when not {_GOES} then {_more("q2", "3 + " + _EXTRA, "R")} end)
+   from (select *, least(s0, s1, q3) as before from ({_CLOSED.format("(select s.*, f.pos as n, head, fault from s join f on f.c = s.c and f.pos = s.pos + 1) x")}) z) w),
+ b as (select c, least(s0, q3) as best from ({_CLOSED.format("(select * from s where not exists (select 1 from f where f.c = s.c and f.pos > s.pos)) x")}) z),
+ l as (select c, i, letter, count(*) filter (letter <> 'I') over (partition by c order by i) as pos, count(*) filter (letter <> 'D') over (partition by c order by i) as j from (select c, substr(best, 12 + i::int, 1) as letter, i from (select c, best, unnest(range(1, length(best) - 11)) as i from b) a) a2),
+ v as (select l.c, i, letter, j, head, text, role, coalesce(first_value(head) over (partition by l.c order by letter = 'D', i), '') = 's' and first_value(letter) over (partition by l.c order by letter = 'D', i) = 'K' as system from l left join f on f.c = l.c and f.pos = l.pos and letter <> 'I' where letter <> 'D'),
+ t as (select c, string_agg(concat(case when letter = 'K' then role when (j - system::int) % 2 = 1 then 'user' else 'assistant' end, ':', coalesce(text, '')), chr(10) order by i) as repaired from v group by c),
+ g as (select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (prev || head not in ('su', 'ua', 'au')) as illegal from f group by c)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, left(best, 12)::bigint as cost, substr(best, 13) as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from ids join b on b.c = ids.c left join g on g.c = ids.c left join t on t.c = ids.c"""
+
+ORACLES: dict[str, str] = {"op2_suffix_repeats": OP2, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9, "op11_conversation_repair": OP11}

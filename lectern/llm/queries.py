@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, dac, fingerprint, langid, licenses, mixing, near_dup, quality, repeats, secrets
+from lectern.llm import bpe, conversations, dac, fingerprint, langid, licenses, mixing, near_dup, quality, repeats, secrets
 from lectern.llm.common import table
 
 
@@ -49,4 +50,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_repeats, op3_license_scan, op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), alive=F.col("alive"))
+    return found.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_repeats, op3_license_scan, op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix, op11_conversation_repair)}
