@@ -229,7 +229,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features_of(texts: DataFrame) -> np.ndarray:
     with arrow_batches(texts.sparkSession, ROWS):
         rows = texts.mapInArrow(_measured, "x array<float>").toArrow().column("x").combine_chunks()
-    return rows.flatten().to_numpy().reshape(len(rows), -1)
+    return rows.flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.zeros((0, 0), np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample: tuple[int, int] = (SAMPLE_POSITIVE, SAMPLE_UNLABELLED)) -> tuple[Network, float] | None:
