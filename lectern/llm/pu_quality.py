@@ -39,6 +39,7 @@ THRESHOLD = 0.3
 HIDDEN, STEPS, BATCH, RATE, DECAY = 16, 1500, 2048, 0.01, 1e-5
 #: Rows and characters that features are counted for at a time.
 ROWS, CHARS = 512, 2_000_000
+SLICE = 128
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = ("upper", "lower", "letter", "digit", "blank", "ascii", "control")
@@ -126,6 +127,12 @@ def features(texts: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sliced(x: np.ndarray) -> np.ndarray:
+    """Rows in slices, whose products are too small for BLAS to start threads, which would wait for cores that other work holds."""
+    n = SLICE if len(x) % SLICE == 0 else len(x)
+    return x.reshape(-1, n, *x.shape[1:])
+
+
 class Network:
     """One hidden layer over standardised features."""
 
@@ -142,15 +149,16 @@ class Network:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.p
-        return np.tanh(x @ w1 + b1) @ w2 + b2[0]
+        return (np.tanh(_sliced(x) @ w1 + b1) @ w2).reshape(-1) + b2[0]
 
     def step(self, x: np.ndarray, slope: np.ndarray, rate: float = RATE) -> None:
         """One Adam step for a loss with this slope at each row's logit."""
         w1, b1, w2, _ = self.p
         slope = slope.astype(np.float32)
-        h = np.tanh(x @ w1 + b1)
-        back = slope[:, None] * w2 * (1 - h * h)
-        grads = [x.T @ back + DECAY * w1, back.sum(0), h.T @ slope + DECAY * w2, slope.sum(keepdims=True)]
+        xs, s = _sliced(x), _sliced(slope)
+        h = np.tanh(xs @ w1 + b1)
+        back = s[..., None] * w2 * (1 - h * h)
+        grads = [(xs.transpose(0, 2, 1) @ back).sum(0) + DECAY * w1, back.sum((0, 1)), (s[..., None] * h).sum((0, 1)) + DECAY * w2, slope.sum(keepdims=True)]
         self.t += 1
         for p, g, m, v in zip(self.p, grads, self.m, self.v, strict=True):
             m += 0.1 * (g - m)
