@@ -83,4 +83,19 @@ with recursive ids as (select conv_id, row_number() over () as c from (select di
 select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, left(best, 12)::bigint as cost, substr(best, 13) as audit, sha256(coalesce(repaired, '')) as repaired_sha256
 from ids join b on b.c = ids.c left join g on g.c = ids.c left join t on t.c = ids.c"""
 
-ORACLES: dict[str, str] = {"op2_suffix_repeats": OP2, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9, "op11_conversation_repair": OP11}
+OP12 = r"""
+with d as (select row_number() over () as row, coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]') as pieces from documents),
+ p as (select lang, regexp_extract_all(piece, '[^\x20\t]+') as w from (select lang, unnest(pieces) as piece from d) a),
+ n as (select lang, sum(len(w))::bigint as n from p group by lang),
+ g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (select unnest([1, 2, 3, 4, 5]) as k) z) b),
+ f as (select lang, k, phrase, count(*) as a from g group by lang, k, phrase having count(*) >= 100),
+ c as (select *, string_split(phrase, ' ') as w from f where k > 1),
+ u as (select lang, w, k, phrase, a, unnest(range(1, k)) as cut from c),
+ s as (select u.lang, u.phrase, u.k, u.a, cut, x.a as l, y.a as r, n.n, (1000::hugeint * u.a * n.n) // (x.a::hugeint * y.a) as score
+   from u join n on n.lang = u.lang join f x on x.lang = u.lang and x.phrase = array_to_string(w[1 : cut], ' ') join f y on y.lang = u.lang and y.phrase = array_to_string(w[cut + 1 : u.k], ' ')),
+ m as (select *, row_number() over (partition by lang, phrase order by score, cut) as best from s),
+ o as (select distinct b.lang, b.phrase from (select lang, k, a, w, unnest(range(2, k)) as size from c) l, lateral (select unnest([array_to_string(l.w[i : i + l.size - 1], ' ') for i in range(1, l.k - l.size + 2)]) as part) t join f b on b.lang = l.lang and b.phrase = t.part where 100 * l.a >= 100 * b.a),
+ r as (select m.*, row_number() over (partition by m.lang order by score desc, a desc, m.phrase) as rank from m left join o on o.lang = m.lang and o.phrase = m.phrase where best = 1 and o.phrase is null)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from r where rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op2_suffix_repeats": OP2, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9, "op11_conversation_repair": OP11, "op12_phrase_mining": OP12}

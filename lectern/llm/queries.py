@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, conversations, dac, fingerprint, langid, licenses, mixing, near_dup, pu_quality, quality, repeats, secrets
+from lectern.llm import bpe, conversations, dac, fingerprint, langid, licenses, mixing, near_dup, phrases, pu_quality, quality, repeats, secrets
 from lectern.llm.common import table
 
 
@@ -55,9 +55,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pu_quality.score(docs, pu_quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_repeats, op3_license_scan, op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix, op11_conversation_repair, op13_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_repeats, op3_license_scan, op4_token_binary, op5_winnowing, op6_secret_scan, op7_byte_bpe, op8_quality_rules, op9_minhash_near_dedup, op10_source_mix, op11_conversation_repair, op12_phrase_mining, op13_quality_classifier)}

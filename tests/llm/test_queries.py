@@ -23,9 +23,10 @@ COLUMNS = {
     "op7": "doc_id n_tokens ids_sha256 decoded_sha256", "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9": "doc_id n_shingles component_id kept", "op10": "doc_id size source_size target taken",
     "op11": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op12": "lang rank phrase a l r n score",
     "op13": "doc_id held_out score predicted",
 }
-ROWS = {"op11": 20}
+ROWS = {"op11": 20, "op12": 34}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
