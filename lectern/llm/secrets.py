@@ -101,22 +101,108 @@ def name_score(name: str) -> float:
     return max([0.0, *(NAME_PARTS.get(p, NAME_PARTS.get(p.removesuffix("s"), 0.0)) for p in parts + joined)])
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: mixed classes and entropy raise, words and references lower."""
-    if "PRIVATE KEY-----" in value:
-        return 1.0
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or " " in value or value.startswith(("$", "{", "<", "%", "http://", "https://", "/")):
-        return -1.0
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return 0.2 * (classes - 1) + (0.3 if entropy >= 3 else 0.0) + (0.2 if len(value) >= 16 else 0.0)
+_PRIVATE = "PRIVATE KEY-----"
+_HEAD, _MOST = 16, 1 << 30  # no placeholder is longer than _HEAD; lengths count up to _MOST
+_CLASSES = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
+
+
+class _Facts(NamedTuple):
+    """What a literal's score needs of it. Those of joined literals follow from those of its parts."""
+
+    length: int = 0
+    head: str = ""
+    tail: str = ""
+    classes: int = 0  # a bit for each of _CLASSES
+    blank: bool = False
+    private: bool = False
+
+    @classmethod
+    def of(cls, text: str) -> _Facts:
+        classes = sum(1 << k for k, c in enumerate(_CLASSES) if c.search(text))
+        return cls(min(len(text), _MOST), text[:_HEAD], text[-_HEAD:], classes, " " in text, _PRIVATE in text)
+
+    def joined(self, other: _Facts) -> _Facts:
+        return _Facts(
+            min(self.length + other.length, _MOST), (self.head + other.head)[:_HEAD], (self.tail + other.tail)[-_HEAD:], self.classes | other.classes,
+            self.blank or other.blank, self.private or other.private or _PRIVATE in self.tail + other.head,
+        )
+
+
+class _Value:
+    """A literal, or literals and values that are joined. Values share their parts, so a name costs no more than its own line; facts and
+    counts of characters are told of each value once, and only where a sensitive name asks for them."""
+
+    __slots__ = ("counts", "facts", "parts", "span", "text", "told")
+
+    def __init__(self, span: tuple[int, int] | None = None, text: str = "", parts: tuple[_Value, ...] = ()):
+        self.span, self.text, self.parts, self.facts, self.counts, self.told = span, text, parts, None, None, False
+
+    def known(self) -> _Facts:
+        stack = [self]
+        while stack:
+            v = stack[-1]
+            todo = [p for p in v.parts if p.facts is None] if v.facts is None else []
+            stack += todo
+            if not todo:
+                stack.pop()
+                if v.facts is None:
+                    v.facts = _Facts.of(v.text)
+                    for p in v.parts:
+                        v.facts = v.facts.joined(p.facts)
+        return self.facts
+
+    def entropy(self) -> float:
+        """Bits for each character of the joined text."""
+        if self.counts is None:
+            order, seen, stack = [], set(), [(self, False)]
+            while stack:  # parts before what they are parts of
+                v, left = stack.pop()
+                if left:
+                    order.append(v)
+                elif id(v) not in seen:
+                    seen.add(id(v))
+                    stack.append((v, True))
+                    stack += [(p, False) for p in v.parts if v.counts is None]
+            times, total = {id(self): 1}, Counter()
+            for v in reversed(order):
+                n = times[id(v)]
+                if v.counts is None and v.parts:
+                    for p in v.parts:
+                        times[id(p)] = times.get(id(p), 0) + n
+                else:
+                    for c, k in (v.counts or Counter(v.text)).items():
+                        total[c] += n * k
+            over = max(0, sum(total.values()).bit_length() - 128)
+            self.counts = {c: k >> over for c, k in total.items() if k >> over} if over else dict(total)
+        n = sum(self.counts.values())
+        return -sum(k / n * math.log2(k / n) for k in self.counts.values())
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Places of the literals that weren't told yet, each once."""
+        out, stack = [], [self]
+        while stack:
+            v = stack.pop()
+            if not v.told:
+                v.told = True
+                stack += v.parts
+                if v.span:
+                    out.append(v.span)
+        return out
+
+    def reaches(self, least: float) -> bool:
+        """Whether it looks like a secret by so much: mixed classes and entropy raise, words and references lower."""
+        f = self.known()
+        if f.private:
+            return least <= 1.0
+        if f.length < 6 or (f.length <= _HEAD and f.head.lower() in PLACEHOLDERS) or f.blank or f.head.startswith(("$", "{", "<", "%", "http://", "https://", "/")):
+            return least <= -1.0
+        score = 0.2 * (f.classes.bit_count() - 1) + (0.2 if f.length >= 16 else 0.0)
+        return score >= least or (score + 0.3 >= least and self.entropy() >= 3)
 
 
 #: What undelimited literals need above MIN_SCORE.
 _BARE_MORE = 0.4
 
-Part = tuple[int, int, str]  # start, end and value of a literal
-
 
 class _Frame(NamedTuple):
     """An open bracket: what closes it, the name whose value it is in, how sensitive that is, and whether any open one is sensitive."""
@@ -141,11 +227,11 @@ class _Lexer:
         self.absent: set[str] = set()  # closing marks that don't come any more
         self.block_end = 0
 
-    def judge(self, name: str, parts: list[Part], least: float = MIN_SCORE, around: float = 0.0) -> None:
+    def judge(self, name: str, value: _Value, least: float = MIN_SCORE, around: float = 0.0) -> None:
         """around: how sensitive the brackets around the pair are."""
-        sensitive = max(around, name_score(name)) if parts else 0.0
-        if sensitive and sensitive + literal_score("".join(p[2] for p in parts)) >= least:
-            self.out.update((a, b, KINDS[3]) for a, b, _ in parts if a < b)
+        sensitive = max(around, name_score(name))
+        if sensitive and not value.told and value.reaches(least - sensitive - 1e-9):
+            self.out.update((a, b, KINDS[3]) for a, b in value.spans() if a < b)
 
     def string(self, at: int, stop: int) -> tuple[int, int, int] | None:
         """Start, end and what follows of the string whose quotes open at `at`."""
@@ -170,7 +256,7 @@ class _Lexer:
             self.lex(start, end, ({}, *scopes), comments)
 
     @staticmethod
-    def resolve(name: str, scopes: tuple[dict, ...]) -> list[Part] | None:
+    def resolve(name: str, scopes: tuple[dict, ...]) -> _Value | None:
         for key in (name, name.rpartition(".")[2]):
             for scope in scopes:
                 if key in scope:
@@ -186,7 +272,7 @@ class _Lexer:
             quote = _PREFIX.match(text, at, stop).end() if _PREFIX.match(text, at, stop) else at
             if text[quote : quote + 1] in _QUOTED and quote < stop and (found := self.string(quote, stop)):
                 start, end, at = found
-                parts.append((start, end, _ESCAPED.sub(r"\1", text[start:end])))
+                parts.append(_Value((start, end), _ESCAPED.sub(r"\1", text[start:end])))
                 delimited = True
                 self.inside(start, end, scopes, comments)
             else:
@@ -196,7 +282,7 @@ class _Lexer:
                 opens = text[at + len(word) : at + len(word) + 1] in _CLOSES and at + len(word) < stop
                 if names and all(_NAME.fullmatch(w) for w in names):
                     found = [None if opens else self.resolve(w, scopes) for w in names]
-                    parts += [p for f in found if f for p in f]
+                    parts += filter(None, found)
                     delimited |= any(found)
                     known &= all(found)
                     if opens:  # a call or a subscript
@@ -204,7 +290,7 @@ class _Lexer:
                         at = m.end() + 1
                         break
                     if not any(found) and not parts and re.search(r"\d", word):  # no name that is known: a literal
-                        parts, known = [(at, m.end(), word)], True
+                        parts, known = [_Value((at, m.end()), word)], True
                         at = m.end()
                         break
                     at = m.end()
@@ -212,9 +298,9 @@ class _Lexer:
                         continue
                 elif word:
                     for p in _PARAMETER.finditer(text, *m.span()):
-                        self.judge(p[1], [(*p.span(2), p[2])], MIN_SCORE + _BARE_MORE)
+                        self.judge(p[1], _Value(p.span(2), p[2]), MIN_SCORE + _BARE_MORE)
                     if not parts:
-                        parts.append((*m.span(), word))
+                        parts.append(_Value(m.span(), word))
                     at = m.end()
                     break
                 elif opens and not parts:
@@ -226,9 +312,11 @@ class _Lexer:
             if not m or (m.end() == m.start() and text[at : at + 1] not in _QUOTED):
                 break
             at = m.end()
-        self.judge(target, parts, MIN_SCORE if delimited else MIN_SCORE + _BARE_MORE, around)
-        if parts and known:
-            scopes[0][target] = parts
+        if parts:
+            whole = parts[0] if len(parts) == 1 else _Value(parts=tuple(parts))
+            self.judge(target, whole, MIN_SCORE if delimited else MIN_SCORE + _BARE_MORE, around)
+            if known:
+                scopes[0][target] = whole
         return at
 
     def yaml(self, target: str, head: int, at: int, stop: int) -> int | None:
@@ -254,7 +342,7 @@ class _Lexer:
             at = to + 1
         if lines:
             self.block_end = at
-            self.judge(target, [(begin, end, "".join(lines))])
+            self.judge(target, _Value((begin, end), "".join(lines)))
         return m.end()
 
     def tag(self, name: str, at: int, stop: int, scopes: tuple[dict, ...], comments: bool) -> int:
@@ -264,13 +352,13 @@ class _Lexer:
             s = self.string(m.end(), stop) if text[m.end() : m.end() + 1] in _QUOTED else None
             if not s:
                 break
-            self.judge(m["name"], [(s[0], s[1], text[s[0] : s[1]])])
-            found[m["name"].lower()] = s[0], s[1], text[s[0] : s[1]]
+            found[m["name"].lower()] = _Value(s[:2], text[s[0] : s[1]])
+            self.judge(m["name"], found[m["name"].lower()])
             self.inside(s[0], s[1], scopes, comments)
             at = s[2]
-        said = [found[k][2] for k in ("key", "name", "id") if k in found]
+        said = [found[k].text for k in ("key", "name", "id") if k in found]
         for k in said if "value" in found else []:
-            self.judge(k, [found["value"]])
+            self.judge(k, found["value"])
         m = _TAGGED.match(text, at, stop)
         if m and text.startswith(name + ">", m.end()):
             start, end = m.span(1)
@@ -278,9 +366,9 @@ class _Lexer:
                 start += 1
             while end > start and text[end - 1] in " \t\n\"'":
                 end -= 1
+            scopes[0][name] = _Value((start, end), text[start:end])
             for k in [name, *said]:
-                self.judge(k, [(start, end, text[start:end])])
-            scopes[0][name] = [(start, end, text[start:end])]
+                self.judge(k, scopes[0][name])
             self.inside(start, end, scopes, comments)
             at = m.end()
         return at
