@@ -5,8 +5,8 @@ holds the next bits of those alone. A rank directory counts the set bits before
 the next level is one lookup and one popcount of at most 512 bits: any id is read without decoding a block.
 
 A shard is one byte string (all numbers little-endian):
-  magic "DAC1", u32 levels, u64 documents, u64 ids,
-  i64 doc_id of each document (null: -2^63), u64 place of its first id in the shard, and the number of ids once more,
+  magic "DAC2", u32 levels, u64 documents, u64 ids,
+  i64 doc_id of each document, a bitmap of those that are null, u64 place of its first id in the shard, and the number of ids once more,
   and for each level: u64 codes, the codes (1 byte each), the bitmap, u32 set bits before each block of 512.
 Shards are rows (shard, documents, ids, payload) of a Parquet table in the shared folder, so any store that Spark writes to
 serves, tasks can be repeated and commits are whole. They are not compressed, so a token is read without unpacking anything.
@@ -52,7 +52,6 @@ SHARD_DOCS = 8_000
 PIECE = 12_000_000
 #: Documents of a shard whose first and last ids the reader looks up directly as well.
 LOOKUPS = 16
-_NULL = -(2**63)
 
 # ASCII punctuation that may part a word from what surrounds it; an apostrophe may open a contraction.
 _PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -207,8 +206,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The byte string of a shard."""
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> bytes:
+    """The byte string of a shard; null says which doc_ids are none."""
+    null = np.zeros(len(counts), bool) if null is None else null
     starts = np.zeros(len(counts) + 1, "<u8")
     np.cumsum(counts, out=starts[1:])
     levels, rest = [], ids.astype(np.uint32)
@@ -220,7 +220,7 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
         if not more.any():
             break
         rest = rest[more]
-    out = [b"DAC1", struct.pack("<IQQ", len(levels), len(counts), len(ids)), doc_ids.astype("<i8").tobytes(), starts.tobytes()]
+    out = [b"DAC2", struct.pack("<IQQ", len(levels), len(counts), len(ids)), doc_ids.astype("<i8").tobytes(), np.packbits(null, bitorder="little").tobytes(), starts.tobytes()]
     for code, more in levels:
         before = np.zeros(len(code) // BLOCK + 1, "<u4")
         before[1:] = np.cumsum(np.add.reduceat(more, np.arange(0, len(code), BLOCK), dtype=np.int64))[: len(before) - 1] if len(code) else []
@@ -232,12 +232,14 @@ class Shard:
     """Random and sequential access to a shard's ids."""
 
     def __init__(self, data: bytes):
-        if data[:4] != b"DAC1":
+        if data[:4] != b"DAC2":
             raise ValueError("not a DAC shard")
         n_levels, self.n_docs, self.n_ids = struct.unpack_from("<IQQ", data, 4)
         at = 24
         self.doc_ids = np.frombuffer(data, "<i8", self.n_docs, at)
         at += 8 * self.n_docs
+        self.null = np.unpackbits(np.frombuffer(data, np.uint8, -(-self.n_docs // 8), at), bitorder="little")[: self.n_docs].astype(bool)
+        at += -(-self.n_docs // 8)
         self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, at).astype(np.int64)
         at += 8 * (self.n_docs + 1)
         self.levels = []
@@ -288,20 +290,22 @@ def _shards(path: str, end_id: int, limit: int):
 
         part, number, coder = TaskContext.get().partitionId(), 0, encoder(path)
         doc_ids: list[np.ndarray] = []
+        null: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal number, size
-            data = pack(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids))
+            data = pack(np.concatenate(doc_ids), np.concatenate(counts), np.concatenate(ids), np.concatenate(null))
             out = [[(part << 32) + number], [sum(map(len, doc_ids))], [size], [data]]
             number, size = number + 1, 0
-            doc_ids.clear(), counts.clear(), ids.clear()
+            doc_ids.clear(), null.clear(), counts.clear(), ids.clear()
             return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["shard", "documents", "n_ids", "payload"])
 
         for batch in batches:
-            keys = batch.column("doc_id").fill_null(_NULL).to_numpy()
+            none = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            keys = batch.column("doc_id").fill_null(0).to_numpy()
             texts = batch.column("text")
             length = np.cumsum(np.concatenate([[0], pc.binary_length(texts.fill_null("")).to_numpy()]))
             at = 0
@@ -312,6 +316,7 @@ def _shards(path: str, end_id: int, limit: int):
                 counts.append(n + 1)
                 ids.append(np.insert(found, np.cumsum(n), end_id))
                 doc_ids.append(keys[at:stop])
+                null.append(none[at:stop])
                 size += len(ids[-1])
                 if size >= limit:
                     yield close()
@@ -360,7 +365,7 @@ def read_digests(shards: DataFrame) -> DataFrame:
                             raise ValueError(f"id {i} of a shard is {shard[i]} by its place and {ids[i]} in sequence")
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if d == _NULL else d for d in shard.doc_ids.tolist()], dtype="Int64"),
+                    "doc_id": pd.arrays.IntegerArray(shard.doc_ids.astype(np.int64), shard.null),
                     "start": ends[:-1] + int(first), "n_tokens": np.diff(ends), "ids_crc32": crc,
                 })
 
