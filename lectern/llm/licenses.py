@@ -196,6 +196,36 @@ def _best_run(grams: list[tuple[str, str]], at: int, stop: int, template: frozen
     return best
 
 
+class _Starts:
+    """Spans (end, start), and the least start of those that end at a place or later (a tree of minima over the ends)."""
+
+    NONE = 1 << 62
+
+    def __init__(self, spans: list[tuple[int, int]], all_in: bool = False):
+        self.ends = sorted({b for b, _ in spans})
+        self.size = 1 << max(0, len(self.ends) - 1).bit_length()
+        self.tree = [self.NONE] * (2 * self.size)
+        for b, a in spans if all_in else ():
+            self.add(b, a)
+
+    def add(self, end: int, start: int) -> None:
+        i = self.size + bisect.bisect_left(self.ends, end)
+        while i and self.tree[i] > start:
+            self.tree[i] = start
+            i >>= 1
+
+    def least(self, at: int) -> int:
+        i, out = self.size + bisect.bisect_left(self.ends, at), self.NONE
+        if i >= 2 * self.size:
+            return out
+        out = self.tree[i]
+        while i > 1:
+            if not i & 1:
+                out = min(out, self.tree[i + 1])
+            i >>= 1
+        return out
+
+
 def runs(text: str, index: Index, found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
     """(score, licence, start, end) of the best runs of words, apart from each other and from what units have found."""
     plain = _COPYRIGHT.sub(lambda m: " " * len(m[0]), text)
@@ -216,6 +246,13 @@ def runs(text: str, index: Index, found: list[tuple[float, str, int, int]]) -> l
     heap: list[tuple[float, str, int, int, int]] = []
     taken: list[tuple[int, int]] = []  # ascending, apart
 
+    of_name: dict[str, list] = {}
+    for _, name, a, b in spans:
+        of_name.setdefault(name, []).append((b, a))
+    of_name = {name: _Starts(own, all_in=True) for name, own in of_name.items()}
+    strong = _Starts([(b, a) for _, _, a, b in spans])  # those of at least the score at hand, which only falls
+    waiting = sorted((s, b, a) for s, _, a, b in spans)
+
     def stop_at(k: int, at: int, score: float) -> int:
         """Where a run of template k and this score, from `at` on, meets what is taken; `at` if it may not start."""
         # A run of bigrams [a, b) has words [a, b]; two runs are apart if they have no word in common.
@@ -223,9 +260,11 @@ def runs(text: str, index: Index, found: list[tuple[float, str, int, int]]) -> l
         if j and at <= taken[j - 1][1]:
             return at
         stop = taken[j][0] - 1 if j < len(taken) else len(grams)
-        for s, name, a, b in spans:
-            if b >= at and (name == index.names[k] or s >= score):
-                stop = min(stop, a - 1)
+        while waiting and waiting[-1][0] >= score:
+            strong.add(*waiting.pop()[1:])
+        stop = min(stop, strong.least(at) - 1)
+        if index.names[k] in of_name:
+            stop = min(stop, of_name[index.names[k]].least(at) - 1)
         return max(stop, at)
 
     def offer(k: int, at: int, stop: int) -> None:
@@ -241,9 +280,12 @@ def runs(text: str, index: Index, found: list[tuple[float, str, int, int]]) -> l
                 free[a : b + 1] = bytes(len(free[a : b + 1]))
         hits = [i for i, g in enumerate(grams) if free[i] and g in index.sets[k]]
         if len({grams[i] for i in hits}) >= index.bounds[k][0]:
+            stop = -1
             for i in hits:
-                stop = free.find(0, i)
-                offer(k, i, stop if stop >= 0 else len(grams))
+                if stop < i:
+                    stop = free.find(0, i)
+                    stop = stop if stop >= 0 else len(grams)
+                offer(k, i, stop)
     out = []
     while heap:
         score, name, at, end, k = heapq.heappop(heap)
