@@ -115,3 +115,22 @@ def test_a_very_long_line():
     mit = dict(licenses.TEMPLATES[::-1])["MIT"]
     other = " ".join(f"word{i * i % 9973}" for i in range(200_000))
     assert [x[1] for x in licenses.find(f"{other} {mit} {other}", index)] == ["MIT"]
+
+
+def test_least_start_of_spans_that_end_later():
+    rnd = random.Random(5)
+    for _ in range(200):
+        spans = [(b, b - rnd.randint(0, 9)) for b in (rnd.randint(0, 40) for _ in range(rnd.randint(0, 12)))]
+        tree, seen = licenses._Starts(spans), []
+        for b, a in spans:
+            tree.add(b, a)
+            seen.append((b, a))
+            for at in range(-1, 42):
+                assert tree.least(at) == min((a for b, a in seen if b >= at), default=licenses._Starts.NONE)
+
+
+def test_many_finds_in_one_text():
+    index = licenses.Index()
+    short = sorted((t for _, t in licenses.TEMPLATES), key=len)[:4]
+    text = " and so ".join(short[i % 4] for i in range(3000))
+    assert len(licenses.find(text, index)) == 3000

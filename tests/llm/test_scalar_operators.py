@@ -1,6 +1,7 @@
 """Operators that work row by row, against plain readings of their definitions."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -304,3 +305,52 @@ def test_pivot_keeps_words_and_expectation():
         ends = [mixing._pair(p, a, q, b, u) for u in np.linspace(0, 0.999999, 20001)]
         assert all(abs(x * a + y * b - p * a - q * b) < 1e-9 and (x in (0, 1) or y in (0, 1)) for x, y in ends)
         assert abs(np.mean([x for x, _ in ends]) - p) < 1e-3
+
+
+CHAINS = [
+    ('k = "Zq91hunter2-8812"\n' + "k = k + k\n" * 27 + "pwd = k", ["Zq91hunter2-8812"]),
+    ('k = "Zq91hunter2-8812"\n' + "k = k + k\n" * 2000 + "pwd = k", ["Zq91hunter2-8812"]),
+    ('n0 = "Zq91hunter2-8812"\n' + "".join(f'n{i} = n{i - 1} + "x{i}"\n' for i in range(1, 20_000)) + "pwd = n19999", ["Zq91hunter2-8812", *(f"x{i}" for i in range(1, 20_000))]),
+    ('pwd0 = "Zq91hunter2-8812"\n' + "".join(f"pwd{i} = pwd{i - 1} + pwd{i - 1}\n" for i in range(1, 20_000)), ["Zq91hunter2-8812"]),
+    ('pwd0 = "a b"\n' + "".join(f'pwd{i} = pwd{i - 1} + "a b"\n' for i in range(1, 20_000)), []),
+    ("a = '-----BEGIN PRIV'\nb = 'ATE '\nc = 'KEY-----x'\npwd = a + b + c", ["-----BEGIN PRIV", "ATE ", "KEY-----x"]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(CHAINS)))
+def test_names_bound_from_names_cost_their_own_lines(case):
+    text, want = CHAINS[case]
+    assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == want
+
+
+def test_joined_literals_are_judged_as_one_text():
+    """Facts and entropy of values built from shared parts are those of the joined text."""
+    rnd = random.Random(8)
+    for _ in range(300):
+        values = [(secrets._Value((i, i + 1), t), t) for i, t in enumerate("".join(rnd.choice("aB3-é $") for _ in range(rnd.randint(0, 9))) for _ in range(4))]
+        for _ in range(6):
+            some = [rnd.choice(values) for _ in range(rnd.randint(1, 3))]
+            values.append((secrets._Value(parts=tuple(v for v, _ in some)), "".join(t for _, t in some)))
+        for v, t in values:
+            assert v.known() == secrets._Facts.of(t)
+            n = Counter(t)
+            assert not t or abs(v.entropy() + sum(k / len(t) * math.log2(k / len(t)) for k in n.values())) < 1e-9
+
+
+def test_self_referring_names_in_scan_redact_and_pipeline(spark):
+    import corpus_pipeline
+
+    text = CHAINS[1][0] + "\n" + " ".join(f"word{i}" for i in range(80))
+    docs = frame(spark, [(1, text, "en", "a", len(text), *"wdky", 1)])
+    assert secrets.scan(docs).first().spans == f"literal:{text.index('Zq')}:{text.index('Zq') + 16}"
+    assert secrets.redact(docs).first().text == text.replace("Zq91hunter2-8812", secrets.MASK)
+    for _, f in corpus_pipeline.STAGES[1:-1]:
+        docs = f(spark, docs, "")
+    assert secrets.MASK in docs.first().text
+
+
+def test_dac_keeps_every_doc_id(spark):
+    ids = [None, -(1 << 63), -(1 << 63) + 1, 0, (1 << 63) - 1]
+    docs = frame(spark, [(i, "some words", "en", "a", 1, *"wdky", 1) for i in ids])
+    got = dac.read_digests(dac.write_shards(docs)).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == ids
