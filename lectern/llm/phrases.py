@@ -5,14 +5,17 @@ leave a piece. Words and phrases are numbered, and a phrase of k words is the pa
 its last k - 1 words), packed in 64 bits: exact, whatever the words. So a text becomes an array of numbers at each length, with -1
 where nothing frequent starts, and shrinks with the length.
 
-For each length, candidates are the pairs of neighbouring frequent phrases (Apriori-safe: a phrase is never more frequent than its parts)
-that occur `least` times, found by a sum over keys with partial aggregation. They get a minimal perfect hash (levels of bit arrays
-with ranks) that stores each slot's key, so that a look-up of any other pair is told apart exactly. Mappers read the arrays once: they
-look up all pairs, bincount slots into a numpy array, and write the arrays of the next length; the counts are summed
-in a tree. Lengths and cuts are then joined by slot: every prefix and suffix of a phrase is a phrase that was counted before.
-
-Memory: a hash holds SLOTS candidates at most; more are dealt to as many hashes, one pass each, so neither driver nor task ever holds more.
-Words are joined with their numbers by shuffle, at most once for each batch of texts, so a frequent word is no hot row.
+For each length, candidates are the pairs of neighbouring frequent phrases (Apriori-safe: a phrase is never more frequent than its
+parts) that occur `least` times. Mappers first count pairs by the bucket of their hash, in byte arrays that stop at `least`; the tree's
+sum of these tells which pairs can't be frequent, and only others are summed by key. Candidates get a minimal perfect hash (levels
+of bit arrays with ranks) that stores each slot's key, so that a look-up of any other pair is told apart exactly. Mappers read the
+arrays once more: they look up all pairs, bincount slots into a numpy array, and write the arrays of the next length; the
+counts are summed in a tree. Words have such a hash as well, which stores the words. Cuts are joined by slot: every prefix
+and suffix of a phrase is a phrase that was counted before.
+
+Memory: a hash holds about SLOTS keys and WORD_BYTES of words at most; more are dealt to as many hashes, one pass over the arrays for
+each, so neither driver nor task ever holds more. Buckets are as many as pairs, at most 2^MOST_BITS: beyond that, fewer pairs are told
+apart early and more are summed by key, with the same result.
 
 Defined cases: a null text is empty; a null language is `und`; equal rows count each; ties in score go to the shorter first part; an
 empty table, or one without frequent phrases, gives an empty result; other columns are ignored.
@@ -20,6 +23,8 @@ empty table, or one without frequent phrases, gives an empty result; other colum
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +39,23 @@ from lectern.llm.common import arrow_batches, written
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
 UNKNOWN = "und"
-#: Candidates of one hash: 8 MB of keys, and 8 MB of counters in each task.
-SLOTS = 1 << 20
+#: Candidates of one hash (8 MB of keys, and 8 MB of counters in each task), bytes of its words, and bits of a bucket's number.
+SLOTS, WORD_BYTES, MOST_BITS = 1 << 20, 64 << 20, 26
 #: Documents a batch, keys that a mapper gathers before it sums them, counters in a row, and rows that a task of the tree sums.
-ROWS, GATHER, CHUNK, FAN = 2000, 1 << 21, 1 << 16, 64
+ROWS, GATHER, CHUNK, FAN = 1000, 1 << 20, 1 << 16, 64
 
 _UPPER, _ENDS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?\x0b\x0c\r"
 
 
+def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of 64-bit keys."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class SlotHash:
     """Minimal perfect hash of distinct 64-bit keys onto 0..n-1, with the key of each slot."""
 
@@ -65,11 +79,7 @@ class SlotHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
+        return (_mixed(keys, level) % np.uint64(size)).astype(np.int64)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         out, rest, left = np.full(len(keys), -1, np.int64), np.arange(len(keys)), keys.astype(np.uint64)
@@ -92,6 +102,37 @@ class SlotHash:
         return slots
 
 
+class WordTable:
+    """Numbers of words by language: a minimal perfect hash of their hashes, with the word and language of each slot."""
+
+    def __init__(self, langs: list[str], words: list[str], base: int):
+        self.base, self.seed = base, 0
+        while len(np.unique(keys := self._keys(langs, words))) < len(keys):
+            self.seed += 1
+        self.hash = SlotHash(keys)
+        order = np.argsort(self.hash.find(keys))
+        self.words = pa.array(words, pa.large_string()).take(pa.array(order))
+        self.langs = pa.array(langs, pa.large_string()).take(pa.array(order)).dictionary_encode()
+        self.order = order
+
+    def _keys(self, langs: list[str], words: list[str]) -> np.ndarray:
+        one = lambda x: pd.util.hash_array(np.array(x, dtype=object), categorize=False)
+        return (_mixed(one(words), self.seed) ^ _mixed(one(langs), self.seed + 7)).view(np.int64)
+
+    def find(self, lang: str, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 for others."""
+        at = pc.index_in(pa.scalar(lang, pa.large_string()), self.langs.dictionary).as_py()
+        if at is None or not len(words):
+            return np.full(len(words), -1, "<i4")
+        slots = self.hash.find(self._keys([lang], words.to_pylist()))
+        some = np.flatnonzero(slots >= 0)
+        same = pc.equal(self.words.take(pa.array(slots[some])), words.cast(pa.large_string()).take(pa.array(some))).to_numpy(zero_copy_only=False)
+        same &= self.langs.indices.to_numpy()[slots[some]] == at
+        out = np.full(len(words), -1, "<i4")
+        out[some[same]] = self.base + slots[some[same]]
+        return out
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch and language: its different words, their counts, and the texts as places in that list, -1 at the ends of pieces."""
     for b in batches:
@@ -118,13 +159,31 @@ def _dense(slots: np.ndarray) -> np.ndarray:
     return slots[kept | np.concatenate([[False], kept[:-1]])]
 
 
-def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for codes, at, ids in zip(b.column("codes"), b.column("at"), b.column("ids"), strict=True):
-            coded = np.frombuffer(codes.as_buffer(), "<i4")
-            place = np.full(int(coded.max(initial=-1)) + 2, -1, "<i4")  # the last stands for -1
-            place[at.values.to_numpy()] = ids.values.to_numpy()
-            yield pa.record_batch([pa.array([_dense(place[coded]).tobytes()], pa.binary())], ["slots"])
+def _state_row(slots: np.ndarray) -> list[pa.Array]:
+    """The columns of an array of numbers: its bytes, and how many pairs of neighbours it holds."""
+    slots = _dense(slots)
+    return [pa.array([slots.astype("<i4").tobytes()], pa.binary()), pa.array([len(_pairs(slots)[0])], pa.int64())]
+
+
+def _words_numbered(shared, first: bool, last: bool):
+    """Numbers of the words that this table holds; at last, the texts as arrays of numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: WordTable = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                lang, words = b.column("lang")[i].as_py(), b.column("words")[i].values
+                ids = table.find(lang, words)
+                if not first:
+                    ids = np.maximum(ids, b.column("ids")[i].values.to_numpy())
+                if last:
+                    place = np.append(ids, -1)  # the last stands for ends of pieces
+                    yield pa.record_batch(_state_row(place[np.frombuffer(b.column("codes")[i].as_buffer(), "<i4")]), ["slots", "pairs"])
+                else:
+                    part = b.slice(i, 1)
+                    yield pa.record_batch([part.column("lang"), part.column("words"), part.column("codes"), pa.array([ids], pa.list_(pa.int32()))], ["lang", "words", "codes", "ids"])
+
+    return run
 
 
 def _pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,35 +192,68 @@ def _pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, slots[at].astype(np.int64) << 32 | slots[at + 1]
 
 
-def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the pairs, summed over as many as GATHER."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The keys of all pairs, GATHER or more at a time."""
     gathered, size = [], 0
-
-    def summed():
-        keys, n = np.unique(np.concatenate(gathered), return_counts=True)
-        return pa.record_batch([keys, n.astype(np.int64)], ["key", "n"])
-
     for b in batches:
         for slots in b.column("slots"):
-            keys = _pairs(np.frombuffer(slots.as_buffer(), "<i4"))[1]
-            gathered.append(keys)
-            size += len(keys)
+            gathered.append(_pairs(np.frombuffer(slots.as_buffer(), "<i4"))[1])
+            size += len(gathered[-1])
             if size >= GATHER:
-                yield summed()
+                yield np.concatenate(gathered)
                 gathered, size = [], 0
     if size:
-        yield summed()
+        yield np.concatenate(gathered)
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(keys, 77) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bucketed(bits: int, least: int):
+    """This task's counts of pairs by bucket, up to `least`, in chunks of bytes (or pairs of bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, _small(least))
+        for keys in _gathered(batches):
+            at, n = np.unique(_bucket(keys, bits), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, least)
+        task = TaskContext.get().partitionId()
+        for at in range(0, len(counts), CHUNK):
+            part = counts[at : at + CHUNK]
+            if part.any():
+                yield pa.record_batch([pa.array([at // CHUNK], pa.int32()), pa.array([task], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "task", "counts"])
+
+    return run
+
+
+def _small(least: int):
+    return np.uint8 if least < 256 else np.uint32
+
+
+def _observed(shared, bits: int):
+    """(key, n) of the pairs whose bucket may be frequent, summed over as many as GATHER."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys in _gathered(batches):
+            at = _bucket(keys, bits)
+            keys, n = np.unique(keys[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1], return_counts=True)
+            yield pa.record_batch([keys, n.astype(np.int64)], ["key", "n"])
+
+    return run
 
 
 def _counted(shared, base: int, first: bool, last: bool):
-    """Rows of two kinds: the arrays with the next length's slots (from base), and this task's counters in chunks."""
+    """Rows of two kinds: the arrays with the next length's slots (from base), and this task's counters in chunks.
+
+    After the last of a length's hashes, the arrays are those of the next length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: SlotHash = shared.value
         counts = np.zeros(len(table), np.int64)
-        names = ["slots", "found", "chunk", "task", "counts"]
-        types = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
-        row = lambda *values: pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+        names = ["slots", "pairs", "found", "chunk", "task", "counts"]
+        types = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+        row = lambda *values: pa.record_batch([v if isinstance(v, pa.Array) else pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
         for b in batches:
             for i, value in enumerate(b.column("slots")):
                 slots = np.frombuffer(value.as_buffer(), "<i4")
@@ -172,45 +264,51 @@ def _counted(shared, base: int, first: bool, last: bool):
                 counts += np.bincount(mine[known], minlength=len(table))
                 found[at[known]] = base + mine[known]
                 if not last:
-                    yield row(slots.tobytes(), found.tobytes(), None, None, None)
+                    yield row(slots.tobytes(), len(at), found.tobytes(), None, None, None)
                 elif (found >= 0).any():
-                    yield row(_dense(found).tobytes(), None, None, None, None)
+                    yield row(*_state_row(found), None, None, None, None)
         if counts.any():
             task = TaskContext.get().partitionId()
             for at in range(0, len(counts), CHUNK):
-                yield row(None, None, at // CHUNK, task, counts[at : at + CHUNK].tobytes())
+                yield row(None, None, None, at // CHUNK, task, zlib.compress(counts[at : at + CHUNK].tobytes(), 1))
 
     return run
 
 
-def _tree_sum(parts: DataFrame, n: int) -> np.ndarray:
-    """The sum of all tasks' counters; each task of the tree adds FAN chunks at most."""
+def _tree_sum(parts: DataFrame, kind, most: int | None = None) -> DataFrame:
+    """chunk and counts: the sum of all tasks' counters (up to `most`); each task of the tree adds FAN rows of a chunk at most."""
 
     def added(key, group):
-        total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts")], axis=0)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(0, np.int64)
+        for x in group.column("counts"):
+            own = np.frombuffer(zlib.decompress(x.as_buffer()), kind)
+            total = own.astype(np.int64) if not len(total) else total + own
+        total = (total if most is None else np.minimum(total, most)).astype(kind)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
         parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("chunk", "task").applyInArrow(added, "chunk int, task long, counts binary")
         tasks = -(-tasks // FAN)
         if tasks <= 1:
-            break
-    out = np.zeros(n, np.int64)
-    for chunk, counts in parts.select("chunk", "counts").collect():  # n counters, at most SLOTS
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.int64)
-    return out
+            return parts.select("chunk", "counts")
+
 
+def _buckets(state: DataFrame, k: int, least: int) -> tuple[np.ndarray, int]:
+    """A bit for each bucket, set where its pairs may be frequent, and how many bits a bucket's number has."""
+    pairs = state.agg(F.sum("pairs")).first()[0] or 0
+    bits = min(MOST_BITS, max(10, int(pairs).bit_length()))
+    own = written(state.mapInArrow(_bucketed(bits, least), "chunk int, task long, counts binary"), f"phrase-buckets-{k}")
 
-def _numbered(df: DataFrame, label: str) -> DataFrame:
-    """df as a table with `id`, from 0 without gaps."""
-    placed = written(df.withColumn("_at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("_at", 33)
-    sizes = sorted(placed.groupBy(part.alias("_part")).count().collect())  # one row for each partition
-    starts = dict(zip([p for p, _ in sizes], np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
-    offsets = df.sparkSession.createDataFrame(pd.DataFrame({"_part": list(starts.keys()), "_from": list(starts.values())}, dtype="int64"), "_part long, _from long")
-    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.select((F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_from")).alias("id"), *df.columns)
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.packbits(np.frombuffer(zlib.decompress(x.as_buffer()), _small(least)) >= least, bitorder="little").tobytes() for x in b.column("counts")]
+            yield pa.record_batch([b.column("chunk"), pa.array(sets, pa.binary())], ["chunk", "bits"])
+
+    out, step = np.zeros(1 << (bits - 3), np.uint8), min(CHUNK, 1 << bits) // 8
+    for chunk, sets in _tree_sum(own, _small(least), least).mapInArrow(frequent, "chunk int, bits binary").collect():  # 8 MB at most
+        out[chunk * step : (chunk + 1) * step] = np.frombuffer(sets, np.uint8)
+    return out, bits
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
@@ -221,19 +319,12 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     plain = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER + _ENDS + "\t", _UPPER.lower() + "\n" * len(_ENDS) + " ")
     own = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), plain.alias("text"))
     with arrow_batches(spark, ROWS):
-        coded = own.mapInArrow(_coded, "lang string, words array<string>, counts array<long>, codes binary")
-        texts = written(coded.withColumn("batch", F.monotonically_increasing_id()), "phrase-texts")
+        texts = written(own.mapInArrow(_coded, "lang string, words array<string>, counts array<long>, codes binary"), "phrase-texts")
     totals = texts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     seen = texts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
-    frequent = seen.groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
-    none = F.array().cast("array<long>")
-    words = written(_numbered(frequent, "phrase-counts").select("id", F.lit(-1).cast("long").alias("prefix"), F.lit(-1).cast("long").alias("suffix"), "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("pre"), none.alias("suf")), "phrase-words")
-
-    places = texts.select("batch", "lang", F.posexplode("words").alias("at", "phrase")).join(words.select("lang", "phrase", F.col("id").cast("int").alias("no")), ["lang", "phrase"])
-    known = places.groupBy("batch").agg(F.collect_list(F.struct("at", "no")).alias("known"))
-    joined = texts.select("batch", "codes").join(known, "batch").select("codes", F.col("known.at").alias("at"), F.col("known.no").alias("ids"))
+    frequent = written(seen.groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("counts").alias("a")).where(F.col("a") >= least), "phrase-words")
     with arrow_batches(spark, 16):
-        state = written(joined.mapInArrow(_numbered_texts, "slots binary"), "phrase-1")
+        words, state = _number_words(texts.select("lang", "words", "codes"), frequent)
         levels = [words]
         for k in range(2, longest + 1):
             found, state = _next_length(state, k, least, last=k == longest)
@@ -243,11 +334,36 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     return totals, levels
 
 
+def _number_words(texts: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of frequent words, and the texts as arrays of their numbers."""
+    spark = texts.sparkSession
+    total, size = frequent.agg(F.count("*"), F.sum(F.octet_length("phrase") + F.octet_length("lang"))).first()
+    rounds, found, base = max(1, -(-total // SLOTS), -(-(size or 0) // WORD_BYTES)), [], 0
+    turn = F.pmod(F.xxhash64("lang", "phrase"), F.lit(rounds))
+    for i in range(rounds):
+        rows = frequent.where(turn == i).toArrow()  # about SLOTS words or WORD_BYTES
+        table = WordTable(rows.column("lang").to_pylist(), rows.column("phrase").to_pylist(), base)
+        shared = spark.sparkContext.broadcast(table)
+        last = i == rounds - 1
+        step = texts.mapInArrow(_words_numbered(shared, i == 0, last), "slots binary, pairs long" if last else "lang string, words array<string>, codes binary, ids array<int>")
+        texts = written(step, f"phrase-1-{i}")
+        shared.unpersist()
+        ids = np.arange(base, base + len(rows))
+        found.append(spark.createDataFrame(pa.table({"id": ids, **{c: rows.column(c).take(pa.array(table.order)) for c in ("lang", "phrase", "a")}})))
+        base += len(rows)
+    none = F.array().cast("array<long>")
+    words = [written(df.select("id", F.lit(-1).cast("long").alias("prefix"), F.lit(-1).cast("long").alias("suffix"), "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("pre"), none.alias("suf")), "phrase-table-1") for df in found]
+    return functools.reduce(DataFrame.unionByName, words), texts
+
+
 def _next_length(state: DataFrame, k: int, least: int, last: bool) -> tuple[DataFrame | None, DataFrame]:
     """(id, prefix, suffix, a) of the frequent phrases of k words, and the texts as arrays of their ids."""
     spark = state.sparkSession
-    sums = state.mapInArrow(_observed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    sets, bits = _buckets(state, k, least)
+    shared = spark.sparkContext.broadcast(sets)
+    sums = state.mapInArrow(_observed(shared, bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     candidates = written(sums.where(F.col("n") >= least).select("key"), f"phrase-keys-{k}")
+    shared.unpersist()
     total = candidates.count()
     rounds, found, base = -(-total // SLOTS), None, 0
     turn = F.pmod(F.xxhash64("key"), F.lit(max(1, rounds)))
@@ -255,16 +371,18 @@ def _next_length(state: DataFrame, k: int, least: int, last: bool) -> tuple[Data
         keys = np.sort(candidates.where(turn == i).toArrow().column("key").to_numpy())  # about SLOTS
         table = SlotHash(keys)
         shared = spark.sparkContext.broadcast(table)
-        step = state.mapInArrow(_counted(shared, base, i == 0, i == rounds - 1), "slots binary, found binary, chunk int, task long, counts binary")
+        step = state.mapInArrow(_counted(shared, base, i == 0, i == rounds - 1), "slots binary, pairs long, found binary, chunk int, task long, counts binary")
         passed = written(step, f"phrase-{k}-{i}")
         shared.unpersist()
-        counts = _tree_sum(passed.where("counts is not null").select("chunk", "task", "counts"), len(table))
+        counts = np.zeros(len(table), np.int64)
+        for chunk, own in _tree_sum(passed.where("counts is not null").select("chunk", "task", "counts"), np.int64).collect():  # a number for each key
+            counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(own), np.int64)
         ids = np.arange(base, base + len(table))
         part = spark.createDataFrame(pa.table({"id": ids, "prefix": table.keys >> 32, "suffix": table.keys & 0xFFFFFFFF, "a": counts}))
         part = written(part.where(F.col("a") >= least), f"phrase-slots-{k}")
         found = part if found is None else found.unionByName(part)
-        state, base = passed.where("slots is not null").select("slots", "found"), base + len(table)
-    return found, state.select("slots") if rounds else state
+        state, base = passed.where("slots is not null").select("slots", "pairs", "found"), base + len(table)
+    return found, state
 
 
 def _with_cuts(found: DataFrame, shorter: DataFrame) -> DataFrame:

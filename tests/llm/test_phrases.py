@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import frame, rows
 
@@ -48,6 +49,7 @@ def odd():
 @pytest.mark.parametrize(("least", "slots"), [(2, 1 << 20), (3, 40), (5, 1 << 20)])
 def test_all_phrases(spark, monkeypatch, least, slots):
     monkeypatch.setattr(phrases, "SLOTS", slots)
+    monkeypatch.setattr(phrases, "MOST_BITS", 26 if least == 2 else 10)
     monkeypatch.setattr(phrases, "CHUNK", 64)
     monkeypatch.setattr(phrases, "FAN", 2)
     monkeypatch.setattr(phrases, "GATHER", 50)
@@ -67,6 +69,15 @@ def test_slot_hash():
         assert (table.find(np.setdiff1d(keys + 1, keys)) == -1).all()
 
 
+def test_word_table():
+    words = ["a", "b", "a", "ß", "longer word", ""]
+    table = phrases.WordTable(["en", "en", "fr", "fr", "und", "en"], words, 40)
+    numbers = [int(table.find(lang, pa.array([w]))[0]) for lang, w in zip(["en", "en", "fr", "fr", "und", "en"], words, strict=True)]
+    assert sorted(numbers) == list(range(40, 46))
+    assert table.find("fr", pa.array(["b", "longer word", "x"])).tolist() == [-1, -1, -1]
+    assert table.find("de", pa.array(["a"])).tolist() == [-1] and len(table.find("en", pa.array([], pa.string()))) == 0
+
+
 def test_score_is_exact(spark):
     rng = np.random.default_rng(2)
     data = []
