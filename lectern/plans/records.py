@@ -11,7 +11,7 @@ from lectern.functions import models
 from lectern.functions import text as T
 from lectern.operators import assets as A
 from lectern.operators import cards as C
-from lectern.operators import context, mutate, structure
+from lectern.operators import context, mutate, structure, translation
 from lectern.plans.streams import _folder
 from lectern.sinks import export as E
 from lectern.sources import derive as D
@@ -169,13 +169,12 @@ def stream_decode(spark, sf_dir):
 
 
 def translate_batches(spark, sf_dir):
-    base = _folder(spark)
     p = D.paragraphs(spark, sf_dir)
-    p.write.parquet(f"{base}/in")
-    once = lambda: chat.translate_available(f"{base}/in", f"{base}/out", f"{base}/check", spark, p.schema, lambda d: d.withColumn("chinese", F.concat(F.lit("译:"), "english")))
+    table = translation.results_table(spark, _folder(spark), p)
+    once = lambda: translation.translate_pending(p, table, lambda d: d.withColumn("chinese", F.concat(F.lit("译:"), "english")), _C("doc_id") % 2, 2)
     once()
     once()  # a second run finds nothing new
-    return spark.read.parquet(f"{base}/out").select("doc_id", "id", "chinese", "status")
+    return table.read().select("doc_id", "id", "chinese", "status")
 
 
 def remediation_plan(spark, sf_dir):

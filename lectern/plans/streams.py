@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from lectern.sinks.versions import shared_folder
 from lectern.sources import derive as D
 from lectern.streaming import chat as S
 
 
 def _folder(spark) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="lectern-streams-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _lines(spark, sf_dir):

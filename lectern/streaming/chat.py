@@ -1,11 +1,11 @@
-"""Streams: model answers put together from chunks, reading progress, translation in micro-batches."""
+"""Streams: model answers put together from chunks, and reading progress."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNKS = "chat string, seq bigint, line string"
@@ -87,20 +87,3 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
-
-
-def translate_available(paragraphs_path: str, out_path: str, checkpoint: str, spark: SparkSession, schema: str, translate) -> None:
-    """Translates the paragraphs that need it, in micro-batches: each batch's results replace the same batch of an earlier try.
-
-    translate is a function from a DataFrame to one with `chinese` set (a pandas UDF around a model); rows that fail keep their mark
-    and are tried again by the next run.
-    """
-    from lectern.operators.status import is_translatable, needs_translation
-
-    source = spark.readStream.schema(schema).parquet(paragraphs_path)
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        todo = batch.where(is_translatable() & needs_translation())
-        translate(todo).withColumn("status", F.lit("completed")).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
-
-    source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
