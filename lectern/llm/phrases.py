@@ -14,8 +14,8 @@ counts are summed in a tree. Words have such a hash as well, which stores the wo
 and suffix of a phrase is a phrase that was counted before.
 
 Memory: a hash holds about SLOTS keys and WORD_BYTES of words at most; more are dealt to as many hashes, one pass over the arrays for
-each, so neither driver nor task ever holds more. Buckets are as many as pairs, at most 2^MOST_BITS: beyond that, fewer pairs are told
-apart early and more are summed by key, with the same result.
+each, so neither driver nor task ever holds more. There is a bucket for eight pairs, and 2^MOST_BITS at most: beyond that, fewer pairs
+are told apart early and more are summed by key, with the same result. Keys are summed in parts by their hash, in a tree as well.
 
 Defined cases: a null text is empty; a null language is `und`; equal rows count each; ties in score go to the shorter first part; an
 empty table, or one without frequent phrases, gives an empty result; other columns are ignored.
@@ -231,18 +231,65 @@ def _small(least: int):
     return np.uint8 if least < 256 else np.uint32
 
 
-def _observed(shared, bits: int):
-    """(key, n) of the pairs whose bucket may be frequent, summed over as many as GATHER."""
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _observed(shared, bits: int, part_bits: int):
+    """Keys and counts of this task's pairs whose bucket may be frequent, in parts by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys in _gathered(batches):
-            at = _bucket(keys, bits)
-            keys, n = np.unique(keys[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1], return_counts=True)
-            yield pa.record_batch([keys, n.astype(np.int64)], ["key", "n"])
+        task, keys, counts = TaskContext.get().partitionId(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def parts():
+            of = (_mixed(keys, 78) >> np.uint64(64 - part_bits)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
+            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                mine = order[a:b]
+                yield pa.record_batch(
+                    [pa.array([of[mine[0]]], pa.int32()), pa.array([task], pa.int64()), pa.array([keys[mine].tobytes()], pa.binary()), pa.array([counts[mine].tobytes()], pa.binary())],
+                    ["part", "task", "keys", "counts"],
+                )
+
+        for found in _gathered(batches):
+            at = _bucket(found, bits)
+            found, n = np.unique(found[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1], return_counts=True)
+            keys, counts = _added([keys, found], [counts, n])
+            if len(keys) >= GATHER:
+                yield from parts()
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield from parts()
 
     return run
 
 
+def _candidates(parts: DataFrame, least: int) -> DataFrame:
+    """The keys whose counts reach `least`: tasks' parts merged in a tree."""
+
+    def merged(key, group):
+        keys, counts = _added(*([np.frombuffer(x.as_buffer(), np.int64) for x in group.column(c)] for c in ("keys", "counts")))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
+                yield pa.record_batch([pa.array(np.frombuffer(keys.as_buffer(), np.int64)[np.frombuffer(counts.as_buffer(), np.int64) >= least])], ["key"])
+
+    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("part", "task").applyInArrow(merged, "part int, task long, keys binary, counts binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            return parts.mapInArrow(frequent, "key long")
+
+
 def _counted(shared, base: int, first: bool, last: bool):
     """Rows of two kinds: the arrays with the next length's slots (from base), and this task's counters in chunks.
 
@@ -294,10 +341,10 @@ def _tree_sum(parts: DataFrame, kind, most: int | None = None) -> DataFrame:
             return parts.select("chunk", "counts")
 
 
-def _buckets(state: DataFrame, k: int, least: int) -> tuple[np.ndarray, int]:
-    """A bit for each bucket, set where its pairs may be frequent, and how many bits a bucket's number has."""
+def _buckets(state: DataFrame, k: int, least: int) -> tuple[np.ndarray, int, int]:
+    """A bit for each bucket (about one for eight pairs), set where its pairs may be frequent, and the bits of a bucket's and of a part's number."""
     pairs = state.agg(F.sum("pairs")).first()[0] or 0
-    bits = min(MOST_BITS, max(10, int(pairs).bit_length()))
+    bits = min(MOST_BITS, max(10, int(pairs).bit_length() - 3))
     own = written(state.mapInArrow(_bucketed(bits, least), "chunk int, task long, counts binary"), f"phrase-buckets-{k}")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +355,7 @@ def _buckets(state: DataFrame, k: int, least: int) -> tuple[np.ndarray, int]:
     out, step = np.zeros(1 << (bits - 3), np.uint8), min(CHUNK, 1 << bits) // 8
     for chunk, sets in _tree_sum(own, _small(least), least).mapInArrow(frequent, "chunk int, bits binary").collect():  # 8 MB at most
         out[chunk * step : (chunk + 1) * step] = np.frombuffer(sets, np.uint8)
-    return out, bits
+    return out, bits, min(14, max(4, int(pairs).bit_length() - 20))
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
@@ -359,10 +406,10 @@ def _number_words(texts: DataFrame, frequent: DataFrame) -> tuple[DataFrame, Dat
 def _next_length(state: DataFrame, k: int, least: int, last: bool) -> tuple[DataFrame | None, DataFrame]:
     """(id, prefix, suffix, a) of the frequent phrases of k words, and the texts as arrays of their ids."""
     spark = state.sparkSession
-    sets, bits = _buckets(state, k, least)
+    sets, bits, part_bits = _buckets(state, k, least)
     shared = spark.sparkContext.broadcast(sets)
-    sums = state.mapInArrow(_observed(shared, bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    candidates = written(sums.where(F.col("n") >= least).select("key"), f"phrase-keys-{k}")
+    seen = written(state.mapInArrow(_observed(shared, bits, part_bits), "part int, task long, keys binary, counts binary"), f"phrase-seen-{k}")
+    candidates = written(_candidates(seen, least), f"phrase-keys-{k}")
     shared.unpersist()
     total = candidates.count()
     rounds, found, base = -(-total // SLOTS), None, 0
