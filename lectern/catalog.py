@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import cards, context, keeping, library, records, status, streams, structure, texts, versions
+from lectern.plans import cards, context, keeping, library, pages, records, status, streams, structure, texts, versions
 
-_PLANS = (cards, context, keeping, library, records, status, streams, structure, texts, versions)
+_PLANS = (cards, context, keeping, library, pages, records, status, streams, structure, texts, versions)
 
 
 def queries() -> dict:

@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, for a plan that reads it more than once: computed once, and not again when executors are lost."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Written:
     """A write that isn't published yet."""
