@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.plans.cards import _SM2
 from lectern.sinks.versions import shared_folder
 from lectern.sources import derive as D
 from lectern.streaming import chat as S
+from lectern.streaming import reviews as R
 
 
 def _folder(spark) -> str:
@@ -38,9 +40,19 @@ def stream_progress_best(spark, sf_dir):
     return out.groupBy("doc", "chapter").agg(F.max_by("best", "epoch").alias("best"), F.max_by("completed", "epoch").alias("completed"))
 
 
-QUERIES = {f.__name__: f for f in (stream_concat_messages, stream_progress_best)}
+def stream_reviews(spark, sf_dir):
+    """All reviews as a stream of files in no order of time; the last state of each card."""
+    base = _folder(spark)
+    log = D.reviews(spark, sf_dir).select("user_id", F.col("rating").cast("int").alias("rating"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("no"))
+    log.repartition(3, "no").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return R.last_states(R.run_reviews(source, "user_id", f"{base}/out", f"{base}/check"), "user_id")
+
+
+QUERIES = {f.__name__: f for f in (stream_concat_messages, stream_progress_best, stream_reviews)}
 
 ORACLES = {k: D.duck(v) for k, v in {
+    "stream_reviews": f"select * from {_SM2} t",
     "stream_concat_messages": "select concat(cast(conv_id as string), '_', cast(turn as string)) as chat, concat(content, ' ') as content from {messages} m where role = 'assistant'",
     "stream_progress_best": "select doc, chapter, best, best >= 100 as completed from (select cast(user_id as string) as doc, event_type as chapter, max(case when r >= 95 then 100 else r end) as best from (select *, cast(greatest(0, least(100, floor(abs(value) % 120 + 0.5))) as int) as r from events) t group by 1, 2) u",
 }.items()}
