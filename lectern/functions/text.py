@@ -48,23 +48,33 @@ def blank_line_paragraphs(x: Column) -> Column:
     return F.filter(F.transform(F.split(unix_newlines(x), r"\n\s*\n+"), strip), lambda p: p != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def language_ratio(x: Column) -> Column:
     """Share of CJK among characters that aren't white space; 0 for blank texts."""
-    solid = F.length(F.regexp_replace(x, r"(?U)\s+", ""))
-    return F.when(F.coalesce(solid, F.lit(0)) == 0, 0.0).otherwise(F.regexp_count(x, F.lit(CJK)) / solid)
+    solid = F.coalesce(F.length(F.regexp_replace(x, r"(?U)\s+", "")), F.lit(0))
+    return let(solid, lambda n: F.when(n == 0, 0.0).otherwise(F.regexp_count(x, F.lit(CJK)) / n))
 
 
-def detect_language(x: Column, sample: int = 3000) -> Column:
-    return F.when(language_ratio(F.left(x, F.lit(sample))) >= 0.15, "zh").otherwise("en")
+def detect_language(x: Column, sample: int = 3000, ratio: Column | None = None) -> Column:
+    """By the share of CJK in the first characters; ratio: that of the whole text, where it is known, for texts that aren't longer."""
+    head = language_ratio(F.left(x, F.lit(sample)))
+    return F.when((head if ratio is None else F.when(F.length(x) <= sample, ratio).otherwise(head)) >= 0.15, "zh").otherwise("en")
 
 
 def mostly_target(x: Column, target: str = "zh", threshold: float = 0.35) -> Column:
-    """Whether a text needs no translation: it is in the target language already, or has under two word characters."""
-    clean = F.regexp_replace(F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""), r"\[.*?\]\(.*?\)", "")
-    clean = F.regexp_replace(clean, r"[`#*_\->~]", " ")
-    solid = F.regexp_count(clean, F.lit(r"[\p{L}\p{N}_]"))
-    enough = (F.regexp_count(clean, F.lit(CJK)) / solid >= threshold) if target == "zh" else F.lit(False)
-    return F.when(F.coalesce(x, F.lit("")) == "", True).when(solid < 2, True).otherwise(enough)
+    """Whether a text needs no translation: it is in the target language already, or has under two letters and digits outside links."""
+    if target != "zh":
+        threshold = 2.0  # never
+    bare = F.regexp_replace(F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""), r"\[.*?\]\(.*?\)", "")
+    told = let(
+        F.when(x.contains("]("), bare).otherwise(x),
+        lambda c: let(F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")), lambda n: F.when(n < 2, True).otherwise(F.regexp_count(c, F.lit(CJK)) / n >= threshold)),
+    )
+    return F.when(F.coalesce(x, F.lit("")) == "", True).otherwise(told)
 
 
 def _bare(x: Column) -> Column:

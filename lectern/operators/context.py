@@ -89,13 +89,18 @@ def chapter_text(rows: DataFrame, keys: list[str], order: str, **columns: str) -
 def document_context(chapters: DataFrame, order: str, title: str, body: str, budget: int = DOCUMENT_CHARS) -> DataFrame:
     """Per document: chapters, their characters, and their texts in order, cut to the budget.
 
-    Texts that start beyond the budget are dropped before any are joined, so no string grows beyond the budget and one text.
+    The running length is a window over lengths alone; only the texts that start within the budget are then read and joined, so no text is
+    sorted and no string grows beyond the budget and one text.
     """
     part = F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.col(body))
-    before = F.sum(F.length("_part") + 2).over(Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = chapters.withColumn("_part", part).withColumn("_part", F.when(F.coalesce(before, F.lit(0)) <= budget + 2, F.col("_part")))
-    joined = placed.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum(F.length(body)).alias("original_chars"), _kept_text(order, F.col("_part")).alias("_all"))
-    return joined.select("doc_id", "chapters", "original_chars", clipped(F.col("_all"), budget, CUT_MARK).alias("context"))
+    sizes = chapters.select("doc_id", order, F.length(part).alias("_n"), F.length(body).alias("_chars"))
+    before = F.coalesce(F.sum(F.col("_n") + 2).over(Window.partitionBy("doc_id").orderBy(order, "_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sizes.withColumn("_before", before).where(F.col("_before") <= budget + 2).select(F.col("doc_id").alias("_d"), F.col(order).alias("_o")).distinct()
+    texts = chapters.withColumn("_part", part).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col(order).eqNullSafe(F.col("_o")), "left_semi")
+    texts = texts.groupBy(F.col("doc_id").alias("_d")).agg(_kept_text(order, F.col("_part")).alias("_all"))
+    counts = sizes.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum("_chars").alias("original_chars"))
+    both = counts.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    return both.select("doc_id", "chapters", "original_chars", clipped(F.col("_all"), budget, CUT_MARK).alias("context"))
 
 
 def rule_digest(title: Column, body: Column) -> Column:

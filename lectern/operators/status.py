@@ -112,6 +112,15 @@ def weighted_progress(chapters: DataFrame, progress: DataFrame) -> DataFrame:
     return sums.select("doc_id", js_round(F.when((F.col("_min") > 0) & (F.col("_n") > 0), F.col("_w") / F.col("_n")).otherwise(F.col("_mean"))).cast("int").alias("progress"))
 
 
+def with_progress(documents: DataFrame, progress: DataFrame) -> DataFrame:
+    """documents with `progress`: 100 for those that are completed or at 100 and more, else their ratio; null where nothing was read.
+
+    progress: doc_id, ratio, completed; of several rows for a document the furthest counts.
+    """
+    value = F.when(F.coalesce("completed", F.lit(False)) | (F.col("ratio") >= 100), F.lit(100.0)).otherwise(F.col("ratio").cast("double"))
+    return documents.join(progress.groupBy("doc_id").agg(F.max(value).alias("progress")), "doc_id", "left")
+
+
 def running_progress(events: DataFrame, keys: list[str], order: list[str], ratio: str) -> DataFrame:
     """Events with `best`, the highest progress so far (95 and more counts as 100), and `completed`, once it is 100."""
     raw = F.greatest(F.lit(0), F.least(F.lit(100), js_round(F.col(ratio)).cast("int")))

@@ -11,7 +11,7 @@ from lectern.functions import models
 from lectern.functions import text as T
 from lectern.operators import assets as A
 from lectern.operators import cards as C
-from lectern.operators import context, mutate, structure, translation
+from lectern.operators import context, mutate, status, structure, translation
 from lectern.plans.streams import _folder
 from lectern.sinks import export as E
 from lectern.sources import derive as D
@@ -134,6 +134,20 @@ def images_relinked(spark, sf_dir):
     return D.read(spark, sf_dir, "documents").select("doc_id", E.relink_images(text, "assets").alias("packed"), E.relink_images(text, "raw").alias("raw"))
 
 
+def images_matched(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents")
+    text = F.concat("text", F.lit("\n![a b](sub/Fig%20"), _C("doc_id").cast("string"), F.lit(".PNG) ![q](none.png) <IMG alt='x' src='./c+d.jpg' width=3> ![z]( c+d.jpg 'said' ) ![a b](sub/Fig%2.PNG)"))
+    images = d.where("doc_id % 3 > 0").select("doc_id", F.explode(F.array(F.concat(F.lit("fig "), _C("doc_id").cast("string"), F.lit(".png")), F.when(_C("doc_id") % 3 == 2, "C+D.jpg"))).alias("name")).where("name is not null")
+    rows = d.select("doc_id", text.alias("markdown"))
+    return E.relink_matched(rows, images, F.concat(F.lit("/api/study/documents/"), _C("doc_id").cast("string"), F.lit("/images")))
+
+
+def documents_progress(spark, sf_dir):
+    d = D.read(spark, sf_dir, "documents").select("doc_id", "source")
+    read = D.read(spark, sf_dir, "events").select(_C("user_id").cast("long").alias("doc_id"), F.abs("value").alias("ratio"), (_C("event_type") == "purchase").alias("completed"))
+    return status.with_progress(d, read)
+
+
 def images_inlined(spark, sf_dir):
     d = D.read(spark, sf_dir, "documents")
     rows = d.select("doc_id", F.concat("text", F.lit(" ![a](./images/x.jpg) ![b](./images/y.png) ![c](./images/none.gif)")).alias("markdown"))
@@ -191,7 +205,7 @@ def web_documents(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     image_paragraphs, page_artifacts, checked_names, bold_lines, vision_models, env_keys, card_update, pause_status, translations_set, chapter_status_set, decoded_files, first_requests, assets_rewritten, library_patch,
-    images_relinked, images_inlined, normalized_cards, inspectable_documents, web_series, stream_decode, translate_batches, remediation_plan, web_documents,
+    images_relinked, images_matched, documents_progress, images_inlined, normalized_cards, inspectable_documents, web_series, stream_decode, translate_batches, remediation_plan, web_documents,
 )}
 
 ORACLES = {k: D.duck(v) for k, v in {
@@ -221,6 +235,10 @@ ORACLES = {k: D.duck(v) for k, v in {
     "assets_rewritten": """select doc_id, id, case when type = 'image' and ord % 2 = 0 then replace(english, concat('img/', cast(ord as string), '.png'), concat('store/', id, '.png')) else english end as english from {paragraphs} p""",
     "library_patch": "select d.doc_id, source as title, case when l.doc_id is null then 'old' else 'new' end as state from documents d left join labels l on l.doc_id = d.doc_id",
     "images_relinked": """select doc_id, concat(text, '![a](assets/x.png) ![b](assets/y.png) ![c](https://h/z.png)') as packed, concat(text, '![a](/api/study/documents/doc_', cast(doc_id as string), '/images/x.png) ![b](./images/y.png) ![c](https://h/z.png)') as raw from documents""",
+    "images_matched": """select doc_id, concat(text, chr(10), '![a b](', case when doc_id % 3 > 0 then concat('/api/study/documents/', doc_id, '/images/fig ', doc_id, '.png') else concat('sub/Fig%20', doc_id, '.PNG') end,
+        ') ![q](none.png) <IMG alt=', chr(39), 'x', chr(39), ' src=', chr(39), case when doc_id % 3 = 2 then concat('/api/study/documents/', doc_id, '/images/C+D.jpg') else './c+d.jpg' end, chr(39), ' width=3> ![z](',
+        case when doc_id % 3 = 2 then concat('/api/study/documents/', doc_id, '/images/C+D.jpg') else concat(' c+d.jpg ', chr(39), 'said', chr(39), ' ') end, ') ![a b](sub/Fig%2.PNG)') as markdown from documents""",
+    "documents_progress": "select d.doc_id, d.source, max(case when event_type = 'purchase' or abs(value) >= 100 then 100.0::double else abs(value) end) as progress from documents d left join events e on e.user_id = d.doc_id group by d.doc_id, d.source",
     "images_inlined": "select doc_id, concat(text, ' ![a](data:image/jpeg;base64,', to_base64(encode(lang)), ') ![b](data:image/png;base64,', to_base64(encode(source)), ') ![c](./images/none.gif)') as markdown from documents",
     "normalized_cards": "select doc_id, case when doc_id % 3 = 0 then 'cloze' else 'qa' end as type, case when doc_id % 2 = 0 then text else '' end as front, case when doc_id % 5 > 0 then source else '' end as back from documents",
     "inspectable_documents": "select doc_id, case doc_id % 5 when 0 then 'web' when 1 then 'folder' else 'zip' end as file_type, case doc_id % 3 when 0 then true when 1 then false end as is_scanned from documents where doc_id % 5 < 3 and doc_id % 3 > 0",

@@ -8,6 +8,7 @@ from lectern.plans.cards import _SM2
 from lectern.sinks.versions import shared_folder
 from lectern.sources import derive as D
 from lectern.streaming import chat as S
+from lectern.streaming import progress as P
 from lectern.streaming import reviews as R
 
 
@@ -49,9 +50,23 @@ def stream_reviews(spark, sf_dir):
     return R.last_states(R.run_reviews(source, "user_id", f"{base}/out", f"{base}/check"), "user_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_concat_messages, stream_progress_best, stream_reviews)}
+def progress_events(spark, sf_dir):
+    """Events as a stream of three files with observed counts; the listener's table of batches, summed by observation."""
+    base = _folder(spark)
+    e = D.read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    e.repartition(3, "event_id").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    seen = source.observe("seen", F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"))
+    with P.listening(spark) as log:
+        S.run_available(seen, f"{base}/out", f"{base}/check")
+    counts = F.from_json("metrics", "n long, clicks long")
+    return log.table(spark).select("name", "rows", counts.alias("m")).groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("m.n").alias("n"), F.sum("m.clicks").alias("clicks"))
+
+
+QUERIES = {f.__name__: f for f in (stream_concat_messages, stream_progress_best, stream_reviews, progress_events)}
 
 ORACLES = {k: D.duck(v) for k, v in {
+    "progress_events": "select 'seen' as name, count(*) as rows, count(*) as n, count(*) filter (event_type = 'click') as clicks from events",
     "stream_reviews": f"select * from {_SM2} t",
     "stream_concat_messages": "select concat(cast(conv_id as string), '_', cast(turn as string)) as chat, concat(content, ' ') as content from {messages} m where role = 'assistant'",
     "stream_progress_best": "select doc, chapter, best, best >= 100 as completed from (select cast(user_id as string) as doc, event_type as chapter, max(case when r >= 95 then 100 else r end) as best from (select *, cast(greatest(0, least(100, floor(abs(value) % 120 + 0.5))) as int) as r from events) t group by 1, 2) u",

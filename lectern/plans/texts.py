@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import ordering
 from lectern.sources import derive as D
 
 _C = F.col
@@ -36,7 +37,8 @@ def paragraph_joins(spark, sf_dir):
 
 
 def language_ratio(spark, sf_dir):
-    return D.mixed(spark, sf_dir).select("doc_id", "ord", T.language_ratio(_C("line")).alias("ratio"), T.detect_language(_C("line")).alias("lang"), T.mostly_target(_C("line")).alias("target"))
+    rows = D.mixed(spark, sf_dir).select("doc_id", "ord", "line", T.language_ratio(_C("line")).alias("ratio"))
+    return rows.select("doc_id", "ord", "ratio", T.detect_language(_C("line"), ratio=_C("ratio")).alias("lang"), T.mostly_target(_C("line")).alias("target"))
 
 
 def majority_language(spark, sf_dir):
@@ -54,10 +56,8 @@ def seo_text(spark, sf_dir):
 
 
 def natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     names = D.read(spark, sf_dir, "part").select(F.concat(F.lit("Sec"), (_C("p_partkey") % 97).cast("string"), F.lit("-"), _C("p_size").cast("string"), F.lit(".md")).alias("name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(T.natural_key(_C("name")), "name")).alias("pos"))
+    return ordering.numbered(names, [T.natural_key(_C("name")), "name"], "pos").withColumn("pos", _C("pos").cast("int"))
 
 
 def page_ranges(spark, sf_dir):

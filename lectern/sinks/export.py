@@ -73,6 +73,26 @@ def relink_images(x: Column, target: str) -> Column:
     return x if target == "raw" else F.regexp_replace(x, r"!\[([^\]]*)\]\((?:/api/study/documents/[^)]*?/images/|\./images/)([^)]*)\)", f"![$1]({target}/$2)")
 
 
+def relink_matched(rows: DataFrame, images: DataFrame, target: Column, doc: str = "doc_id", text: str = "markdown") -> DataFrame:
+    """rows with the links to a document's own images, `![alt](path)` and `<img src=path>`, to `target`/name; links that no image
+    matches stay as they are. A link's file name, without escapes and case, is matched with images (doc, name)."""
+    links = F.concat(
+        F.transform(F.regexp_extract_all(text, F.lit(r"!\[.*?\]\(.*?\)"), F.lit(0)), lambda m: F.struct(m.alias("whole"), T.strip(F.regexp_extract(m, r"^!\[.*?\]\((.*?)\)$", 1)).alias("path"))),
+        F.transform(F.regexp_extract_all(text, F.lit(r"""(?i)<img[^>]+src=["'][^"']+["'][^>]*>"""), F.lit(0)), lambda m: F.struct(m.alias("whole"), F.regexp_extract(m, r"""(?i)src=["']([^"']+)["']""", 1).alias("path"))),
+    )
+    file = F.lower(F.regexp_extract(F.try_url_decode(F.replace(F.element_at(F.split("path", r"\s+"), 1), F.lit("+"), F.lit("%2B"))), r"([^/]*)$", 1))
+    seen = rows.select(doc, F.explode(links).alias("l")).select(doc, "l.whole", "l.path").distinct().withColumn("_file", file)
+    names = images.select(F.col(doc).alias("_d"), F.lower("name").alias("_key"), "name").groupBy("_d", "_key").agg(F.min("name").alias("name"))
+    hits = seen.join(names, (F.col(doc) == F.col("_d")) & (F.col("_file") == F.col("_key")))
+    maps = hits.groupBy(F.col(doc).alias("_of")).agg(F.sort_array(F.collect_list(F.struct("whole", "path", F.concat(F.lit("/"), "name").alias("end")))).alias("_links"))
+    both = rows.join(maps, F.col(doc) == F.col("_of"), "left")
+    moved = lambda m: F.when(
+        m["whole"].startswith("!"), F.concat(F.regexp_extract(m["whole"], r"^(!\[.*?\])", 1), F.lit("("), target, m["end"], F.lit(")"))
+    ).otherwise(F.replace(m["whole"], m["path"], F.concat(target, m["end"])))
+    none = F.array().cast("array<struct<whole:string,path:string,end:string>>")
+    return both.withColumn(text, F.aggregate(F.coalesce("_links", none), F.col(text), lambda a, m: F.replace(a, m["whole"], moved(m)))).select(rows.columns)
+
+
 def inline_images(rendered: DataFrame, images: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Markdown with the images (doc, name, content) it links to as data URIs; unknown ones stay."""
     maps = images.select(doc, "name", T.data_uri(F.col("name"), F.col("content")).alias("uri")).groupBy(doc).agg(F.collect_list(F.struct("name", "uri")).alias("_i"))
