@@ -15,7 +15,7 @@ from lectern.operators import context, mutate, status, structure, translation
 from lectern.plans.streams import _folder
 from lectern.sinks import export as E
 from lectern.sources import derive as D
-from lectern.sources import documents, web
+from lectern.sources import documents, fetch, web
 from lectern.streaming import chat
 
 _C = F.col
@@ -197,6 +197,19 @@ def remediation_plan(spark, sf_dir):
     return done.select("doc_id", "id", "english")
 
 
+def crawled_pages(spark, sf_dir):
+    """All pages by URL in three attempts: some time out at first, some are never there."""
+    pages = D.read(spark, sf_dir, "pages")
+    there = pages.select(_C("page_id").alias("_n"), "html")
+
+    def answers(todo):
+        fails = F.when(_C("n") % 11 == 5, "404").when((_C("n") % 7 == 3) & (_C("attempt") < 2), "timeout").when((_C("n") % 13 == 1) & (_C("attempt") < 3), "reset")
+        return todo.join(there, _C("n") == _C("_n")).withColumn("error", fails).withColumn("html", F.when(_C("error").isNull(), _C("html")))
+
+    got = fetch.crawl(pages.select(_C("page_id").alias("n"), "url"), answers, attempts=3)
+    return got.select("n", "url", "attempts", "fetch_success", "error", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("html_sha256"))
+
+
 def web_documents(spark, sf_dir):
     pages = D.read(spark, sf_dir, "pages").select(_C("url").alias("page_url"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), (_C("page_id") % 9).alias("site"))
     pages = pages.withColumn("root", F.concat(F.lit("https://site"), _C("site").cast("string"), F.lit(".example/")))
@@ -205,7 +218,7 @@ def web_documents(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     image_paragraphs, page_artifacts, checked_names, bold_lines, vision_models, env_keys, card_update, pause_status, translations_set, chapter_status_set, decoded_files, first_requests, assets_rewritten, library_patch,
-    images_relinked, images_matched, documents_progress, images_inlined, normalized_cards, inspectable_documents, web_series, stream_decode, translate_batches, remediation_plan, web_documents,
+    images_relinked, images_matched, documents_progress, images_inlined, normalized_cards, inspectable_documents, web_series, stream_decode, translate_batches, remediation_plan, web_documents, crawled_pages,
 )}
 
 ORACLES = {k: D.duck(v) for k, v in {
@@ -246,6 +259,8 @@ ORACLES = {k: D.duck(v) for k, v in {
     "stream_decode": """select chat, seq, max(delta) as delta, count(*) filter (done) as ends from (select cast(conv_id as string) as chat, turn as seq, case when turn % 7 = 6 or conv_id % 4 = 3 then null else content end as delta,
         turn % 7 <> 6 and (conv_id % 4 = 3 or conv_id % 4 = 1 and turn % 5 = 0) as done from {messages} m) t where done or delta is not null group by 1, 2""",
     "translate_batches": """select doc_id, id, concat('译:', english) as chinese, 'completed' as status from {paragraphs} p where type not in ('image', 'code') and not no_translate and (status <> 'completed' or starts_with(chinese, '[翻译调用异常'))""",
+    "crawled_pages": """select page_id as n, url, cast(case when page_id % 11 = 5 then 3 when page_id % 13 = 1 then 3 when page_id % 7 = 3 then 2 else 1 end as int) as attempts, page_id % 11 <> 5 as fetch_success,
+        case when page_id % 11 = 5 then '404' end as error, sha256(case when page_id % 11 = 5 then '' else html end) as html_sha256 from pages""",
     "remediation_plan": "select doc_id, id, replace(replace(english, 'img/6.', 'cover/6.'), 'img/', 'images/') as english from {paragraphs} p",
     "web_documents": """select concat('doc_', substr(sha256(root), 1, 12)) as doc_id, root as source_url, case when min(site) % 2 = 0 then '网页研学教材' else trim(min(title)) end as filename, 'web' as file_type, 'uploaded' as status, greatest(1, count(*)) as total_pages, 0 as percent
         from (select url, page_id % 9 as site, concat('https://site', cast(page_id % 9 as string), '.example/') as root, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title from pages) p group by root""",
