@@ -94,7 +94,7 @@ def library_cards(spark, sf_dir):
 
 
 def _text_cards(spark, sf_dir):
-    d = D.read(spark, sf_dir, "documents").join(D.read(spark, sf_dir, "labels"), "doc_id")
+    d = D.read(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "cloze").otherwise("qa").alias("type"), F.concat(F.lit("ch_"), (F.col("doc_id") % 4).cast("string")).alias("chapter_id"),
         F.left("text", F.lit(60)).alias("front"), F.substring(F.col("text"), F.lit(61), F.length("text")).alias("back"), F.array("lang", "source").alias("tags"),
@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (
     sm2_replay, card_stats, card_chapter_distribution, card_filter_due, card_filter_mistakes, card_filter_learning, card_clear_errors, cards_moved_chapter, cards_deleted, library_cards, card_filter_keyword, card_create,
 )}
 
-_TEXT = "(select d.doc_id, case when d.doc_id % 3 = 0 then 'cloze' else 'qa' end as type, concat('ch_', cast(d.doc_id % 4 as string)) as chapter_id, left(text, 60) as front, substr(text, 61) as back, lang, source from documents d join labels l on d.doc_id = l.doc_id)"
+_TEXT = "(select d.doc_id, case when d.doc_id % 3 = 0 then 'cloze' else 'qa' end as type, concat('ch_', cast(d.doc_id % 4 as string)) as chapter_id, left(text, 60) as front, substr(text, 61) as back, lang, source from documents d)"
 
 ORACLES = {k: D.duck(v) for k, v in {
     "sm2_replay": f"select * from {_SM2} t",

@@ -58,8 +58,9 @@ def chapter_counts(spark, sf_dir):
 
 def chat_append(spark, sf_dir):
     m = D.messages(spark, sf_dir).select("conv_id", "turn", "role")
-    new = m.where("turn < 2").withColumn("role", F.lit("new"))
-    return M.append_messages(m.where("conv_id % 3 > 0"), new, "conv_id", "turn")
+    chat = F.explode(F.array("conv_id", -1 - _C("conv_id")))  # to each chat, and to one that isn't there yet
+    new = m.select(chat.alias("conv_id"), "turn", F.concat(F.lit("new "), "role").alias("role"))
+    return M.append_messages(m, new, "conv_id", "turn")
 
 
 def scalar_rules(spark, sf_dir):
@@ -97,8 +98,8 @@ ORACLES = {k: D.duck(v) for k, v in {
         select p.page_id, p.page_id % 10 as doc_id, s.title, case when p.page_id % 3 = 0 then s.u else p.url end as url from pages p join s on s.doc_id = p.page_id % 10 and s.title = concat('T', cast(p.page_id % 7 as string)) where p.page_id % 4 = 0""",
     "snapshot_latest": "select doc_id, id, case when ord % 2 = 0 then 'later' else chinese end as chinese, case when ord % 2 = 0 then 'completed' else status end as status from {paragraphs} p",
     "chapter_counts": "select doc_id, chapter_id, cast(case when ch_ord % 2 = 0 then paragraph_count else -1 end as int) as paragraph_count from {chapters} c",
-    "chat_append": """with h as (select conv_id, turn, role from {messages} m where conv_id % 3 > 0), l as (select conv_id, max(turn) as last from h group by 1),
-        n as (select m.conv_id, coalesce(last, -1) + row_number() over (partition by m.conv_id order by m.turn) as turn, 'new' as role from {messages} m left join l on l.conv_id = m.conv_id where m.turn < 2)
+    "chat_append": """with h as (select conv_id, turn, role from {messages} m), l as (select conv_id, max(turn) as last from h group by 1), m as (select * from h union all select -1 - conv_id, turn, role from h),
+        n as (select m.conv_id, coalesce(last, -1) + row_number() over (partition by m.conv_id order by m.turn) as turn, concat('new ', role) as role from m left join l on l.conv_id = m.conv_id)
         select * from h union all select * from n""",
     "scalar_rules": f"""select doc_id, case doc_id % 8 when 0 then 'md' when 1 then 'txt' when 2 then 'excel' when 3 then 'epub' when 4 then 'folder' when 5 then 'image' when 6 then 'unsupported' else 'pdf' end as kind, {_MIME} as mime, cast(doc_id as string) as n, '2=3' as cookie,
         concat('my_pic_', left(md5(concat('http://h/x/my pic.', lang, 'g?v=1')), 8), '.', lang, 'g') as asset, cast(case doc_id % 8 when 0 then greatest(1, ceil(n_chars / 50)) when 1 then greatest(1, ceil(n_chars / 50)) when 5 then 1 else 7 end as int) as pages from documents""",

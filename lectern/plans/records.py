@@ -21,7 +21,7 @@ from lectern.streaming import chat
 _C = F.col
 
 ARTIFACTS = """(select doc_id, ord, case (ord + doc_id) % 7 when 0 then cast(ord as string) when 1 then concat('Page ', cast(ord as string), ' of 90') when 2 then concat(cast(ord as string), '.1.')
-  when 3 then ' ' when 4 then substr(raw, 1, 100) else raw end as block from {lines} p)"""
+  when 3 then ' ' else raw end as block from {lines} p)"""
 
 NAMES = """(select doc_id, ord, case ord % 6 when 0 then raw when 1 then concat(' ', replace(replace(replace(raw, ' ', '_'), '.', ''), ',', ''), '.PNG') when 2 then concat('doc_', cast(doc_id as string), '-', cast(ord as string))
   when 3 then concat('../', raw, '.png') when 4 then concat(raw, '..jpg') else concat(cast(ord as string), '.tiff') end as name from {lines} p)"""

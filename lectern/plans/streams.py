@@ -17,7 +17,7 @@ def _folder(spark) -> str:
 
 
 def _lines(spark, sf_dir):
-    m = D.messages(spark, sf_dir).where("role = 'assistant'")
+    m = D.messages(spark, sf_dir)
     words = m.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chat"), F.posexplode(F.split("content", " ")).alias("seq", "w"))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("w", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
     chunks = words.select("chat", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), body).alias("line"))
@@ -68,6 +68,6 @@ QUERIES = {f.__name__: f for f in (stream_concat_messages, stream_progress_best,
 ORACLES = {k: D.duck(v) for k, v in {
     "progress_events": "select 'seen' as name, count(*) as rows, count(*) as n, count(*) filter (event_type = 'click') as clicks from events",
     "stream_reviews": f"select * from {_SM2} t",
-    "stream_concat_messages": "select concat(cast(conv_id as string), '_', cast(turn as string)) as chat, concat(content, ' ') as content from {messages} m where role = 'assistant'",
+    "stream_concat_messages": "select concat(cast(conv_id as string), '_', cast(turn as string)) as chat, concat(content, ' ') as content from {messages} m",
     "stream_progress_best": "select doc, chapter, best, best >= 100 as completed from (select cast(user_id as string) as doc, event_type as chapter, max(case when r >= 95 then 100 else r end) as best from (select *, cast(greatest(0, least(100, floor(abs(value) % 120 + 0.5))) as int) as r from events) t group by 1, 2) u",
 }.items()}

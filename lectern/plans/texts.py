@@ -69,7 +69,7 @@ def page_ranges(spark, sf_dir):
 
 def mask_secrets(spark, sf_dir):
     s = D.read(spark, sf_dir, "supplier")
-    value = F.expr("left(s_name, cast(s_suppkey % 12 as int))")
+    value = F.when(_C("s_suppkey") % 3 == 0, _C("s_nationkey").cast("string")).when(_C("s_suppkey") % 3 == 1, F.concat("s_name", _C("s_suppkey").cast("string"))).otherwise("")
     key = F.element_at(F.array(*map(F.lit, ("api_key", "model", "db_password", "AUTH_mode", "timeout", "Token"))), (_C("s_suppkey") % 6 + 1).cast("int"))
     return s.select("s_suppkey", T.mask_secret(value).alias("masked"), T.is_masked(T.mask_secret(value)).alias("is_masked"), T.is_sensitive_key(key).alias("sensitive"), T.redacted(F.concat(F.lit("Bearer "), F.md5(_C("s_name").cast("binary")), F.lit(" sk-"), F.md5(_C("s_name").cast("binary")))).alias("text"))
 
@@ -188,7 +188,7 @@ ORACLES = {k: D.duck(v) for k, v in {
         d as (select o_orderkey, list_sort(list(distinct page)) as pages from q group by o_orderkey)
         select s.o_orderkey, array_to_string(case when spec in ('', 'all') then range(1, n + 1) when len(coalesce(pages, [])) > 0 then pages else range(1, least(n, 5) + 1) end, ',') as pages from s left join d on s.o_orderkey = d.o_orderkey""",
     "mask_secrets": """select s_suppkey, m as masked, contains(m, '****') as is_masked, (s_suppkey % 6) in (0, 2, 3, 5) as sensitive, 'Bearer **** sk-****' as text
-        from (select s_suppkey, case when v = '' then '' when length(v) <= 4 then '****' else concat('****', right(v, 4)) end as m from (select s_suppkey, left(s_name, cast(s_suppkey % 12 as int)) as v from supplier) a) b""",
+        from (select s_suppkey, case when v = '' then '' when length(v) <= 4 then '****' else concat('****', right(v, 4)) end as m from (select s_suppkey, case when s_suppkey % 3 = 0 then cast(s_nationkey as string) when s_suppkey % 3 = 1 then concat(s_name, cast(s_suppkey as string)) else '' end as v from supplier) a) b""",
     "settings_merge": """select n_nationkey, k as api_key, n_name as model, n_name as keep, case when length(k) <= 4 then '****' else concat('****', right(k, 4)) end as shown from (select *, case when n_nationkey % 3 = 2 then 'fresh' else concat('sk-', n_name) end as k from nation) t""",
     "anki_notes": f"select doc_id, {_ANKI} as back, concat(left(text, 50), chr(31), {_ANKI}) as fields, cast(concat('0x', substr(sha1(left(text, 50)), 1, 8)) as bigint) as checksum, {_GUID} as guid from documents",
     "heading_similarity": """with b as (select item_id, text as t from benchmark),
