@@ -225,7 +225,14 @@ _TERM = "(rtrim(s, '\"''”’»›」』)）]】}｝〉》>') <> '' and contain
 _JOIN = f"case when s = '' then t when t = '' then s when {_TERM} then concat(s, chr(10), t) when not regexp_matches(s, '[\\p{{P}}\\p{{S}}]$') then concat(s, ' ', t) else concat(s, t) end"
 _KIND = "case when not (line like '#%') then case when regexp_matches(line, '^- ') then 'bullet' when regexp_matches(line, '^\\d\\d?\\. ') then 'decimal' when regexp_matches(line, '^2\\.\\d+ ') then 'decimal' when regexp_matches(line, '^\\(a\\) ') then 'alpha_paren' when regexp_matches(line, '^第') then 'other' else '' end else '' end"
 
+_JOINS = "((c > 0 and least(ay1, y1) > greatest(ay0, y0)) or (greatest(ax1, x1) - least(ax0, x0) > 0 and c > 0.65::double * (greatest(ax1, x1) - least(ax0, x0)) and y0 - ay1 < 80))"
+
 ORACLES = {k: D.duck(v) for k, v in {
+    "table_boxes": f"""with recursive b as (select *, row_number() over (partition by l_orderkey order by y0, x0, x1, y1) as i from (select l_orderkey, (l_quantity % 7) * 5.0::double as x0, l_linenumber * 60.0::double as y0, (l_quantity % 7) * 5.0::double + l_quantity as x1, l_linenumber * 60.0::double + l_partkey % 70 as y1 from lineitem) t),
+        r as (select l_orderkey, i, 0 as n, x0 as ax0, y0 as ay0, x1 as ax1, y1 as ay1 from b where i = 1
+          union all select l_orderkey, i, case when {_JOINS} then n else n + 1 end, case when {_JOINS} then least(ax0, x0) else x0 end, case when {_JOINS} then least(ay0, y0) else y0 end, case when {_JOINS} then greatest(ax1, x1) else x1 end, case when {_JOINS} then greatest(ay1, y1) else y1 end
+          from (select b.*, n, ax0, ay0, ax1, ay1, least(ax1, x1) - greatest(ax0, x0) as c from r join b on b.l_orderkey = r.l_orderkey and b.i = r.i + 1) s)
+        select l_orderkey, n, ax0 as x0, ay0 as y0, ax1 as x1, ay1 as y1 from (select *, row_number() over (partition by l_orderkey, n order by i desc) as k from r) z where k = 1""",
     "paragraph_explode": """with p as (select doc_id, trim(p, concat(' ', chr(10), chr(9), chr(13))) as para, i from (select doc_id, unnest(x) as p, generate_subscripts(x, 1) as i from (select doc_id, regexp_split_to_array(regexp_replace(text, '\\. ', concat('.', chr(10), ' ', chr(10)), 'g'), '\\n\\s*\\n+') as x from documents) a) b)
         select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as ord, printf('p_001_%04d', row_number() over (partition by doc_id order by i)) as id, para from p where para <> ''""",
     "chapter_islands": """with h as (select doc_id, ord, sum(case when regexp_matches(line, '^#{1,6}\\s') then 1 else 0 end) over (partition by doc_id order by ord) as k, row_number() over (partition by doc_id order by ord) as n from {decorated} d),
