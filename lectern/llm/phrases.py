@@ -42,7 +42,9 @@ UNKNOWN = "und"
 #: Candidates of one hash (8 MB of keys, and 8 MB of counters in each task), bytes of its words, and bits of a bucket's number.
 SLOTS, WORD_BYTES, MOST_BITS = 1 << 20, 64 << 20, 26
 #: Documents a batch, keys that a mapper gathers before it sums them, counters in a row, and rows that a task of the tree sums.
-ROWS, GATHER, CHUNK, FAN = 1000, 1 << 20, 1 << 16, 64
+ROWS, GATHER, CHUNK, FAN = 1000, 1 << 19, 1 << 16, 64
+#: Bytes of text, about, and words that a mapper works on at a time.
+PIECE, HASHED = 2 << 20, 1 << 16
 
 _UPPER, _ENDS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?\x0b\x0c\r"
 
@@ -116,7 +118,7 @@ class WordTable:
         self.order = order
 
     def _keys(self, langs: list[str], words: list[str]) -> np.ndarray:
-        one = lambda x: pd.util.hash_array(np.array(x, dtype=object), categorize=False)
+        one = lambda x: np.concatenate([np.zeros(0, np.uint64), *(pd.util.hash_array(np.array(x[i : i + HASHED], dtype=object), categorize=False) for i in range(0, len(x), HASHED))])
         return (_mixed(one(words), self.seed) ^ _mixed(one(langs), self.seed + 7)).view(np.int64)
 
     def find(self, lang: str, words: pa.Array) -> np.ndarray:
@@ -124,7 +126,8 @@ class WordTable:
         at = pc.index_in(pa.scalar(lang, pa.large_string()), self.langs.dictionary).as_py()
         if at is None or not len(words):
             return np.full(len(words), -1, "<i4")
-        slots = self.hash.find(self._keys([lang], words.to_pylist()))
+        parts = (words.slice(i, HASHED).to_pylist() for i in range(0, len(words), HASHED))
+        slots = self.hash.find(np.concatenate([self._keys([lang], part) for part in parts]))
         some = np.flatnonzero(slots >= 0)
         same = pc.equal(self.words.take(pa.array(slots[some])), words.cast(pa.large_string()).take(pa.array(some))).to_numpy(zero_copy_only=False)
         same &= self.langs.indices.to_numpy()[slots[some]] == at
@@ -133,24 +136,39 @@ class WordTable:
         return out
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each batch and language: its different words, their counts, and the texts as places in that list, -1 at the ends of pieces."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PIECE bytes of text."""
     for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each piece and language: its different words, their counts, and the texts as places in that list, -1 at the ends of pieces."""
+    for b in _pieces(batches):
         langs = b.column("lang").dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
-            texts = b.column("text").filter(pc.equal(langs.indices, k)).cast(pa.large_string())
-            spaced = pc.binary_join_element_wise(pc.replace_substring(texts, "\n", " \n "), pa.scalar("\n", pa.large_string()), pa.scalar(" ", pa.large_string()))
-            words = pc.split_pattern(spaced, " ").flatten().dictionary_encode()
-            values, codes = words.dictionary, words.indices.to_numpy()
-            real = pc.invert(pc.is_in(values, pa.array(["", "\n"], values.type))).to_numpy(zero_copy_only=False)
-            place = np.where(real, np.cumsum(real) - 1, -1).astype("<i4")
-            blank = pc.equal(values, "").to_numpy(zero_copy_only=False)
-            coded = place[codes[~blank[codes]]]
-            counts = np.bincount(coded[coded >= 0], minlength=int(real.sum()))
-            yield pa.record_batch(
-                [pa.array([lang]), pa.array([values.filter(pa.array(real)).to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([coded.tobytes()], pa.binary())],
-                ["lang", "words", "counts", "codes"],
-            )
+            yield _coded_texts(lang, b.column("text").filter(pc.equal(langs.indices, k)))
+        pa.default_memory_pool().release_unused()
+
+
+def _coded_texts(lang: str, texts: pa.Array) -> pa.RecordBatch:
+    end, space = (pa.scalar(x, pa.large_string()) for x in ("\n", " "))
+    spaced = pc.binary_join_element_wise(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n "), end, space)
+    words = pc.split_pattern(spaced, " ").flatten().dictionary_encode()
+    values, codes = words.dictionary, words.indices.to_numpy()
+    real = pc.invert(pc.is_in(values, pa.array(["", "\n"], values.type))).to_numpy(zero_copy_only=False)
+    place = np.where(real, np.cumsum(real) - 1, -1).astype("<i4")
+    blank = pc.equal(values, "").to_numpy(zero_copy_only=False)
+    coded = place[codes[~blank[codes]]]
+    n = int(real.sum())
+    counts = np.bincount(coded[coded >= 0], minlength=n)
+    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
+    return pa.record_batch([pa.array([lang]), whole(values.filter(pa.array(real)).cast(pa.string())), whole(pa.array(counts, pa.int64())), pa.array([coded.tobytes()], pa.binary())], ["lang", "words", "counts", "codes"])
 
 
 def _dense(slots: np.ndarray) -> np.ndarray:
@@ -370,7 +388,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     totals = texts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     seen = texts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
     frequent = written(seen.groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("counts").alias("a")).where(F.col("a") >= least), "phrase-words")
-    with arrow_batches(spark, 16):
+    with arrow_batches(spark, 4):
         words, state = _number_words(texts.select("lang", "words", "codes"), frequent)
         levels = [words]
         for k in range(2, longest + 1):

@@ -54,6 +54,8 @@ def test_all_phrases(spark, monkeypatch, least, slots):
     monkeypatch.setattr(phrases, "FAN", 2)
     monkeypatch.setattr(phrases, "GATHER", 50)
     monkeypatch.setattr(phrases, "ROWS", 7)
+    monkeypatch.setattr(phrases, "PIECE", 300)
+    monkeypatch.setattr(phrases, "HASHED", 5)
     data = odd()
     got = phrases.collocations(frame(spark, data).repartition(5), least=least, first=60).collect()
     assert sorted(tuple(r) for r in got) == plain([(r[1], r[2]) for r in data], least, first=60)
