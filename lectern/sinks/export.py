@@ -10,12 +10,12 @@ import hashlib
 import io
 import json
 import sqlite3
-import tempfile
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,13 +147,15 @@ create table revlog (id integer primary key, cid integer not null, usn integer n
 create table graves (usn integer not null, oid integer not null, type integer not null);
 """
 BASIC, CLOZE, DECK = 1_600_000_000_001, 1_600_000_000_002, 1_600_000_000_003
+#: Decks that a task holds as Python values at a time.
+DECKS = 100
 
 
 def anki_notes(cards: DataFrame, number_clozes: bool = False) -> DataFrame:
     """doc_id, guid, kind, fields, tags, checksum of the notes; clozes are numbered on request."""
     front = T.numbered_cloze(F.col("front")) if number_clozes else F.col("front")
-    a, b = T.anki_html(front), T.anki_html(F.col("back"))
-    return cards.select(
+    a, b = F.col("_a"), F.col("_b")
+    return cards.withColumns({"_a": T.anki_html(front), "_b": T.anki_html(F.col("back"))}).select(
         "doc_id", "id", T.anki_guid(F.concat_ws("\u001f", F.col("doc_id").cast("string"), "id", "front")).alias("guid"), F.col("type").alias("kind"),
         F.concat_ws("\u001f", a, b).alias("fields"), a.alias("sort_field"), F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.replace(t, F.lit(" "), F.lit("_"))), " ").alias("tags"),
         T.anki_checksum(a).alias("checksum"), F.coalesce("stats.interval_days", F.lit(0)).cast("long").alias("ivl"), (F.coalesce("stats.ease_factor", F.lit(2.5)) * 1000).cast("int").alias("factor"),
@@ -161,6 +163,13 @@ def anki_notes(cards: DataFrame, number_clozes: bool = False) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=1)
+def _empty_collection() -> bytes:
+    con = sqlite3.connect(":memory:")
+    con.executescript(_TABLES)
+    return con.serialize()
+
+
 def apkg_bytes(deck: str, notes: list[dict], now: int) -> bytes:
     """An Anki package of one deck."""
     models = {}
@@ -168,36 +177,38 @@ def apkg_bytes(deck: str, notes: list[dict], now: int) -> bytes:
         q, a = ("{{cloze:Front}}", "{{cloze:Front}}<hr>{{Back}}") if cloze else ("{{Front}}", "{{FrontSide}}<hr>{{Back}}")
         models[str(mid)] = {"id": mid, "name": name, "type": cloze, "mod": now, "usn": -1, "sortf": 0, "did": DECK, "css": "", "flds": [{"name": n, "ord": i} for i, n in enumerate(("Front", "Back"))], "tmpls": [{"name": "Card 1", "ord": 0, "qfmt": q, "afmt": a}], "req": [[0, "any", [0]]]}
     decks = {str(DECK): {"id": DECK, "name": deck, "mod": now, "usn": -1, "desc": "", "conf": 1, "dyn": 0}}
-    with tempfile.TemporaryDirectory() as folder:  # within one call; sqlite needs a file
-        path = Path(folder) / "collection.anki2"
-        con = sqlite3.connect(path)
-        con.executescript(_TABLES)
-        con.execute("insert into col values (1, ?, ?, ?, 11, 0, 0, 0, '{}', ?, ?, '{}', '{}')", (now, now * 1000, now * 1000, json.dumps(models), json.dumps(decks)))
-        for k, n in enumerate(notes):
-            nid, mid = now * 1000 + 2 * k, CLOZE if n["kind"] == "cloze" else BASIC
-            con.execute("insert into notes values (?, ?, ?, ?, -1, ?, ?, ?, ?, 0, '')", (nid, n["guid"], mid, now, f" {n['tags']} " if n["tags"] else "", n["fields"], n["sort_field"], n["checksum"]))
-            seen = n["reps"] > 0
-            con.execute("insert into cards values (?, ?, ?, 0, ?, -1, ?, ?, ?, ?, ?, ?, ?, 0, 0, 0, 0, '')", (nid + 1, nid, DECK, now, 2 if seen else 0, 2 if seen else 0, k, n["ivl"], n["factor"], n["reps"], n["lapses"]))
-        con.commit()
-        con.close()
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.write(path, "collection.anki2")
-            z.writestr("media", "{}")
-        return out.getvalue()
+    con = sqlite3.connect(":memory:")
+    con.deserialize(_empty_collection())
+    con.execute("insert into col values (1, ?, ?, ?, 11, 0, 0, 0, '{}', ?, ?, '{}', '{}')", (now, now * 1000, now * 1000, json.dumps(models), json.dumps(decks)))
+    rows, cards = [], []
+    for k, n in enumerate(notes):
+        nid, mid = now * 1000 + 2 * k, CLOZE if n["kind"] == "cloze" else BASIC
+        rows.append((nid, n["guid"], mid, now, f" {n['tags']} " if n["tags"] else "", n["fields"], n["sort_field"], n["checksum"]))
+        seen = n["reps"] > 0
+        cards.append((nid + 1, nid, DECK, now, 2 if seen else 0, 2 if seen else 0, k, n["ivl"], n["factor"], n["reps"], n["lapses"]))
+    con.executemany("insert into notes values (?, ?, ?, ?, -1, ?, ?, ?, ?, 0, '')", rows)
+    con.executemany("insert into cards values (?, ?, ?, 0, ?, -1, ?, ?, ?, ?, ?, ?, ?, 0, 0, 0, 0, '')", cards)
+    con.commit()
+    data = con.serialize()
+    con.close()
+    return _archive([("collection.anki2", data), ("media", b"{}")])
 
 
 def anki_packages(cards: DataFrame, now: int, number_clozes: bool = False) -> DataFrame:
     """doc_id, n_notes and the package (binary) of each document's deck."""
     notes = anki_notes(cards, number_clozes)
+    decks = notes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in notes.columns if c not in ("doc_id", "id"))))).alias("notes"))
     kind = notes.schema["doc_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [doc], "n_notes": [len(pdf)], "apkg": [apkg_bytes(f"Lectern::{doc}", pdf.to_dict("records"), now)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECKS):
+                part = batch.slice(at, DECKS)
+                own = part.column("notes").to_pylist()
+                packed = [apkg_bytes(f"Lectern::{doc}", rows, now) for doc, rows in zip(part.column("doc_id").to_pylist(), own, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, own), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n_notes", "apkg"])
 
-    return notes.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, n_notes int, apkg binary")
+    return decks.mapInArrow(run, f"doc_id {kind}, n_notes int, apkg binary")
 
 
 # --- archives and tables ---
