@@ -1,4 +1,4 @@
-"""Reviews of cards as a stream: each card's SM-2 state lives in the state store and timers tell when it falls due.
+"""Reviews of cards as a stream: each card's SM-2 state and log live in the state store and timers tell when it falls due.
 
 A review that comes in order moves the state on; one that is older than what was folded (a late one) makes the card fold its
 log anew, so the last states are those of `scheduling.replay` however the reviews are batched. A review that comes twice (same time
@@ -14,13 +14,12 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions.scheduling import EASE, LEAST_EASE, MOST_DAYS, RETRY_SECONDS
 from lectern.streaming.chat import run_available
 
-#: Needed by the session that runs such a query.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Timers stand no later (milliseconds): times of the longest intervals are beyond what a 64-bit number of milliseconds holds.
+LATEST = 2**62
 _FIELDS = "reps int, lapses int, state string, ease_factor double, interval_days bigint, is_mistake boolean, mistake_streak int, graduated boolean, next_review bigint"
 _QUALITY = {1: 1, 2: 3, 3: 4, 4: 5}
 
@@ -55,66 +54,52 @@ def reviewed(s: State, rating: int, at: int) -> State:
     )
 
 
-class CardReviews(StatefulProcessor):
+def _card_reviews(card: str):
     """Rows of two kinds: `state` after each batch that held reviews of the card, and `due` when its time has come."""
 
-    def __init__(self, card: str):
-        self.card = card
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", f"at bigint, no bigint, {_FIELDS}")
-        self.log = handle.getListState("log", "at bigint, no bigint, rating int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = sorted({(int(a), int(n), int(r)) for pdf in rows for a, n, r in zip(pdf["at"], pdf["no"], pdf["rating"], strict=True)})
-        at, no, *held = self.last.get() if self.last.exists() else (None, None)
-        if at is None or new[0][:2] > (at, no):
-            state = State(*held)
-            todo = new
-            for r in new:
-                self.log.appendValue(r)
+    def row(key: tuple, kind: str, state: State) -> pd.DataFrame:
+        return pd.DataFrame([{card: key[0], "kind": kind, **state._asdict()}])
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        ats, nos, ratings, *last = held.get if held.exists else ([], [], [])
+        if held.hasTimedOut:
+            yield row(key, "due", State(*last))
+            return
+        log = list(zip(ats, nos, ratings, strict=True))
+        todo = sorted({(int(a), int(n), int(r)) for pdf in batches for a, n, r in zip(pdf["at"], pdf["no"], pdf["rating"], strict=True)})
+        state = State(*last)
+        if not log or todo[0][:2] > log[-1][:2]:
+            log += todo
         else:  # some of these belong before what was folded, or came before
-            state, todo = State(), sorted({tuple(map(int, r)) for r in self.log.get()} | set(new))
-            self.log.put(todo)
+            state, todo = State(), sorted(set(log) | set(todo))
+            log = todo
         for when, _, rating in todo:
             state = reviewed(state, rating, when // 1_000_000)
-        self.last.update((*todo[-1][:2], *state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(state.next_review * 1000, timerValues.getCurrentProcessingTimeInMs() + 1))
-        yield self._row(key, "state", state)
+        held.update((*map(list, zip(*log, strict=True)), *state))
+        now = held.getCurrentProcessingTimeMs()
+        held.setTimeoutDuration(min(max(state.next_review * 1000 - now, 1), LATEST - now))
+        yield row(key, "state", state)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.last.exists():
-            yield self._row(key, "due", State(*self.last.get()[2:]))
-
-    def close(self) -> None:
-        pass
-
-    def _row(self, key, kind: str, state: State) -> pd.DataFrame:
-        return pd.DataFrame([{self.card: key[0], "kind": kind, **state._asdict()}])
+    return run
 
 
 def stream_reviews(reviews: DataFrame, card: str) -> DataFrame:
     """card, kind and the card's state; reviews have card, rating, at (epoch microseconds) and no (which parts reviews of one moment)."""
     kind = reviews.schema[card].dataType.simpleString()
-    return reviews.select(card, "rating", "at", "no").groupBy(card).transformWithStateInPandas(CardReviews(card), f"{card} {kind}, kind string, {_FIELDS}", "Update", "ProcessingTime")
+    held = f"ats array<bigint>, nos array<bigint>, ratings array<int>, {_FIELDS}"
+    return reviews.select(card, "rating", "at", "no").groupBy(card).applyInPandasWithState(_card_reviews(card), f"{card} {kind}, kind string, {_FIELDS}", held, "update", "ProcessingTimeTimeout")
 
 
 def run_reviews(reviews: DataFrame, card: str, path: str, checkpoint: str) -> DataFrame:
     """Runs the stream over what there is and gives all its rows with their batch (epoch). Timers that have come fire with the next batch of
     reviews: batches without data are off, since a run over what there is would otherwise wait for timers for ever."""
-    conf = {STATE_STORE[0]: STATE_STORE[1], "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    session = reviews.sparkSession
-    before = {k: session.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        session.conf.set(k, v)
+    session, key = reviews.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = session.conf.get(key, None)
+    session.conf.set(key, "false")
     try:
         return run_available(stream_reviews(reviews, card), path, checkpoint, "update")
     finally:
-        for k, v in before.items():
-            session.conf.unset(k) if v is None else session.conf.set(k, v)
+        session.conf.unset(key) if before is None else session.conf.set(key, before)
 
 
 def last_states(rows: DataFrame, card: str) -> DataFrame:
