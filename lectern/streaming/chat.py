@@ -61,18 +61,12 @@ def stream_answers(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chat").applyInPandasWithState(_collect, "chat string, content string", "seqs array<bigint>, deltas array<string>, finish bigint", "append", "NoTimeout")
 
 
-def _progress(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    (best,) = state.get if state.exists else (0,)
-    for pdf in batches:
-        r = (pdf["ratio"] + 0.5).floordiv(1).clip(0, 100)
-        best = max(best, int(r.where(r < 95, 100).max()))
-    state.update((best,))
-    yield pd.DataFrame({"doc": [key[0]], "chapter": [key[1]], "best": [best], "completed": [best >= 100]})
-
-
 def stream_progress(events: DataFrame) -> DataFrame:
     """doc, chapter, best and completed after each batch of events (doc, chapter, ratio): progress never falls, and 95 counts as all."""
-    return events.groupBy("doc", "chapter").applyInPandasWithState(_progress, "doc string, chapter string, best int, completed boolean", "best int", "update", "NoTimeout")
+    ratio = F.nanvl("ratio", F.lit(None).cast("double"))
+    r = F.when(ratio.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.floor(ratio + 0.5)))).cast("int")
+    best = F.coalesce(F.max(F.when(r >= 95, 100).otherwise(r)), F.lit(0)).alias("best")
+    return events.groupBy("doc", "chapter").agg(best).select("doc", "chapter", "best", (F.col("best") >= 100).alias("completed"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
