@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, mixing, near_dup, quality, secrets
-from lectern.llm.common import written
+from lectern.llm.common import arrow_batches, written
+
+
+#: Texts that byte-level BPE sends to Python at a time.
+BATCH = 500
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +35,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's ids and of what they decode to."""
-    return bpe.digests(docs)
+    """Digests of each document's ids and of what they decode to; written with small Arrow batches, which stand in the JVM and in Python at once."""
+    with arrow_batches(spark, BATCH):
+        return written(bpe.digests(docs), "stage-byte_level_bpe")
 
 
 STAGES = [
