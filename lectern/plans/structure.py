@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import mutate as M
 from lectern.operators import structure as S
+from lectern.sinks.versions import settled
 from lectern.sources import derive as D
 from lectern.sources import documents
 
@@ -130,7 +131,7 @@ def table_boxes(spark, sf_dir):
 
 def _outline(spark, sf_dir):
     rows = D.decorated(spark, sf_dir)
-    blocks = rows.select("doc_id", _C("ord"), F.floor(_C("ord") / 4).cast("int").alias("page"), _C("line").alias("content"), (T.heading_level(_C("line")) > 0).alias("is_heading"))
+    blocks = settled(rows.select("doc_id", _C("ord"), F.floor(_C("ord") / 4).cast("int").alias("page"), _C("line").alias("content"), (T.heading_level(_C("line")) > 0).alias("is_heading")), "outline")
     targets = blocks.where("is_heading").select("doc_id", _C("ord").alias("n"), F.regexp_replace("content", "^#+ ", "").alias("title"), _C("page").alias("start_page"), F.when(_C("ord") % 10 == 9, _C("ord")).alias("block_idx"))
     return blocks, targets
 
