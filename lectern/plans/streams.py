@@ -17,19 +17,21 @@ def _folder(spark) -> str:
 
 
 def _lines(spark, sf_dir):
-    m = D.messages(spark, sf_dir)
-    words = m.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chat"), F.posexplode(F.split("content", " ")).alias("seq", "w"))
+    chat = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chat")
+    m = D.messages(spark, sf_dir).where("content is not null").select(chat, F.split("content", " ").alias("words"))
+    words = m.select("chat", F.posexplode("words").alias("seq", "w"))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("w", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
     chunks = words.select("chat", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), body).alias("line"))
-    ends = words.groupBy("chat").agg((F.max("seq") + 1).cast("long").alias("seq")).select("chat", "seq", F.lit("data: [DONE]").alias("line"))
+    ends = m.groupBy("chat").agg(F.max(F.size("words")).cast("long").alias("seq")).select("chat", "seq", F.lit("data: [DONE]").alias("line"))
     return chunks.unionByName(ends)
 
 
 def stream_concat_messages(spark, sf_dir):
     base = _folder(spark)
-    _lines(spark, sf_dir).repartition(3).write.parquet(f"{base}/in")
-    source = spark.readStream.schema(S.CHUNKS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    return S.run_available(S.stream_answers(S.decoded(source)), f"{base}/out", f"{base}/check").select("chat", F.col("content"))
+    files = -(-spark.sparkContext.defaultParallelism // 3)  # of each batch, of three
+    _lines(spark, sf_dir).repartition(3 * files, "chat", "seq").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(S.CHUNKS).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    return S.run_answers(S.decoded(source), f"{base}/out", f"{base}/check")
 
 
 def stream_progress_best(spark, sf_dir):

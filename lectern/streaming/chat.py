@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +33,42 @@ def answers(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chat").agg(F.array_join(F.transform(parts, lambda x: x["delta"]), "").alias("content"), F.max("done").alias("complete"))
 
 
-def _collect(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Keeps an answer's chunks until its end has come and no number is missing."""
-    seqs, deltas, end = state.get if state.exists else ([], [], None)
-    seen = dict(zip(seqs, deltas, strict=True))
-    for pdf in batches:
-        for seq, delta, done in pdf[["seq", "delta", "done"]].itertuples(index=False):
-            seen.setdefault(int(seq), delta or "")
-            if done:
-                end = int(seq)
-    if end is not None and len([s for s in seen if s <= end]) == end + 1:
-        state.remove()
-        yield pd.DataFrame({"chat": [key[0]], "content": ["".join(seen[s] for s in sorted(seen) if s <= end)]})
-    else:
-        order = sorted(seen)
-        state.update((order, [seen[s] for s in order], end))
+PARTS = "array<struct<seq: bigint, epoch: bigint, delta: string>>"
+
+
+def whole_answers(chunks: DataFrame) -> DataFrame:
+    """chat, parts, finish and whole, from chunks (chat, seq, epoch, delta, finish: the number of the end, where it is known).
+
+    Of chunks with one number the earliest counts. An answer is whole when its end has come and no number is missing before it.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("seq", "epoch", "delta")))
+    each = chunks.groupBy("chat").agg(parts.alias("_all"), F.max("finish").alias("finish"))
+    own = each.withColumn("parts", F.filter("_all", lambda x, i: (i == 0) | (F.get(F.col("_all"), i - 1)["seq"] != x["seq"]))).drop("_all")
+    known = F.size(F.filter("parts", lambda x: x["seq"] <= F.col("finish")))
+    return own.withColumn("whole", F.coalesce(known == F.col("finish") + 1, F.lit(False)))
 
 
-def stream_answers(chunks: DataFrame) -> DataFrame:
-    """chat and content, once for each answer when it is whole; chunks (chat, seq from 0, delta, done) may come in any order and twice.
+def run_answers(chunks: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of chunks over what there is; chat and content, once for each answer when it is whole.
 
-    The state of an answer is in the query's state store, so a restart goes on where it was, whoever reads the answer.
+    Chunks (chat, seq from 0, delta, done) may come in any order and twice. Each batch puts together its own and those that wait, and
+    writes what still waits beside the answers, by epoch: a restart goes on where it was, and an epoch that runs again
+    writes the same rows in the same place.
     """
-    return chunks.groupBy("chat").applyInPandasWithState(_collect, "chat string, content string", "seqs array<bigint>, deltas array<string>, finish bigint", "append", "NoTimeout")
+    table = chunks.sparkSession.read.schema(f"chat string, content string, parts {PARTS}, finish bigint, whole boolean")
+
+    def put_together(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select("chat", "seq", F.lit(epoch).cast("long").alias("epoch"), F.coalesce("delta", F.lit("")).alias("delta"), F.when(F.col("done"), F.col("seq")).alias("finish"))
+        if epoch > 0:
+            waits = table.parquet(f"{path}/epoch={epoch - 1}").where("not whole")
+            rows = rows.unionByName(waits.select("chat", "finish", F.inline("parts")))
+        text = F.array_join(F.transform(F.filter("parts", lambda x: x["seq"] <= F.col("finish")), lambda x: x["delta"]), "")
+        done = F.col("whole")
+        made = whole_answers(rows).select("chat", F.when(done, text).alias("content"), F.when(~done, F.col("parts")).alias("parts"), "finish", "whole")
+        made.write.mode("overwrite").partitionBy("whole").parquet(f"{path}/epoch={epoch}")
+
+    chunks.writeStream.foreachBatch(put_together).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table.parquet(path).where("whole").select("chat", "content")
 
 
 def stream_progress(events: DataFrame) -> DataFrame:
