@@ -107,9 +107,10 @@ def markdown_blocks(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-@F.pandas_udf(ty.ArrayType(ty.StructType([ty.StructField("text", ty.StringType()), ty.StructField("is_code", ty.BooleanType())])))
-def raw_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"text": b, "is_code": c} for b, c in markdown_blocks(t or "")])
+@F.udf(ty.ArrayType(ty.StructType([ty.StructField("text", ty.StringType()), ty.StructField("is_code", ty.BooleanType())])), useArrow=False)
+def raw_blocks(text: str | None) -> list[tuple[str, bool]]:
+    """Rows go to Python by the hundred: in Arrow's batches of 10,000, whole texts and their blocks would stand there at once."""
+    return markdown_blocks(text or "")
 
 
 def _finish(rows: DataFrame, doc: str, text: Column, lang: Column, is_code: Column, is_image: Column, heading: Column, table: Column) -> DataFrame:
@@ -128,9 +129,9 @@ PARAGRAPH_COLUMNS = ["chapter_no", "chapter_id", "title", "ord", "id", "page", "
 
 def parse_markdown(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Paragraphs of Markdown documents, with chapter_no, chapter_id and title. A document without blocks has no rows."""
-    blocks = docs.select(doc, T.detect_language(F.coalesce(text, F.lit(""))).alias("lang"), F.posexplode(raw_blocks(F.col(text))).alias("ord", "b")).select(doc, "lang", "ord", "b.text", "b.is_code")
-    rules = S.heading_census(blocks, [doc], "text", F.col("is_code")).select(doc, "rule")
-    rows = blocks.join(rules, doc)
+    told = docs.select(doc, T.detect_language(F.coalesce(text, F.lit(""))).alias("lang"), raw_blocks(F.col(text)).alias("_blocks"))  # beside an explode, the language would be told for each block anew; a plain one finds the blocks twice
+    blocks = told.select(doc, "lang", F.posexplode_outer("_blocks").alias("ord", "b")).where("ord is not null").select(doc, "lang", "ord", "b.text", "b.is_code")
+    rows = S.with_heading_rule(blocks, [doc], "text", F.col("is_code"))
     opens = ~F.col("is_code") & (
         F.when(F.col("rule") == "#", F.col("text").rlike(r"^#\s+.+$")).when(F.col("rule") == "#{1,2}", F.col("text").rlike(r"^#{1,2}\s+.+$"))
         .when(F.col("rule") == "##", F.col("text").rlike(r"^##\s+.+$")).when(F.col("rule") == "###", F.col("text").rlike(r"^###\s+.+$")).otherwise(False)
