@@ -161,8 +161,9 @@ def parse_text(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     from pyspark.sql import Window
 
     x = F.coalesce(text, F.lit(""))
-    rows = docs.select(doc, T.detect_language(x).alias("lang"), F.posexplode(T.blank_line_paragraphs(x)).alias("ord", "text"))
-    first = T.strip(F.split("text", "\n")[0])
+    told = docs.select(doc, T.detect_language(x).alias("lang"), T.blank_line_paragraphs(x).alias("_paragraphs"))  # beside an explode, the language would be told for each paragraph anew
+    rows = told.select(doc, "lang", F.posexplode_outer("_paragraphs").alias("ord", "text")).where("ord is not null")  # a plain explode finds the array twice, to filter by its size
+    first = T.strip(F.split("text", "\n", 2)[0])
     w = Window.partitionBy(doc)
     rows = rows.withColumn("_first", first).withColumn("_head", T.is_heading(first, "outline"))
     rows = rows.withColumn("_opens", F.col("_head") & (F.length("_first") <= 100))
