@@ -78,14 +78,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_shuffled(one: DataFrame, two: DataFrame, key, how: str = "inner") -> DataFrame:
+    """one joined with two by shuffle, whatever size Spark takes them to have.
+
+    Spark sizes a table by its compressed files, and what explode makes of it by the rows before, and would broadcast a side that the driver can't hold.
+    """
+    return one.join(two.hint("merge"), key, how)
+
+
 def join_few(big: DataFrame, few: DataFrame, key: str | list[str], how: str, extra: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """big joined with a table that is usually small.
 
     few is measured first, at ROW bytes a row and what `extra` gives besides: up to `limit` bytes it is broadcast; beyond that
-    it is a shuffle join, with AQE splitting skewed keys.
+    it is a shuffle join, also where Spark takes few for smaller, with AQE splitting skewed keys.
     """
     size = few.agg(F.sum(F.lit(ROW) if extra is None else F.lit(ROW) + extra)).first()[0] or 0
-    return big.join(F.broadcast(few) if size <= limit else few, key, how)
+    return big.join(F.broadcast(few), key, how) if size <= limit else join_shuffled(big, few, key, how)
 
 
 def join_spread(big: DataFrame, few: DataFrame, keys: list[str], rows: str, spread: list[str]) -> DataFrame:

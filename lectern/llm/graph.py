@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import join_shuffled, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Joins every node's larger neighbours to its least neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    return join_shuffled(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Joins every node and its smaller neighbours to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = join_shuffled(edges, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v")))
 
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import join_few, written
+from lectern.llm.common import join_few, join_shuffled, written
 from lectern.llm.graph import components
 
 WORDS = 5
@@ -228,10 +228,11 @@ def _confirmed(sets: DataFrame) -> DataFrame:
     part = join_few(part, root(more, "head"), "head", "left").withColumn("part", F.coalesce("head_root", "head"))
     parts = written(part.groupBy("family", "blocks", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")), "near-block-parts")
     other = parts.select("family", F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = parts.withColumn("second", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("second > block").join(other, ["family", "second"])
+    pairs = parts.withColumn("second", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("second > block")
+    pairs = join_few(pairs, other, ["family", "second"], "inner")
     pairs = written(pairs.where(F.greatest("hi", "hi2") > F.least("lo", "lo2")).select("family", "block", "second"), "near-pairs")
     one, two = several.select("family", "block", "one"), several.select("family", F.col("block").alias("second"), F.col("one").alias("two"))
-    across = pairs.join(one, ["family", "block"]).join(two, ["family", "second"]).select("one", "two")
+    across = join_shuffled(join_shuffled(one, pairs, ["family", "block"]), two, ["family", "second"]).select("one", "two")
     return found.unionByName(written(across.mapInPandas(_links, "u long, v long"), "near-across"))
 
 
@@ -245,10 +246,10 @@ def link(docs: DataFrame, text: str = "text") -> DataFrame:
     left = classes.select("cid", F.posexplode("l").alias("i", "a"), "r")
     keys = left.select("cid", "i", "a", F.posexplode("r").alias("j", "b")).select("cid", F.xxhash64("i", "a", "j", "b").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-    ties = keys.join(shared, "key").select("cid", F.explode(F.array("lo", "hi")).alias("to")).where("cid <> to")
+    ties = join_shuffled(keys, shared, "key").select("cid", F.explode(F.array("lo", "hi")).alias("to")).where("cid <> to")
     ties = ties.select(F.greatest("cid", "to").alias("u"), F.least("cid", "to").alias("v")).distinct()
     sig = lambda c: classes.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}"))
-    near = ties.join(sig("u"), "u").join(sig("v"), "v").where(agreement(F.col("sig_u"), F.col("sig_v")) >= AGREE).select("u", "v")
+    near = join_shuffled(join_shuffled(ties, sig("u"), "u"), sig("v"), "v").where(agreement(F.col("sig_u"), F.col("sig_v")) >= AGREE).select("u", "v")
     tied = components(near, "near-ties")
     member = written(tied.select(F.col("node").alias("doc_id"), F.col("root").alias("family")).unionByName(tied.select(F.col("root").alias("doc_id"), F.col("root").alias("family")).distinct()), "near-members")
 
