@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, let, words_of, written
+from lectern.llm.common import BLANKS, join_shuffled, let, words_of, written
 
 MIN_WORDS = 50
 MAX_REPEAT = 50
@@ -130,7 +130,7 @@ def with_verdicts(judged: DataFrame, host: str, max_host_rate: float = MAX_HOST_
     else:  # a host may hold a third of all rows
         salted = mine.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
         wide = bad.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = salted.join(wide, F.col("_mine").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_to")), "left").drop("_salt", "_to")
+        out = join_shuffled(salted, wide, F.col("_mine").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_to")), "left").drop("_salt", "_to")
     return out.withColumn("host_failed", F.coalesce("host_failed", F.lit(False))).drop("_mine", "_host")
 
 
