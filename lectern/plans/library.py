@@ -112,10 +112,11 @@ def anki_packages(spark, sf_dir):
     return E.anki_packages(cards, 1_706_700_000).select("doc_id", "n_notes", (F.length("apkg") > 0).alias("packed"))
 
 
-def _books(spark, sf_dir):
+def _books(spark, sf_dir, documents=None, empty=False):
     p, c = D.paragraphs(spark, sf_dir), D.chapters(spark, sf_dir)
-    documents = D.read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" & <b>")).alias("filename"))
-    return E.html_book(E.render_chapters(p, c), documents, c, E.seo(p))
+    if documents is None:
+        documents = D.read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" & <b>")).alias("filename"))
+    return E.html_book(E.render_chapters(p, c), documents, c, E.seo(p), empty=empty)
 
 
 def html_books(spark, sf_dir):
@@ -129,9 +130,10 @@ def card_payloads(spark, sf_dir):
 
 
 def library_bundle(spark, sf_dir):
-    d = D.read(spark, sf_dir, "documents")
-    entries = d.select("doc_id", F.concat("source", F.lit(".md")).alias("title"), F.concat(F.lit("docs/"), _C("doc_id").cast("string"), F.lit("/index.html")).alias("path"), F.lit("a & b").alias("description"))
-    files = E.library_files(entries, _books(spark, sf_dir), "https://library.example", 60).unionByName(E.portal_page(entries))
+    d = D.read(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("")))
+    entries = d.select("doc_id", F.concat("source", F.lit(".md")).alias("title"), F.concat(F.lit("docs/"), F.coalesce(_C("doc_id").cast("string"), F.lit("")), F.lit("/index.html")).alias("path"), F.lit("a & b").alias("description"))
+    titles = d.where("doc_id is not null").groupBy("doc_id").agg(F.concat(F.min("source"), F.lit(" & <b>")).alias("filename"))
+    files = E.library_files(entries, _books(spark, sf_dir, titles, empty=True), "https://library.example", 60).unionByName(E.portal_page(entries))
     urls, items = F.size(F.split("content", "<loc>")) - 1, F.coalesce(F.size(F.from_json("content", "array<struct<path:string>>")), F.lit(-1))
     kind = F.regexp_extract("path", "^(docs/|docs-|sitemap-|index)", 1)
     return files.groupBy(kind.alias("kind")).agg(F.countDistinct("path").alias("files"), F.sum(F.when(kind == "sitemap-", urls).when(kind == "docs-", items).otherwise(F.size(F.split("content", "<li>")) - 1)).alias("entries"))

@@ -246,8 +246,11 @@ def _escaped(x: Column) -> Column:
     return x
 
 
-def html_book(rendered: DataFrame, documents: DataFrame, chapters: DataFrame | None = None, descriptions: DataFrame | None = None, keywords: int = 10) -> DataFrame:
-    """doc_id and html: a plain page with contents, description and keywords (titles of the first chapters) where given, and chapters."""
+def html_book(rendered: DataFrame, documents: DataFrame, chapters: DataFrame | None = None, descriptions: DataFrame | None = None, keywords: int = 10, empty: bool = False) -> DataFrame:
+    """doc_id and html: a plain page with contents, description and keywords (titles of the first chapters) where given, and chapters.
+
+    With empty, documents without chapters have a page as well.
+    """
     rows = rendered.select("doc_id", "chapter_id", "ch_ord", "markdown")
     if chapters is not None:
         rows = rows.join(chapters.select("doc_id", "chapter_id", F.col("title").alias("_title")), ["doc_id", "chapter_id"], "left")
@@ -257,11 +260,11 @@ def html_book(rendered: DataFrame, documents: DataFrame, chapters: DataFrame | N
     titles = F.array_sort(F.collect_list(F.struct("ch_ord", title.alias("t"))))
     named = F.array_join(F.transform(F.slice(titles, 1, keywords), lambda x: x["t"]), ", ") if chapters is not None else F.lit("")
     pages = rows.groupBy("doc_id").agg(ordered_text("ch_ord", part, "").alias("_body"), ordered_text("ch_ord", toc, "").alias("_toc"), (named if chapters is not None else F.first(named)).alias("_words"))
-    out = pages.join(documents.select("doc_id", "filename"), "doc_id")
+    out = pages.join(documents.select("doc_id", "filename"), "doc_id", "right" if empty else "inner")
     out = out.join(descriptions.select("doc_id", "description"), "doc_id", "left") if descriptions is not None else out.withColumn("description", F.lit(""))
     meta = lambda name, x: F.when(F.coalesce(x, F.lit("")) == "", "").otherwise(F.concat(F.lit(f'<meta name="{name}" content="'), _escaped(x), F.lit('">')))
     head = F.concat(F.lit("<!doctype html><title>"), _escaped(F.col("filename")), F.lit("</title>"), meta("description", F.col("description")), meta("keywords", F.col("_words")))
-    return out.select("doc_id", F.concat(head, F.lit("<ol>"), F.col("_toc"), F.lit("</ol>"), F.col("_body")).alias("html"))
+    return out.select("doc_id", F.concat(head, F.lit("<ol>"), F.coalesce("_toc", F.lit("")), F.lit("</ol>"), F.coalesce("_body", F.lit(""))).alias("html"))
 
 
 #: Entries to a file of the library's list or map.
@@ -280,7 +283,7 @@ def library_files(entries: DataFrame, books: DataFrame, base: str, per_file: int
     lists = entries.select(part, row.alias("r")).groupBy("part").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("content"))
     maps = entries.select(part, "path", F.concat(F.lit(f"<url><loc>{base}/"), _escaped(F.col("path")), F.lit("</loc></url>")).alias("u"))
     maps = maps.groupBy("part").agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), ordered_text("path", F.col("u"), ""), F.lit("</urlset>")).alias("content"))
-    pages = books.join(entries.select("doc_id", "path"), "doc_id").select("path", F.col("html").alias("content"))
+    pages = books.join(entries.select("doc_id", "path").distinct(), "doc_id").select("path", F.col("html").alias("content"))
     return pages.unionByName(lists.select(F.concat(F.lit("docs-"), "part", F.lit(".json")).alias("path"), "content")).unionByName(maps.select(F.concat(F.lit("sitemap-"), "part", F.lit(".xml")).alias("path"), "content"))
 
 
